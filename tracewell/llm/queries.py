@@ -53,7 +53,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit, held_out, learnable, predict
+
+    docs = _docs(spark, sf_dir)
+    own = docs.select("doc_id", "text").withColumn("held_out", held_out())
+    return predict(own, fit(learnable(docs, held_out()))).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import digests
+
+    return digests(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES = {
+    "op3_language_id": op3_language_id,
+    "op6_byte_bpe": op6_byte_bpe,
     "op8_quality_cascade": op8_quality_cascade,
 }
 ORACLES = {

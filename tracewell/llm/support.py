@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,3 +68,13 @@ def text_key(text: str = "text") -> Column:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
+    """A batch's texts; null counts as empty."""
+    return [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
+
+
+def with_columns(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
+    """The batch and further columns at its end."""
+    return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], [*batch.schema.names, *columns])
