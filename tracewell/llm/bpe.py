@@ -21,9 +21,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
 
-from .support import texts_of, with_columns
+from .support import extended, texts_of, with_columns
 
 NONE = np.int32(2**31 - 1)
 LONG = 192
@@ -209,7 +208,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             yield with_columns(b, ids=lists, n_tokens=pa.array(np.diff(ends), pa.int64()))
 
     docs = docs.drop("ids", "n_tokens")
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("ids", "array<int>").add("n_tokens", "long"))
+    return docs.mapInArrow(run, extended(docs.schema, "ids array<int>, n_tokens long"))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -221,7 +220,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             ids = b.column(b.schema.get_field_index("ids")).to_numpy(zero_copy_only=False)
             yield with_columns(b, decoded=pa.array([c.decode(np.asarray(i)) for i in ids], pa.binary()))
 
-    return encoded.mapInArrow(run, StructType([*encoded.schema.fields]).add("decoded", "binary"))
+    return encoded.mapInArrow(run, extended(encoded.schema, "decoded binary"))
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -240,4 +239,4 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             )
 
     docs = docs.select("doc_id", "text")
-    return docs.mapInArrow(run, StructType([docs.schema["doc_id"]]).add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string"))
+    return docs.mapInArrow(run, extended([docs.schema["doc_id"]], "n_tokens long, ids_sha256 string, decoded_sha256 string"))

@@ -25,9 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from .support import texts_of, with_columns
+from .support import extended, texts_of, with_columns
 
 DIM = 1 << 12
 SIZES = (24, 64, 160, 400)  # distinct n-grams at which another limit begins
@@ -154,7 +153,7 @@ def predict(docs: DataFrame, model: Centroids) -> DataFrame:
             got = [model.classify(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
             yield with_columns(b, lang_pred=pa.array([g[0] for g in got], pa.string()), score=pa.array([g[1] for g in got], pa.float64()), rejected=pa.array([g[2] for g in got], pa.bool_()))
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("lang_pred", "string").add("score", "double").add("rejected", "boolean"))
+    return docs.mapInArrow(run, extended(docs.schema, "lang_pred string, score double, rejected boolean"))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

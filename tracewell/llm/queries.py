@@ -53,6 +53,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import digest_columns, suffix_dedup
+
+    return digest_columns(suffix_dedup(_docs(spark, sf_dir)))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import fit, held_out, learnable, predict
 
@@ -70,6 +76,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_language_id": op3_language_id,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_quality_cascade": op8_quality_cascade,

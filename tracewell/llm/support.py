@@ -10,6 +10,7 @@ import zipfile
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _shipped: set[str] = set()
@@ -78,3 +79,8 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 def with_columns(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
     """The batch and further columns at its end."""
     return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], [*batch.schema.names, *columns])
+
+
+def extended(fields: StructType | list, ddl: str) -> StructType:
+    """A schema with further fields at its end."""
+    return StructType([*fields, *StructType.fromDDL(ddl)])
