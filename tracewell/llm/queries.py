@@ -53,6 +53,48 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_dedup
+
+    return line_dedup(_docs(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", "text")
+
+
+OP1_SQL = r"""
+WITH u AS (
+  SELECT doc_id, i AS raw_i, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i,
+         len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), c AS (
+  SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS upto, sum(w) OVER (PARTITION BY doc_id ORDER BY i) - w AS before FROM u
+), pairs AS (
+  SELECT a.doc_id, a.i AS s, b.i AS e FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.before >= 50
+    AND b.upto - a.before < 50 + a.w + b.w
+), win AS (
+  SELECT doc_id, s, min(e) AS e FROM pairs GROUP BY doc_id, s
+  UNION
+  SELECT doc_id, max(s) AS s, e FROM pairs GROUP BY doc_id, e
+), content AS (
+  SELECT w.doc_id, w.s, w.e, string_agg(u.line, chr(10) ORDER BY u.i) AS content
+  FROM win w JOIN u ON u.doc_id = w.doc_id AND u.i BETWEEN w.s AND w.e GROUP BY w.doc_id, w.s, w.e
+), later AS (
+  SELECT doc_id, s, e FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, s) AS r FROM content) WHERE r > 1
+), gone AS (
+  SELECT l.doc_id, a.raw_i AS lo, b.raw_i AS hi FROM later l
+  JOIN u a ON a.doc_id = l.doc_id AND a.i = l.s JOIN u b ON b.doc_id = l.doc_id AND b.i = l.e
+), lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents
+), marked AS (
+  SELECT doc_id, i, line, regexp_matches(line, '[^\x20\x09-\x0D]') AS unit,
+         EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = lines.doc_id AND lines.i BETWEEN g.lo AND g.hi) AS gone
+  FROM lines
+)
+SELECT d.doc_id, coalesce(count(*) FILTER (unit), 0)::BIGINT AS n_lines, coalesce(count(*) FILTER (unit AND gone), 0)::BIGINT AS n_removed,
+       CASE WHEN any_value(d.text) IS NOT NULL THEN coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') END AS text
+FROM documents d LEFT JOIN marked USING (doc_id) GROUP BY d.doc_id
+"""
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import digest_columns, suffix_dedup
 
@@ -76,11 +118,13 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_language_id": op3_language_id,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_quality_cascade": op8_quality_cascade,
 }
 ORACLES = {
+    "op1_line_dedup": OP1_SQL,
     "op8_quality_cascade": OP8_SQL,
 }
