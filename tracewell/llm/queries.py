@@ -109,6 +109,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(own, fit(learnable(docs, held_out()))).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_classes
+
+    return near_classes(_docs(spark, sf_dir)).select("doc_id", "class_id", "class_size")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -118,6 +124,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_minhash": op5_minhash,
     "op1_line_dedup": op1_line_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_language_id": op3_language_id,
