@@ -14,6 +14,12 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import leaks
+
+    return leaks(_docs(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op8_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_cascade
 
@@ -123,7 +129,16 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract
+
+    support.ship(spark)
+    return extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op7_decontaminate": op7_decontaminate,
+    "op10_html_extract": op10_html_extract,
     "op5_minhash": op5_minhash,
     "op1_line_dedup": op1_line_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
