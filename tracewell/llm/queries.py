@@ -115,6 +115,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(own, fit(learnable(docs, held_out()))).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lmscore import cross_entropy_difference
+
+    return cross_entropy_difference(_docs(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_classes
 
@@ -136,7 +142,16 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quotes import chat_format, in_reply_order
+
+    support.ship(spark)
+    return in_reply_order(chat_format(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
+    "op4_lm_scoring": op4_lm_scoring,
+    "op9_chat_format": op9_chat_format,
     "op7_decontaminate": op7_decontaminate,
     "op10_html_extract": op10_html_extract,
     "op5_minhash": op5_minhash,
