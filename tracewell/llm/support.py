@@ -52,6 +52,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tables() -> list[str]:
+    """Scratch tables of this process that were not released."""
+    return list(_tables)
+
+
 def release(spark: SparkSession, paths: list[str] | None = None) -> None:
     """Delete scratch tables whose readers are done (all of this process's by default)."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
