@@ -34,7 +34,7 @@ from .support import extended, shuffle_parts, stored, texts_of, with_columns
 KGRAM = 32
 SPAN = 200
 HOT = 256  # contexts of one value that one task compares
-BLOCK = 1 << 20  # bytes hashed at a time; bytes of a shard's suffix array
+BLOCK = 1 << 20  # bytes hashed, or compared, at a time
 _KEYS = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 
 
@@ -158,6 +158,34 @@ def repeated_starts(parts: list[bytes], span: int) -> list[np.ndarray]:
     return [np.flatnonzero(hit[e - 1 - n : e - span]) for e, n in zip(end, size)]
 
 
+def sharing(rows: list[tuple[int, bytes]], span: int, k: int = KGRAM) -> list[bool]:
+    """For each (value, context): whether it can hold a string that another place of its value holds.
+
+    A string has at least half of its other bytes on one side of its least piece,
+    so equal strings agree in the piece and those bytes, on the left or on the right.
+    """
+    half = (span - k + 1) // 2
+    size = np.array([len(r[1]) for r in rows])
+    end = np.cumsum(size)
+    h = piece_hashes(np.frombuffer(b"".join(r[1] for r in rows), np.uint8), k).view(np.int64)
+    place = np.flatnonzero(h == np.repeat([r[0] for r in rows], size)[: len(h)])
+    own = np.searchsorted(end, place, side="right")
+    ok = place + k <= end[own]
+    place, own = place[ok] - (end - size)[own[ok]], own[ok]
+    met: dict[tuple, int] = {}
+    alive = [False] * len(rows)
+    for i, p in zip(own.tolist(), place.tolist()):
+        fp, raw = rows[i]
+        sides = [(fp, 0, raw[p - half : p + k])] if p >= half else []
+        if p + k + half <= len(raw):
+            sides.append((fp, 1, raw[p : p + k + half]))
+        for key in sides:
+            if key in met:
+                alive[i] = alive[met[key]] = True
+            met[key] = i
+    return alive
+
+
 def ranges(at: np.ndarray) -> list[dict]:
     if not len(at):
         return []
@@ -172,7 +200,10 @@ def _compare(span: int):
     """Rows sorted by value: whole values go into suffix arrays of about BLOCK bytes."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        cov = [ranges(np.arange(len(raw) - span + 1) if n > 1 else at) for (_, _, n, raw), at in zip(rows, repeated_starts([r[3] for r in rows], span))]
+        live = [i for i, alive in enumerate(sharing([(r[0], r[3]) for r in rows], span)) if alive]
+        starts = dict(zip(live, repeated_starts([rows[i][3] for i in live], span))) if live else {}
+        none = np.zeros(0, np.int64)
+        cov = [ranges(np.arange(len(raw) - span + 1) if n > 1 else starts.get(i, none)) for i, (_, _, n, raw) in enumerate(rows)]
         kind = pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())]))
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(cov, kind)], ["fp", "ctx", "cov"])
 
