@@ -10,8 +10,9 @@ value form one context. A value met once holds nothing twice. Where all contexts
 of a value are equal, hashes alone settle them. Only distinct contexts of the
 rest are read as bytes: a suffix array by induced sorting and its permuted common
 prefixes give the places where `span` bytes repeat. Values with more than HOT
-contexts (a passage in front of countless different ones) are dealt by the hash
-of each string instead, so that no value needs one task.
+contexts (a passage in front of countless different ones) are dealt by hashes of
+their strings instead, tiles of neighbouring strings first, so that no value
+needs one task.
 
 Null and empty texts have no bytes. Texts are whole; matches end at a document's
 ends. Rows that repeat in full are copies of each other. Columns other than
@@ -33,7 +34,8 @@ from .support import extended, shuffle_parts, stored, texts_of, with_columns
 
 KGRAM = 32
 SPAN = 200
-HOT = 256  # contexts of one value that one task compares
+HOT = 1024  # contexts of one value that one task compares
+TILE = 16  # strings that hashes settle at once
 BLOCK = 1 << 20  # bytes hashed, or compared, at a time
 _KEYS = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 
@@ -123,7 +125,7 @@ def _scan(span: int):
     return run
 
 
-def _cut(span: int):
+def _cut(span: int, most: int):
     """Bytes of the contexts that need them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +135,7 @@ def _cut(span: int):
             for t, mixed in zip(texts, batch.column(1).to_pylist()):
                 b = t.encode()
                 for m in mixed:
-                    fp.append(m["fp"]), ctx.append(m["ctx"]), hot.append(m["n"] > HOT), raw.append(b[m["p0"] : m["p1"] + span])
+                    fp.append(m["fp"]), ctx.append(m["ctx"]), hot.append(m["n"] > most), raw.append(b[m["p0"] : m["p1"] + span])
             for s in range(0, max(len(fp), 1), 20000):
                 z = slice(s, s + 20000)
                 yield pa.RecordBatch.from_arrays([pa.array(fp[z], pa.int64()), pa.array(ctx[z], pa.int64()), pa.array(hot[z], pa.bool_()), pa.array(raw[z], pa.binary())], ["fp", "ctx", "hot", "raw"])
@@ -222,20 +224,42 @@ def _compare(span: int):
     return run
 
 
-def _strings(span: int):
-    """A row for each string of a hot context."""
+def _tiles(span: int):
+    """Hot contexts in tiles of up to TILE neighbouring strings, aligned to the least piece, with each string's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out: list[tuple] = []
             for fp, ctx, n, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 m = len(raw) - span + 1
-                both = np.array([xxhash.xxh3_128_intdigest(raw[i : i + span]).to_bytes(16, "little") for i in range(m)], "S16")
-                two = np.frombuffer(b"".join(x.ljust(16, b"\0") for x in both.tolist()), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, fp)), pa.array(np.full(m, ctx)), pa.array(np.full(m, n)), pa.array(np.arange(m, dtype=np.int32)), pa.array(two[:, 0]), pa.array(two[:, 1])], ["fp", "ctx", "n", "i", "h1", "h2"])
+                h = piece_hashes(np.frombuffer(raw, np.uint8), KGRAM).view(np.int64)
+                p = int((h == fp).argmax())
+                lo = 0
+                while lo < m:
+                    hi = min(m, lo + 1 + (p - lo) % TILE)  # ends where the distance to the piece is a multiple of TILE
+                    tile = xxhash.xxh3_64_intdigest(raw[lo : hi + span - 1], seed=(p - lo) % (1 << 32))
+                    out.append((fp, ctx, n, lo, tile, [xxhash.xxh3_64_intdigest(raw[i : i + span]) for i in range(lo, hi)]))
+                    lo = hi
+            hashes = [np.array(r[5], np.uint64).view(np.int64) for r in out]
+            numbers = [pa.array([r[k] for r in out], pa.int64()) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([*numbers, pa.array(np.array([r[4] for r in out], np.uint64).view(np.int64)), pa.array(hashes, pa.list_(pa.int64()))], ["fp", "ctx", "n", "lo", "tile", "strings"])
 
     return run
 
 
+def hot_places(hot: DataFrame, span: int) -> DataFrame:
+    """(fp, ctx, cov) of hot contexts. Equal tiles settle their strings; only strings of other tiles are looked up one by one."""
+    tiles = stored(hot.mapInArrow(_tiles(span), "fp long, ctx long, n long, lo long, tile long, strings array<long>"), "tiles")
+    kinds = stored(tiles.groupBy("fp", "tile").agg(F.sum("n").alias("n"), F.first("strings").alias("strings")), "kinds")
+    each = kinds.select("fp", "tile", "n", F.posexplode("strings").alias("i", "string"))
+    twice = each.groupBy("fp", "string").agg(F.sum("n").alias("n")).filter("n > 1").select("fp", "string")
+    alone = each.filter("n = 1").join(twice, ["fp", "string"]).groupBy("fp", "tile").agg(F.transform(F.array_sort(F.collect_set("i")), lambda i: F.struct(i.alias("a"), i.alias("z"))).alias("cov"))
+    shared = kinds.filter("n > 1").select("fp", "tile", F.array(F.struct(F.lit(0).alias("a"), (F.size("strings") - 1).alias("z"))).alias("cov"))
+    found = tiles.select("fp", "ctx", "lo", "tile").join(alone.unionByName(shared), ["fp", "tile"])
+    at = F.col("lo").cast("int")
+    return found.select("fp", "ctx", F.transform("cov", lambda c: F.struct((c["a"] + at).alias("a"), (c["z"] + at).alias("z"))).alias("cov")).groupBy("fp", "ctx").agg(F.flatten(F.collect_list("cov")).alias("cov"))
+
+
 def _remove(span: int):
     """Spans, and what is left, from each text and its repeated strings."""
 
@@ -288,20 +312,18 @@ def repeated_contexts(docs: DataFrame, span: int) -> DataFrame:
     return kept.groupBy("k1", "k2").agg(F.collect_set(settled).alias("settled"), F.collect_set(mixed).alias("mixed"), n.alias("rows"))
 
 
-def suffix_dedup(docs: DataFrame, span: int = SPAN) -> DataFrame:
+def suffix_dedup(docs: DataFrame, span: int = SPAN, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans array<struct<a,z>> (removed, end exclusive) and kept binary per row of docs."""
     spark = docs.sparkSession
     per_doc = repeated_contexts(docs, span)
     per_doc = stored(per_doc.drop("rows"), "per-doc")
     texts = keyed(docs).repartition(shuffle_parts(spark), "k1", "k2")
     need = per_doc.filter(F.size("mixed") > 0).select("k1", "k2", "mixed")
-    raw = texts.join(need, ["k1", "k2"]).select("text", "mixed").mapInArrow(_cut(span), "fp long, ctx long, hot boolean, raw binary")
+    raw = texts.join(need, ["k1", "k2"]).select("text", "mixed").mapInArrow(_cut(span, hot), "fp long, ctx long, hot boolean, raw binary")
     distinct = raw.groupBy("fp", "ctx").agg(F.count("*").alias("n"), F.first("raw").alias("raw"), F.first("hot").alias("hot"))
     distinct = stored(distinct, "distinct")
     few = distinct.filter(~F.col("hot")).select("fp", "ctx", "n", "raw").repartition(shuffle_parts(spark), "fp").sortWithinPartitions("fp").mapInArrow(_compare(span), _FOUND)
-    each = distinct.filter("hot").select("fp", "ctx", "n", "raw").mapInArrow(_strings(span), "fp long, ctx long, n long, i int, h1 long, h2 long")
-    twice = each.groupBy("h1", "h2").agg(F.sum("n").alias("all")).filter("all > 1").select("h1", "h2")
-    many = each.join(twice, ["h1", "h2"]).groupBy("fp", "ctx").agg(F.transform(F.array_sort(F.collect_set("i")), lambda i: F.struct(i.alias("a"), i.alias("z"))).alias("cov"))
+    many = hot_places(distinct.filter("hot").select("fp", "ctx", "n", "raw"), span)
     found = few.unionByName(many).filter(F.size("cov") > 0)
     place = need.select("k1", "k2", F.explode("mixed").alias("m")).select("k1", "k2", "m.fp", "m.ctx", "m.p0")
     placed = place.join(found, ["fp", "ctx"]).select("k1", "k2", F.transform("cov", lambda c: F.struct((c["a"] + F.col("p0")).alias("a"), (c["z"] + F.col("p0")).alias("z"))).alias("cov"))
