@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import graphs, scalars
+
+QUERIES: dict = {**graphs.QUERIES, **scalars.QUERIES}
+ORACLES: dict = {**graphs.ORACLES, **scalars.ORACLES}
