@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .integers import floor_div
+
 
 def with_ordinal(df: DataFrame, group: list[str], order: list[str], width: int, name: str = "ordinal") -> DataFrame:
     """Zero-based place of each row in its group by order; order[0] is a long.
@@ -14,7 +16,7 @@ def with_ordinal(df: DataFrame, group: list[str], order: list[str], width: int,
     count of all before them, summed over one row a slice. No task sees more than
     a slice of a group, or one row a slice.
     """
-    slice_of = F.floor(F.col(order[0]) / F.lit(width))
+    slice_of = floor_div(F.col(order[0]), width)
     d = df.withColumn("_slice", slice_of)
     sizes = d.groupBy(*group, "_slice").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.partitionBy(*group).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .integers import floor_div
+
 EASTERN = "America/New_York"
 
 
@@ -17,7 +19,7 @@ def label(parts: list[Column], hashed: bool = False) -> Column:
 
 def ns_to_text(ns: Column, zone: str = EASTERN) -> Column:
     """`YYYY-MM-DD HH:MM:SS.nnnnnnnnn` in the zone."""
-    seconds = F.floor(ns / F.lit(1_000_000_000)).cast("long")
+    seconds = floor_div(ns, 1_000_000_000)
     whole = F.date_format(F.from_utc_timestamp(F.timestamp_seconds(seconds), zone), "yyyy-MM-dd HH:mm:ss")
     return F.concat(whole, F.lit("."), F.lpad(F.pmod(ns, F.lit(1_000_000_000)).cast("string"), 9, "0"))
 

@@ -2,19 +2,42 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark import SparkContext
+from pyspark.sql import DataFrame, SparkSession
+
+_paths: list[str] = []
+
+
+def shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session; a folder of this machine only where none is set, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="tracewell-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df under spark.checkpoint.dir (set here only where it is unset) and read it back."""
+    """Write df under the shared folder and read it back; it goes when the application ends."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tracewell-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _paths:
+        atexit.register(_clear)
+    _paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def delete(spark_context: SparkContext, paths: list[str]) -> None:
+    for path in paths:
+        p = spark_context._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark_context._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _clear() -> None:
+    if SparkContext._active_spark_context is not None:
+        delete(SparkContext._active_spark_context, _paths)

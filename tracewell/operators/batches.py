@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracewell.functions.integers import floor_div
 from tracewell.functions.ordinal import with_ordinal
 
 from .windows import HOUR
@@ -22,7 +23,7 @@ def by_edges(edges: DataFrame, group: list[str], n: int, width: int = HOUR) -> D
 def by_time(edges: DataFrame, hop: int, length: int, start: int) -> DataFrame:
     """Adds batch: windows of the given length every hop from start; events between windows go."""
     at = F.col("t") - start
-    return edges.withColumn("batch", F.floor(at / hop)).filter((at >= 0) & (F.pmod(at, F.lit(hop)) < length))
+    return edges.withColumn("batch", floor_div(at, hop)).filter((at >= 0) & (F.pmod(at, F.lit(hop)) < length))
 
 
 def by_unique_pairs(edges: DataFrame, group: list[str]) -> DataFrame:

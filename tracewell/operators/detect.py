@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracewell.functions.integers import floor_div
+
 EPS = 1e-12
 
 
@@ -59,8 +61,8 @@ def window_labels(windows: DataFrame, touched: DataFrame, slot: int, strict: boo
     windows(tw, start_t, end_t) and touched(node, t) meet in time slots, so the
     range test runs inside an equality join.
     """
-    w = windows.withColumn("_slot", F.explode(F.sequence(F.floor(F.col("start_t") / slot), F.floor(F.col("end_t") / slot))))
-    m = touched.withColumn("_slot", F.floor(F.col("t") / slot))
+    w = windows.withColumn("_slot", F.explode(F.sequence(floor_div(F.col("start_t"), slot), floor_div(F.col("end_t"), slot))))
+    m = touched.withColumn("_slot", floor_div(F.col("t"), slot))
     inside = (F.col("t") > F.col("start_t")) & (F.col("t") < F.col("end_t")) if strict else F.col("t").between(F.col("start_t"), F.col("end_t"))
     return w.join(m, "_slot").filter(inside).groupBy("tw", "node").agg(F.count("*").alias("n"))
 
@@ -84,11 +86,29 @@ def confusion(results: DataFrame) -> DataFrame:
         ("accuracy", (tp + tn) / (tp + tn + fp + fn + EPS)), ("balanced_acc", (recall + tn / (tn + fp + EPS)) / 2), ("lr_plus", recall / (fpr + EPS)), ("dor", tp * tn / (fp * fn + EPS)), ("mcc", mcc))])
 
 
+def running(df: DataFrame, ties: list[str], sums: dict[str, str], rank: str | None = None, slices: int = 64) -> DataFrame:
+    """Adds running sums from the highest score down (ties in order of `ties`), and the rank.
+
+    Rows are cut at quantiles of the score; sums run inside a slice, on top of
+    the totals of the slices above, one row each. Equal scores share a slice.
+    """
+    cuts = sorted(set(df.approxQuantile("score", [i / slices for i in range(1, slices)], 0.01)))
+    slice_of = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col("score") < c)) if cuts else F.lit(0)
+    d = df.withColumn("_slice", slice_of)
+    names = {**sums, **({rank: "_one"} if rank else {})}
+    d = d.withColumn("_one", F.lit(1).cast("long"))
+    totals = d.groupBy("_slice").agg(*[F.sum(c).alias(f"_{n}") for n, c in names.items()])
+    above = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    starts = totals.select("_slice", *[F.coalesce(F.sum(f"_{n}").over(above), F.lit(0)).alias(f"_start_{n}") for n in names])
+    own = W.partitionBy("_slice").orderBy(F.desc("score"), *ties).rowsBetween(W.unboundedPreceding, W.currentRow)
+    out = d.select("*", *[F.sum(c).over(own).alias(f"_in_{n}") for n, c in names.items()]).join(F.broadcast(starts), "_slice")
+    return out.select(*df.columns, *[(F.col(f"_start_{n}") + F.col(f"_in_{n}")).alias(n) for n in names])
+
+
 def ranking_counts(results: DataFrame) -> DataFrame:
-    """Per distinct score, highest first: positives and negatives at it, and up to it."""
+    """Per distinct score: positives and negatives at it, and from the highest down to it."""
     per = results.groupBy("score").agg(F.sum("y_true").alias("pos"), F.sum(1 - F.col("y_true")).alias("neg"))
-    w = W.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return per.withColumn("tp", F.sum("pos").over(w)).withColumn("fp", F.sum("neg").over(w))
+    return running(per, [], {"tp": "pos", "fp": "neg"})
 
 
 def auc_ap(results: DataFrame) -> DataFrame:
@@ -109,23 +129,19 @@ def pr_curve(results: DataFrame) -> DataFrame:
 
 
 def ranked(results: DataFrame) -> DataFrame:
-    """Rows by score, highest first, ties by node, with running true and false positives.
-
-    Node results are a small share of events. The running sums go over one sort
-    of them, in one task only within slices of equal leading score.
-    """
-    w = W.orderBy(F.desc("score"), "node").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return results.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "node"))).withColumn("tps", F.sum("y_true").over(w)).withColumn("fps", F.sum(1 - F.col("y_true")).over(w))
+    """Rows by score, highest first, ties by node, with rank and running true and false positives."""
+    d = running(results.withColumn("_neg", 1 - F.col("y_true")), ["node"], {"tps": "y_true", "fps": "_neg"}, "rank")
+    return d.drop("_neg")
 
 
 def with_attacks_found(results: DataFrame, attacks: DataFrame) -> DataFrame:
     """Adds found: how many attacks have a node at or above the row, and n_attacks."""
     r = ranked(results)
     first = r.join(attacks.select("node", "attack_id").distinct(), "node").groupBy("attack_id").agg(F.min("rank").alias("rank"))
-    new = first.groupBy("rank").agg(F.count("*").alias("_new"))
+    at = first.agg(F.coalesce(F.collect_list("rank"), F.array().cast("array<long>")).alias("_at"))  # one number an attack
     n = attacks.agg(F.countDistinct("attack_id").alias("n_attacks"))
-    w = W.orderBy("rank").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return r.join(new, "rank", "left").withColumn("found", F.sum(F.coalesce("_new", F.lit(0))).over(w)).drop("_new").crossJoin(F.broadcast(n))
+    found = F.size(F.filter("_at", lambda x: x <= F.col("rank"))).cast("long")
+    return r.crossJoin(F.broadcast(at)).withColumn("found", found).drop("_at").crossJoin(F.broadcast(n))
 
 
 def area_over_precision(points: DataFrame) -> DataFrame:

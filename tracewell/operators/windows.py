@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracewell.functions.integers import floor_div
 from tracewell.functions.ordinal import with_ordinal
 
 HOUR = 3_600_000_000_000
@@ -17,7 +18,7 @@ HOUR = 3_600_000_000_000
 
 def day_of(t: Column, zone: str = "America/New_York") -> Column:
     """Calendar day of a nanosecond time in a zone."""
-    return F.to_date(F.from_utc_timestamp(F.timestamp_micros(F.floor(t / 1000).cast("long")), zone))
+    return F.to_date(F.from_utc_timestamp(F.timestamp_micros(floor_div(t, 1000)), zone))
 
 
 def daily(events: DataFrame, zone: str = "America/New_York") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graphs, scalars
+from . import detection, graphs, scalars
 
-QUERIES: dict = {**graphs.QUERIES, **scalars.QUERIES}
-ORACLES: dict = {**graphs.ORACLES, **scalars.ORACLES}
+QUERIES: dict = {**graphs.QUERIES, **scalars.QUERIES, **detection.QUERIES}
+ORACLES: dict = {**graphs.ORACLES, **scalars.ORACLES, **detection.ORACLES}

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.functions.integers import floor_div
 from tracewell.operators import windows
 from tracewell.session import table
 
@@ -37,7 +38,7 @@ def type_sql(node: str) -> str:
 
 def slotted(spark: SparkSession, sf: str) -> DataFrame:
     """Events in fixed windows of four hours."""
-    return events(spark, sf).withColumn("tw", F.floor(F.col("t") / SLOT))
+    return events(spark, sf).withColumn("tw", floor_div(F.col("t"), SLOT))
 
 
 SL = EV + ", sl AS (SELECT *, t // 14400000000000 AS tw FROM ev)"
@@ -72,7 +73,7 @@ def attacks(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(0, 1705881600 * 10**9, 1705968000 * 10**9), (1, 1706140800 * 10**9, 1706313600 * 10**9), (2, 1706486400 * 10**9, 1706572800 * 10**9)], "attack_id int, start_ns long, end_ns long")
 
 
-AT = "at AS (SELECT * FROM (VALUES (0, 1705881600000000000, 1705968000000000000), (1, 1706140800000000000, 1706313600000000000), (2, 1706486400000000000, 1706572800000000000)) v(attack_id, start_ns, end_ns))"
+AT = "atk AS (SELECT * FROM (VALUES (0, 1705881600000000000, 1705968000000000000), (1, 1706140800000000000, 1706313600000000000), (2, 1706486400000000000, 1706572800000000000)) v(attack_id, start_ns, end_ns))"
 
 
 def bad_nodes(spark: SparkSession, sf: str) -> DataFrame:
@@ -81,7 +82,7 @@ def bad_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return u.join(F.broadcast(attacks(spark).select("attack_id")), (F.col("node") % 37) == (F.col("attack_id") * 3 + 1)).select("attack_id", "node")
 
 
-BAD = "bad AS (SELECT attack_id, node FROM (SELECT DISTINCT src AS node FROM ev) u JOIN at ON node % 37 = attack_id * 3 + 1)"
+BAD = "bad AS (SELECT attack_id, node FROM (SELECT DISTINCT src AS node FROM ev) u JOIN atk ON node % 37 = attack_id * 3 + 1)"
 
 
 def results(spark: SparkSession, sf: str) -> DataFrame:
