@@ -67,7 +67,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontam.matches(docs, table(spark, sf_dir, "benchmark")).filter(F.size("leaks") == 0).drop("leaks")
+    held = docs.withColumnRenamed("leaks", "own_leaks")
+    clean = decontam.matches(held, table(spark, sf_dir, "benchmark")).filter(F.size("leaks") == 0).drop("leaks")
+    return clean.withColumnRenamed("own_leaks", "leaks") if "leaks" in docs.columns else clean
 
 
 @_stage

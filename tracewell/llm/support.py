@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 import zipfile
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark import SparkContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from tracewell.functions.tables import delete, shared_root
+
 _PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _shipped: set[str] = set()
 _tables: list[str] = []
@@ -34,22 +37,19 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; one is set only where none is."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tracewell-checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write df as a table in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/tracewell/{name}-{uuid.uuid4().hex}"
+    """Cut lineage: write df as a table in the folder of spark.checkpoint.dir and read it back."""
+    path = f"{shared_root(df.sparkSession)}/llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _tables:
+        atexit.register(_clear)
     _tables.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _clear() -> None:
+    if SparkContext._active_spark_context is not None:
+        delete(SparkContext._active_spark_context, _tables)
 
 
 def tables() -> list[str]:
@@ -59,19 +59,13 @@ def tables() -> list[str]:
 
 def release(spark: SparkSession, paths: list[str] | None = None) -> None:
     """Delete scratch tables whose readers are done (all of this process's by default)."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in list(_tables if paths is None else paths):
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+    gone = list(_tables if paths is None else paths)
+    delete(spark.sparkContext, gone)
+    for path in gone:
         if path in _tables:
             _tables.remove(path)
 
 
-def text_key(text: str = "text") -> Column:
-    """A 64-bit key of a text; with doc_id it names a row up to rows that repeat in full."""
-    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-
-
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
