@@ -207,3 +207,35 @@ def test_settings():
     with pytest.raises(ValueError):
         runner.check_combination({"objective": "predict_edge_type", "decoder": "node_mlp"})
     assert runner.grid({"x": [1, 2], "y": [3]}) == [{"x": 1, "y": 3}, {"x": 2, "y": 3}]
+
+
+def test_layers(spark):
+    import numpy as np
+
+    from tracewell.operators import learn
+
+    layers = learn.parse_layers("linear(3) | relu | dropout | linear(2)")
+    w = learn.initial_weights(layers, 2, 0)
+    d = spark.createDataFrame([([1.0, -2.0],), ([0.5, 0.5],)], "x array<double>")
+    got = [r.y for r in learn.forward(d, "x", layers, w, "y").collect()]
+    x = np.array([[1.0, -2.0], [0.5, 0.5]])
+    assert np.allclose(got, np.maximum(x @ w[0][0], 0) @ w[1][0])
+    with pytest.raises(ValueError):
+        learn.parse_layers("linear | what(3)")
+
+
+def test_own_vector_in_aggregation(spark):
+    from tracewell.operators import learn
+
+    e = spark.createDataFrame([("g", "a", "b")], "g string, src string, dst string")
+    x = spark.createDataFrame([("g", "a", [1.0, 2.0]), ("g", "b", [10.0, 20.0])], "g string, node string, x array<double>")
+    got = {r.node: r.x for r in learn.aggregate(e, x, ["g"], "sum", 0.5).collect()}
+    assert got == {"a": [1.5, 3.0], "b": [16.0, 32.0]}
+
+
+def test_imitations_stay_in_the_window(spark):
+    e = spark.createDataFrame([("r", "p", 10**9, 0), ("p", "f", 2 * 10**9, 1)], "src string, dst string, t long, event_id long")
+    node = lambda *n: spark.createDataFrame([(x,) for x in n], "node string")
+    rows = transform.imitations(e, node("r", "p"), node("r", "p"), node("f", "g"), 0, 100 * 10**9, 2).collect()
+    assert len(rows) == 2 * len(transform.TEMPLATE) and all(0 <= r.t <= 100 * 10**9 and r.y == 1 for r in rows)
+    assert {r.src for r in rows} == {"r", "p"}

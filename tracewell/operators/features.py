@@ -60,10 +60,10 @@ def weighted_mean(tokens: DataFrame, vectors: DataFrame, size: int, percent: flo
 def train_word2vec(tokens: DataFrame, size: int, window: int = 5, min_count: int = 1, seed: int = 0, epochs: int = 1) -> DataFrame:
     """(word, vec) by the library's Word2Vec."""
     from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.functions import vector_to_array
 
     model = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, seed=seed, maxIter=epochs, inputCol="tokens", outputCol="v").fit(tokens)
-    vec = __import__("pyspark.ml.functions", fromlist=["vector_to_array"]).vector_to_array
-    return model.getVectors().select("word", vec("vector").alias("vec"))
+    return model.getVectors().select("word", vector_to_array("vector").alias("vec"))
 
 
 def char_ngrams(word: Column, low: int = 3, high: int = 6) -> Column:
@@ -92,6 +92,22 @@ def temporal_walks(edges: DataFrame, starts: DataFrame, length: int, n_walks: in
     return walks.select("node", "walk", "path")
 
 
+def static_walks(edges: DataFrame, length: int, walks_per_degree: int, seed: int = 0) -> DataFrame:
+    """(node, walk, path): walks over both directions of distinct pairs, degree times walks_per_degree from each node.
+
+    A path alternates nodes and the operation of the edge taken; the edge is the
+    one of least hash among those at the node.
+    """
+    both = edges.select(F.col("src").alias("at"), "op", F.col("dst").alias("next")).unionByName(edges.select(F.col("dst").alias("at"), "op", F.col("src").alias("next"))).distinct()
+    degree = both.groupBy(F.col("at").alias("node")).agg(F.countDistinct("next").alias("d"))
+    walks = degree.select("node", F.explode(F.sequence(F.lit(1), F.col("d").cast("int") * walks_per_degree)).alias("walk")).select("node", "walk", F.col("node").alias("at"), F.array(F.col("node").cast("string")).alias("path"))
+    for k in range(1, length):
+        draw = F.md5(F.concat_ws("|", F.lit(seed), "node", "walk", F.lit(k), "op", "next"))
+        step = walks.join(both, "at").groupBy("node", "walk").agg(F.min_by(F.struct("op", "next"), F.struct(draw, "next", "op")).alias("s"), F.first("path").alias("path"))
+        walks = step.select("node", "walk", F.col("s.next").alias("at"), F.concat("path", F.array("s.op", F.col("s.next").cast("string"))).alias("path"))
+    return walks.select("node", "walk", "path")
+
+
 def context_vectors(tokens: DataFrame, vectors: DataFrame, window: int) -> DataFrame:
     """(word, k, x): mean over a word's occurrences of the summed vectors of words up to window places away."""
     t = tokens.select("node", F.posexplode("tokens").alias("i", "word"))

@@ -114,6 +114,31 @@ def attack_events(pairs: DataFrame, start: int, gap: int, ops: tuple[str, ...] =
     return steps.select(F.col("actor").alias("src"), F.col("target").alias("dst"), "op", (F.lit(start) + at * gap).alias("t"), F.lit(1).alias("y"))
 
 
+# Operations of a generated imitation of benign activity, subject to file.
+TEMPLATE = ("EVENT_OPEN", "EVENT_READ", "EVENT_READ", "EVENT_WRITE", "EVENT_OPEN", "EVENT_WRITE", "EVENT_READ", "EVENT_SENDTO", "EVENT_RECVFROM", "EVENT_CONNECT", "EVENT_WRITE", "EVENT_READ", "EVENT_OPEN", "EVENT_CLONE")
+
+
+def imitations(edges: DataFrame, bad: DataFrame, subjects: DataFrame, files: DataFrame, start: int, end: int, n: int, seed: int = 0) -> DataFrame:
+    """(src, dst, op, t, event_id, y): n runs of TEMPLATE by descendants of an attack's roots.
+
+    The attack's own graph gives its roots (no edge into them); subjects that a
+    root reaches in the window act on files picked by a seeded hash, steps 0 to 3
+    seconds apart. Times stay inside the window.
+    """
+    inside = edges.filter(F.col("t").between(start, end)).withColumn("_g", F.lit(0))
+    own = inside.join(bad.select(F.col("node").alias("src")).distinct(), "src", "left_semi").join(bad.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi")
+    top = bad.select("node").distinct().join(own.filter("src != dst").select(F.col("dst").alias("node")).distinct(), "node", "left_anti").withColumn("_g", F.lit(0))
+    reached = closure(inside, ["_g"], top).select(F.col("dst").alias("node")).unionByName(top.select("node")).distinct().join(subjects, "node", "left_semi")
+    actors = reached.orderBy(F.md5(F.concat_ws("|", F.lit(seed), "node")), "node").limit(n).withColumn("k", F.row_number().over(W.orderBy("node")))
+    targets = files.select(F.col("node").alias("dst")).orderBy(F.md5(F.concat_ws("|", F.lit(seed + 1), "node")), "node").limit(n).withColumn("k", F.row_number().over(W.orderBy("dst")))
+    runs = actors.join(targets, "k").select(F.col("node").alias("src"), "dst", "k", F.posexplode(F.array(*map(F.lit, TEMPLATE))).alias("i", "op"))
+    digest = lambda *c: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *c)), 1, 8), 16, 10).cast("long")
+    gap = F.pmod(digest("k", "i"), F.lit(3000)) * 1_000_000
+    begin = F.lit(start) + F.pmod(digest("k"), F.lit(max(1, (end - start) // 1_000_000_000 - 42))) * 1_000_000_000
+    at = begin + F.sum(gap).over(W.partitionBy("k").orderBy("i"))
+    return runs.select("src", "dst", "op", at.alias("t"), F.concat_ws("-", F.lit("imitation"), "k", "i").alias("event_id"), F.lit(1).alias("y"))
+
+
 def chain(edges: DataFrame, steps: list[Callable[[DataFrame], DataFrame]]) -> DataFrame:
     """Transformations from left to right."""
     for step in steps:

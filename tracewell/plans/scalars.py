@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewell.functions import scalar, taxonomy
-from tracewell.operators import features, score
+from tracewell.operators import features, learn, score, transform
 
 from . import model as m
 
@@ -167,6 +167,38 @@ def word2vec_vectors(s, d):
     return features.weighted_mean(p, v, 8).select("node", F.size("vec").alias("n"))
 
 
+def time_encoding(s, d):
+    return m.events(s, d).select("event_id", F.round(F.element_at(learn.time_encoding(F.col("loss"), 4), 2), 6).alias("second"))
+
+
+def sum_aggregation(s, d):
+    e = m.slotted(s, d)
+    x = e.select("tw", F.col("src").alias("node")).distinct().withColumn("x", F.array((F.col("node") % 7).cast("double")))
+    return learn.aggregate(e, x, ["tw"], "sum").select("tw", "node", F.element_at("x", 1).alias("x"))
+
+
+def edge_type_losses(s, d):
+    op = taxonomy.encode(F.col("op"), taxonomy.STREAM_OPS, 0)
+    e = m.events(s, d).select("event_id", "day", (F.col("src") % 10).alias("a"), (F.col("dst") % 10).alias("b"), op.alias("target"))
+    return learn.edge_type_scorer(e.filter("day <= '2024-01-15'"), e.filter("day > '2024-01-20'"), ["a", "b"], "target", 5).select("event_id", F.round("loss", 4).alias("loss"))
+
+
+def char_ngrams(s, d):
+    p = _read(s, d, "part").select("p_partkey", F.split_part("p_name", F.lit(" "), F.lit(1)).alias("word"))
+    return p.select("p_partkey", F.posexplode(features.char_ngrams(F.col("word"), 3, 3)).alias("i", "gram"))
+
+
+def static_walks(s, d):
+    e = m.events(s, d).filter("event_id < 500").select("src", (F.col("dst") % 150).alias("dst"), "op")
+    return features.static_walks(e, 3, 1).select("node", "walk", F.array_join("path", ">").alias("path"))
+
+
+def imitation_events(s, d):
+    e = m.events(s, d)
+    start, end = 1705881600 * 10**9, 1705968000 * 10**9
+    return transform.imitations(e, m.bad_nodes(s, d), e.select(F.col("src").alias("node")).distinct(), e.select(F.col("dst").alias("node")).distinct(), start, end, 5)
+
+
 _U = "u AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path, string_split(regexp_replace(url, '^[a-z]+://', ''), '/') AS parts FROM pages), pf AS (SELECT page_id, i - 1 AS level, array_to_string(parts[1:i], '/') AS prefix FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM u))"
 _P = "pr AS (SELECT a.vec_id, a.embedding AS x, b.embedding AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1), un AS (SELECT vec_id, CAST(unnest(x) AS DOUBLE) AS x, CAST(unnest(y) AS DOUBLE) AS y FROM pr)"
 _S = "so AS (SELECT vec_id, label, i, exp(CAST(embedding[i] AS DOUBLE)) / sum(exp(CAST(embedding[i] AS DOUBLE))) OVER (PARTITION BY vec_id) AS p FROM (SELECT vec_id, label, embedding, unnest([1, 2, 3, 4, 5]) AS i FROM embeddings)), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC) AS k FROM so)"
@@ -201,6 +233,9 @@ SELECT DISTINCT src, dst FROM ra JOIN rb USING (s, r) WHERE src <> dst EXCEPT SE
     "corpus_distinct": r"WITH p AS (SELECT p_name || '/' || p_brand AS label, min(p_partkey) AS node FROM part WHERE p_partkey % 3 = 0 GROUP BY 1) SELECT node, label, array_to_string(regexp_split_to_array(trim(regexp_replace(label, '([/:.])', ' \1 ', 'g')), '\s+'), '|') AS tokens FROM p",
     "neighbor_corpus": f"WITH {m.EV}, e AS (SELECT DISTINCT src, dst FROM ev WHERE day = '2024-01-02'), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e) SELECT node, {m.type_sql('node')} || ' ' || node || coalesce((SELECT string_agg(' ' || {m.type_sql('dst')} || ' ' || dst, '' ORDER BY dst) FROM e WHERE src = node), '') AS tokens FROM n",
     "flash_corpus": f"WITH {m.EV}, en AS (SELECT day, src AS node, src, op, dst, t, event_id FROM ev UNION ALL SELECT day, dst, src, op, dst, t, event_id FROM ev WHERE src <> dst), r AS (SELECT *, row_number() OVER (PARTITION BY day, node ORDER BY t, event_id) AS r FROM en) SELECT day, node, string_agg(src || ' ' || op || ' ' || dst, ' ' ORDER BY r) AS words FROM r WHERE r <= 5 GROUP BY ALL",
+    "time_encoding": f"WITH {m.EV} SELECT event_id, round(cos(loss / pow(10.0, 3.0)), 6) AS second FROM ev",
+    "sum_aggregation": f"WITH {m.SL} SELECT tw, dst AS node, CAST(sum(src % 7) AS DOUBLE) AS x FROM sl GROUP BY ALL",
+    "char_ngrams": "WITH w AS (SELECT p_partkey, '<' || split_part(p_name, ' ', 1) || '>' AS w FROM part), i AS (SELECT p_partkey, w, unnest(range(length(w) - 2)) AS i FROM w) SELECT p_partkey, CAST(i AS INT) AS i, substring(w, i + 1, 3) AS gram FROM i",
     "hier_hash": f"WITH {_U}, h AS (SELECT page_id AS id, CAST('0x' || md5(prefix)[1:8] AS BIGINT) % 16 AS cell, CASE WHEN CAST('0x' || md5(prefix)[9:9] AS INT) % 2 = 0 THEN 1.0 ELSE -1.0 END AS s FROM pf), c AS (SELECT id, cell, sum(s) AS v FROM h GROUP BY ALL HAVING sum(s) <> 0) SELECT id, cell, round(CAST(v AS DOUBLE) / sqrt(sum(CAST(v * v AS DOUBLE)) OVER (PARTITION BY id)), 9) AS value FROM c",
 }
-QUERIES = {name: globals()[name] for name in (*ORACLES, "temporal_walks", "word2vec_vectors")}
+QUERIES = {name: globals()[name] for name in (*ORACLES, "temporal_walks", "static_walks", "word2vec_vectors", "edge_type_losses", "imitation_events")}
