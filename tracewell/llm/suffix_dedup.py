@@ -236,22 +236,31 @@ def _tiles(span: int):
                 p = int((h == fp).argmax())
                 lo = 0
                 while lo < m:
-                    hi = min(m, lo + 1 + (p - lo) % TILE)  # ends where the distance to the piece is a multiple of TILE
+                    last = lo + (p - lo) % TILE  # the distance to the piece is a multiple of TILE
+                    hi = min(m, last + 1)
+                    core = xxhash.xxh3_64_intdigest(raw[last : last - TILE + 1 + span])  # in every string of a whole tile here
                     tile = xxhash.xxh3_64_intdigest(raw[lo : hi + span - 1], seed=(p - lo) % (1 << 32))
-                    out.append((fp, ctx, n, lo, tile, [xxhash.xxh3_64_intdigest(raw[i : i + span]) for i in range(lo, hi)]))
+                    out.append((fp, ctx, n, lo, tile, core, [xxhash.xxh3_64_intdigest(raw[i : i + span]) for i in range(lo, hi)]))
                     lo = hi
-            hashes = [np.array(r[5], np.uint64).view(np.int64) for r in out]
+            strings = [np.array(r[6], np.uint64).view(np.int64) for r in out]
             numbers = [pa.array([r[k] for r in out], pa.int64()) for k in range(4)]
-            yield pa.RecordBatch.from_arrays([*numbers, pa.array(np.array([r[4] for r in out], np.uint64).view(np.int64)), pa.array(hashes, pa.list_(pa.int64()))], ["fp", "ctx", "n", "lo", "tile", "strings"])
+            hashes = [pa.array(np.array([r[k] for r in out], np.uint64).view(np.int64)) for k in (4, 5)]
+            yield pa.RecordBatch.from_arrays([*numbers, *hashes, pa.array(strings, pa.list_(pa.int64()))], ["fp", "ctx", "n", "lo", "tile", "core", "strings"])
 
     return run
 
 
 def hot_places(hot: DataFrame, span: int) -> DataFrame:
-    """(fp, ctx, cov) of hot contexts. Equal tiles settle their strings; only strings of other tiles are looked up one by one."""
-    tiles = stored(hot.mapInArrow(_tiles(span), "fp long, ctx long, n long, lo long, tile long, strings array<long>"), "tiles")
-    kinds = stored(tiles.groupBy("fp", "tile").agg(F.sum("n").alias("n"), F.first("strings").alias("strings")), "kinds")
-    each = kinds.select("fp", "tile", "n", F.posexplode("strings").alias("i", "string"))
+    """(fp, ctx, cov) of hot contexts.
+
+    Equal tiles settle their strings. Strings of other tiles are looked up one by
+    one, and only where the bytes that all strings of the tile have occur in another tile.
+    """
+    tiles = stored(hot.mapInArrow(_tiles(span), "fp long, ctx long, n long, lo long, tile long, core long, strings array<long>"), "tiles")
+    kinds = stored(tiles.groupBy("fp", "tile").agg(F.sum("n").alias("n"), F.first("core").alias("core"), F.first("strings").alias("strings")), "kinds")
+    cores = kinds.groupBy("fp", "core").agg(F.count("*").alias("_n")).filter("_n > 1").select("fp", "core")
+    open_ = kinds.filter(F.size(F.array_distinct("strings")) < F.size("strings")).unionByName(kinds.filter(F.size(F.array_distinct("strings")) == F.size("strings")).join(cores, ["fp", "core"], "left_semi"))
+    each = open_.select("fp", "tile", "n", F.posexplode("strings").alias("i", "string"))
     twice = each.groupBy("fp", "string").agg(F.sum("n").alias("n")).filter("n > 1").select("fp", "string")
     alone = each.filter("n = 1").join(twice, ["fp", "string"]).groupBy("fp", "tile").agg(F.transform(F.array_sort(F.collect_set("i")), lambda i: F.struct(i.alias("a"), i.alias("z"))).alias("cov"))
     shared = kinds.filter("n > 1").select("fp", "tile", F.array(F.struct(F.lit(0).alias("a"), (F.size("strings") - 1).alias("z"))).alias("cov"))
