@@ -5,11 +5,9 @@ import duckdb
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-def rows(frame):
-    frame = frame[sorted(frame.columns)]
-    out = []
-    for row in frame.itertuples(index=False):
-        out.append(tuple(None if v is None or v != v else repr(float(v)) if isinstance(v, float) else str(v) for v in row))
+def rows(names, values):
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    out = [tuple(None if r[i] is None else repr(r[i]) if isinstance(r[i], float) else str(r[i]) for i in order) for r in values]
     return sorted(out, key=str)
 
 
@@ -17,6 +15,6 @@ def both(spark, query, sql, sf):
     c = duckdb.connect()
     for t in TABLES:
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    ours, theirs = query(spark, sf).toPandas(), c.sql(sql).df()
+    ours, theirs = query(spark, sf), c.sql(sql)
     assert sorted(ours.columns) == sorted(theirs.columns)
-    return rows(ours), rows(theirs)
+    return rows(ours.columns, ours.collect()), rows(theirs.columns, theirs.fetchall())

@@ -139,7 +139,7 @@ def last_k_neighbors(s, d):
 
 
 def last_update(s, d):
-    return batches.last_update(batches.by_edges(m.events(s, d), [], 256))
+    return batches.last_update(batches.by_edges(m.events(s, d), [], 256)).fillna(0, ["last_t"])
 
 
 def inter_graph_offsets(s, d):
@@ -208,7 +208,7 @@ f AS (SELECT day, event_id, i, 0 AS batch, 1 AS start FROM pr WHERE i = 1 UNION
 SELECT day, event_id, CAST(batch AS BIGINT) AS batch FROM f""",
     "last_k_neighbors": f"""WITH {_BA}, en AS (SELECT batch, event_id, t, src AS node, dst AS neighbour, 0 AS side FROM ba UNION ALL SELECT batch, event_id, t, dst, src, 1 FROM ba), q AS (SELECT DISTINCT batch, node FROM en)
 SELECT batch, node, neighbour, e_id, CAST(age AS INT) AS age FROM (SELECT q.batch, q.node, e.neighbour, e.event_id AS e_id, row_number() OVER (PARTITION BY q.batch, q.node ORDER BY e.t DESC, e.event_id DESC, e.side DESC) AS age FROM q JOIN en e ON e.node = q.node AND e.batch < q.batch) WHERE age <= 5""",
-    "last_update": f"WITH {_BA}, en AS (SELECT batch, t, src AS node FROM ba UNION ALL SELECT batch, t, dst FROM ba), q AS (SELECT DISTINCT batch, node FROM en) SELECT q.batch, q.node, max(e.t) AS last_t FROM q LEFT JOIN en e ON e.node = q.node AND e.batch < q.batch GROUP BY q.batch, q.node",
+    "last_update": f"WITH {_BA}, en AS (SELECT batch, t, src AS node FROM ba UNION ALL SELECT batch, t, dst FROM ba), q AS (SELECT DISTINCT batch, node FROM en) SELECT q.batch, q.node, coalesce(max(e.t), 0) AS last_t FROM q LEFT JOIN en e ON e.node = q.node AND e.batch < q.batch GROUP BY q.batch, q.node",
     "inter_graph_offsets": f"WITH {m.SL}, z AS (SELECT tw, count(*) AS n FROM (SELECT tw, src AS x FROM sl UNION SELECT tw, dst FROM sl) GROUP BY tw) SELECT a.tw, a.tw // 6 AS stack, CAST(coalesce((SELECT sum(n) FROM z b WHERE b.tw // 6 = a.tw // 6 AND b.tw < a.tw), 0) AS BIGINT) AS \"offset\" FROM z a",
     "reindex_nodes": f"WITH {m.SL}, en AS (SELECT tw, src AS node FROM sl UNION SELECT tw, dst FROM sl) SELECT tw, node, CAST(dense_rank() OVER (PARTITION BY tw ORDER BY node) - 1 AS INT) AS index FROM en",
     "node_feature_means": f"WITH {m.SL}, en AS (SELECT tw, src AS node, loss FROM sl UNION ALL SELECT tw, dst, loss FROM sl) SELECT tw, node, round(avg(loss), 6) AS mean_loss, count(*) AS n_edges FROM en GROUP BY ALL",
