@@ -22,11 +22,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .support import extended, texts_of, with_columns
+from .support import extended, slices, texts_of, with_columns
 
 NONE = np.int32(2**31 - 1)
 LONG = 192
-CACHE = 200_000  # pieces remembered by a worker; beyond that it starts anew
+CACHE = 120_000  # pieces remembered by a worker; beyond that it starts anew
 BLOCK_CHARS = 1 << 20
 
 
@@ -201,7 +201,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path, pattern)
-        for b in batches:
+        for b in slices(batches):
             ids = c.encode(texts_of(b))
             ends = np.cumsum([0, *(len(i) // 4 for i in ids)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
@@ -216,7 +216,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path, pattern)
-        for b in batches:
+        for b in slices(batches):
             ids = b.column(b.schema.get_field_index("ids")).to_numpy(zero_copy_only=False)
             yield with_columns(b, decoded=pa.array([c.decode(np.asarray(i)) for i in ids], pa.binary()))
 
@@ -228,7 +228,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path, pattern)
-        for b in batches:
+        for b in slices(batches):
             ids = c.encode(texts_of(b))
             back = [hashlib.sha256(c.decode(np.frombuffer(i, "<u4"))).hexdigest() for i in ids]
             yield with_columns(

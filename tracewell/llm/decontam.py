@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import lowered, mix, shingle_hashes, word_hashes
-from .support import extended, with_columns
+from .support import extended, slices, with_columns
 
 K = 5
 THRESHOLD = 0.8
@@ -149,7 +149,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
 
         def run(batches: Iterator[pa.RecordBatch], rows=rows, name=f"leaks{k}" if k else "leaks") -> Iterator[pa.RecordBatch]:
             index = Index(rows, threshold)
-            for b in batches:
+            for b in slices(batches):
                 found = [[{"item_id": i, "similarity": s} for i, s in sorted(index.find(t).items())] for t in b.column(b.schema.get_field_index("text")).to_pylist()]
                 item = pa.array([r[0] for r in rows]).type if rows else pa.int64()
                 yield with_columns(b, **{name: pa.array(found, pa.list_(pa.struct([("item_id", item), ("similarity", pa.float64())])))})

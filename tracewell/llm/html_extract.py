@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .support import extended, texts_of, with_columns
+from .support import extended, slices, texts_of, with_columns
 
 SHARE = 0.2  # of the best container's score
 
@@ -172,7 +172,7 @@ def extract(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", "url", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             text = [main_text(h) for h in texts_of(b, "html")]
             yield with_columns(b.select(["page_id", "url"]), text=pa.array(text, pa.string()), n_chars=pa.array([len(t) for t in text], pa.int64()))
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .support import extended, texts_of, with_columns
+from .support import extended, slices, texts_of, with_columns
 
 DIM = 1 << 12
 SIZES = (24, 64, 160, 400)  # distinct n-grams at which another limit begins
@@ -117,7 +117,7 @@ def fit(rows: DataFrame, per_language: int = 1500, clusters: int = 4, share_of_l
     sample = rows.filter(draw < F.element_at(share, F.col("lang")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             got = [gram_counts(t) if has_letter(t) else (np.zeros(0, int), np.zeros(0, int)) for t in texts_of(b)]
             yield with_columns(b.select(["lang"]), at=pa.array([g[0] for g in got], pa.list_(pa.int32())), n=pa.array([g[1] for g in got], pa.list_(pa.int32())))
 
@@ -149,7 +149,7 @@ def predict(docs: DataFrame, model: Centroids) -> DataFrame:
     docs = docs.drop("lang_pred", "score", "rejected")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             got = [model.classify(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
             yield with_columns(b, lang_pred=pa.array([g[0] for g in got], pa.string()), score=pa.array([g[1] for g in got], pa.float64()), rejected=pa.array([g[2] for g in got], pa.bool_()))
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import stored
+from .support import slices, stored
 
 MIN_WORDS = 50
 
@@ -82,7 +82,7 @@ def _scan(min_words: int):
 
 
 def _delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         texts, gone = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         out, before, removed = [], [], []
         for t, runs in zip(texts, gone):

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import extended, stored, texts_of, with_columns
+from .support import extended, slices, stored, texts_of, with_columns
 
 _MARKS = re.compile(r"^[ \t]{0,3}(>(?:[ \t]?>)*)[ \t]?(.*)$", re.S)
 _WORD = re.compile(r"[^\W_]+")
@@ -84,7 +84,7 @@ def pieces(text: str) -> list[int]:
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     quote = pa.list_(pa.struct([("place", pa.int32()), ("level", pa.int32()), ("piece", pa.int32()), ("hash", pa.int64())]))
-    for b in batches:
+    for b in slices(batches):
         own, held, quotes, n = [], [], [], []
         for text in texts_of(b):
             rest, passages = parse(text)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .suffix_array import permuted_lcp, suffix_array
-from .support import extended, shuffle_parts, stored, texts_of, with_columns
+from .support import extended, shuffle_parts, slices, stored, texts_of, with_columns
 
 KGRAM = 32
 SPAN = 200
@@ -107,7 +107,7 @@ def blocks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 
 def _scan(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1024):
             texts = [t.encode() for t in texts_of(batch)]
             keys = batch.select(["k1", "k2"])
             for a, z in blocks(texts):
@@ -129,7 +129,7 @@ def _cut(span: int, most: int):
     """Bytes of the contexts that need them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = texts_of(batch)
             fp, ctx, hot, raw = [], [], [], []
             for t, mixed in zip(texts, batch.column(1).to_pylist()):
@@ -273,7 +273,7 @@ def _remove(span: int):
     """Spans, and what is left, from each text and its repeated strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t.encode() for t in texts_of(batch)]
             found = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("settled", "mixed")]
             removed, spans, kept = [], [], []

@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import SparkContext
@@ -83,3 +84,10 @@ def with_columns(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
 def extended(fields: StructType | list, ddl: str) -> StructType:
     """A schema with further fields at its end."""
     return StructType([*fields, *StructType.fromDDL(ddl)])
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that a worker holds few texts as Python objects at a time."""
+    for b in batches:
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)
