@@ -35,6 +35,7 @@ from .support import extended, shuffle_parts, slices, stored, texts_of, with_col
 KGRAM = 32
 SPAN = 200
 HOT = 1024  # contexts of one value that one task compares
+PARTS = 21  # ranges in which a string's bytes left of its least piece are tried
 TILE = 16  # strings that hashes settle at once
 BLOCK = 1 << 20  # bytes hashed, or compared, at a time
 _KEYS = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -163,10 +164,10 @@ def repeated_starts(parts: list[bytes], span: int) -> list[np.ndarray]:
 def sharing(rows: list[tuple[int, bytes]], span: int, k: int = KGRAM) -> list[bool]:
     """For each (value, context): whether it can hold a string that another place of its value holds.
 
-    A string has at least half of its other bytes on one side of its least piece,
-    so equal strings agree in the piece and those bytes, on the left or on the right.
+    A string has some number of bytes left of its least piece, the rest right of
+    it. For each of PARTS ranges of that number, the bytes that every such string
+    has must recur around the value's pieces.
     """
-    half = (span - k + 1) // 2
     size = np.array([len(r[1]) for r in rows])
     end = np.cumsum(size)
     h = piece_hashes(np.frombuffer(b"".join(r[1] for r in rows), np.uint8), k).view(np.int64)
@@ -174,14 +175,18 @@ def sharing(rows: list[tuple[int, bytes]], span: int, k: int = KGRAM) -> list[bo
     own = np.searchsorted(end, place, side="right")
     ok = place + k <= end[own]
     place, own = place[ok] - (end - size)[own[ok]], own[ok]
+    rest = span - k
+    step = -(-rest // PARTS)
+    parts = [(a, min(rest, a + step)) for a in range(0, max(rest, 1), step)]
     met: dict[tuple, int] = {}
     alive = [False] * len(rows)
     for i, p in zip(own.tolist(), place.tolist()):
         fp, raw = rows[i]
-        sides = [(fp, 0, raw[p - half : p + k])] if p >= half else []
-        if p + k + half <= len(raw):
-            sides.append((fp, 1, raw[p : p + k + half]))
-        for key in sides:
+        for a, z in parts:
+            stop = p + k + rest - z
+            if a > p or stop > len(raw):
+                continue
+            key = (fp, a, raw[p - a : stop])
             if key in met:
                 alive[i] = alive[met[key]] = True
             met[key] = i
