@@ -104,6 +104,8 @@ def _names(s: np.ndarray, lms_sorted: np.ndarray, lms_text: np.ndarray) -> tuple
 def _by_lists(s: list[int], k: int) -> list[int]:
     """Induced sorting suffix by suffix; s ends in its only, smallest 0."""
     n = len(s)
+    if n == 1:
+        return [0]
     t = bytearray(n)
     t[n - 1] = 1
     for i in range(n - 2, -1, -1):
