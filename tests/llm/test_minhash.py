@@ -66,6 +66,16 @@ def test_weights_count(frame):
     assert abs(won - 0.75) < 0.05
 
 
+def test_copies_with_a_line_repeated_many_times(frame):
+    texts = []
+    for text in chain(1, 7) + chain(1, 8) + chain(1, 9):
+        texts += [text, text + " see our five word line" * 100]
+    rows = list(enumerate(texts))
+    want = brute(rows)
+    assert set(want.values()) == {0, 2, 4}
+    assert {r.doc_id: r.class_id for r in minhash.near_classes(frame(rows)).collect()} == want
+
+
 def test_one_of_each_group_stays(frame):
     texts = chain(6) + ["something else entirely with enough words in it"]
     kept = minhash.first_of_each(frame(list(enumerate(texts)) + [(0, texts[0])]))

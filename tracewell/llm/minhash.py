@@ -1,11 +1,12 @@
 """Near-duplicate classes by ProbMinHash, banding and exact verification.
 
 A text is the set of its distinct five-word shingles (lower-cased words; all
-words if there are fewer), weighted by how often each occurs. Each element is a
-Poisson process whose rate is its weight; arrivals fall into random registers,
-and a register keeps the element that arrived first. An element stops once its
-next arrival is later than every register's first. Two texts agree in a register
-with the probability Jaccard similarity of their weights.
+words if there are fewer). Each element is a Poisson process whose rate is its
+weight, 1 for every shingle; arrivals fall into random registers, and a register
+keeps the element that arrived first. An element stops once its next arrival is
+later than every register's first. Two texts agree in a register with the
+probability Jaccard similarity of their weights, here the Jaccard similarity of
+the sets, by which links are decided too.
 
 Texts equal word for word are one node. Nodes that agree in a whole band of
 registers meet; in each meeting the maximum spanning forest of estimated
@@ -37,7 +38,7 @@ from .support import extended, shuffle_parts, stored, with_columns
 REGISTERS, ROWS = 96, 4
 BANDS = REGISTERS // ROWS
 THRESHOLD = 0.8
-SLACK = 0.2  # nearly five standard deviations of an estimate from 96 registers at 0.8, and room for weights
+SLACK = 0.2  # nearly five standard deviations of an estimate from 96 registers at 0.8
 LIMIT = 4096
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -87,8 +88,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not len(w):
                     node.append(None), keys.append(None), short.append(None)
                     continue
-                h, n = np.unique(shingle_hashes(w), return_counts=True)
-                owner = sketch(h, n.astype(np.float64))
+                h = np.unique(shingle_hashes(w))
+                owner = sketch(h, np.ones(len(h)))
                 node.append(xxhash.xxh3_128_digest(b" ".join(b.tobytes().split())))
                 keys.append(bands(owner)), short.append((owner & np.uint64(255)).astype(np.uint8).tobytes())
             part = batch.slice(a, 256)
