@@ -76,6 +76,29 @@ def test_copies_with_a_line_repeated_many_times(frame):
     assert {r.doc_id: r.class_id for r in minhash.near_classes(frame(rows)).collect()} == want
 
 
+def two_sides(n, seed):
+    """Texts of two classes of n that only one pair links, at similarity 0.806; the other pairs lie at 0.77 to 0.79."""
+    random.seed(seed)
+    new = lambda: f"w{random.randrange(10**9)}"
+    base = [new() for _ in range(200)]
+    other = {k: new() for k in (0, 2, 20, 30, 198)}
+    out = []
+    for side in (0, 1):
+        for i in range(n):
+            own = list(base)
+            own[40 + 5 * (i % 14) + 70 * side] = new()  # five shingles of its own
+            for k in ((0, 20, 30, 198) if i == 0 else (0, 2, 20, 30, 198)) if side else ((198,) if i == 0 else ()):
+                own[k] = other[k]
+            out.append(" ".join(own))
+    return out
+
+
+def test_links_behind_many_pairs_that_fail(frame):
+    rows = list(enumerate(t for seed in range(20) for t in two_sides(14, seed)))
+    want = brute(rows)
+    assert {r.doc_id: r.class_id for r in minhash.near_classes(frame(rows)).collect()} == want
+
+
 def test_one_of_each_group_stays(frame):
     texts = chain(6) + ["something else entirely with enough words in it"]
     kept = minhash.first_of_each(frame(list(enumerate(texts)) + [(0, texts[0])]))

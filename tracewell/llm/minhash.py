@@ -12,9 +12,10 @@ Texts equal word for word are one node. Nodes that agree in a whole band of
 registers meet; in each meeting the maximum spanning forest of estimated
 similarities proposes pairs, so that a group of g gives at most g - 1. Pairs are
 verified by exact Jaccard similarity of the shingle sets and linked from
-`threshold` on; classes are the connected components. Further rounds propose,
-for every class in a meeting, its most similar pairs with other classes, until a
-round links nothing. Meetings above LIMIT nodes are split by a second (third,
+`threshold` on; classes are the connected components. A second round proposes,
+for every class in a meeting, its most similar pairs with other classes; the last
+one proposes every pair of different classes left, but those whose estimate is
+below `least` or whose numbers of shingles alone rule the threshold out. Meetings above LIMIT nodes are split by a second (third,
 fourth) band, one meeting for each other band, in which similar nodes still meet.
 
 Texts without a word (null ones too) are classes of their own. A class is named
@@ -24,6 +25,7 @@ by its least doc_id. Repeated rows are copies. Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,8 @@ BANDS = REGISTERS // ROWS
 THRESHOLD = 0.8
 SLACK = 0.2  # nearly five standard deviations of an estimate from 96 registers at 0.8
 LIMIT = 4096
+ROUNDS = (0, 2, None)  # pairs per class and meeting: a spanning forest, the nearest, all
+FLUSH = 50_000  # pairs a task holds before it sends them on
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -69,6 +73,7 @@ def sketch(h: np.ndarray, weight: np.ndarray, m: int = REGISTERS) -> np.ndarray:
 
 
 def bands(owner: np.ndarray) -> np.ndarray:
+    """Keys of the bands of a sketch's bytes: two texts share a key where their bytes agree."""
     with np.errstate(over="ignore"):
         h = owner.reshape(-1, ROWS)
         out = np.arange(1, len(h) + 1, dtype=np.uint64) * _STEP
@@ -81,19 +86,19 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index("text"))
         for a in range(0, len(texts), 256):
-            node, keys, short = [], [], []
+            node, keys, short, size = [], [], [], []
             for t in texts.slice(a, 256).to_pylist():
                 b = lowered(t)
                 w = word_hashes(b)
                 if not len(w):
-                    node.append(None), keys.append(None), short.append(None)
+                    node.append(None), keys.append(None), short.append(None), size.append(None)
                     continue
                 h = np.unique(shingle_hashes(w))
-                owner = sketch(h, np.ones(len(h)))
+                owner = sketch(h, np.ones(len(h))) & np.uint64(255)
                 node.append(xxhash.xxh3_128_digest(b" ".join(b.tobytes().split())))
-                keys.append(bands(owner)), short.append((owner & np.uint64(255)).astype(np.uint8).tobytes())
+                keys.append(bands(owner)), short.append(owner.astype(np.uint8).tobytes()), size.append(len(h))
             part = batch.slice(a, 256)
-            yield with_columns(part.select([c for c in part.schema.names if c != "text"]), node=pa.array(node, pa.binary()), bands=pa.array(keys, pa.list_(pa.int64())), sketch=pa.array(short, pa.binary()))
+            yield with_columns(part.select([c for c in part.schema.names if c != "text"]), node=pa.array(node, pa.binary()), bands=pa.array(keys, pa.list_(pa.int64())), sketch=pa.array(short, pa.binary()), size=pa.array(size, pa.int32()))
 
 
 def forest(s: np.ndarray, least: float) -> list[tuple[int, int]]:
@@ -112,49 +117,78 @@ def forest(s: np.ndarray, least: float) -> list[tuple[int, int]]:
     return out
 
 
-def nearest(s: np.ndarray, label: np.ndarray, k: int, least: float) -> list[tuple[int, int]]:
-    """For each label, its k most similar pairs with rows of other labels, from `least` on.
+def crossing(s: np.ndarray, label: np.ndarray, size: np.ndarray, least: float, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(rows u > v, their registers that agree with v's, v) of other labels, from `least` on, that may reach the threshold.
 
     Rows that agree in several bands meet in each; a pair counts only in the
     meeting of the first band in which its sketches agree.
     """
     here = int((s == s[0]).all(axis=0).reshape(-1, ROWS).all(axis=1).argmax())
+    for v in range(len(s) - 1):
+        u = np.flatnonzero((label[v + 1 :] != label[v]) & (np.minimum(size[v + 1 :], size[v]) >= np.maximum(size[v + 1 :], size[v]) * threshold - 1e-9)) + v + 1
+        agree = s[u] == s[v]
+        same = agree.sum(axis=1)
+        near = same >= least * s.shape[1]
+        u, agree, same = u[near], agree[near], same[near]
+        home = agree.reshape(len(u), s.shape[1] // ROWS, ROWS).all(axis=2).argmax(axis=1) == here
+        if home.any():
+            yield u[home], same[home], v
+
+
+def nearest(found: Iterator[tuple[np.ndarray, np.ndarray, int]], label: np.ndarray, k: int) -> list[tuple[int, int]]:
+    """For each label, the k most similar of the pairs found."""
     mine: dict[int, list[tuple[int, int, int]]] = {}
-    for v in range(len(s)):
-        agree = s == s[v]
-        home = agree.reshape(len(s), -1, ROWS).all(axis=2).argmax(axis=1) == here
-        same = np.where((label != label[v]) & home, agree.sum(axis=1), -1)
-        for u in np.argsort(-same, kind="stable")[:k].tolist():
-            if same[u] >= least * s.shape[1]:
-                mine.setdefault(int(label[v]), []).append((-int(same[u]), min(v, u), max(v, u)))
-    return sorted({(i, j) for rows in mine.values() for _, i, j in sorted(set(rows))[:k]})
+    for u, same, v in found:
+        for i, n in zip(u.tolist(), same.tolist()):
+            for x in (int(label[v]), int(label[i])):
+                held = mine.setdefault(x, [])
+                held.append((-n, v, i))
+                if len(held) >= 1024 + k:
+                    mine[x] = sorted(held)[:k]
+    return sorted({(i, j) for rows in mine.values() for _, i, j in sorted(rows)[:k]})
 
 
-def _propose(k: int, least: float):
-    """Pairs from meetings: rows (key, node, sketch, label) sorted by key."""
+def _propose(k: int | None, least: float, threshold: float):
+    """Pairs from meetings: rows (key, node, sketch, size, label) sorted by key."""
 
-    def solve(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
+    def solve(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
         rows = sorted(set(rows))
-        label = np.unique([r[3] for r in rows], return_inverse=True)[1]
+        label = np.unique([r[4] for r in rows], return_inverse=True)[1]
         if len(rows) < 2 or not label.any():
-            return []
+            return
         s = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)
-        pairs = forest(s, least) if not k else nearest(s, label, k, least)
-        return [tuple(sorted((rows[i][1], rows[j][1]))) for i, j in pairs]
+        if k == 0:
+            pairs = forest(s, least)
+        else:
+            found = crossing(s, label, np.array([r[3] for r in rows]), least, threshold)
+            pairs = nearest(found, label, k) if k else ((v, i) for u, _, v in found for i in u.tolist())
+        for i, j in pairs:
+            yield tuple(sorted((rows[i][1], rows[j][1])))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, out = [], []
+    def sets_of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+        held = []
         for batch in batches:
-            for key, *row in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if held and held[-1][0] != key:
-                    out += solve(held)
+            for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if held and held[-1][0] != row[0]:
+                    yield held
                     held = []
-                held.append((key, *row))
-            z = sorted(set(out))
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in z], pa.binary()), pa.array([p[1] for p in z], pa.binary())], ["a", "b"])
-            out = []
-        z = solve(held) if held else []
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in z], pa.binary()), pa.array([p[1] for p in z], pa.binary())], ["a", "b"])
+                held.append(row)
+        if held:
+            yield held
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: set[tuple[bytes, bytes]] = set()
+
+        def flush() -> pa.RecordBatch:
+            z = sorted(out)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in z], pa.binary()), pa.array([p[1] for p in z], pa.binary())], ["a", "b"])
+
+        for pair in chain.from_iterable(map(solve, sets_of_rows(batches))):
+            out.add(pair)
+            if len(out) >= FLUSH:
+                yield flush()
+        yield flush()
 
     return run
 
@@ -196,23 +230,23 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, limit: int = LIM
     spark, least = docs.sparkSession, threshold - SLACK
     parts = shuffle_parts(spark)
     keyed = content_key(docs)
-    scan = stored(keyed.mapInArrow(_scan, extended([keyed.schema["doc_id"]], "k1 long, k2 int, node binary, bands array<long>, sketch binary")), "sketches")
-    nodes = stored(scan.filter("node is not null").select("node", "k1", "k2", "bands", "sketch").dropDuplicates(["node"]), "nodes")
+    scan = stored(keyed.mapInArrow(_scan, extended([keyed.schema["doc_id"]], "k1 long, k2 int, node binary, bands array<long>, sketch binary, size int")), "sketches")
+    nodes = stored(scan.filter("node is not null").select("node", "k1", "k2", "bands", "sketch", "size").dropDuplicates(["node"]), "nodes")
     met = stored(meetings(nodes, limit), "meetings")
-    met = met.join(nodes.select("node", "sketch"), "node")
+    met = met.join(nodes.select("node", "sketch", "size"), "node")
     kinds = "a binary, b binary"
-    whole = met.select("key", "node", "sketch", F.col("node").alias("label")).repartition(parts, "key").sortWithinPartitions("key")
-    pairs = stored(whole.mapInArrow(_propose(0, least), kinds).distinct(), "pairs")
+    whole = met.select("key", "node", "sketch", "size", F.col("node").alias("label")).repartition(parts, "key").sortWithinPartitions("key")
+    pairs = stored(whole.mapInArrow(_propose(0, least, threshold), kinds).distinct(), "pairs")
     sets = tried = links = labels = None
-    for k in (0, 2, 8):
-        if k:
+    for k in ROUNDS:
+        if k != 0:
             own = labels.select("node", "label")
-            spread = met.join(own, "node", "left").select("key", "node", "sketch", F.coalesce("label", "node").alias("label")).repartition(parts, "key").sortWithinPartitions("key")
-            pairs = stored(spread.mapInArrow(_propose(k, least), kinds).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+            spread = met.join(own, "node", "left").select("key", "node", "sketch", "size", F.coalesce("label", "node").alias("label")).repartition(parts, "key").sortWithinPartitions("key")
+            pairs = stored(spread.mapInArrow(_propose(k, least, threshold), kinds).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         fresh = ends if sets is None else ends.join(sets.select("node"), "node", "left_anti")
-        if k and not pairs.head(1):
-            break
+        if k != 0 and not pairs.head(1):
+            continue
         if fresh.head(1):
             need = nodes.select("node", "k1", "k2").join(fresh, "node")
             texts = keyed.select("k1", "k2", "text").join(need, ["k1", "k2"]).select("node", "text").dropDuplicates(["node"])
@@ -226,8 +260,8 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, limit: int = LIM
         near = pairs.join(a, "a").join(b, "b").filter((F.least(F.size("sa"), F.size("sb")) >= F.greatest(F.size("sa"), F.size("sb")) * threshold - 1e-9) & (both >= (sizes - both) * threshold - 1e-9)).select("a", "b")
         new = stored(near, "near")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        if k and not new.head(1):
-            break
+        if k != 0 and not new.head(1):
+            continue
         links = new if links is None else links.unionByName(new)
         labels = components(links)
     found = scan.select("doc_id", "k1", "k2", "node")
