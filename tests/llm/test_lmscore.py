@@ -44,3 +44,40 @@ def test_vocabulary_is_bounded_and_most_frequent(spark):
     assert pick(4) == ["w1", "w0"]  # a class that does not fit stays out whole
     assert pick(1) == []
     assert lmscore.frequent(rows.limit(0), 5) == []
+
+
+def brute(texts, good):
+    """Losses by counting every bigram in dictionaries."""
+    from collections import Counter
+
+    def grams(t):
+        w = (t or "").lower().split()
+        return list(zip([None, *w], w))
+
+    every = [g for t in texts for g in grams(t)]
+    words = {w for _, w in every}
+    losses = []
+    for use in (good, range(len(texts))):
+        two = Counter(g for i in use for g in grams(texts[i]))
+        one, before, kinds = Counter(), Counter(), Counter()
+        for (v, w), n in two.items():
+            one[w] += n
+            before[v] += n
+            kinds[v] += 1
+        p = lambda v, w: (two[v, w] + max(kinds[v], 1) * (one[w] + 1) / (sum(one.values()) + len(words))) / (before[v] + max(kinds[v], 1))
+        losses.append([-sum(math.log(p(*g)) for g in grams(t)) / len(grams(t)) if grams(t) else None for t in texts])
+    return losses
+
+
+def test_every_word_and_context_counts(spark, frame, monkeypatch):
+    import random
+
+    random.seed(2)
+    texts = [" ".join(f"w{int(random.paretovariate(0.6))}" for _ in range(random.randrange(120))) for _ in range(60)] + [None, "", "one"]
+    texts.append(texts[3])
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 60, 3)], "doc_id long, quality int, toxic int")
+    target, background = brute(texts, range(0, 60, 3))
+    for hot in (lmscore.HOT, 50):  # every bigram in each task; most by the join
+        monkeypatch.setattr(lmscore, "HOT", hot)
+        for r in lmscore.cross_entropy_difference(frame(list(enumerate(texts))), labels).collect():
+            assert (r.loss_target, r.loss_background) == (pytest.approx(target[r.doc_id]), pytest.approx(background[r.doc_id]))

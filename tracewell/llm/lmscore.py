@@ -1,22 +1,24 @@
 """Cross-entropy difference of two matched n-gram models.
 
 The target model is counted on labelled good documents (quality 1, toxic 0), the
-background model on all documents. Both share one vocabulary, the most frequent
-words of the corpus (lower-cased runs of other than ASCII white space), as many
-whole frequency classes as VOCABULARY holds, one unknown word, one set of word classes, order and smoothing:
-
-    P(w | v) = P(class w | class v) * P(w | class w)
-
-The CONTEXTS most frequent words are classes of their own, so that for them this
-is a word bigram; the rest of the vocabulary is one class, unknown words one, and
-a text begins in one. P(class w | class v) interpolates the class bigram with the
-class unigram by Witten-Bell weights; unigrams are smoothed by adding one.
-
-Every count is taken over all documents: word counts and class bigrams are summed
-per task, shuffled by key and summed again. What tasks hold while scoring is
-bounded by the two parameters: VOCABULARY words and CONTEXTS squared bigrams. A
+background model on all documents. Both are word bigrams over every word of the
+corpus (lower-cased runs of other than ASCII white space); a text begins in a
+begin of its own. P(w | v) interpolates the bigram with the unigram by
+Witten-Bell weights; unigrams are smoothed by adding one for each word of the
+corpus.
+
+Counts are tables keyed by bigram, over all documents and without a cut by rank:
+summed per task, shuffled by key and summed again, they grow with the input. A
+text's bigrams, summed within it, join the table of log probabilities; bigrams
+that make up more than one in HOT of all tokens, fewer than HOT of them, go to
+every task instead, so that no key gathers a share of the corpus in one. A
 document's score is the mean over its tokens of target loss less background loss,
-in nats; lower is closer to the target.
+in nats; lower is closer to the target. Words are told apart by 64-bit hashes.
+
+`fit` and `score` are a smaller form of bounded size for callers who want a model
+to hold in memory: VOCABULARY words in whole frequency classes, one unknown word,
+and a class bigram in which the CONTEXTS most frequent words are classes of their
+own. The query does not use them.
 
 Null, empty and wordless texts have no tokens and null losses. Without a target
 document the target model is uniform. Repeated rows count and score each. Labels
@@ -31,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +43,7 @@ VOCABULARY = 50_000
 CONTEXTS = 1_000
 BROADCAST_ROWS = 2_000_000  # target ids, 8 bytes each, that may be broadcast
 FLUSH = 200_000  # words a task counts before it sends its sums on
+HOT = 50_000  # one in so many tokens makes a bigram go to every task
 
 
 def tokens(text: str) -> list[bytes]:
@@ -195,5 +199,100 @@ def score(docs: DataFrame, vocabulary: Vocabulary, target: Model, background: Mo
     return docs.mapInArrow(run, extended(docs.schema, "n_tokens long, loss_target double, loss_background double, difference double"))
 
 
+BEGIN = 0  # what the first word follows; words hash to other values
+
+
+def word_ids(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word, never BEGIN."""
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    return np.where(h == BEGIN, np.uint64(1), h).view(np.int64)
+
+
+def bigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows (word before, word) of a text, and how often each occurs."""
+    w = word_ids(tokens(text))
+    pairs = np.stack([np.concatenate([[BEGIN], w[:-1]]), w], axis=1) if len(w) else np.zeros((0, 2), np.int64)
+    return np.unique(pairs, axis=0, return_counts=True)
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    n = 0
+
+    def flush() -> pa.RecordBatch:
+        none = np.zeros(0, np.int64)
+        key = np.concatenate([h[0] for h in held]) if held else np.zeros((0, 2), np.int64)
+        times, good = (np.concatenate([h[i] for h in held]) if held else none for i in (1, 2))
+        order = np.lexsort((key[:, 1], key[:, 0]))
+        key = key[order]
+        at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)])) if len(key) else none
+        sums = [np.add.reduceat(x[order], at) if len(at) else none for x in (times, good)]
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key[at, 0], key[at, 1], *sums)], ["v", "w", "n", "n_target"])
+
+    for b in slices(batches):
+        for text, good in zip(texts_of(b), b.column(1).to_pylist()):
+            key, times = bigrams(text)
+            held.append((key, times, times * good))
+            n += len(key)
+            if n >= 4 * FLUSH:
+                yield flush()
+                n = 0
+    yield flush()
+
+
+def log_probabilities(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(v, w, n, target, background): each bigram of the corpus, its count and log P(w | v) in both models."""
+    counted = marked(docs, labels).mapInArrow(_count_pairs, "v long, w long, n long, n_target long")
+    pairs = stored(counted.groupBy("v", "w").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")), "bigrams")
+    seen = lambda c: F.sum((F.col(c) > 0).cast("long"))
+    after = pairs.groupBy("v").agg(F.sum("n").alias("v_n"), F.sum("n_target").alias("v_n_target"), seen("n").alias("kinds_n"), seen("n_target").alias("kinds_n_target"))
+    words = stored(pairs.groupBy("w").agg(F.sum("n").alias("w_n"), F.sum("n_target").alias("w_n_target")), "words")
+    total = words.agg(F.count("*").alias("words"), F.sum("w_n").alias("n"), F.sum("w_n_target").alias("n_target")).first()
+
+    def log_p(c: str) -> Column:
+        one = (F.col(f"w_{c}") + 1) / F.lit(float((total[c] or 0) + total["words"]))
+        kinds = F.greatest(F.col(f"kinds_{c}"), F.lit(1))
+        return F.log((F.col(c) + kinds * one) / (F.col(f"v_{c}") + kinds))
+
+    return stored(pairs.join(words, "w").join(after, "v").select("v", "w", "n", log_p("n_target").alias("target"), log_p("n").alias("background")), "model")
+
+
+def _spread(hot: dict):
+    """Per text: a row with its number of tokens and the sums of its hot bigrams, then its other bigrams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 64):
+            out: list[list[np.ndarray]] = []
+            for text, k1, k2 in zip(texts_of(b), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                key, times = bigrams(text)
+                known = [hot.get(p) for p in map(tuple, key.tolist())]
+                cold = np.array([p is None for p in known], bool)
+                sums = [sum(p[i] * c for p, c in zip(known, times.tolist()) if p is not None) for i in (0, 1)]
+                m = 1 + int(cold.sum())
+                first = np.zeros(m)
+                one, two = first.copy(), first.copy()
+                one[0], two[0] = sums
+                # a first row joins nothing: no word has the id BEGIN
+                out.append([np.full(m, k1), np.full(m, k2), np.append(k1, key[cold, 0]), np.append(BEGIN, key[cold, 1]), np.append(0, times[cold]), np.append(times.sum(), np.zeros(m - 1, np.int64)), one, two])
+            if out:
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*out), kinds)], ["k1", "k2", "v", "w", "c", "tokens", "hot_target", "hot_background"])
+
+    return run
+
+
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return score(docs.select("doc_id", "text"), *fit(docs, labels)).drop("text")
+    """doc_id, n_tokens, loss_target, loss_background, difference (means, in nats) per row of docs."""
+    model = log_probabilities(docs, labels)
+    tokens_ = model.agg(F.sum("n")).first()[0] or 0
+    hot = {(r["v"], r["w"]): (r["target"], r["background"]) for r in model.filter(F.col("n") * HOT > tokens_).collect()}  # fewer than HOT rows
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("k1"), F.hash(text).alias("k2"))
+    own = keyed.select("text", "k1", "k2").dropDuplicates(["k1", "k2"])
+    each = own.mapInArrow(_spread(hot), "k1 long, k2 int, v long, w long, c long, tokens long, hot_target double, hot_background double")
+    joined = each.join(model.select("v", "w", "target", "background"), ["v", "w"], "left")
+    loss = lambda x: F.when(F.sum("tokens") > 0, -F.sum(F.col(f"hot_{x}") + F.coalesce(F.col("c") * F.col(x), F.lit(0.0))) / F.sum("tokens"))
+    per = joined.groupBy("k1", "k2").agg(F.sum("tokens").alias("n_tokens"), loss("target").alias("loss_target"), loss("background").alias("loss_background"))
+    scored = keyed.drop("text").join(per, ["k1", "k2"])
+    return scored.select("doc_id", "n_tokens", "loss_target", "loss_background", (F.col("loss_target") - F.col("loss_background")).alias("difference"))
