@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tracewell.llm.suffix_array import _by_lists, permuted_lcp, suffix_array
-from tracewell.llm.suffix_dedup import digest_columns, suffix_dedup
+from tracewell.llm.suffix_dedup import digest_columns, piece_hashes, suffix_dedup
 
 
 def brute(texts, span):
@@ -59,6 +59,22 @@ def test_equals_brute_force(frame):
         assert got == brute(given_texts, 200)
 
 
+def test_hot_piece_at_several_places(frame):
+    random.seed(6)
+    word = lambda n: "".join(random.choice("abcdefgh") for _ in range(n))
+    h = piece_hashes(np.frombuffer(word(300_000).encode(), np.uint8), 32)
+    random.seed(6)
+    piece = word(300_000)[h.argmin() :][:32]  # the least of every string that holds it
+    given_texts = []
+    for gap in (13, 45, 60):  # distances that are no multiple of 16
+        shared = word(100) + piece + word(75)
+        given_texts += [word(150) + piece + word(gap) + shared + word(150), word(150) + shared + word(150)]
+        twice = word(60) + piece + word(115)
+        given_texts += [word(99) + piece + word(gap) + twice + word(99), word(99) + piece + word(gap + 7) + twice + word(99)]
+    got = sorted(tuple(r)[1:] for r in digest_columns(suffix_dedup(frame(list(enumerate(given_texts))), 200, 1)).collect())
+    assert got == brute(given_texts, 200) and all(r[1] >= 207 for r in got)
+
+
 def test_edge_cases(edge, empty):
     got = digest_columns(suffix_dedup(edge)).collect()
     assert sorted(tuple(r)[1:] for r in got) == brute([r.text for r in edge.select("text").collect()], 200)

@@ -230,7 +230,11 @@ def _compare(span: int):
 
 
 def _tiles(span: int):
-    """Hot contexts in tiles of up to TILE neighbouring strings, aligned to the least piece, with each string's hash."""
+    """Hot contexts in tiles of up to TILE neighbouring strings, aligned to the least piece, with each string's hash.
+
+    Where the piece lies at several places, other contexts may align equal strings
+    to another of them: `two` says so, and `also` has the cores aligned to those.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,19 +242,22 @@ def _tiles(span: int):
             for fp, ctx, n, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 m = len(raw) - span + 1
                 h = piece_hashes(np.frombuffer(raw, np.uint8), KGRAM).view(np.int64)
-                p = int((h == fp).argmax())
+                places = np.flatnonzero(h == fp)
+                p, two = int(places[0]), len(places) > 1
+                others = set((places % TILE).tolist()) - {p % TILE}
+                also = [xxhash.xxh3_64_intdigest(raw[i : i - TILE + 1 + span]) for r in others for i in range(r, m + TILE - 1, TILE)]
                 lo = 0
                 while lo < m:
                     last = lo + (p - lo) % TILE  # the distance to the piece is a multiple of TILE
                     hi = min(m, last + 1)
                     core = xxhash.xxh3_64_intdigest(raw[last : last - TILE + 1 + span])  # in every string of a whole tile here
                     tile = xxhash.xxh3_64_intdigest(raw[lo : hi + span - 1], seed=(p - lo) % (1 << 32))
-                    out.append((fp, ctx, n, lo, tile, core, [xxhash.xxh3_64_intdigest(raw[i : i + span]) for i in range(lo, hi)]))
+                    out.append((fp, ctx, n, lo, tile, core, [xxhash.xxh3_64_intdigest(raw[i : i + span]) for i in range(lo, hi)], two, also if not lo else []))
                     lo = hi
-            strings = [np.array(r[6], np.uint64).view(np.int64) for r in out]
+            strings, also = ([np.array(r[k], np.uint64).view(np.int64) for r in out] for k in (6, 8))
             numbers = [pa.array([r[k] for r in out], pa.int64()) for k in range(4)]
             hashes = [pa.array(np.array([r[k] for r in out], np.uint64).view(np.int64)) for k in (4, 5)]
-            yield pa.RecordBatch.from_arrays([*numbers, *hashes, pa.array(strings, pa.list_(pa.int64()))], ["fp", "ctx", "n", "lo", "tile", "core", "strings"])
+            yield pa.RecordBatch.from_arrays([*numbers, *hashes, pa.array(strings, pa.list_(pa.int64())), pa.array([r[7] for r in out], pa.bool_()), pa.array(also, pa.list_(pa.int64()))], ["fp", "ctx", "n", "lo", "tile", "core", "strings", "two", "also"])
 
     return run
 
@@ -259,12 +266,14 @@ def hot_places(hot: DataFrame, span: int) -> DataFrame:
     """(fp, ctx, cov) of hot contexts.
 
     Equal tiles settle their strings. Strings of other tiles are looked up one by
-    one, and only where the bytes that all strings of the tile have occur in another tile.
+    one, and only where the bytes that all strings of the tile have occur in another
+    tile, aligned to any place of the piece, or the piece lies at several places.
     """
-    tiles = stored(hot.mapInArrow(_tiles(span), "fp long, ctx long, n long, lo long, tile long, core long, strings array<long>"), "tiles")
-    kinds = stored(tiles.groupBy("fp", "tile").agg(F.sum("n").alias("n"), F.first("core").alias("core"), F.first("strings").alias("strings")), "kinds")
-    cores = kinds.groupBy("fp", "core").agg(F.count("*").alias("_n")).filter("_n > 1").select("fp", "core")
-    open_ = kinds.filter(F.size(F.array_distinct("strings")) < F.size("strings")).unionByName(kinds.filter(F.size(F.array_distinct("strings")) == F.size("strings")).join(cores, ["fp", "core"], "left_semi"))
+    tiles = stored(hot.mapInArrow(_tiles(span), "fp long, ctx long, n long, lo long, tile long, core long, strings array<long>, two boolean, also array<long>"), "tiles")
+    kinds = stored(tiles.groupBy("fp", "tile").agg(F.sum("n").alias("n"), F.first("core").alias("core"), F.first("strings").alias("strings"), F.max("two").alias("two")), "kinds")
+    cores = kinds.select("fp", "core").unionByName(tiles.select("fp", F.explode("also").alias("core"))).groupBy("fp", "core").agg(F.count("*").alias("_n")).filter("_n > 1").select("fp", "core")
+    sure = F.col("two") | (F.size(F.array_distinct("strings")) < F.size("strings"))
+    open_ = kinds.filter(sure).unionByName(kinds.filter(~sure).join(cores, ["fp", "core"], "left_semi"))
     each = open_.select("fp", "tile", "n", F.posexplode("strings").alias("i", "string"))
     twice = each.groupBy("fp", "string").agg(F.sum("n").alias("n")).filter("n > 1").select("fp", "string")
     alone = each.filter("n = 1").join(twice, ["fp", "string"]).groupBy("fp", "tile").agg(F.transform(F.array_sort(F.collect_set("i")), lambda i: F.struct(i.alias("a"), i.alias("z"))).alias("cov"))
