@@ -20,6 +20,14 @@ def test_without_semantic_elements():
     assert main_text(page) == "Tité\nHello, world. This is long, with marks.\nx"
 
 
+def test_small_containers_inside_content_stay():
+    long = "".join(f"<p>{'Some words, of a text. ' * 20}{i}</p>" for i in range(10))
+    inner = "<section><h2>Note</h2>One short sentence.</section><table><tr><td>a cell</td><td><a href=x>linked</a></td></tr></table>"
+    for page in (f'<body><div class="text">{long}{inner}</div><div class="links"><a href=1>elsewhere</a></div></body>', f"<article>{long}{inner}</article>"):
+        got = main_text(page).split("\n")
+        assert len(got) == 14 and got[10:] == ["Note", "One short sentence.", "a cell", "linked"]
+
+
 def test_what_goes():
     inside = "<article><h1>T</h1><p>Text one, two.</p><aside>side</aside><form>f</form><script>s</script><style>c</style><!-- n --><div class='ad'>a</div><p>End.</p></article>"
     assert main_text(f"<header>h</header>{inside}<footer>f</footer><div class=comments>c, c. c</div>") == "T\nText one, two.\nEnd."

@@ -6,7 +6,9 @@ Both ratios are smoothed over paths under the same container (so headings and
 emphasised runs go with the paragraphs beside them) and fused into one score;
 text in links counts against it, and paths under elements that name themselves
 as navigation, advertising and the like score 0. Containers that reach a share
-of the page's best score are content, as are those inside a content container.
+of the page's best score are content, as is all inside a content container that
+is not dropped (html and body hold whole pages and pass nothing on). Where an
+`article` or `main` element has text, all inside such elements is content.
 
 Character references are decoded, white space in a block becomes one space, and
 blocks are joined by one newline in page order. Null, empty or text-free pages
@@ -163,8 +165,17 @@ def main_text(page: str | None) -> str:
     if any(s[4] and s[0] for s in stats.values()):  # an article or main element has text: the ratios choose inside it
         scores = {p: v if stats[p][4] else 0.0 for p, v in scores.items()}
     best = max(scores.values(), default=0.0)
-    chosen = {p for p, v in scores.items() if v > 0 and (v >= SHARE * best or stats[p][4])}
-    return "\n".join(text for path, inside, dropped, text, _, _ in found if not dropped and ((*path, "#" if inside else "") in chosen))
+    chosen = {p[:-1] for p, v in scores.items() if v > 0 and v >= SHARE * best and not stats[p][4]}
+    above: dict[tuple[str, ...], bool] = {}
+
+    def content(path: tuple[str, ...]) -> bool:
+        """Whether the container is chosen, or one around it that is less than the page."""
+        if path not in above:
+            above[path] = path in chosen or any(path[:i] in chosen for i in range(len(path) - 1, 0, -1) if path[i - 1].split(".")[0] not in ("html", "body"))
+        return above[path]
+
+    confined = any(s[4] and s[0] for s in stats.values())
+    return "\n".join(text for path, inside, dropped, text, _, _ in found if not dropped and (inside if confined else content(path)))
 
 
 def extract(pages: DataFrame) -> DataFrame:
