@@ -47,5 +47,12 @@ def test_deep_threads(spark):
     assert got[19] == list(range(20))
 
 
+def test_short_quotations(spark):
+    rows = [(1, 0, "user", "Yes, please"), (1, 1, "assistant", "ok"), (1, 2, "user", "> yes please\nI mean it."), (1, 3, "user", "> ok\nFine."), (1, 4, "user", "你今天好吗我很好"), (1, 5, "user", "> 你今天好吗我很好\n是的"), (2, 0, "user", "> ok\nA turn of another conversation."), (2, 1, "user", "> 你今天好吗我很好\n不")]
+    got = {(r.conv_id, r.turn): r for r in chat_format(frame(spark, rows)).collect()}
+    assert [got[1, t].reply_to for t in (2, 3, 5)] == [0, 1, 4]
+    assert got[2, 0].n_linked == 0 and [tuple(x) for x in got[2, 1].links] == [(1, 4)]
+
+
 def test_empty(spark):
     assert chat_format(frame(spark, [])).count() == 0

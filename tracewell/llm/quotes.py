@@ -6,7 +6,9 @@ in a colon right before a passage introduces it and goes with it. A message's ow
 text is the rest. Passages and own paragraphs are normalised (letters and digits,
 lower-case, one blank between words) and hashed as a whole, by paragraph and by
 line. A passage joins the message that holds the piece: the first earlier one of
-its own conversation, else the first one of any other.
+its own conversation, else the first one of any other. Pieces of fewer than
+LEAST_CHARS characters are no evidence across conversations; parts of a passage
+that are so short count in its own only after all else.
 
 A message replies to the message that its outermost linked passage quotes in its
 own conversation; without one it stands where its turn puts it. `path` holds the
@@ -35,20 +37,20 @@ from .support import extended, slices, stored, texts_of, with_columns
 _MARKS = re.compile(r"^[ \t]{0,3}(>(?:[ \t]?>)*)[ \t]?(.*)$", re.S)
 _WORD = re.compile(r"[^\W_]+")
 _PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
-LEAST_WORDS = 3  # a piece of fewer words is no evidence
+LEAST_CHARS = 5  # of a normalised piece that links to another conversation
 
 
 def normal(text: str) -> str:
     return " ".join(_WORD.findall(text.lower()))
 
 
-def hashed(text: str) -> int | None:
-    """Hash of the normalised text; None if it is too short to tell."""
+def hashed(text: str) -> tuple[int, bool] | None:
+    """Hash of the normalised text, and whether it is long enough to link to other conversations; None if it is empty."""
     n = normal(text)
-    if n.count(" ") < LEAST_WORDS - 1:
+    if not n:
         return None
     h = xxhash.xxh3_64_intdigest(n.encode())
-    return h - (1 << 64) if h >> 63 else h
+    return (h - (1 << 64) if h >> 63 else h), len(n) >= LEAST_CHARS
 
 
 def parse(text: str) -> tuple[str, list[tuple[int, str]]]:
@@ -76,35 +78,35 @@ def parse(text: str) -> tuple[str, list[tuple[int, str]]]:
     return ("\n".join(own).strip("\n") if passages else text), [(n, "\n".join(p)) for n, p in passages]
 
 
-def pieces(text: str) -> list[int]:
-    """Hashes of the whole text, its paragraphs and its lines."""
+def pieces(text: str) -> list[tuple[int, bool]]:
+    """Hashes, as of `hashed`, of the whole text, its paragraphs and its lines."""
     found = [text, *_PARAGRAPH.split(text), *text.split("\n")]
     return list(dict.fromkeys(h for h in map(hashed, found) if h is not None))
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    quote = pa.list_(pa.struct([("place", pa.int32()), ("level", pa.int32()), ("piece", pa.int32()), ("hash", pa.int64())]))
+    quote = pa.list_(pa.struct([("place", pa.int32()), ("level", pa.int32()), ("piece", pa.int32()), ("hash", pa.int64()), ("far", pa.bool_())]))
     for b in slices(batches):
         own, held, quotes, n = [], [], [], []
         for text in texts_of(b):
             rest, passages = parse(text)
-            own.append(rest), held.append(pieces(rest)), n.append(len(passages))
-            quotes.append([{"place": i, "level": level, "piece": j, "hash": h} for i, (level, p) in enumerate(passages) for j, h in enumerate(pieces(p))])
+            own.append(rest), held.append([h for h, _ in pieces(rest)]), n.append(len(passages))
+            quotes.append([{"place": i, "level": level, "piece": j, "hash": h, "far": far} for i, (level, p) in enumerate(passages) for j, (h, far) in enumerate(pieces(p))])
         yield with_columns(b.select(["conv_id", "turn", "role"]), text=pa.array(own, pa.string()), n_quotes=pa.array(n, pa.int64()), held=pa.array(held, pa.list_(pa.int64())), quotes=pa.array(quotes, quote))
 
 
 def link_quotes(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(messages parsed, links): links hold conv_id, turn, place, level, to_conv, to_turn, one row a linked passage."""
     rows = messages.select("conv_id", "turn", "role", "text")
-    parsed = stored(rows.mapInArrow(_parse, extended(rows.schema.fields[:3], "text string, n_quotes long, held array<long>, quotes array<struct<place:int,level:int,piece:int,hash:long>>")), "messages")
+    parsed = stored(rows.mapInArrow(_parse, extended(rows.schema.fields[:3], "text string, n_quotes long, held array<long>, quotes array<struct<place:int,level:int,piece:int,hash:long,far:boolean>>")), "messages")
     quotes = parsed.filter("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.*").distinct()
     wanted = quotes.select("hash").distinct()
     held = parsed.filter("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("held").alias("hash")).join(wanted, "hash", "left_semi")
     first = held.groupBy("conv_id", "hash").agg(F.min("turn").alias("to_turn"))
     anywhere = first.groupBy("hash").agg(F.min(F.struct("conv_id", "to_turn")).alias("far"))
     near = quotes.join(first, ["conv_id", "hash"], "left").withColumn("to_turn", F.when(F.col("to_turn") < F.col("turn"), F.col("to_turn")))
-    both = near.join(anywhere, "hash", "left").withColumn("far", F.when(F.col("far.conv_id") != F.col("conv_id"), F.col("far")))
-    both = both.withColumn("to", F.when(F.col("to_turn").isNotNull(), F.struct(F.lit(0).alias("o"), "piece", F.col("conv_id").alias("to_conv"), "to_turn")).when(F.col("far").isNotNull(), F.struct(F.lit(1).alias("o"), "piece", F.col("far.conv_id").alias("to_conv"), F.col("far.to_turn").alias("to_turn"))))
+    both = near.withColumnRenamed("far", "long").join(anywhere, "hash", "left").withColumn("far", F.when(F.col("long") & (F.col("far.conv_id") != F.col("conv_id")), F.col("far")))
+    both = both.withColumn("to", F.when(F.col("to_turn").isNotNull(), F.struct(F.when(F.col("long") | (F.col("piece") == 0), 0).otherwise(2).alias("o"), "piece", F.col("conv_id").alias("to_conv"), "to_turn")).when(F.col("far").isNotNull(), F.struct(F.lit(1).alias("o"), "piece", F.col("far.conv_id").alias("to_conv"), F.col("far.to_turn").alias("to_turn"))))
     best = both.filter("to is not null").groupBy("conv_id", "turn", "place", "level").agg(F.min("to").alias("to"))
     return parsed, best.select("conv_id", "turn", "place", "level", "to.to_conv", "to.to_turn")
 
