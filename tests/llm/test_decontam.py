@@ -34,6 +34,13 @@ def test_equals_brute_force():
         assert {k: round(v, 9) for k, v in index.find(text).items()} == brute(text, ITEMS)
 
 
+def test_documents_shorter_than_an_item():
+    index = decontam.Index(ITEMS, 0.8)
+    words = ITEMS[4][1].split()
+    assert index.find(" ".join(words[:-1])) == {4: 32 / 33} and index.find(" ".join(words[2:-2])) == {4: 29 / 33}
+    assert index.find(" ".join(words[:20])) == {}
+
+
 def test_block_tables_hold_every_item_within_the_radius():
     import numpy as np
 

@@ -8,7 +8,7 @@ sums over the window's weighted shingles. Fingerprints are cut into 16 blocks of
 8 bits; a pair within RADIUS differs by at most RADIUS // 16 bits in some block,
 so block tables of all such values find every item within RADIUS. Candidates are
 verified by exact weighted Jaccard similarity, shingles weighted by how often
-they occur, against `threshold`. RADIUS lies four standard deviations above the
+they occur, against `threshold`. A document shorter than an item is one window. RADIUS lies four standard deviations above the
 expected distance at similarity 0.8.
 
 Items are a stated query set: they are held in memory in groups of at most
@@ -117,6 +117,12 @@ class Index:
             hit = hit[known[np.minimum(np.searchsorted(known, g[hit]), len(known) - 1)] == g[hit]]
             if not len(hit):
                 continue
+            for x in self.by_length:
+                if min(K, x.words) == k and x.words - k + 1 > len(g):  # the document is one window
+                    for _, i in zip(*x.candidates(pack(bit_signs(g).sum(axis=0)[None, :]))):
+                        sim = weighted_jaccard(g, x.bags[i])
+                        if sim >= self.threshold - 1e-9 and sim > out.get(x.ids[i], 0):
+                            out[x.ids[i]] = sim
             own = [x for x in self.by_length if min(K, x.words) == k and x.words - k + 1 <= len(g)]
             most = max((x.words - k + 1 for x in own), default=1)
             cut = np.flatnonzero((np.diff(hit) > most) | (np.diff(hit // STRETCH) > 0))
