@@ -43,3 +43,42 @@ def test_edge_cases(spark):
     got = [(r.page_id, r.text) for r in extract(d).collect()]
     assert sorted(got, key=str) == sorted([(1, ""), (2, ""), (3, ""), (4, "plain text, no tags."), (4, "plain text, no tags."), (None, "cut off\nhere"), (5, "deep, text.")], key=str)
     assert extract(d.limit(0)).count() == 0
+
+
+PROSE = "<p>Text one, two and three; it goes on. And on, with words.</p>" * 6
+
+
+def test_names_alone_decide_nothing():
+    for page in (
+        f'<div class="elementor-widget"><h1>T</h1>{PROSE}</div>',
+        f"<form action=x><h1>T</h1>{PROSE}<input></form>",
+        f'<div title="the hidden truth"><h1>T</h1>{PROSE}</div>',
+        f'<article><div class="entry-header"><h1>T</h1></div>{PROSE}</article>',
+        f'<body class="has-sidebar"><div class="no-comments"><h1>T</h1>{PROSE}</div></body>',
+    ):
+        assert len(main_text(page).split("\n")) == 7, page
+    assert main_text(f'<article>{PROSE}<section class="related-work"><h2>R</h2>{PROSE}</section></article>').count("\n") == 12
+
+
+def test_ratios_decide_without_article_or_names():
+    links = "".join(f"<div><a href=/{i}>Some other page, number {i}</a></div>" for i in range(30))
+    page = f"<body><div>{links}</div><div><div><h1>T</h1>{PROSE}</div></div><div>short line</div></body>"
+    assert main_text(page) == "\n".join(["T"] + ["Text one, two and three; it goes on. And on, with words."] * 6)
+    beside = f"<body><div><p>{'A lead, in its own place; long enough. ' * 4}</p></div><div>{PROSE}{PROSE}</div></body>"
+    assert main_text(beside).startswith("A lead, ") and main_text(beside).count("\n") == 12
+    assert main_text(f"<body><p>{'Direct text, of the body. ' * 6}</p><div>{PROSE}</div></body>").count("\n") == 6
+
+
+def test_pages_of_the_table_without_their_article(spark):
+    for p in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        assert main_text(p.html.replace("article>", "div>")) == main_text(p.html)
+
+
+def test_long_and_deep_pages_take_seconds():
+    import time
+
+    began = time.monotonic()
+    for page in ("<div>" * 100_000 + "a", "<b>" * 100_000 + "a", "<svg/>" * 100_000 + "a", "<p><b>" * 50_000 + "a", "</x>" * 100_000 + "a", '<a ="' * 100_001 + ">a", "<p>a, b.</p>" * 100_000):
+        assert main_text(page)[:1] in ("a", "")
+    assert main_text("<div>x, y" * 100_000).count("\n") > 20_000
+    assert time.monotonic() - began < 60
