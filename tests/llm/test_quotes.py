@@ -19,7 +19,7 @@ def frame(spark, rows):
 
 
 def test_levels():
-    assert parse("> a\n> > b\n>>c\nown") == ("own", [(1, "a"), (2, "b\nc")])
+    assert parse("> a\n> > b\n>>c\nown") == ("own", [(1, "", "a"), (2, "", "b\nc")])
     assert parse("no quote: here") == ("no quote: here", [])
 
 
@@ -56,3 +56,73 @@ def test_short_quotations(spark):
 
 def test_empty(spark):
     assert chat_format(frame(spark, [])).count() == 0
+
+
+def test_a_later_copy_in_the_own_conversation_hides_no_other(spark):
+    rows = [(1, 0, "user", "A passage of some length here."), (2, 0, "user", "> A passage of some length here.\nSo?"), (3, 5, "user", "A passage of some length here.")]
+    for more in ([], [(2, 3, "user", "A passage of some length here.")]):
+        got = {(r.conv_id, r.turn): r for r in chat_format(frame(spark, rows + more)).collect()}
+        assert [tuple(x) for x in got[2, 0].links] == [(1, 0)]
+
+
+def test_passages_that_link_nowhere_are_kept_apart(spark):
+    rows = [(1, 0, "user", "Run this:\n>>> print(1)\nthen go on"), (1, 1, "user", "> then go on\nWhere?")]
+    got = {r.turn: r for r in chat_format(frame(spark, rows)).collect()}
+    assert [tuple(x) for x in got[0].unlinked] == [(0, 3, "Run this:", "print(1)")] and got[0].text == "then go on"
+    assert got[1].unlinked == [] and got[1].reply_to == 0
+
+
+def brute(rows):
+    """Links by trying every earlier piece for every passage."""
+    from tracewell.llm.quotes import pieces
+
+    rows = [r for r in rows if r[0] is not None and r[1] is not None]
+    held = [(c, t, {h for h, _ in pieces(parse(x or "")[0])}) for c, t, _, x in rows]
+    links, parent = {}, {}
+    for c, t, _, x in rows:
+        for place, (level, _, passage) in enumerate(parse(x or "")[1]):
+            found = []
+            for j, (h, far) in enumerate(pieces(passage)):
+                # the first place of the piece in the own conversation, if that is earlier
+                own = min((u for k, u, hs in held if k == c and h in hs), default=None)
+                if own is not None and own < t:
+                    found.append((0 if far or j == 0 else 2, j, c, own))
+                elif far and (other := min(((k, u) for k, u, hs in held if k != c and h in hs), default=None)):
+                    found.append((1, j, *other))
+            if found:
+                links.setdefault((c, t), set()).add((place, level, *min(found)[2:]))
+    for (c, t), s in links.items():
+        if own := sorted((level, -place, u) for place, level, k, u in s if k == c):
+            parent[c, t] = own[0][2]
+    return links, parent
+
+
+def test_equals_brute_force(spark):
+    import random
+
+    random.seed(5)
+    rows = []
+    for c in range(12):
+        for t in range(8):
+            said = [random.choice(("ok", "yes please", "a longer sentence of words", "one more thing to say", f"only {c} {t} here", "新的一句话在这里")) for _ in range(random.randrange(1, 4))]
+            back = [">" * random.randrange(1, 3) + " " + random.choice((*said, "ok", "one more thing to say", "never said by anyone", f"only {random.randrange(12)} {random.randrange(8)} here")) for _ in range(random.randrange(4))]
+            rows.append((c, t, "user", "\n".join(back + said if random.random() < 0.7 else said + back)))
+    links, parent = brute(rows)
+    assert len(links) > 30 and len(parent) > 10
+    for r in chat_format(frame(spark, rows + rows[:3])).collect():
+        want = links.get((r.conv_id, r.turn), set())
+        assert {tuple(x) for x in r.links or ()} == {x[2:] for x in want} and r.n_linked == len(want)
+        assert {x.place for x in r.unlinked} == set(range(r.n_quotes)) - {x[0] for x in want}
+        assert r.reply_to == parent.get((r.conv_id, r.turn))
+        path, at = [r.turn], r.turn
+        while (at := parent.get((r.conv_id, at))) is not None:
+            path.insert(0, at)
+        assert r.path == path
+
+
+def test_odd_messages(spark):
+    long = "> quoted line of a very long message\nown line of a very long message\n" * 20_000
+    rows = [(1, 0, "user", long), (None, 1, "user", "> a"), (None, 1, "user", "> a"), (2, None, "user", "> a"), (3, 0, "user", ""), (3, 1, "user", ">")]
+    got = chat_format(frame(spark, rows)).collect()
+    assert len(got) == 6 and {r.n_quotes for r in got if r.conv_id == 1} == {20_000}
+    assert sum(len(r.unlinked) for r in got if r.conv_id is None) == 2
