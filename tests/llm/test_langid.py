@@ -31,3 +31,45 @@ def test_edge_cases(edge, empty):
 def test_fold_of_null_id(spark):
     row = spark.sql("SELECT CAST(NULL AS BIGINT) AS doc_id").select(langid.held_out()).first()
     assert row[0] is False
+
+
+def test_sample_is_bounded_however_often_a_text_is_repeated(spark):
+    copies = spark.range(20_000).selectExpr("'der eine satz' AS text", "'de' AS lang")
+    others = spark.range(3_000).selectExpr("concat('satz nummer ', id) AS text", "if(id % 3 = 0, 'de', 'en') AS lang")
+    keyed = copies.unionByName(others).withColumn("_key", F.xxhash64("text", "lang"))
+    got = langid.drawn(keyed, {"de": 1001, "en": 2000}, 150).collect()
+    assert sorted((k, sum(r.lang == k for r in got)) for k in ("de", "en")) == [("de", 150), ("en", 150)]
+    assert len({(r.text, r.lang) for r in got}) == 300
+    assert sorted(langid.drawn(keyed, {"de": 1001, "en": 2000}, 150).collect()) == sorted(got)
+    assert langid.drawn(keyed, {"de": 1001, "en": 2000}, 5000).count() == 3001
+
+
+def test_ties_take_the_first_language(spark):
+    rows = spark.createDataFrame([("same words here", lang) for lang in ("fr", "de", "en")] * 2, "text string, lang string")
+    model = langid.fit(rows)
+    assert model.classify("same words here")[0] == "de"
+
+
+def test_equals_brute_force_cosines(spark):
+    import numpy as np
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.fit(langid.learnable(docs, langid.held_out()))
+    for r in langid.predict(docs.select("doc_id", "text"), model).collect():
+        if not r.text or not langid.has_letter(r.text):
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        grams = {}
+        clean = " " + "".join(c if (("a" <= c <= "z") if ord(c) < 128 else ord(c) >= 0xAA) else " " for c in r.text.lower()) + " "
+        while "  " in clean:
+            clean = clean.replace("  ", " ")
+        for n in (1, 2, 3):
+            for i in range(len(clean) - n + 1):
+                if n > 1 or clean[i] != " ":
+                    grams[clean[i : i + n]] = grams.get(clean[i : i + n], 0) + 1
+        at, n = langid.gram_counts(r.text)
+        assert sum(n) == sum(grams.values())
+        v = np.zeros(langid.DIM)
+        v[at] = (1 + np.log(n)) * model.idf[at]
+        cos = [float(c @ v / np.linalg.norm(v)) for c in model.centre]
+        assert r.lang_pred == model.lang[int(np.round(cos, 6).argmax())] and abs(r.score - max(cos)) < 1e-4

@@ -8,9 +8,10 @@ largest cosine; it is rejected where that cosine lies below the limit for texts
 of its number of distinct n-grams: a share of the least cosine that such sample
 texts have to their own language's centroids (short texts lie further off).
 
-The sample is bounded by `per_language` labelled rows a language (all rows if
-there are fewer), drawn by a hash of the row, so that the driver holds
-per_language * languages vectors at most. Predictions read whole texts only.
+The sample is bounded by `per_language` distinct labelled texts a language (all if
+there are fewer), those of least hash, so that the driver holds per_language *
+languages vectors at most, however often a text is repeated. Predictions read
+whole texts only. Of languages of equal cosine the first by name wins.
 
 Null texts and texts without a letter are `und` with score 0, and rejected. With
 no labelled row every text is `und`. Repeated rows give repeated results.
@@ -24,6 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .support import extended, slices, texts_of, with_columns
@@ -82,7 +84,7 @@ class Centroids:
             return UNKNOWN, 0.0, True
         at, n = gram_counts(text)
         cos = self.centre @ vector(at, n, self.idf)
-        k = int(cos.argmax())
+        k = int(np.round(cos, 6).argmax())
         score = min(1.0, max(0.0, float(cos[k])))
         return self.lang[k], score, score < float(self.limit[np.searchsorted(SIZES, len(at), side="right")])
 
@@ -107,14 +109,26 @@ def learnable(docs: DataFrame, held_out: Column) -> DataFrame:
     return docs.filter(~F.coalesce(held_out, F.lit(True)) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
 
 
+def drawn(keyed: DataFrame, n: dict[str, int], per_language: int) -> DataFrame:
+    """The per_language rows of least key a language, copies of a text counted once; n: about how many there are.
+
+    The share that a language's count asks for, and half as much again, is
+    filtered where rows lie, so that only about the sample is moved.
+    """
+    share = F.create_map(*[x for k, v in sorted(n.items()) for x in (F.lit(k), F.lit(min(1.0, (1.5 * per_language + 50) / max(v, 1))))])
+    draw = F.pmod("_key", F.lit(1 << 30)) / F.lit(float(1 << 30))
+    few = keyed.withColumn("_draw", draw).filter(F.col("_draw") < F.element_at(share, F.col("lang"))).dropDuplicates(["lang", "_key"])
+    place = F.row_number().over(W.partitionBy("lang").orderBy("_draw", "_key"))
+    return few.withColumn("_place", place).filter(F.col("_place") <= per_language).drop("_place", "_draw")
+
+
 def fit(rows: DataFrame, per_language: int = 1500, clusters: int = 4, share_of_least: float = 0.6, floor: float = 0.1) -> Centroids:
-    """rows: text and lang. Rows are drawn by hash up to about per_language a language."""
-    n = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    """rows: text and lang. At most per_language distinct texts a language, those of least hash."""
+    keyed = rows.withColumn("_key", F.xxhash64("text", "lang"))
+    n = {r["lang"]: r["n"] for r in keyed.groupBy("lang").agg(F.approx_count_distinct("_key").alias("n")).collect()}
     if not n:
         return Centroids(np.ones(DIM, np.float32), np.zeros((0, DIM), np.float32), [], np.zeros(len(SIZES) + 1))
-    share = F.create_map(*[x for k, v in sorted(n.items()) for x in (F.lit(k), F.lit(min(1.0, per_language / v)))])
-    draw = F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.filter(draw < F.element_at(share, F.col("lang")))
+    sample = drawn(keyed, n, per_language).drop("_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
