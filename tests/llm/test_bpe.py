@@ -43,3 +43,12 @@ def test_edge_cases(edge, empty):
     assert sorted(bytes(r.decoded).decode() for r in back.collect()) == texts
     assert all(len(r.ids) == r.n_tokens for r in back.collect())
     assert bpe.digests(empty, PATH, P.PATTERN).count() == 0
+
+
+def test_round_trip_in_one_pass(edge, empty):
+    two = bpe.decode(bpe.encode(edge, PATH, P.PATTERN), PATH, P.PATTERN)
+    key = lambda r: (str(r.doc_id), bytes(r.decoded), r.n_tokens, r.ids, r.score)
+    one = bpe.round_trip(edge, PATH, P.PATTERN)
+    assert one.columns == [*(c for c in edge.columns if c not in ("ids", "decoded")), "ids", "n_tokens", "decoded"]
+    assert sorted(map(key, one.collect())) == sorted(map(key, two.collect()))
+    assert bpe.round_trip(empty, PATH, P.PATTERN).count() == 0

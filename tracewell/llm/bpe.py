@@ -196,16 +196,20 @@ def coder(path: str, pattern: str) -> Coder:
     return _coders[path, pattern]
 
 
+def listed(ids: list[bytes]) -> dict[str, pa.Array]:
+    """Ids of each text as lists, and how many there are."""
+    ends = np.cumsum([0, *(len(i) // 4 for i in ids)])
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+    return {"ids": lists, "n_tokens": pa.array(np.diff(ends), pa.int64())}
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """The columns of docs, and ids array<int> and n_tokens; docs' own columns of these names go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path, pattern)
         for b in slices(batches):
-            ids = c.encode(texts_of(b))
-            ends = np.cumsum([0, *(len(i) // 4 for i in ids)])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-            yield with_columns(b, ids=lists, n_tokens=pa.array(np.diff(ends), pa.int64()))
+            yield with_columns(b, **listed(c.encode(texts_of(b))))
 
     docs = docs.drop("ids", "n_tokens")
     return docs.mapInArrow(run, extended(docs.schema, "ids array<int>, n_tokens long"))
@@ -223,6 +227,20 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.mapInArrow(run, extended(encoded.schema, "decoded binary"))
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """The columns of docs, and ids array<int>, n_tokens and decoded binary, by one coder in one worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = coder(path, pattern)
+        for b in slices(batches):
+            ids = c.encode(texts_of(b))
+            back = pa.array([c.decode(np.frombuffer(i, "<u4")) for i in ids], pa.binary())
+            yield with_columns(b, **listed(ids), decoded=back)
+
+    docs = docs.drop("ids", "n_tokens", "decoded")
+    return docs.mapInArrow(run, extended(docs.schema, "ids array<int>, n_tokens long, decoded binary"))
+
+
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encode and decode each text and return digests of both, so that no id leaves its worker."""
 
