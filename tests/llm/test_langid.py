@@ -60,9 +60,10 @@ def test_equals_brute_force_cosines(spark):
             assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
             continue
         grams = {}
-        clean = " " + "".join(c if (("a" <= c <= "z") if ord(c) < 128 else ord(c) >= 0xAA) else " " for c in r.text.lower()) + " "
+        clean = "".join(c if (("a" <= c <= "z") if ord(c) < 128 else ord(c) >= 0xAA) else " " for c in r.text.lower())
         while "  " in clean:
             clean = clean.replace("  ", " ")
+        clean = f" {clean} "
         for n in (1, 2, 3):
             for i in range(len(clean) - n + 1):
                 if n > 1 or clean[i] != " ":
