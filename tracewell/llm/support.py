@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tracewell.functions.tables import delete, shared_root
@@ -67,6 +68,21 @@ def release(spark: SparkSession, paths: list[str] | None = None) -> None:
             _tables.remove(path)
 
 
+HOT_KEYS = 1000  # a key with more than one in so many rows is joined in every task
+
+
+def join_hot(rows: DataFrame, one: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """Inner join with one(keys, n, ...), a row a key that says in n how many of the total rows have it.
+
+    Keys that hold more than one in HOT_KEYS of all rows, fewer than HOT_KEYS of
+    them, go to every task; the others go through the shuffle. So no task gathers
+    a key that holds a share of the rows.
+    """
+    hot = F.broadcast(one.filter(F.col(n) * HOT_KEYS > total))
+    cold = one.filter(F.col(n) * HOT_KEYS <= total)
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
