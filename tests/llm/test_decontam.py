@@ -41,16 +41,48 @@ def test_documents_shorter_than_an_item():
     assert index.find(" ".join(words[:20])) == {}
 
 
-def test_block_tables_hold_every_item_within_the_radius():
+def test_blocks_find_every_item_within_the_radius():
     import numpy as np
 
-    index = decontam.Index(ITEMS[2:4], 0.8)
-    items, rng = index.by_length[0], np.random.default_rng(1)
-    for _ in range(200):
-        flip = rng.permutation(128)[: decontam.RADIUS]
-        bits = np.unpackbits(items.prints[0])
-        bits[flip] ^= 1
-        assert 0 in items.candidates(np.packbits(bits)[None, :])[1]
+    rng = np.random.default_rng(1)
+    prints = rng.integers(0, 256, (300, 16), dtype=np.uint8)
+    blocks = decontam.Blocks(prints)
+    bits = np.unpackbits(prints, axis=1)
+    for i in range(300):
+        bits[i, rng.permutation(128)[: decontam.RADIUS]] ^= 1
+    near = np.packbits(bits, axis=1)
+    far = np.unpackbits(near[:, None, :] ^ prints[None, :, :], axis=2).sum(axis=2)
+    assert {tuple(x) for x in blocks.within(near).tolist()} == set(zip(*(x.tolist() for x in np.nonzero(far <= decontam.RADIUS))))
+
+
+def test_blocks_prune():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    blocks = decontam.Blocks(rng.integers(0, 256, (2000, 16), dtype=np.uint8))
+    met = blocks.met(rng.integers(0, 256, (100, 16), dtype=np.uint8))
+    assert sum(decontam.LIMITS) == decontam.RADIUS - decontam.BLOCKS + 1 and len(met) / 200_000 < 0.22
+
+
+def test_recall_at_the_threshold():
+    """Copies of long items with words changed in one place, at similarity 0.8 to 0.9, are found."""
+    random.seed(6)
+    items = [(i, " ".join(f"a{i}w{random.randrange(10**6)}" for _ in range(random.choice((60, 90))))) for i in range(40)]
+    index, wanted, found = decontam.Index(items, 0.8), 0, 0
+    for i, text in items * 5:
+        words = text.split()
+        at = random.randrange(len(words) - 6)
+        words[at : at + random.randrange(1, 5)] = [f"x{random.randrange(10**6)}"] * random.randrange(1, 5)
+        hidden = " ".join(["before"] * 30 + words + ["after"] * 30)
+        want = brute(hidden, items)
+        wanted, found = wanted + len(want), found + len(set(want) & set(index.find(hidden)))
+    assert wanted > 100 and found == wanted
+
+
+def test_very_long_text_and_ties():
+    index = decontam.Index(ITEMS + [(8, ITEMS[2][1])], 0.8)
+    words = [f"f{random.randrange(50)}" for _ in range(200_000)]
+    assert index.find(" ".join(words[:100_000] + ITEMS[2][1].split() + words[100_000:])) == {2: 1.0, 8: 1.0}
 
 
 def test_edge_cases(spark, edge, empty, frame):

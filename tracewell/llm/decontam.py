@@ -3,13 +3,14 @@
 Words are lower-cased runs of other than ASCII white space; a text is the bag of
 its five-word shingles (items of fewer words: one shingle). For each length of
 item, every document window of that many words that shares a shingle with an
-item (others have similarity 0) gets a 128-bit SimHash, its bits the signs of
-sums over the window's weighted shingles. Fingerprints are cut into 16 blocks of
-8 bits; a pair within RADIUS differs by at most RADIUS // 16 bits in some block,
-so block tables of all such values find every item within RADIUS. Candidates are
-verified by exact weighted Jaccard similarity, shingles weighted by how often
-they occur, against `threshold`. A document shorter than an item is one window. RADIUS lies four standard deviations above the
-expected distance at similarity 0.8.
+item of that length (others have similarity 0) gets a 128-bit SimHash, its bits the
+signs of sums over the window's weighted shingles. Fingerprints are cut into 8 blocks
+of 16 bits with LIMITS that add up to RADIUS - 7: a pair within RADIUS lies within its
+limit in some block, so that looking up all values so near in each block's sorted list of
+items finds every item within RADIUS. Candidates are verified by exact weighted
+Jaccard similarity, shingles weighted by how often they occur, against `threshold`.
+A document shorter than an item is one window. RADIUS lies four standard deviations
+above the expected distance at similarity 0.8.
 
 Items are a stated query set: they are held in memory in groups of at most
 GROUP items, each compared with all documents. Null or wordless items match
@@ -20,7 +21,6 @@ rows are judged one by one; other columns pass through.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +32,9 @@ from .support import extended, slices, with_columns
 
 K = 5
 THRESHOLD = 0.8
-BITS, BLOCKS = 128, 16
+BITS, BLOCKS = 128, 8
 RADIUS = 36
+LIMITS = tuple((RADIUS - BLOCKS + 1 + k) // BLOCKS for k in range(BLOCKS))  # add up to RADIUS - BLOCKS + 1
 GROUP = 20_000
 STRETCH = 4096  # shingles summed at a time
 
@@ -58,87 +59,101 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 _NEAR = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-
-
-@dataclass
-class Items:
-    """Items of one length in words."""
-
-    words: int
-    ids: list = field(default_factory=list)
-    bags: list = field(default_factory=list)
-
-    def seal(self) -> None:
-        self.prints = pack(np.stack([bit_signs(b).sum(axis=0) for b in self.bags]))
-        values = np.arange(256, dtype=np.uint8)
-        within = [_NEAR[values[:, None] ^ self.prints[None, :, b]] <= RADIUS // BLOCKS for b in range(BLOCKS)]
-        self.table = np.stack([np.packbits(w, axis=1) for w in within])
-
-    def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) within RADIUS."""
-        mask = self.table[0][prints[:, 0]]
-        for b in range(1, BLOCKS):
-            mask = mask | self.table[b][prints[:, b]]
-        w, i = np.nonzero(np.unpackbits(mask, axis=1)[:, : len(self.ids)])
-        ok = _NEAR[prints[w] ^ self.prints[i]].sum(axis=1) <= RADIUS
-        return w[ok], i[ok]
+_ONES = _NEAR[np.arange(1 << 16) >> 8] + _NEAR[np.arange(1 << 16) & 255]
+_FLIPS = {t: np.flatnonzero(_ONES <= t).astype(np.uint16) for t in set(LIMITS)}  # all changes of at most t bits of 16
+
+
+class Blocks:
+    """Fingerprints, and per block the places of the fingerprints sorted by its value."""
+
+    def __init__(self, prints: np.ndarray):
+        self.prints = prints
+        values = np.ascontiguousarray(prints).view(np.uint16)
+        self.order = [np.argsort(values[:, b], kind="stable") for b in range(BLOCKS)]
+        self.start = [np.searchsorted(values[o, b], np.arange((1 << 16) + 1)).astype(np.int32) for b, o in enumerate(self.order)]
+
+    def met(self, prints: np.ndarray) -> np.ndarray:
+        """Rows (place in prints, place of a fingerprint) near in some block, each once."""
+        values, out = np.ascontiguousarray(prints).view(np.uint16), []
+        for b in range(BLOCKS):
+            near = values[:, b, None] ^ _FLIPS[LIMITS[b]][None, :]
+            lo, hi = self.start[b][near], self.start[b][near.astype(np.int64) + 1]
+            w, f = np.nonzero(hi > lo)
+            lo, n = lo[w, f], (hi - lo)[w, f]
+            at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            out.append(np.repeat(w, n) * len(self.prints) + self.order[b][at])
+        return np.stack(np.divmod(np.unique(np.concatenate(out)), len(self.prints)), axis=1)
+
+    def within(self, prints: np.ndarray) -> np.ndarray:
+        """Rows (place in prints, place of a fingerprint) within RADIUS."""
+        found = [np.zeros((0, 2), np.int64)]
+        for a in range(0, len(prints), 128):
+            pairs = self.met(prints[a : a + 128])
+            ok = _NEAR[prints[a + pairs[:, 0]] ^ self.prints[pairs[:, 1]]].sum(axis=1) <= RADIUS
+            found.append(pairs[ok] + [a, 0])
+        return np.concatenate(found)
 
 
 class Index:
-    """Items by length, and a filter of their shingles."""
+    """Items by length, the blocks of each length, and the lengths of the items that hold a shingle."""
 
     def __init__(self, rows: list[tuple], threshold: float):
-        self.threshold, by = threshold, {}
+        self.threshold = threshold
+        self.ids: dict[int, list] = {}
+        self.bags: dict[int, list[np.ndarray]] = {}
         for item_id, text in rows:
             w = word_hashes(lowered(text))
             if len(w):
-                x = by.setdefault(len(w), Items(len(w)))
-                x.ids.append(item_id), x.bags.append(shingle_hashes(w, K))
-        self.by_length = [by[n] for n in sorted(by)]
-        self.shingles: dict[int, np.ndarray] = {}
+                self.ids.setdefault(len(w), []).append(item_id)
+                self.bags.setdefault(len(w), []).append(shingle_hashes(w, K))
+        self.blocks = {n: Blocks(pack(np.stack([bit_signs(b).sum(axis=0) for b in bags]))) for n, bags in self.bags.items()}
+        self.shingles: dict[int, np.ndarray] = {}  # by words in a shingle
+        self.lengths: dict[int, list[tuple[int, ...]]] = {}  # of the items that hold each of them
         self.filter: dict[int, np.ndarray] = {}
-        for x in self.by_length:
-            x.seal()
-            k = min(K, x.words)
-            self.shingles[k] = np.unique(np.concatenate([self.shingles.get(k, np.zeros(0, np.uint64)), *x.bags]))
-        for k, s in self.shingles.items():
+        for k in {min(K, n) for n in self.bags}:
+            own = [(h, n) for n, bags in self.bags.items() if min(K, n) == k for h in np.unique(np.concatenate(bags)).tolist()]
+            by: dict[int, list[int]] = {}
+            for h, n in own:
+                by.setdefault(h, []).append(n)
+            self.shingles[k] = np.array(sorted(by), np.uint64)
+            self.lengths[k] = [tuple(by[h]) for h in sorted(by)]
             self.filter[k] = np.zeros(1 << 20, bool)
-            self.filter[k][(s & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+            self.filter[k][(self.shingles[k] & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
     def find(self, text: str | None) -> dict:
         """Best similarity by item."""
         w, out = word_hashes(lowered(text)), {}
-        for k in self.shingles:
+
+        def verify(words: int, prints: np.ndarray, windows) -> None:
+            for at, i in self.blocks[words].within(prints).tolist():
+                sim, item = weighted_jaccard(windows(at), self.bags[words][i]), self.ids[words][i]
+                if sim >= self.threshold - 1e-9 and sim > out.get(item, 0):
+                    out[item] = sim
+
+        for k, known in self.shingles.items():
             if len(w) < k:
                 continue
             g = shingle_hashes(w, k)
             hit = np.flatnonzero(self.filter[k][(g & np.uint64((1 << 20) - 1)).astype(np.int64)])
-            known = self.shingles[k]
-            hit = hit[known[np.minimum(np.searchsorted(known, g[hit]), len(known) - 1)] == g[hit]]
+            place = np.minimum(np.searchsorted(known, g[hit]), len(known) - 1)
+            hit, place = hit[known[place] == g[hit]], place[known[place] == g[hit]]
             if not len(hit):
                 continue
-            for x in self.by_length:
-                if min(K, x.words) == k and x.words - k + 1 > len(g):  # the document is one window
-                    for _, i in zip(*x.candidates(pack(bit_signs(g).sum(axis=0)[None, :]))):
-                        sim = weighted_jaccard(g, x.bags[i])
-                        if sim >= self.threshold - 1e-9 and sim > out.get(x.ids[i], 0):
-                            out[x.ids[i]] = sim
-            own = [x for x in self.by_length if min(K, x.words) == k and x.words - k + 1 <= len(g)]
-            most = max((x.words - k + 1 for x in own), default=1)
+            met = {n for p in set(place.tolist()) for n in self.lengths[k][p]}
+            for n in sorted(x for x in met if x - k + 1 > len(g)):  # the document is one window
+                verify(n, pack(bit_signs(g).sum(axis=0)[None, :]), lambda _: g)
+            own = [n for n in met if n - k + 1 <= len(g)]
+            most = max((n - k + 1 for n in own), default=1)
             cut = np.flatnonzero((np.diff(hit) > most) | (np.diff(hit // STRETCH) > 0))
-            for a, z in zip(hit[np.append(0, cut + 1)], hit[np.append(cut, len(hit) - 1)]):
-                lo, hi = max(0, a - most + 1), min(len(g), z + most)
+            for a, z in zip(np.append(0, cut + 1).tolist(), np.append(cut, len(hit) - 1).tolist()):
+                first, last = int(hit[a]), int(hit[z])
+                lo, hi = max(0, first - most + 1), min(len(g), last + most)
                 total = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(bit_signs(g[lo:hi]), axis=0)])
-                for x in own:
-                    n = x.words - k + 1  # shingles in a window; windows that hold no hit are left out
-                    s, e = max(0, a - n + 1) - lo, min(len(g) - n, z) - lo
-                    if e < s:
-                        continue
-                    for at, i in zip(*x.candidates(pack(total[s + n : e + n + 1] - total[s : e + 1]))):
-                        first = lo + s + at
-                        sim = weighted_jaccard(g[first : first + n], x.bags[i])
-                        if sim >= self.threshold - 1e-9 and sim > out.get(x.ids[i], 0):
-                            out[x.ids[i]] = sim
+                for words in sorted({n for p in set(place[a : z + 1].tolist()) for n in self.lengths[k][p]} & set(own)):
+                    n = words - k + 1  # shingles in a window; windows that hold no hit are left out
+                    s, e = max(0, first - n + 1) - lo, min(len(g) - n, last) - lo
+                    if e >= s:
+                        verify(words, pack(total[s + n : e + n + 1] - total[s : e + 1]), lambda at, x=lo + s, n=n: g[x + at : x + at + n])
         return out
 
 
