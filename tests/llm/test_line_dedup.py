@@ -5,7 +5,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 from oracle import both  # noqa: E402
 
 from tracewell.llm import queries  # noqa: E402
-from tracewell.llm.line_dedup import line_dedup, windows  # noqa: E402
+from tracewell.llm.line_dedup import line_dedup, line_hashes, windows  # noqa: E402
 
 PASSAGE = " ".join(f"word{i}" for i in range(60))
 
@@ -29,9 +29,24 @@ def test_matches_extend_both_ways(frame):
 
 def test_every_repeated_run_holds_a_fingerprint():
     run = "\n".join(f"line {i} has several words" for i in range(30))
-    a, b = (windows(f"{x}\n{run}\n{y}".encode(), 50) for x, y in (("one two", "three"), ("four", "five six")))
-    inside = {w[2] for w in a} & {w[2] for w in b}
-    assert inside and {w[0] for w in a if w[2] in inside} == {w[0] for w in b if w[2] in inside}
+    found = []
+    for x, y in (("one two", "three"), ("four", "five six")):
+        hashes, words = line_hashes(f"{x}\n{run}\n{y}".encode())
+        found.append({tuple(hashes[s:e]): hashes[unit] for unit, s, e in windows(hashes, words, 50)})
+    inside = set(found[0]) & set(found[1])
+    assert len(inside) > 10 and all(found[0][w] == found[1][w] for w in inside)
+
+
+def test_only_minima_are_kept():
+    hashes, words = line_hashes("\n".join(f"line {i} has several words" for i in range(400)).encode())
+    assert len({w[0] for w in windows(hashes, words, 50)}) < 100
+
+
+def test_repeated_passage_without_an_id(frame):
+    docs = frame([(None, f"a\n{PASSAGE}"), (2, f"b\n{PASSAGE}"), (None, f"c\n{PASSAGE}"), (None, f"a\n{PASSAGE}")])
+    got = sorted(((r.doc_id, r.text) for r in line_dedup(docs).collect()), key=str)
+    assert sum(PASSAGE in t for _, t in got) in (1, 2) and len(got) == 4  # rows without an id come first; equal rows are one document
+    assert (2, "b") in got
 
 
 def test_edge_cases(edge, empty):
