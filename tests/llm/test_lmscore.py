@@ -5,19 +5,6 @@ import pytest
 from tracewell.llm import lmscore
 
 
-def test_probabilities_sum_to_one(spark, frame):
-    docs = frame([(i, t) for i, t in enumerate(["a b c a b", "a a d", "e f g h", "a b"])])
-    labels = spark.createDataFrame([(0, 1, 0), (3, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
-    v, target, background = lmscore.fit(docs, labels, vocabulary=5, contexts=2)
-    for m in (target, background):
-        classes = m.bigram.reshape(v.classes, v.classes)
-        import numpy as np
-
-        assert np.exp(classes).sum(axis=1) == pytest.approx(1, abs=1e-4)
-        own = v.class_of(np.arange(v.unknown + 1))
-        assert np.bincount(own, np.exp(m.word))[own] == pytest.approx(1, abs=1e-4)
-
-
 def test_target_like_documents_score_lower(spark, frame):
     good, bad = "the cat sat on the mat and the dog sat too", "zzz qqq xxx yyy zzz qqq vvv"
     docs = frame([(i, good) for i in range(5)] + [(10 + i, bad) for i in range(5)])
@@ -37,15 +24,6 @@ def test_edge_cases(spark, edge, empty):
     assert lmscore.cross_entropy_difference(empty, none).count() == 0
 
 
-def test_vocabulary_is_bounded_and_most_frequent(spark):
-    rows = spark.createDataFrame([(f"w{i}".encode(), n, 0) for i, n in enumerate([500, 501, 7, 7, 7, 1])], "word binary, n long, n_target long")
-    pick = lambda most: [bytes(r["word"]).decode() for r in lmscore.frequent(rows, most)]
-    assert pick(100) == ["w1", "w0", "w2", "w3", "w4", "w5"]
-    assert pick(4) == ["w1", "w0"]  # a class that does not fit stays out whole
-    assert pick(1) == []
-    assert lmscore.frequent(rows.limit(0), 5) == []
-
-
 def brute(texts, good):
     """Losses by counting every bigram in dictionaries."""
     from collections import Counter
@@ -81,3 +59,14 @@ def test_every_word_and_context_counts(spark, frame, monkeypatch):
         monkeypatch.setattr(lmscore, "HOT", hot)
         for r in lmscore.cross_entropy_difference(frame(list(enumerate(texts))), labels).collect():
             assert (r.loss_target, r.loss_background) == (pytest.approx(target[r.doc_id]), pytest.approx(background[r.doc_id]))
+
+
+def test_ties_and_a_very_long_text(spark, frame):
+    long = "many words of a text that goes on " * 30_000
+    docs = frame([(0, long), (1, "a b"), (2, "b a"), (3, "a b"), (4, "a b")])
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in lmscore.cross_entropy_difference(docs, labels).collect()}
+    assert got[0].n_tokens == 240_000 and got[1].difference == got[3].difference == got[4].difference
+    target, background = brute([long, "a b", "b a", "a b", "a b"], [1, 2])
+    assert [got[i].loss_background for i in range(5)] == [pytest.approx(x) for x in background]
+    assert [got[i].loss_target for i in range(5)] == [pytest.approx(x) for x in target]

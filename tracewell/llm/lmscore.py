@@ -15,11 +15,6 @@ every task instead, so that no key gathers a share of the corpus in one. A
 document's score is the mean over its tokens of target loss less background loss,
 in nats; lower is closer to the target. Words are told apart by 64-bit hashes.
 
-`fit` and `score` are a smaller form of bounded size for callers who want a model
-to hold in memory: VOCABULARY words in whole frequency classes, one unknown word,
-and a class bigram in which the CONTEXTS most frequent words are classes of their
-own. The query does not use them.
-
 Null, empty and wordless texts have no tokens and null losses. Without a target
 document the target model is uniform. Repeated rows count and score each. Labels
 that repeat for one document count once: good if any is. Other columns pass by
@@ -28,7 +23,6 @@ unread.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,10 +31,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .support import extended, slices, stored, texts_of, with_columns
+from .support import slices, stored, texts_of
 
-VOCABULARY = 50_000
-CONTEXTS = 1_000
 BROADCAST_ROWS = 2_000_000  # target ids, 8 bytes each, that may be broadcast
 FLUSH = 200_000  # words a task counts before it sends its sums on
 HOT = 50_000  # one in so many tokens makes a bigram go to every task
@@ -58,147 +50,6 @@ def marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(good, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    everywhere, target = Counter(), Counter()
-
-    def flush() -> pa.RecordBatch:
-        words = list(everywhere)
-        out = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(list(everywhere.values()), pa.int64()), pa.array([target.get(w, 0) for w in words], pa.int64())], ["word", "n", "n_target"])
-        everywhere.clear(), target.clear()
-        return out
-
-    for b in slices(batches):
-        for text, good in zip(texts_of(b), b.column(1).to_pylist()):
-            words = tokens(text)
-            everywhere.update(words)
-            if good:
-                target.update(words)
-            if len(everywhere) >= FLUSH:
-                yield flush()
-    yield flush()
-
-
-class Vocabulary:
-    """Word ids by frequency rank; len(words) is the unknown word."""
-
-    def __init__(self, words: list[bytes], contexts: int):
-        self.words, self.contexts = words, min(contexts, len(words))
-        self.id = {w: i for i, w in enumerate(words)}
-        self.unknown = len(words)
-        self.classes = self.contexts + 3  # the rest, unknown, begin of text
-
-    def ids(self, text: str) -> np.ndarray:
-        get, none = self.id.get, self.unknown
-        return np.array([get(w, none) for w in tokens(text)], np.int64)
-
-    def class_of(self, ids: np.ndarray) -> np.ndarray:
-        c = np.minimum(ids, self.contexts)
-        return np.where(ids == self.unknown, self.contexts + 1, c)
-
-    def bigrams(self, ids: np.ndarray) -> np.ndarray:
-        """Class bigram of each token as one number."""
-        c = self.class_of(ids)
-        return np.concatenate([[self.contexts + 2], c[:-1]]) * self.classes + c
-
-
-def _count_bigrams(vocabulary: Vocabulary):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((2, vocabulary.classes**2), np.int64)
-        for b in slices(batches):
-            held: tuple[list, list] = ([], [])
-            for text, good in zip(texts_of(b), b.column(1).to_pylist()):
-                x = vocabulary.ids(text)
-                if len(x):
-                    held[0].append(vocabulary.bigrams(x))
-                    if good:
-                        held[1].append(held[0][-1])
-            for i, parts in enumerate(held):
-                if parts:
-                    key, times = np.unique(np.concatenate(parts), return_counts=True)
-                    n[i, key] += times
-        at = np.flatnonzero(n[0])
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[0, at]), pa.array(n[1, at])], ["key", "n", "n_target"])
-
-    return run
-
-
-class Model:
-    """Log probabilities of words in their class, and of classes after classes."""
-
-    def __init__(self, vocabulary: Vocabulary, words: np.ndarray, bigrams: np.ndarray):
-        v, k = vocabulary, vocabulary.classes
-        own = v.class_of(np.arange(v.unknown + 1))
-        plus = words + 1.0
-        self.word = np.log(plus / np.bincount(own, plus, minlength=k)[own]).astype(np.float32)
-        uni = np.bincount(own, plus, minlength=k) + 1e-9
-        uni /= uni.sum()
-        table = bigrams.reshape(k, k).astype(np.float64)
-        total, kinds = table.sum(axis=1, keepdims=True), (table > 0).sum(axis=1, keepdims=True)
-        self.bigram = np.log((table + np.maximum(kinds, 1) * uni) / (total + np.maximum(kinds, 1))).astype(np.float32).ravel()
-
-
-def frequency_class(n: Column) -> Column:
-    """n itself up to 128, then 128 classes to each doubling: some thousands in all, in order of n."""
-    return F.when(n <= 128, n).otherwise(128 + F.floor((F.log2(n) - 7) * 128)).cast("long")
-
-
-def frequent(words: DataFrame, most: int) -> list:
-    """Rows of the highest frequency classes that hold at most `most` words together, by frequency and word.
-
-    The driver gets one row a class, then the chosen words, however many tasks there are.
-    """
-    sizes = {r["c"]: r["count"] for r in words.groupBy(frequency_class(F.col("n")).alias("c")).count().collect()}
-    least = total = 0
-    for c in sorted(sizes, reverse=True):
-        total += sizes[c]
-        if total > most:
-            break
-        least = c
-    chosen = words.filter(frequency_class(F.col("n")) >= least).collect() if least else []
-    return sorted(chosen, key=lambda r: (-r["n"], bytes(r["word"])))
-
-
-def fit(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, contexts: int = CONTEXTS) -> tuple[Vocabulary, Model, Model]:
-    """The shared vocabulary, the target model and the background model."""
-    rows = marked(docs, labels)
-    words = rows.mapInArrow(_count_words, "word binary, n long, n_target long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-    top = frequent(stored(words, "words"), vocabulary)
-    found = Vocabulary([bytes(r["word"]) for r in top], contexts)
-    pairs = rows.mapInArrow(_count_bigrams(found), "key long, n long, n_target long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).toPandas()
-    models = []
-    for column, name in (("n_target", "target"), ("n", "background")):
-        table = np.zeros(found.classes**2, np.int64)
-        table[pairs["key"].to_numpy()] = pairs[column].to_numpy()
-        unknown = table.reshape(found.classes, -1)[:, found.contexts + 1].sum()
-        models.append(Model(found, np.array([*(r[column] for r in top), unknown], np.float64), table))
-    return found, models[0], models[1]
-
-
-def score(docs: DataFrame, vocabulary: Vocabulary, target: Model, background: Model) -> DataFrame:
-    """The columns of docs, and n_tokens, loss_target, loss_background, difference (means, in nats)."""
-    docs = docs.drop("n_tokens", "loss_target", "loss_background", "difference")
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((vocabulary, target, background))  # bounded by vocabulary and contexts
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, t, g = shared.value
-        for b in slices(batches):
-            n, lt, lg = [], [], []
-            for text in texts_of(b):
-                x = v.ids(text)
-                n.append(len(x))
-                if not len(x):
-                    lt.append(None), lg.append(None)
-                    continue
-                two = v.bigrams(x)
-                for m, out in ((t, lt), (g, lg)):
-                    out.append(-float((m.bigram[two] + m.word[x]).mean(dtype=np.float64)))
-            diff = [None if a is None else a - c for a, c in zip(lt, lg)]
-            yield with_columns(b, n_tokens=pa.array(n, pa.int64()), **{k: pa.array(c, pa.float64()) for k, c in (("loss_target", lt), ("loss_background", lg), ("difference", diff))})
-
-    return docs.mapInArrow(run, extended(docs.schema, "n_tokens long, loss_target double, loss_background double, difference double"))
-
-
 BEGIN = 0  # what the first word follows; words hash to other values
 
 
