@@ -93,6 +93,51 @@ def two_sides(n, seed):
     return out
 
 
+def near_group(n, seed, words=120, changed=1):
+    """n texts that each change some words of one text: at one word, any two have similarity 0.83 or more."""
+    random.seed(seed)
+    base = [f"w{random.randrange(10**6)}" for _ in range(words)]
+    out = []
+    for _ in range(n):
+        own = list(base)
+        for _ in range(changed):
+            own[random.randrange(words)] = f"w{random.randrange(10**9)}"
+        out.append(" ".join(own))
+    return out
+
+
+def test_large_group_of_near_copies(frame):
+    rows = list(enumerate(near_group(5000, 11) + chain(3, 12) + near_group(1, 13)))
+    got = [(r.class_id, r.class_size) for r in minhash.near_classes(frame(rows)).collect()]
+    assert sorted(set(got)) == [(0, 5000), (5000, 3), (5003, 1)]
+
+
+def test_large_group_is_split_without_multiplying(frame):
+    from pyspark.sql import functions as F
+
+    rows = frame(list(enumerate(near_group(30, 3, words=3000))))
+    node = F.sha2("text", 256).cast("binary")
+    nodes = rows.select(node.alias("node"), F.array(*[F.lit(k) for k in range(minhash.BANDS)]).alias("bands"), F.lit(8).alias("size"))
+    met = minhash.meetings(nodes)
+    assert met.count() == 30 * minhash.BANDS
+    blocks = minhash.in_blocks(met, 8)
+    assert blocks.count() <= (30 + 2 * 4) * minhash.BANDS and blocks.groupBy("key", "block").count().agg(F.max("count")).first()[0] <= 20
+
+
+def test_group_in_which_few_pairs_are_linked(frame):
+    rows = list(enumerate(near_group(150, 21, 185, 3) + near_group(90, 22, 165, 3)))
+    want = brute(rows)
+    assert 20 < len(set(want.values())) < 240
+    for limit in (minhash.LIMIT, 16):
+        assert {r.doc_id: r.class_id for r in minhash.near_classes(frame(rows), limit=limit).collect()} == want
+
+
+def test_very_long_texts(frame):
+    a = near_group(2, 31, words=60_000)
+    rows = [(0, a[0]), (1, a[1]), (2, a[0][: len(a[0]) // 2]), (3, a[0])]
+    assert {r.doc_id: r.class_id for r in minhash.near_classes(frame(rows)).collect()} == {0: 0, 1: 0, 2: 2, 3: 0}
+
+
 def test_links_behind_many_pairs_that_fail(frame):
     rows = list(enumerate(t for seed in range(20) for t in two_sides(14, seed)))
     want = brute(rows)

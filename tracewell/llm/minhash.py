@@ -9,14 +9,19 @@ probability Jaccard similarity of their weights, here the Jaccard similarity of
 the sets, by which links are decided too.
 
 Texts equal word for word are one node. Nodes that agree in a whole band of
-registers meet; in each meeting the maximum spanning forest of estimated
-similarities proposes pairs, so that a group of g gives at most g - 1. Pairs are
-verified by exact Jaccard similarity of the shingle sets and linked from
-`threshold` on; classes are the connected components. A second round proposes,
-for every class in a meeting, its most similar pairs with other classes; the last
-one proposes every pair of different classes left, but those whose estimate is
-below `least` or whose numbers of shingles alone rule the threshold out. Meetings above LIMIT nodes are split by a second (third,
-fourth) band, one meeting for each other band, in which similar nodes still meet.
+registers meet. Meetings above LIMIT nodes (or as many shingles) are dealt to blocks by
+a hash of the node, with two of their nodes in every block, so that a large group of
+copies is linked across its blocks; no node is repeated for any other reason. In each
+block the maximum spanning forest of estimated similarities proposes pairs, about g for
+a group of g. They are verified by exact Jaccard similarity of the shingle sets and
+linked from `threshold` on; classes are the connected components.
+
+Then every pair of different classes left in a meeting, of any size, is looked at, but
+those whose estimate is below `least` or whose numbers of shingles alone rule the
+threshold out: such a pair has a node outside the meeting's largest class, so those
+nodes, in slices, meet slices of all nodes. The nodes of such pairs come with their sets,
+and the task that holds a block verifies its pairs and gives only links that join
+classes, fewer than it has classes. So pairs that fail are never rows.
 
 Texts without a word (null ones too) are classes of their own. A class is named
 by its least doc_id. Repeated rows are copies. Other columns are not read.
@@ -25,7 +30,7 @@ by its least doc_id. Repeated rows are copies. Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,15 +40,14 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shingles import lowered, mix, shingle_hashes, word_hashes
-from .support import extended, shuffle_parts, stored, with_columns
+from .support import extended, join_hot, shuffle_parts, stored, with_columns
 
 REGISTERS, ROWS = 96, 4
 BANDS = REGISTERS // ROWS
 THRESHOLD = 0.8
 SLACK = 0.2  # nearly five standard deviations of an estimate from 96 registers at 0.8
-LIMIT = 4096
-ROUNDS = (0, 2, None)  # pairs per class and meeting: a spanning forest, the nearest, all
-FLUSH = 50_000  # pairs a task holds before it sends them on
+LIMIT = 1024
+SHINGLES = 1024  # of a node; a meeting with more on average counts as larger
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -117,78 +121,129 @@ def forest(s: np.ndarray, least: float) -> list[tuple[int, int]]:
     return out
 
 
-def crossing(s: np.ndarray, label: np.ndarray, size: np.ndarray, least: float, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(rows u > v, their registers that agree with v's, v) of other labels, from `least` on, that may reach the threshold.
+@dataclass
+class Side:
+    """Rows of a block as columns: sketches, labels, sizes, and their places in the block."""
+
+    sketch: np.ndarray
+    label: np.ndarray
+    size: np.ndarray
+    at: np.ndarray
+
+    def take(self, which: np.ndarray) -> Side:
+        return Side(self.sketch[which], self.label[which], self.size[which], self.at[which])
+
+
+def crossing(some: Side, every: Side, band: int, least: float, threshold: float) -> Iterator[tuple[np.ndarray, int]]:
+    """(places u of `every`, place v of `some`) of pairs of other labels, estimated from `least` on, whose sizes may reach the threshold.
 
     Rows that agree in several bands meet in each; a pair counts only in the
     meeting of the first band in which its sketches agree.
     """
-    here = int((s == s[0]).all(axis=0).reshape(-1, ROWS).all(axis=1).argmax())
-    for v in range(len(s) - 1):
-        u = np.flatnonzero((label[v + 1 :] != label[v]) & (np.minimum(size[v + 1 :], size[v]) >= np.maximum(size[v + 1 :], size[v]) * threshold - 1e-9)) + v + 1
-        agree = s[u] == s[v]
-        same = agree.sum(axis=1)
-        near = same >= least * s.shape[1]
-        u, agree, same = u[near], agree[near], same[near]
-        home = agree.reshape(len(u), s.shape[1] // ROWS, ROWS).all(axis=2).argmax(axis=1) == here
-        if home.any():
-            yield u[home], same[home], v
-
-
-def nearest(found: Iterator[tuple[np.ndarray, np.ndarray, int]], label: np.ndarray, k: int) -> list[tuple[int, int]]:
-    """For each label, the k most similar of the pairs found."""
-    mine: dict[int, list[tuple[int, int, int]]] = {}
-    for u, same, v in found:
-        for i, n in zip(u.tolist(), same.tolist()):
-            for x in (int(label[v]), int(label[i])):
-                held = mine.setdefault(x, [])
-                held.append((-n, v, i))
-                if len(held) >= 1024 + k:
-                    mine[x] = sorted(held)[:k]
-    return sorted({(i, j) for rows in mine.values() for _, i, j in sorted(rows)[:k]})
-
-
-def _propose(k: int | None, least: float, threshold: float):
-    """Pairs from meetings: rows (key, node, sketch, size, label) sorted by key."""
+    m = every.sketch.shape[1]
+    for v in range(len(some.at)):
+        fit = np.minimum(every.size, some.size[v]) >= np.maximum(every.size, some.size[v]) * threshold - 1e-9
+        u = np.flatnonzero((every.label != some.label[v]) & fit)
+        agree = every.sketch[u] == some.sketch[v]
+        near = agree.sum(axis=1) >= least * m
+        u, agree = u[near], agree[near]
+        u = u[agree.reshape(len(u), m // ROWS, ROWS).all(axis=2).argmax(axis=1) == band]
+        if len(u):
+            yield every.at[u], int(some.at[v])
+
+
+def sides(rows: list[tuple]) -> tuple[Side, Side]:
+    """(nodes outside the largest class, all nodes) of a block's rows (key, block, band, node, sketch, size, label, side).
+
+    side is 1 for rows outside the meeting's largest class and 0 for all rows, where a meeting
+    lies in several blocks; null where a block is a whole meeting.
+    """
+    sketch = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
+    label, count = np.unique([r[6] for r in rows], return_inverse=True, return_counts=True)[1:]
+    whole = Side(sketch, label, np.array([r[5] for r in rows]), np.arange(len(rows)))
+    if rows[0][7] is None:
+        return whole.take(label != count.argmax()), whole
+    side = np.array([r[7] for r in rows])
+    return whole.take(side == 1), whole.take(side == 0)
+
+
+def of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each block, from batches sorted by key and block; lists come as arrays."""
+    held = []
+    for batch in batches:
+        columns = [[x.values.to_numpy() for x in c] if pa.types.is_list(c.type) else c.to_pylist() for c in batch.columns]
+        for row in zip(*columns):
+            if held and held[-1][:2] != row[:2]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _pairs(found: Iterator[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    z = sorted({tuple(sorted(p)) for p in found})
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in z], pa.binary()), pa.array([p[1] for p in z], pa.binary())], ["a", "b"])
+
+
+def _propose(least: float):
+    """Pairs of the spanning forests of blocks: rows (key, block, node, sketch)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in of_blocks(batches):
+            rows = sorted(set(rows), key=lambda r: r[2])
+            sketch = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
+            yield _pairs((rows[i][2], rows[j][2]) for i, j in forest(sketch, least))
+
+    return run
 
-    def solve(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
-        rows = sorted(set(rows))
-        label = np.unique([r[4] for r in rows], return_inverse=True)[1]
-        if len(rows) < 2 or not label.any():
-            return
-        s = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1)
-        if k == 0:
-            pairs = forest(s, least)
-        else:
-            found = crossing(s, label, np.array([r[3] for r in rows]), least, threshold)
-            pairs = nearest(found, label, k) if k else ((v, i) for u, _, v in found for i in u.tolist())
-        for i, j in pairs:
-            yield tuple(sorted((rows[i][1], rows[j][1])))
-
-    def sets_of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-        held = []
-        for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if held and held[-1][0] != row[0]:
-                    yield held
-                    held = []
-                held.append(row)
-        if held:
-            yield held
+
+def _asks(least: float, threshold: float):
+    """The rows of blocks that are in a pair of different classes to be verified."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: set[tuple[bytes, bytes]] = set()
+        for rows in of_blocks(batches):
+            some, every = sides(rows)
+            asked = np.zeros(len(rows), bool)
+            for u, v in crossing(some, every, rows[0][2], least, threshold):
+                asked[u] = asked[v] = True
+            at = np.flatnonzero(asked).tolist()
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([rows[i][k] for i in at], kind) for k, kind in enumerate(kinds)], _BLOCK)
+
+    return run
+
 
-        def flush() -> pa.RecordBatch:
-            z = sorted(out)
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in z], pa.binary()), pa.array([p[1] for p in z], pa.binary())], ["a", "b"])
+def _verify(least: float, threshold: float):
+    """Links that join classes of a block, by the sets that its rows have at their end."""
 
-        for pair in chain.from_iterable(map(solve, sets_of_rows(batches))):
-            out.add(pair)
-            if len(out) >= FLUSH:
-                yield flush()
-        yield flush()
+    def solve(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
+        some, every = sides(rows)
+        up = list(range(1 + max(some.label.max(initial=0), every.label.max(initial=0))))
+
+        def top(x: int) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        label = dict(zip(some.at.tolist(), some.label.tolist())) | dict(zip(every.at.tolist(), every.label.tolist()))
+        for u, v in crossing(some, every, rows[0][2], least, threshold):
+            u = [i for i in u.tolist() if top(label[i]) != top(label[v])]
+            if not u:
+                continue
+            sizes = np.array([len(rows[i][8]) for i in u])
+            hit = np.isin(np.concatenate([rows[i][8] for i in u]), rows[v][8])
+            both = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes) - sizes)
+            for i, n, m in zip(u, both.tolist(), sizes.tolist()):
+                a, b = top(label[i]), top(label[v])
+                if a != b and n >= (m + len(rows[v][8]) - n) * threshold - 1e-9:
+                    up[a] = b
+                    yield rows[i][3], rows[v][3]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in of_blocks(batches):
+            yield _pairs(solve(rows))
 
     return run
 
@@ -201,23 +256,43 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
 
 
-def meetings(nodes: DataFrame, limit: int) -> DataFrame:
-    """(key, node) for keys under which 2 to `limit` nodes meet; larger ones are split by further bands."""
-    met = nodes.select("node", F.explode("bands").alias("key"))
-    done = None
-    for depth in range(4):
-        n = met.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-        met = met.join(n, "key")
-        if depth == 3:
-            fit, over = met, None
-        else:
-            fit, over = met.filter(F.col("n") <= limit), met.filter(F.col("n") > limit)
-        done = fit.select("key", "node") if done is None else done.unionByName(fit.select("key", "node"))
-        if over is None or not over.select("key").head(1):
-            break
-        met = over.select("key", "node").join(nodes.select("node", "bands"), "node").select("node", F.explode("bands").alias("band"), "key")
-        met = met.filter(F.col("band") != F.col("key")).select("node", F.xxhash64(F.least("key", "band"), F.greatest("key", "band")).alias("key")).distinct()
-    return done
+def meetings(nodes: DataFrame) -> DataFrame:
+    """(key, band, node, n, weight, low, high) for keys under which n > 1 nodes meet, the least and greatest of them low and high."""
+    met = nodes.select("node", "size", F.posexplode("bands").alias("band", "key"))
+    weight = F.greatest(F.count("*"), F.ceil(F.sum("size") / SHINGLES)).alias("weight")
+    one = stored(met.groupBy("key").agg(F.count("*").alias("n"), weight, F.min("node").alias("low"), F.max("node").alias("high")).filter("n > 1"), "keys")
+    return join_hot(met.drop("size"), one, ["key"], "n", nodes.count() * BANDS)
+
+
+_BLOCK_KINDS = ("key long", "block int", "band int", "node binary", "sketch binary", "size int", "label binary", "side int")
+_BLOCK = [x.split()[0] for x in _BLOCK_KINDS]
+
+
+def in_blocks(met: DataFrame, limit: int) -> DataFrame:
+    """(key, block, node) of meetings; the blocks of a meeting share its nodes low and high."""
+    blocks = F.ceil(F.col("weight") / limit).cast("int")
+    shared = (F.col("node") == F.col("low")) | (F.col("node") == F.col("high"))
+    own = F.when(shared, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), blocks).cast("int")))
+    return met.select("key", F.explode(own).alias("block"), "node")
+
+
+def across_classes(met: DataFrame, limit: int) -> DataFrame:
+    """Rows of meetings(+ label, size) of more than one class, in blocks that hold each pair of different classes.
+
+    Meetings above the limit: slices of the nodes outside the largest class (side 1) by slices of all (side 0).
+    """
+    kinds = met.groupBy("key", "label").agg(F.count("*").alias("_c"), F.sum("size").alias("_s"))
+    most = kinds.groupBy("key").agg(F.max(F.struct("_c", "label", "_s")).alias("_m"), F.sum("_c").alias("_n"), F.sum("_s").alias("_all")).filter("_m._c < _n")
+    others = F.greatest(F.col("_n") - F.col("_m._c"), F.ceil((F.col("_all") - F.col("_m._s")) / SHINGLES))
+    most = stored(most.select("key", F.col("_m.label").alias("major"), others.alias("others"), F.col("_n").alias("n")), "classes")
+    rows = join_hot(met.drop("n"), most, ["key"], "n", met.count())
+    few = rows.filter(F.col("weight") <= limit).withColumn("block", F.lit(0)).withColumn("side", F.lit(None).cast("int"))
+    wide, tall = F.ceil(F.col("weight") / limit).cast("int"), F.ceil(F.col("others") / limit).cast("int")
+    large = rows.filter(F.col("weight") > limit).withColumn("_w", wide).withColumn("_t", tall)
+    slot = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
+    every = large.withColumn("block", F.explode(F.transform(F.sequence(F.lit(0), F.col("_t") - 1), lambda t: t * F.col("_w") + slot("_w")))).withColumn("side", F.lit(0))
+    some = large.filter("label != major").withColumn("block", F.explode(F.transform(F.sequence(F.lit(0), F.col("_w") - 1), lambda w: slot("_t") * F.col("_w") + w))).withColumn("side", F.lit(1))
+    return few.select(*_BLOCK).unionByName(every.select(*_BLOCK)).unionByName(some.select(*_BLOCK))
 
 
 def content_key(docs: DataFrame) -> DataFrame:
@@ -232,45 +307,44 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, limit: int = LIM
     keyed = content_key(docs)
     scan = stored(keyed.mapInArrow(_scan, extended([keyed.schema["doc_id"]], "k1 long, k2 int, node binary, bands array<long>, sketch binary, size int")), "sketches")
     nodes = stored(scan.filter("node is not null").select("node", "k1", "k2", "bands", "sketch", "size").dropDuplicates(["node"]), "nodes")
-    met = stored(meetings(nodes, limit), "meetings")
-    met = met.join(nodes.select("node", "sketch", "size"), "node")
-    kinds = "a binary, b binary"
-    whole = met.select("key", "node", "sketch", "size", F.col("node").alias("label")).repartition(parts, "key").sortWithinPartitions("key")
-    pairs = stored(whole.mapInArrow(_propose(0, least, threshold), kinds).distinct(), "pairs")
-    sets = tried = links = labels = None
-    for k in ROUNDS:
-        if k != 0:
-            own = labels.select("node", "label")
-            spread = met.join(own, "node", "left").select("key", "node", "sketch", "size", F.coalesce("label", "node").alias("label")).repartition(parts, "key").sortWithinPartitions("key")
-            pairs = stored(spread.mapInArrow(_propose(k, least, threshold), kinds).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        fresh = ends if sets is None else ends.join(sets.select("node"), "node", "left_anti")
-        if k != 0 and not pairs.head(1):
-            continue
-        if fresh.head(1):
-            need = nodes.select("node", "k1", "k2").join(fresh, "node")
-            texts = keyed.select("k1", "k2", "text").join(need, ["k1", "k2"]).select("node", "text").dropDuplicates(["node"])
-            got = stored(texts.mapInArrow(_sets, "node binary, shingles array<long>"), "sets")
-            sets = got if sets is None else sets.unionByName(got)
-        elif sets is None:
-            break
+    met = stored(meetings(nodes), "meetings")
+    by_block = lambda rows: rows.repartition(parts, "key", "block").sortWithinPartitions("key", "block")
+    ends = "a binary, b binary"
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        need = nodes.select("node", "k1", "k2").join(wanted, "node")
+        texts = keyed.select("k1", "k2", "text").join(need, ["k1", "k2"]).select("node", "text").dropDuplicates(["node"])
+        return stored(texts.mapInArrow(_sets, "node binary, shingles array<long>"), "sets")
+
+    blocks = in_blocks(met, limit).join(nodes.select("node", "sketch"), "node").select("key", "block", "node", "sketch")
+    pairs = stored(by_block(blocks).mapInArrow(_propose(least), ends).distinct(), "pairs")
+    links = labels = None
+    if pairs.head(1):
+        sets = sets_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
         a, b = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
         both = F.size(F.array_intersect("sa", "sb"))
         sizes = F.size("sa") + F.size("sb")
-        near = pairs.join(a, "a").join(b, "b").filter((F.least(F.size("sa"), F.size("sb")) >= F.greatest(F.size("sa"), F.size("sb")) * threshold - 1e-9) & (both >= (sizes - both) * threshold - 1e-9)).select("a", "b")
-        new = stored(near, "near")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if k != 0 and not new.head(1):
-            continue
-        links = new if links is None else links.unionByName(new)
+        links = stored(pairs.join(a, "a").join(b, "b").filter((F.least(F.size("sa"), F.size("sb")) >= F.greatest(F.size("sa"), F.size("sb")) * threshold - 1e-9) & (both >= (sizes - both) * threshold - 1e-9)).select("a", "b"), "links")
         labels = components(links)
+        named = met.join(nodes.select("node", "sketch", "size"), "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        asks = stored(by_block(across_classes(named, limit)).mapInArrow(_asks(least, threshold), ", ".join(_BLOCK_KINDS)), "asks")
+        if asks.head(1):
+            sets = sets.unionByName(sets_of(asks.select("node").distinct().join(sets.select("node"), "node", "left_anti")))
+            dealt = by_block(asks.join(sets, "node").select(*_BLOCK, "shingles"))
+            more = stored(dealt.mapInArrow(_verify(least, threshold), ends), "more-links")
+            if more.head(1):
+                labels = components(links.unionByName(more).distinct())
     found = scan.select("doc_id", "k1", "k2", "node")
     if labels is not None:
         found = found.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     else:
         found = found.withColumn("label", F.col("node"))
-    least_id = found.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return found.join(least_id, "label", "left").select("doc_id", "k1", "k2", "label", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
+    with_words = found.filter("label is not null")
+    least_id = stored(with_words.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "class-ids")
+    classes = join_hot(with_words, least_id, ["label"], "class_size", scan.count())
+    alone = found.filter("label is null").withColumn("class_id", F.col("doc_id")).withColumn("class_size", F.lit(1).cast("long"))
+    out = ["doc_id", "k1", "k2", "label", "class_id", "class_size"]
+    return classes.select(*out).unionByName(alone.select(*out))
 
 
 def first_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
