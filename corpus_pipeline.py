@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from tracewell.llm import bpe, decontam, langid, line_dedup, minhash, support
 from tracewell.session import table
 
+BATCH_ROWS = 2000  # whole texts that go to a Python worker at a time
 _before: list[str] = []
 
 
@@ -32,6 +33,7 @@ def _stage(f):
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         support.ship(spark)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         support.release(spark, _before)
         _before.clear()
         known = set(support.tables())
@@ -75,9 +77,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 @_stage
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rank_file = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe.encode(docs, rank_file, public_tokenizers.PATTERN)
-    decoded = bpe.decode(encoded, rank_file, public_tokenizers.PATTERN)
-    return decoded.withColumn("text", F.col("decoded").cast("string")).drop("decoded")
+    return bpe.round_trip(docs, rank_file, public_tokenizers.PATTERN).withColumn("text", F.col("decoded").cast("string")).drop("decoded")
 
 
 STAGES = [
@@ -88,7 +88,7 @@ STAGES = [
     ("byte_bpe", byte_bpe),
 ]
 
-#: SQL expresses neither the classifier nor BPE; tests/llm hold run() against a brute-force version.
+#: SQL expresses neither the classifier nor BPE; tests/llm hold run() against its stages done by brute force.
 ORACLE_SQL = None
 
 
