@@ -17,6 +17,9 @@ TEN_OPS = ("EVENT_CONNECT", "EVENT_EXECUTE", "EVENT_OPEN", "EVENT_READ", "EVENT_
 # The ten operations of the host-agent family, in id order from 1.
 HOST_OPS = ("OPEN", "READ", "CREATE", "MESSAGE", "MODIFY", "START", "RENAME", "DELETE", "TERMINATE", "WRITE")
 
+# The operations of the endpoint-agent family, in id order from 1.
+AGENT_OPS = ("FILE_OPENED", "FILE_CLOSED", "FILE_CREATED", "FILE_READ", "FILE_WRITTEN", "FILE_COPIED", "FILE_LINKED", "FILE_RENAMED", "FILE_TRUNCATED", "FILE_DELETED", "FILE_RESTORED", "NETFLOW_CREATED", "NETFLOW_CONNECTED", "NETFLOW_PACKET_RECEIVED", "NETFLOW_PACKET_SENT", "NETFLOW_DISCONNECTED", "PROCESS_EXECUTED", "PROCESS_KILLED", "MODULE_LOADED", "CROSS_PROCESS_INTERACTION", "REGISTRY_KEY_LOADED", "REGISTRY_KEY_UNLOADED", "REGISTRY_KEY_OPENED", "REGISTRY_KEY_CLOSED", "REGISTRY_KEY_CREATED", "REGISTRY_KEY_RENAMED", "REGISTRY_KEY_REPLACED", "REGISTRY_KEY_DELETED", "REGISTRY_KEY_RESTORED", "REGISTRY_VALUE_CREATED", "REGISTRY_VALUE_READ", "REGISTRY_VALUE_WRITTEN", "REGISTRY_VALUE_DELETED")
+
 # Operations possible between node types, ten-type family.
 POSSIBLE_EVENTS = {
     ("subject", "subject"): ("EVENT_READ", "EVENT_WRITE", "EVENT_OPEN", "EVENT_CONNECT", "EVENT_RECVFROM", "EVENT_SENDTO", "EVENT_CLONE", "EVENT_SENDMSG", "EVENT_RECVMSG"),
@@ -26,6 +29,15 @@ POSSIBLE_EVENTS = {
     ("netflow", "subject"): ("EVENT_OPEN", "EVENT_READ", "EVENT_RECVFROM", "EVENT_RECVMSG"),
 }
 
+# Operations possible between node types, endpoint-agent family.
+AGENT_EVENTS = {
+    ("subject", "subject"): ("PROCESS_EXECUTED", "PROCESS_KILLED", "CROSS_PROCESS_INTERACTION"),
+    ("subject", "file"): ("FILE_OPENED", "FILE_CLOSED", "FILE_CREATED", "FILE_WRITTEN", "FILE_COPIED", "FILE_LINKED", "FILE_RENAMED", "FILE_TRUNCATED", "FILE_DELETED", "FILE_RESTORED", "REGISTRY_KEY_UNLOADED", "REGISTRY_KEY_OPENED", "REGISTRY_KEY_CLOSED", "REGISTRY_KEY_CREATED", "REGISTRY_KEY_RENAMED", "REGISTRY_KEY_REPLACED", "REGISTRY_KEY_DELETED", "REGISTRY_KEY_RESTORED", "REGISTRY_VALUE_CREATED", "REGISTRY_VALUE_WRITTEN", "REGISTRY_VALUE_DELETED"),
+    ("subject", "netflow"): ("NETFLOW_CREATED", "NETFLOW_CONNECTED", "NETFLOW_PACKET_SENT", "NETFLOW_DISCONNECTED"),
+    ("file", "subject"): ("FILE_READ", "MODULE_LOADED", "REGISTRY_KEY_LOADED", "REGISTRY_VALUE_READ"),
+    ("netflow", "subject"): ("NETFLOW_PACKET_RECEIVED",),
+}
+
 # Substrings of labels of common benign nodes, present and earlier list.
 KEYWORDS = (":", "/dev/pts", "salt-minion.log", "null", "usr", "proc", "firefox", "tmp", "thunderbird", "bin/", "/data/replay_logdb", "/stat", "/boot", "qt-opensource-linux-x64", "/eraseme", "675")
 EARLIER_KEYWORDS = (":", "null", "/dev/pts", "salt-minion.log", "675", "usr", "proc", "/.cache/mozilla/", "tmp", "thunderbird", "/bin/", "/sbin/sysctl", "/data/replay_logdb/", "/home/admin/eraseme", "/stat")
@@ -37,6 +49,24 @@ NODE_TYPES = ("subject", "file", "netflow")
 STREAM_OPS = ("click", "error", "purchase", "signup", "view")
 
 
+FAMILIES = {"ten": POSSIBLE_EVENTS, "agent": AGENT_EVENTS}
+
+
+def triplets(family: str) -> list[tuple[str, str, str]]:
+    """(source type, operation, destination type) of a family in order of class."""
+    return [(a, op, b) for (a, b), ops in FAMILIES[family].items() for op in ops]
+
+
+def n_edge_types(family: str, ops: tuple[str, ...], by_triplet: bool) -> int:
+    """Number of edge classes: triplets of the family, or operations."""
+    return len(triplets(family)) if by_triplet else len(ops)
+
+
+def ops_by_id(family: str, ops: tuple[str, ...], by_triplet: bool) -> dict[int, str]:
+    """Operation of each class id from 1."""
+    return dict(enumerate([t[1] for t in triplets(family)] if by_triplet else ops, 1))
+
+
 def encode(value: Column, names: tuple[str, ...], first: int = 1) -> Column:
     """Id of a name, counted from `first`; null if unknown."""
     found = F.array_position(F.array(*map(F.lit, names)), value)

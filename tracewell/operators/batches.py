@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewell.functions.integers import floor_div
-from tracewell.functions.ordinal import with_ordinal
-
-from .windows import HOUR
+from tracewell.functions.ordinal import HOUR, with_ordinal, with_previous, with_running
+from tracewell.functions.tables import stored
 
 
 def by_edges(edges: DataFrame, group: list[str], n: int, width: int = HOUR) -> DataFrame:
@@ -29,47 +27,76 @@ def by_time(edges: DataFrame, hop: int, length: int, start: int) -> DataFrame:
 def by_unique_pairs(edges: DataFrame, group: list[str]) -> DataFrame:
     """Adds batch: a batch ends before a (src, dst) that it already holds.
 
-    Only the place of the pair's earlier event is needed, so the fold per group
-    reads two numbers a row.
+    A batch that starts at place i ends at the first place whose pair was last met at
+    i or later. Places point to the start that would follow them; those that are reached from
+    the first place are found by doubling the pointers, as many rounds as the
+    number of batches has binary digits, so no task walks through a group.
     """
     placed = with_ordinal(edges, group, ["t", "event_id"], HOUR)
-    before = F.coalesce(F.lag("ordinal").over(W.partitionBy(*group, "src", "dst").orderBy("ordinal")), F.lit(-1))
-    slim = placed.withColumn("before", before).select(*group, "ordinal", "before")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ordinal")
-        start, batch, out = 0, 0, []
-        for i, p in zip(pdf["ordinal"].tolist(), pdf["before"].tolist()):
-            if p >= start and i > 0:
-                batch, start = batch + 1, i
-            out.append(batch)
-        return pdf.assign(batch=out)[[*group, "ordinal", "batch"]]
-
-    fields = ", ".join(f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in group)
-    cut = slim.groupBy(*group).applyInPandas(fold, f"{fields}, ordinal long, batch long")
-    return placed.join(cut, [*group, "ordinal"]).drop("ordinal")
+    met = with_previous(placed, [*group, "src", "dst"], ["t", "event_id"], HOUR, "ordinal", "before")
+    placed = stored(met, "unique-pairs")
+    first = placed.filter("before is not null").groupBy(*group, F.col("before").alias("at")).agg(F.min("ordinal").alias("to"))
+    ahead = placed.select(*group, F.col("ordinal").alias("at")).join(first, [*group, "at"], "left").withColumn("_back", -F.col("at"))
+    jump = stored(with_running(ahead, group, ["_back"], 1 << 16, {"next": ("min", "to")}).select(*group, "at", "next"), "jumps")
+    jumps = [jump]
+    while jumps[-1].filter("at = 0 and next is not null").head(1):
+        far = jumps[-1].select(*group, F.col("at").alias("next"), F.col("next").alias("after"))
+        jumps.append(stored(jumps[-1].join(far, [*group, "next"]).select(*group, "at", F.col("after").alias("next")), "jumps"))
+    starts = placed.select(*group, F.col("ordinal").alias("at")).filter("at = 0")
+    for j in reversed(jumps):
+        more = starts.join(j, [*group, "at"]).filter("next is not null").select(*group, F.col("next").alias("at"))
+        starts = stored(starts.unionByName(more), "starts")
+    marked = placed.join(starts.select(*group, F.col("at").alias("ordinal"), F.lit(1).alias("_start")), [*group, "ordinal"], "left")
+    counted = with_running(marked, group, ["ordinal"], 1 << 16, {"batch": ("sum", F.coalesce("_start", F.lit(0)).cast("long"))})
+    return counted.withColumn("batch", F.col("batch") - 1).drop("ordinal", "before", "_start")
+
+
+def last_neighbours(edges: DataFrame, k: int, directed: bool = False, include_current: bool = False) -> DataFrame:
+    """(batch, node, neighbour, e_id, age): the k most recent neighbours from earlier batches.
+
+    directed counts an edge at its destination only; include_current inserts a batch's own
+    edges before it is asked. Events of a node are numbered; what a batch may see
+    of a node is how many came before it (up to its end), so the last k are a band of numbers
+    and the join is on node and number, k rows for each pair of batch and node.
+    """
+    ends = edges.select("batch", "event_id", "t", F.col("dst").alias("node"), F.col("src").alias("neighbour"), F.lit(1).alias("side"))
+    asks = ends.select("batch", "node").unionByName(edges.select("batch", F.col("src").alias("node"))).distinct()
+    if not directed:
+        ends = ends.unionByName(edges.select("batch", "event_id", "t", F.col("src").alias("node"), F.col("dst").alias("neighbour"), F.lit(0).alias("side")))
+    numbered = with_ordinal(ends, ["node"], ["t", "event_id", "side"], HOUR, "no")
+    sizes = ends.groupBy("node", "batch").agg(F.count("*").cast("long").alias("_n"))
+    asked = asks.join(sizes, ["node", "batch"], "left").fillna(0, ["_n"])
+    asked = with_running(asked, ["node"], ["batch"], 1 << 12, {"seen": ("sum", "_n")}, before=not include_current).fillna(0, ["seen"])
+    wanted = asked.select("batch", "node", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("age"), "seen").withColumn("no", F.col("seen") - F.col("age")).filter("no >= 0")
+    return wanted.join(numbered.select("node", "no", "neighbour", F.col("event_id").alias("e_id")), ["node", "no"]).select("batch", "node", "neighbour", "e_id", "age")
 
 
-def last_neighbours(edges: DataFrame, k: int) -> DataFrame:
-    """(batch, node, neighbour, e_id, age): the k most recent neighbours from earlier batches, either direction.
+def last_neighbours_hops(edges: DataFrame, k: int, hops: int) -> DataFrame:
+    """(batch, node, neighbour, hop): nodes met by following last neighbours hop by hop, each batch with what it may see.
 
-    Events of a node are numbered; what a batch may see of a node is how many
-    came before it, so the last k are a band of numbers and the join is on node
-    and number, k rows for each pair of batch and node.
+    A neighbour that a batch does not hold itself is asked for what came before that batch as well.
     """
-    ends = edges.select("batch", "event_id", "t", F.col("src").alias("node"), F.col("dst").alias("neighbour"), F.lit(0).alias("side"))
-    ends = ends.unionByName(edges.select("batch", "event_id", "t", F.col("dst").alias("node"), F.col("src").alias("neighbour"), F.lit(1).alias("side")))
-    numbered = ends.withColumn("no", F.row_number().over(W.partitionBy("node").orderBy("t", "event_id", "side")))
-    asked = numbered.groupBy("batch", "node").agg((F.min("no") - 1).alias("seen"))
-    wanted = asked.select("batch", "node", "seen", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("age")).withColumn("no", F.col("seen") - F.col("age") + 1).filter("no >= 1")
-    return wanted.join(numbered.select("node", "no", "neighbour", F.col("event_id").alias("e_id")), ["node", "no"]).select("batch", "node", "neighbour", "e_id", "age")
+    numbered = stored(with_ordinal(edges.select("batch", "event_id", "t", F.col("src").alias("node"), F.col("dst").alias("neighbour"), F.lit(0).alias("side")).unionByName(edges.select("batch", "event_id", "t", F.col("dst").alias("node"), F.col("src").alias("neighbour"), F.lit(1).alias("side"))), ["node"], ["t", "event_id", "side"], HOUR, "no"), "numbered")
+    sizes = numbered.groupBy("node", "batch").agg(F.count("*").cast("long").alias("_n"))
+    front = edges.select("batch", F.col("src").alias("node")).unionByName(edges.select("batch", F.col("dst").alias("node"))).distinct().select("batch", "node", F.col("node").alias("at"))
+    out = None
+    for hop in range(1, hops + 1):
+        asks = front.select("batch", F.col("at").alias("node")).distinct()
+        known = asks.join(sizes, ["node", "batch"], "full").fillna(0, ["_n"])
+        seen = with_running(known, ["node"], ["batch"], 1 << 12, {"seen": ("sum", "_n")}, before=True).fillna(0, ["seen"])
+        band = asks.join(seen.select("node", "batch", "seen"), ["node", "batch"]).select("batch", "node", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("age"), "seen").withColumn("no", F.col("seen") - F.col("age")).filter("no >= 0")
+        near = band.join(numbered.select("node", "no", "neighbour"), ["node", "no"]).select("batch", F.col("node").alias("at"), "neighbour").distinct()
+        front = stored(front.join(near, ["batch", "at"]).select("batch", "node", F.col("neighbour").alias("at")).distinct(), "hops")
+        found = front.select("batch", "node", F.col("at").alias("neighbour"), F.lit(hop).alias("hop"))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def last_update(edges: DataFrame) -> DataFrame:
     """(batch, node, last_t): the last time a node was met before each batch that holds it."""
     ends = edges.select("batch", "t", F.col("src").alias("node")).unionByName(edges.select("batch", "t", F.col("dst").alias("node")))
     per = ends.groupBy("batch", "node").agg(F.max("t").alias("most"))
-    return per.withColumn("last_t", F.max("most").over(W.partitionBy("node").orderBy("batch").rowsBetween(W.unboundedPreceding, -1))).select("batch", "node", "last_t")
+    return with_running(per, ["node"], ["batch"], 1 << 12, {"last_t": ("max", "most")}, before=True).select("batch", "node", "last_t")
 
 
 def stacked(sizes: DataFrame, m: int) -> DataFrame:
@@ -85,6 +112,12 @@ def reindexed(edges: DataFrame, by: list[str]) -> DataFrame:
     return ends.withColumn("index", F.row_number().over(W.partitionBy(*by).orderBy("node")) - 1)
 
 
+def node_means_overwritten(edges: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Mean of an edge value over edges into a node; over edges out of it where none goes in (an earlier rule)."""
+    ends = edges.select(*by, F.col("src").alias("node"), F.col(value).alias("_o"), F.lit(None).cast("double").alias("_i")).unionByName(edges.select(*by, F.col("dst").alias("node"), F.lit(None).cast("double").alias("_o"), F.col(value).alias("_i")))
+    return ends.groupBy(*by, "node").agg(F.coalesce(F.avg("_i"), F.avg("_o")).alias(f"mean_{value}"))
+
+
 def node_means(edges: DataFrame, by: list[str], value: str) -> DataFrame:
     """Mean of an edge value over all edges at a node."""
     ends = edges.select(*by, F.col("src").alias("node"), value).unionByName(edges.select(*by, F.col("dst").alias("node"), value))
@@ -124,6 +157,31 @@ def union_windows(windows: list[DataFrame]) -> DataFrame:
     return out
 
 
+def batched(edges: DataFrame, settings: dict) -> DataFrame:
+    """The batching stage by its settings: a global batch (edges, minutes, unique_pairs), then one inside graphs.
+
+    global: none, edges, minutes or unique_pairs, with size; by: columns of a graph's key; inside: edges a batch in
+    a graph, numbered after the global ones; stack: graphs a stack. Adds batch and, where asked for, inner and stack.
+    """
+    by, kind = settings.get("by", []), settings.get("global", "none")
+    if kind == "edges":
+        edges = by_edges(edges, [], settings["size"])
+    elif kind == "minutes":
+        edges = by_time(edges, settings["size"] * 60_000_000_000, settings.get("length", settings["size"]) * 60_000_000_000, settings["start"])
+    elif kind == "unique_pairs":
+        edges = by_unique_pairs(edges, by)
+    elif kind != "none":
+        raise ValueError(f"no batching {kind!r}")
+    if "inside" in settings:
+        had = "batch" in edges.columns
+        named = edges.withColumnRenamed("batch", "_outer") if had else edges
+        named = by_edges(named, [*by, *(["_outer"] if had else [])], settings["inside"]).withColumnRenamed("batch", "inner")
+        edges = named.withColumnRenamed("_outer", "batch") if had else named
+    if "stack" in settings:
+        edges = edges.withColumn("stack", F.floor(F.col(by[-1]) / settings["stack"]))
+    return edges
+
+
 def iterate(edges: DataFrame, column: str = "batch") -> Iterator[DataFrame]:
     """One DataFrame a batch, for training loops; batch numbers are few."""
     for row in edges.select(column).distinct().orderBy(column).toLocalIterator():

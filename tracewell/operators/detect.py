@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from tracewell.functions.integers import floor_div
 
 EPS = 1e-12
+SLICE = 200_000  # ranked rows a task sorts
 
 
 def thresholds(val: DataFrame) -> DataFrame:
-    """One row: threshold by method from validation losses, and the constant ones."""
-    return val.agg(F.max("loss").alias("max_val_loss"), F.avg("loss").alias("mean_val_loss"), F.percentile("loss", F.lit(0.9)).alias("nodlink"), F.lit(1.5).alias("threatrace"), F.lit(0.53).alias("flash"))
+    """One row: threshold by method from validation losses (magic: from magic_score, where there is one), and the constant ones."""
+    magic = [F.avg("magic_score").alias("magic")] if "magic_score" in val.columns else []
+    return val.agg(F.max("loss").alias("max_val_loss"), F.avg("loss").alias("mean_val_loss"), F.percentile("loss", F.lit(0.9)).alias("nodlink"), F.lit(1.5).alias("threatrace"), F.lit(0.53).alias("flash"), *magic)
 
 
 def reduce_loss(method: str) -> Column:
@@ -33,6 +35,63 @@ def node_scores(losses: DataFrame, threshold: DataFrame, method: str, use_dst: b
     return per.crossJoin(F.broadcast(t)).select("node", "score", (F.col("score") > F.col("_t")).cast("int").alias("y_hat"), F.when(F.col("_m") > 0, F.col("_tw")).otherwise(F.lit(-1)).cast("long").alias("tw_with_max_loss"))
 
 
+def with_seen(scores: DataFrame, train: DataFrame) -> DataFrame:
+    """Adds is_seen: whether the node is an end of a training edge."""
+    seen = train.select(F.col("src").alias("node")).unionByName(train.select(F.col("dst").alias("node"))).distinct().withColumn("_seen", F.lit(1))
+    return scores.join(seen, "node", "left").withColumn("is_seen", F.coalesce("_seen", F.lit(0))).drop("_seen")
+
+
+def node_level_scores(losses: DataFrame, threshold: DataFrame, method: str, windows: DataFrame) -> DataFrame:
+    """(node, score, y_hat, tw_with_max_loss, detected_tw, start_t, end_t) from node losses (tw, node, loss, ...).
+
+    threatrace and flash read their score and correct_pred, magic its score: a node's score is the
+    greatest, and it is flagged if one over the threshold has a right prediction (magic: any). The window of the
+    greatest such score, else of the greatest positive loss, gives the time range from windows(tw, start_t, end_t).
+    Ties take the first window.
+    """
+    own = {"threatrace": "threatrace_score", "flash": "flash_score", "magic": "magic_score"}.get(method)
+    t = threshold.select(F.col(method).alias("_t"))
+    d = losses.crossJoin(F.broadcast(t))
+    value = F.col(own or "loss")
+    hit = value > F.col("_t")
+    if method in ("threatrace", "flash"):
+        hit = hit & F.coalesce(F.col("correct_pred").cast("boolean"), F.lit(False))
+    best = F.max_by(F.when(hit, F.col("tw")), F.when(hit, F.struct(value.alias("v"), (-F.col("tw")).alias("w")))) if own else F.lit(None).cast("long")
+    per = d.groupBy("node").agg(
+        (F.max(own) if own else reduce_loss(method)).alias("score"), F.max(hit.cast("int")).alias("_hit"), F.max("_t").alias("_t"), best.alias("_best"),
+        F.max_by("tw", F.struct("loss", -F.col("tw"))).alias("_tw"), F.max("loss").alias("_m"),
+    )
+    flagged = F.col("_hit") if method in ("threatrace", "flash") else (F.col("score") > F.col("_t")).cast("int")
+    loudest = F.when(F.col("_m") > 0, F.col("_tw"))
+    out = per.select("node", "score", flagged.alias("y_hat"), F.coalesce(loudest, F.lit(-1)).cast("long").alias("tw_with_max_loss"), F.coalesce("_best", loudest).cast("long").alias("detected_tw"))
+    return out.join(windows.select(F.col("tw").alias("detected_tw"), "start_t", "end_t"), "detected_tw", "left")
+
+
+def traced_results(results: DataFrame, traced: DataFrame) -> DataFrame:
+    """results(tw, node, score, y_true) with y_hat by whether tracing kept the node in that window, traced(tw, node)."""
+    kept = traced.select("tw", "node").distinct().withColumn("_k", F.lit(1))
+    return results.drop("y_hat").join(kept, ["tw", "node"], "left").withColumn("y_hat", F.coalesce("_k", F.lit(0))).drop("_k")
+
+
+def traced_nodes(results: DataFrame) -> DataFrame:
+    """traced_results as one row a node: what its last window says."""
+    last = F.max_by(F.struct("score", "y_true", "y_hat"), F.col("tw"))
+    return results.groupBy("node").agg(last.alias("r")).select("node", "r.*")
+
+
+def results_by_window(results: DataFrame, window_nodes: DataFrame) -> DataFrame:
+    """Node results spread over the windows that hold the nodes, window_nodes(tw, node)."""
+    return window_nodes.select("tw", "node").distinct().join(results.select("node", "score", "y_true", "y_hat"), "node")
+
+
+def tracing_counts(traced: DataFrame, bad: DataFrame) -> DataFrame:
+    """(tw, poi, is_tp, tps, fps): of the nodes traced from each poi, traced(tw, poi, node), how many are bad(node)."""
+    b = bad.select("node").distinct().withColumn("_b", F.lit(1))
+    d = traced.select("tw", "poi", "node").distinct().join(b, "node", "left")
+    per = d.groupBy("tw", "poi").agg(F.count("_b").alias("tps"), (F.count("*") - F.count("_b")).alias("fps"))
+    return per.join(b.select(F.col("node").alias("poi"), "_b"), "poi", "left").select("tw", "poi", F.coalesce("_b", F.lit(0)).alias("is_tp"), "tps", "fps")
+
+
 def window_scores(losses: DataFrame, threshold: DataFrame, method: str, keys: list[str]) -> DataFrame:
     """(keys, score, y_hat) reduced per window, or per window and node."""
     t = threshold.select(F.col(method).alias("_t"))
@@ -86,13 +145,16 @@ def confusion(results: DataFrame) -> DataFrame:
         ("accuracy", (tp + tn) / (tp + tn + fp + fn + EPS)), ("balanced_acc", (recall + tn / (tn + fp + EPS)) / 2), ("lr_plus", recall / (fpr + EPS)), ("dor", tp * tn / (fp * fn + EPS)), ("mcc", mcc))])
 
 
-def running(df: DataFrame, ties: list[str], sums: dict[str, str], rank: str | None = None, slices: int = 64) -> DataFrame:
+def running(df: DataFrame, ties: list[str], sums: dict[str, str], rank: str | None = None, slices: int | None = None) -> DataFrame:
     """Adds running sums from the highest score down (ties in order of `ties`), and the rank.
 
     Rows are cut at quantiles of the score; sums run inside a slice, on top of
-    the totals of the slices above, one row each. Equal scores share a slice.
+    the totals of the slices above, one row each; there are as many slices as keep one
+    at about SLICE rows. Equal scores share a slice; they are counted by one task, so
+    group by score first where few scores occur.
     """
-    cuts = sorted(set(df.approxQuantile("score", [i / slices for i in range(1, slices)], 0.01)))
+    slices = slices or max(16, -(-df.count() // SLICE))
+    cuts = sorted(set(df.approxQuantile("score", [i / slices for i in range(1, slices)], min(0.01, 1 / (4 * slices)))))
     slice_of = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col("score") < c)) if cuts else F.lit(0)
     d = df.withColumn("_slice", slice_of)
     names = {**sums, **({rank: "_one"} if rank else {})}
@@ -248,6 +310,16 @@ def dor_sweep(results: DataFrame, steps: int = 300) -> DataFrame:
     return d.select("bin", F.round(F.col("_lo") + F.col("bin") * width, 6).alias("threshold"), F.round(tp / F.col("_p"), 6).alias("recall"), F.round(tp * tn / (fp * fn + EPS), 6).alias("dor"))
 
 
+def best_by(stats: DataFrame, *metrics: str) -> DataFrame:
+    """The row of greatest metrics, in their order; ties take the least epoch."""
+    return stats.groupBy().agg(F.max_by(F.struct(*stats.columns), F.struct(*metrics, -F.col("epoch"))).alias("b")).select("b.*")
+
+
+def attacks_of_nodes(attacks: DataFrame) -> DataFrame:
+    """(node, attacks): the attacks of each node, from (attack_id, node) rows."""
+    return attacks.groupBy("node").agg(F.array_sort(F.collect_set("attack_id")).alias("attacks"))
+
+
 def best_epoch(stats: DataFrame) -> DataFrame:
     """The epoch of greatest adp, then discrimination, then least number."""
     return stats.groupBy().agg(F.max_by(F.struct(*stats.columns), F.struct("adp", "discrim", -F.col("epoch"))).alias("b")).select("b.*")

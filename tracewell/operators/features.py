@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewell.functions.scalar import any_tokens, prefixes, word_weights
+from tracewell.functions.ordinal import HOUR, with_ordinal, with_running
+from tracewell.functions.scalar import any_tokens, positional, prefixes, word_weights
+from tracewell.functions.tables import stored
 
 
 def corpus(nodes: DataFrame, members: DataFrame, splits: tuple[str, ...]) -> DataFrame:
@@ -25,10 +27,12 @@ def neighbour_corpus(edges: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def event_sentences(edges: DataFrame, by: list[str], most: int = 100) -> DataFrame:
-    """(by, node, words): (source, operation, destination) of a node's first `most` events in time order."""
+    """(by, node, words): (source, operation, destination) of a node's first `most` events in time order.
+
+    The method ends a sentence list at 300 words, hence 100 events.
+    """
     ends = edges.withColumn("node", F.explode(F.array_distinct(F.array("src", "dst"))))
-    no = F.row_number().over(W.partitionBy(*by, "node").orderBy("t", "event_id"))
-    kept = ends.withColumn("_r", no).filter(F.col("_r") <= most)
+    kept = with_ordinal(ends, [*by, "node"], ["t", "event_id"], HOUR, "_r").filter(F.col("_r") < most)
     words = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_r", F.array(F.col("src").cast("string"), "op", F.col("dst").cast("string")).alias("w")))), lambda s: s["w"]))
     return kept.groupBy(*by, "node").agg(words.alias("words"))
 
@@ -73,41 +77,113 @@ def char_ngrams(word: Column, low: int = 3, high: int = 6) -> Column:
     return F.concat(*[of(n) for n in range(low, high + 1)])
 
 
-def temporal_walks(edges: DataFrame, starts: DataFrame, length: int, n_walks: int, seed: int = 0, forward: bool = True) -> DataFrame:
-    """(node, walk, path): walks along strictly later (backward: earlier) edges.
+def _drawn(seed: int, k: int, of: Column) -> Column:
+    """A number below `of` from the walk's name and step, so that retries agree and any engine can follow."""
+    return F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "node", "walk", F.lit(k))), 1, 8), 16, 10).cast("long"), of)
 
-    The next edge is the one of least hash of (seed, walk, step, event), so that
-    retries agree; each step is one join on the node a walk stands at.
+
+def walk_table(edges: DataFrame, forward: bool = True) -> DataFrame:
+    """(at, no, next, ahead, out): a node's edges in walking order (backward: latest first) numbered from 0.
+
+    ahead is the number of the first edge of next that lies strictly later (backward: earlier); out is how
+    many next has. A walk's choices are then a range of numbers, and a step is one lookup.
     """
     a, b = ("src", "dst") if forward else ("dst", "src")
-    e = edges.select(F.col(a).alias("at"), F.col(b).alias("next"), F.col("t").alias("et"), "event_id")
-    begin = F.lit(-(2**62) if forward else 2**62).cast("long")
-    walks = starts.select("node", F.explode(F.sequence(F.lit(0), F.lit(n_walks - 1))).alias("walk")).select("node", "walk", F.col("node").alias("at"), begin.alias("t"), F.array("node").alias("path"))
+    t = F.col("t") if forward else -F.col("t")
+    e = edges.select(F.col(a).alias("at"), F.col(b).alias("next"), t.alias("w"), "event_id")
+    no = with_ordinal(e, ["at"], ["w", "event_id"], HOUR, "no")
+    # at each node: its own edges count, arrivals ask how many lie at or before them
+    seen = e.select(F.col("at").alias("v"), "w", F.lit(0).alias("kind"), "event_id", F.lit(1).cast("long").alias("one")).unionByName(e.select(F.col("next").alias("v"), "w", F.lit(1).alias("kind"), "event_id", F.lit(0).cast("long").alias("one")))
+    ahead = with_running(seen, ["v"], ["w", "kind", "event_id"], HOUR, {"ahead": ("sum", "one")}).filter("kind = 1").select("event_id", "ahead")
+    out = e.groupBy(F.col("at").alias("next")).agg(F.count("*").alias("out"))
+    return no.join(ahead, "event_id").join(out, "next", "left").select("at", "no", "next", "w", "ahead", F.coalesce("out", F.lit(0)).alias("out"))
+
+
+def temporal_walks(edges: DataFrame, starts: DataFrame, length: int, n_walks: int, seed: int = 0, forward: bool = True) -> DataFrame:
+    """(node, walk, path): walks along strictly later (backward: earlier) edges, each next edge equally likely.
+
+    A walk ends where no edge is left. Edges are picked by number, so each step is one equality join
+    that finds at most one edge a walk, however many a node has.
+    """
+    table = stored(walk_table(edges, forward), "walk-table")
+    first = table.groupBy(F.col("at").alias("node")).agg(F.count("*").alias("out"))
+    walks = starts.distinct().join(first, "node", "left").fillna(0, ["out"]).select("node", F.explode(F.sequence(F.lit(0), F.lit(n_walks - 1))).alias("walk"), "out")
+    walks = walks.select("node", "walk", F.col("node").alias("at"), F.lit(0).cast("long").alias("ahead"), "out", F.array("node").alias("path"))
+    edge = table.select("at", "no", F.col("next").alias("_next"), F.col("ahead").alias("_ahead"), F.col("out").alias("_out"))
     for k in range(1, length):
-        ok = F.col("et") > F.col("t") if forward else F.col("et") < F.col("t")
-        draw = F.md5(F.concat_ws("|", F.lit(seed), "node", "walk", F.lit(k), "event_id"))
-        step = walks.join(e, "at").filter(ok).groupBy("node", "walk").agg(F.min_by(F.struct("next", "et"), F.struct(draw, "event_id")).alias("s"))
-        moved = walks.join(step, ["node", "walk"], "left")
-        walks = moved.select("node", "walk", F.when(F.col("s").isNull(), F.lit(None)).otherwise(F.col("s.next")).alias("at"), F.coalesce("s.et", "t").alias("t"), F.when(F.col("s").isNull(), F.col("path")).otherwise(F.concat("path", F.array("s.next"))).alias("path"))
+        left = F.col("out") - F.col("ahead")
+        asked = walks.withColumn("no", F.when(left > 0, F.col("ahead") + _drawn(seed, k, F.when(left > 0, left).otherwise(1))))
+        moved = asked.join(edge, ["at", "no"], "left")
+        on = F.col("_next").isNotNull()
+        walks = moved.select("node", "walk", F.coalesce("_next", "at").alias("at"), F.when(on, F.col("_ahead")).otherwise(F.col("out")).alias("ahead"), F.when(on, F.col("_out")).otherwise(F.col("out")).alias("out"), F.when(on, F.concat("path", F.array("_next"))).otherwise(F.col("path")).alias("path"))
+        walks = stored(walks, "walks")
     return walks.select("node", "walk", "path")
 
 
+def walks_either_way(edges: DataFrame, starts: DataFrame, length: int = 30, n_walks: int = 10, seed: int = 0) -> DataFrame:
+    """(node, walk, path): forward walks from nodes with an edge out, backward ones from the others."""
+    out = edges.select(F.col("src").alias("node")).distinct()
+    ahead, back = starts.join(out, "node", "left_semi"), starts.join(out, "node", "left_anti")
+    return temporal_walks(edges, ahead, length, n_walks, seed).unionByName(temporal_walks(edges, back, length, n_walks, seed, False))
+
+
+def decayed_choice(edges: DataFrame, asked: DataFrame, half_life: float, seed: int = 0) -> DataFrame:
+    """(walk, next, t): for each walk, asked(walk, at, t), one strictly later edge, drawn in proportion to exp(-gap / half_life).
+
+    The draw is an exponential race: each edge's time to ring is -ln(u) over its weight, taken in logarithms.
+    """
+    e = edges.select(F.col("src").alias("at"), F.col("dst").alias("next"), F.col("t").alias("et"), "event_id")
+    u = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "walk", "event_id")), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+    ring = F.ln(-F.ln(u)) + (F.col("et") - F.col("t")) / F.lit(float(half_life))
+    return asked.join(e, "at").filter("et > t").groupBy("walk").agg(F.min_by(F.struct("next", F.col("et").alias("t")), F.struct(ring.alias("r"), "event_id")).alias("s")).select("walk", "s.next", "s.t")
+
+
 def static_walks(edges: DataFrame, length: int, walks_per_degree: int, seed: int = 0) -> DataFrame:
     """(node, walk, path): walks over both directions of distinct pairs, degree times walks_per_degree from each node.
 
-    A path alternates nodes and the operation of the edge taken; the edge is the
-    one of least hash among those at the node.
+    A path alternates nodes and an operation between them. Neighbours of a node and operations of a pair are
+    numbered, so each step finds one neighbour and one operation by number.
     """
     both = edges.select(F.col("src").alias("at"), "op", F.col("dst").alias("next")).unionByName(edges.select(F.col("dst").alias("at"), "op", F.col("src").alias("next"))).distinct()
-    degree = both.groupBy(F.col("at").alias("node")).agg(F.countDistinct("next").alias("d"))
-    walks = degree.select("node", F.explode(F.sequence(F.lit(1), F.col("d").cast("int") * walks_per_degree)).alias("walk")).select("node", "walk", F.col("node").alias("at"), F.array(F.col("node").cast("string")).alias("path"))
+    near = stored(with_ordinal(both.select("at", "next").distinct(), ["at"], ["next"], 1 << 16, "no"), "near")
+    ops = stored(both.withColumn("j", F.row_number().over(W.partitionBy("at", "next").orderBy("op")) - 1).join(both.groupBy("at", "next").agg(F.count("*").alias("n_ops")), ["at", "next"]), "ops")
+    degree = stored(near.groupBy("at").agg(F.count("*").alias("d")), "degree")
+    walks = degree.select(F.col("at").alias("node"), F.explode(F.sequence(F.lit(1), F.col("d").cast("int") * walks_per_degree)).alias("walk")).select("node", "walk", F.col("node").alias("at"), F.array(F.col("node").cast("string")).alias("path"))
+    pair = ops.filter("j = 0").select("at", "next", "n_ops")
     for k in range(1, length):
-        draw = F.md5(F.concat_ws("|", F.lit(seed), "node", "walk", F.lit(k), "op", "next"))
-        step = walks.join(both, "at").groupBy("node", "walk").agg(F.min_by(F.struct("op", "next"), F.struct(draw, "next", "op")).alias("s"), F.first("path").alias("path"))
-        walks = step.select("node", "walk", F.col("s.next").alias("at"), F.concat("path", F.array("s.op", F.col("s.next").cast("string"))).alias("path"))
+        walks = walks.join(degree, "at").withColumn("no", _drawn(seed, 2 * k, F.col("d"))).join(near, ["at", "no"]).join(pair, ["at", "next"])
+        walks = walks.withColumn("j", _drawn(seed, 2 * k + 1, F.col("n_ops")).cast("int")).join(ops.select("at", "next", "j", "op"), ["at", "next", "j"])
+        walks = stored(walks.select("node", "walk", F.col("next").alias("at"), F.concat("path", F.array("op", F.col("next").cast("string"))).alias("path")), "walks")
     return walks.select("node", "walk", "path")
 
 
+def split_message(message: Column, parts: list[tuple[str, int]]) -> dict[str, Column]:
+    """The named parts of a packed edge vector, by their sizes in order."""
+    out, at = {}, 1
+    for name, size in parts:
+        out[name] = F.slice(message, at, size)
+        at += size
+    return out
+
+
+def constant_vectors(nodes: DataFrame, kind: str, types: tuple[str, ...] = ()) -> DataFrame:
+    """(node, vec) without training: only_type gives the node type's one-hot, only_ones a single 1."""
+    if kind == "only_ones":
+        return nodes.select("node", F.array(F.lit(1.0)).alias("vec"))
+    if kind != "only_type":
+        raise ValueError(f"no constant vectors {kind!r}")
+    return nodes.select("node", F.array(*[(F.col("node_type") == t).cast("double") for t in types]).alias("vec"))
+
+
+def document_vector(words: DataFrame, vectors: DataFrame, by: list[str], size: int) -> DataFrame:
+    """(by, node, vec): mean over a document's known words of vector plus positional encoding; zeros if none is known."""
+    each = words.select(*by, "node", F.posexplode("words").alias("i", "word")).join(vectors.select("word", "vec"), "word")
+    placed = each.select(*by, "node", F.posexplode(F.zip_with("vec", positional(F.col("i"), size), lambda v, p: v.cast("double") + p)).alias("k", "x"))
+    mean = placed.groupBy(*by, "node", "k").agg(F.avg("x").alias("x")).groupBy(*by, "node").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("vec"))
+    zeros = F.array_repeat(F.lit(0.0), size)
+    return words.select(*by, "node").join(mean, [*by, "node"], "left").withColumn("vec", F.coalesce("vec", zeros))
+
+
 def context_vectors(tokens: DataFrame, vectors: DataFrame, window: int) -> DataFrame:
     """(word, k, x): mean over a word's occurrences of the summed vectors of words up to window places away."""
     t = tokens.select("node", F.posexplode("tokens").alias("i", "word"))

@@ -13,6 +13,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from tracewell.functions.ordinal import with_ordinal
+
+from .score import cross_entropy, dot, mae, mse, sce, softplus
+
 
 def time_encoding(gap: Column, size: int) -> Column:
     """cos of a time gap at geometrically falling frequencies."""
@@ -81,6 +85,76 @@ def forward(df: DataFrame, column: str, layers: list[tuple[str, float | None]],
     return df.withColumn(out, pandas_udf("array<double>")(run)(column))
 
 
+def activation(name: str, v: Column) -> Column:
+    """An activation over a vector column, as an expression."""
+    one = {
+        "relu": lambda x: F.greatest(x, F.lit(0.0)),
+        "leaky_relu": lambda x: F.when(x > 0, x).otherwise(x * 0.01),
+        "tanh": lambda x: F.tanh(x),
+        "sigmoid": lambda x: 1 / (1 + F.exp(-x)),
+        "elu": lambda x: F.when(x > 0, x).otherwise(F.expm1(x)),
+        "identity": lambda x: x,
+        "dropout": lambda x: x,
+    }
+    if name not in one:
+        raise ValueError(f"no activation {name!r}")
+    return F.transform(v, one[name])
+
+
+def activated(df: DataFrame, column: str, name: str) -> DataFrame:
+    return df.withColumn(column, activation(name, F.col(column)))
+
+
+def gathered(edges: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Edges with src_vec and dst_vec from vectors(node, vec); edges at a node without a vector go."""
+    v = vectors.select("node", "vec")
+    return edges.join(v.withColumnsRenamed({"node": "src", "vec": "src_vec"}), "src").join(v.withColumnsRenamed({"node": "dst", "vec": "dst_vec"}), "dst")
+
+
+def inner_product(edges: DataFrame, out: str) -> DataFrame:
+    """The inner-product decoder: a link's logit from the vectors of its ends."""
+    return edges.withColumn(out, dot(F.col("src_vec"), F.col("dst_vec")))
+
+
+def edge_mlp(edges: DataFrame, layers: str, weights: list, out: str) -> DataFrame:
+    """The edge decoder: a network over both ends' vectors side by side."""
+    return forward(edges.withColumn("_both", F.concat("src_vec", "dst_vec")), "_both", parse_layers(layers), weights, out).drop("_both")
+
+
+LOSSES = {"mse": mse, "mae": mae, "sce": sce}
+
+# Objectives by name: a column with an edge's or node's loss from its parts.
+OBJECTIVES = {
+    "predict_type": lambda o: cross_entropy(F.col(o["logits"]), F.col(o["target"])),
+    "reconstruct": lambda o: LOSSES[o.get("loss", "mse")](F.col(o["x"]), F.col(o["y"])),
+    "link": lambda o: softplus(-F.col(o["logit"])),
+    "no_link": lambda o: softplus(F.col(o["logit"])),
+    "reconstruct_masked": lambda o: F.when(F.col(o["mask"]), LOSSES[o.get("loss", "sce")](F.col(o["x"]), F.col(o["y"]))).otherwise(F.lit(0.0)),
+}
+
+
+def losses(df: DataFrame, objectives: list[tuple[str, dict]], weights: list[float] | None = None) -> DataFrame:
+    """Adds loss: the weighted sum of the objectives' losses."""
+    total = F.lit(0.0)
+    for (name, o), w in zip(objectives, weights or [1.0] * len(objectives)):
+        if name not in OBJECTIVES:
+            raise ValueError(f"no objective {name!r}")
+        total = total + w * OBJECTIVES[name](o)
+    return df.withColumn("loss", total)
+
+
+def masked(nodes: DataFrame, share: float, seed: int = 0) -> DataFrame:
+    """nodes(node, x) with mask, true for a share of them by a hash, and x_in, zeros where it is true."""
+    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "node")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return nodes.withColumn("mask", draw < share).withColumn("x_in", F.when(F.col("mask"), F.transform("x", lambda _: F.lit(0.0))).otherwise(F.col("x")))
+
+
+def few_shot(train: DataFrame, column: str, k: int, seed: int = 0) -> DataFrame:
+    """k rows of each class by a hash of event_id, for a last round of training."""
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "event_id")), 1, 15), 16, 10).cast("long")
+    return with_ordinal(train.withColumn("_h", h), [column], ["_h", "event_id"], 1 << 50, "_r").filter(F.col("_r") < k).drop("_r", "_h")
+
+
 def without_attacks(edges: DataFrame) -> DataFrame:
     """Edges that no label marks as an attack, for training."""
     return edges.filter(F.coalesce("y", F.lit(0)) != 1)
@@ -105,6 +179,14 @@ def save_model(model, path: str) -> None:
     model.write().overwrite().save(path)
 
 
+def load_model(path: str):
+    """A saved model of any of the library's kinds."""
+    from pyspark.ml.util import DefaultParamsReader
+    from pyspark.sql import SparkSession
+
+    return DefaultParamsReader.loadParamsInstance(path, SparkSession.active().sparkContext)
+
+
 def document_vectors(tokens: DataFrame, size: int, seed: int = 0) -> DataFrame:
     """(node, vec): mean word vectors of each document, by the library's Word2Vec."""
     from pyspark.ml.feature import Word2Vec

@@ -38,6 +38,18 @@ def rare_members(members: DataFrame, test_idf: DataFrame, train_idf: DataFrame,
     return d.filter(F.coalesce("_a", "_na") + F.coalesce("_b", "_nb") > least).select("tw", "node")
 
 
+def rare_members_earlier(members: DataFrame, node_idf: DataFrame, n: DataFrame, share: float = 0.9) -> DataFrame:
+    """members(tw, node) by the earlier rule: idf over ln(share * N); a node not met has ln(N)."""
+    d = members.join(node_idf.select("node", "idf"), "node", "left").crossJoin(F.broadcast(n.select(F.col("n").alias("_n"))))
+    return d.filter(F.coalesce("idf", F.ln("_n")) > F.ln(F.col("_n") * share)).select("tw", "node")
+
+
+def outlying_members(members: DataFrame, lof: DataFrame, seen: DataFrame, least: float = 1.0) -> DataFrame:
+    """members(tw, node) that training has not seen and whose outlier factor, lof(id, lof), exceeds least."""
+    new = members.join(seen.select("node").distinct(), "node", "left_anti")
+    return new.join(lof.filter(F.col("lof") > least).select(F.col("id").alias("node")), "node", "left_semi").select("tw", "node")
+
+
 def related_windows(rare: DataFrame) -> DataFrame:
     """(tw_a, tw_b, n_shared) with tw_a < tw_b; rare nodes are in few windows by construction."""
     a, b = rare.select(F.col("tw").alias("tw_a"), "node"), rare.select(F.col("tw").alias("tw_b"), "node")

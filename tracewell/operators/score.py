@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracewell.functions.ordinal import with_ordinal
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -36,6 +37,21 @@ def bce(p: Column, y: Column) -> Column:
     return -(y * F.ln(p) + (1 - y) * F.ln(1 - p))
 
 
+def softplus(x: Column) -> Column:
+    return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
+
+
+def bce_logits(x: Column, y: Column) -> Column:
+    """Binary cross-entropy of a logit."""
+    return y * softplus(-x) + (1 - y) * softplus(x)
+
+
+def contrastive_bce(positive: DataFrame, negative: DataFrame) -> DataFrame:
+    """One row, loss: half the sum of the mean losses of true edges' logits as 1 and of false edges' as 0, both in `logit`."""
+    p = positive.agg(F.avg(softplus(-F.col("logit"))).alias("_p"))
+    return p.crossJoin(negative.agg(F.avg(softplus(F.col("logit"))).alias("_n"))).select(((F.col("_p") + F.col("_n")) * 0.5).alias("loss"))
+
+
 def cross_entropy(logits: Column, target: Column) -> Column:
     """-log softmax at the zero-based target."""
     most = F.array_max(logits)
@@ -65,17 +81,54 @@ def confidence(df: DataFrame, scores: str, by: list[str], out: str = "confidence
     return d.join(bounds, by).withColumn(out, F.when(width > 0, (F.col("_c") - F.col("_lo")) / width).otherwise(F.lit(0.0))).drop("_c", "_lo", "_hi")
 
 
-def knn_score(train: DataFrame, test: DataFrame, k: int, most_train: int = 5000) -> DataFrame:
-    """(id, score): mean distance to the k nearest training vectors.
+def _sampled(vectors: DataFrame, by: list[str], most: int) -> DataFrame:
+    """At most `most` rows a batch, by a hash of the id."""
+    h = F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 15), 16, 10).cast("long")
+    return with_ordinal(vectors.withColumn("_h", h), by, ["_h", "id"], 1 << 50, "_r").filter(F.col("_r") < most).drop("_r", "_h")
+
+
+def z_scored(vectors: DataFrame, sample: DataFrame, by: list[str]) -> DataFrame:
+    """vectors(by, id, v) less the batch's sample mean, over its population deviation (1 where it is 0)."""
+    each = sample.select(*by, F.posexplode("v").alias("i", "x")).groupBy(*by, "i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
+    one = each.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("i", "m", "s"))).alias("_z"))  # one row a dimension
+    joined = vectors.join(F.broadcast(one), by) if by else vectors.crossJoin(F.broadcast(one))
+    z = F.zip_with("v", "_z", lambda x, p: (x.cast("double") - p["m"]) / F.when(p["s"] > 0, p["s"]).otherwise(1.0))
+    return joined.select(*by, "id", z.alias("v"))
+
 
-    train is cut to most_train rows by a hash of the id, the method's own sample,
-    so what is broadcast is bounded; every test row is scored.
+def knn_distance(train: DataFrame, test: DataFrame, k: int, by: list[str] | None = None, most_train: int = 5000) -> DataFrame:
+    """(by, id, distance): mean distance to the k nearest of the batch's training vectors.
+
+    Each batch's train is cut to most_train rows by a hash of the id, the method's own sample, so
+    what a batch's row holds is bounded; every test row is scored. Distances of a test row are computed where it lies.
     """
-    sample = train.orderBy(F.md5(F.col("id").cast("string")), "id").limit(most_train).select(F.col("id").alias("tid"), F.col("v").alias("tv"))
-    gathered = sample.agg(F.collect_list("tv").alias("all"))
+    by = by or []
+    gathered = _sampled(train.select(*by, "id", "v"), by, most_train).groupBy(*by).agg(F.collect_list("v").alias("all"))
+    joined = test.join(gathered, by) if by else test.crossJoin(F.broadcast(gathered))
     distances = F.array_sort(F.transform("all", lambda tv: F.sqrt(mse(F.col("v"), tv, mean=False))))
     near = F.slice(distances, 1, k)
-    return test.crossJoin(F.broadcast(gathered)).select("id", (F.aggregate(near, F.lit(0.0), lambda s, x: s + x) / F.size(near)).alias("score"))
+    return joined.select(*by, "id", (F.aggregate(near, F.lit(0.0), lambda s, x: s + x) / F.size(near)).alias("distance"))
+
+
+def knn_score(train: DataFrame, test: DataFrame, k: int, most_train: int = 5000) -> DataFrame:
+    """(id, score): mean distance to the k nearest training vectors."""
+    return knn_distance(train, test, k, None, most_train).select("id", F.col("distance").alias("score"))
+
+
+def magic_scores(train: DataFrame, test: DataFrame, by: list[str], k: int = 10, most: int = 5000) -> DataFrame:
+    """(by, id, score): mean distance to the k nearest of the batch's sample over the mean such distance in training.
+
+    Vectors are z-scored by their batch's sample of at most `most` rows. In training a row is its own nearest
+    neighbour; the batches' means are averaged (1e-9 if that is 0).
+    """
+    def distances(x: DataFrame, every: bool) -> DataFrame:
+        sample = _sampled(x, by, most)
+        z = z_scored(sample, sample, by)
+        return knn_distance(z, z_scored(x, sample, by) if every else z, k, by, most)
+
+    per = distances(train, False).groupBy(*by).agg(F.avg("distance").alias("_d")).agg(F.avg("_d").alias("_mean"))
+    mean = F.when(F.coalesce(F.col("_mean"), F.lit(0.0)) > 0, F.col("_mean")).otherwise(1e-9)
+    return distances(test, True).crossJoin(F.broadcast(per)).select(*by, "id", (F.col("distance") / mean).alias("score"))
 
 
 def frequency_loss(train: DataFrame, edges: DataFrame, n_ops: int, alpha: float = 1.0) -> DataFrame:
@@ -83,7 +136,7 @@ def frequency_loss(train: DataFrame, edges: DataFrame, n_ops: int, alpha: float
     keys = ["src_type", "dst_type"]
     ops = train.groupBy(*keys, "op").agg(F.count("*").alias("_n"))
     all_ = train.groupBy(*keys).agg(F.count("*").alias("_all"))
-    d = edges.join(F.broadcast(ops), [*keys, "op"], "left").join(F.broadcast(all_), keys, "left")
+    d = edges.join(ops, [*keys, "op"], "left").join(all_, keys, "left")
     share = (F.coalesce("_n", F.lit(0)) + alpha) / (F.coalesce("_all", F.lit(0)) + alpha * n_ops)
     return d.withColumn("loss", -F.ln(share)).drop("_n", "_all")
 
@@ -95,21 +148,19 @@ def neighbour_mean(edges: DataFrame, features: DataFrame, by: list[str]) -> Data
     return mean.groupBy(*by, "node").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("x"))
 
 
-def negative_edges(edges: DataFrame, seed: int = 0) -> DataFrame:
-    """As many edges with another edge's destination, less self loops and true edges.
+def negative_edges(edges: DataFrame, by: list[str], seed: int = 0) -> DataFrame:
+    """(by, event_id, src, dst): each edge with the destination of another of its graph, less self loops and true edges.
 
-    Sources and destinations are ordered by different hashes and paired by rank
-    within hash slices, so no task orders them all.
+    Destinations are permuted within the graph: both sides are numbered in orders of two hashes and
+    paired by number, so that every edge gets one and no task orders them all.
     """
-    slices = 64
-
-    def ranked(column: str, salt: int) -> DataFrame:
-        h = F.md5(F.concat_ws("|", F.lit(seed + salt), "event_id"))
-        d = edges.select("event_id", column).withColumn("_h", h).withColumn("_s", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int") % slices)
-        return d.withColumn("_r", F.row_number().over(W.partitionBy("_s").orderBy("_h", "event_id"))).select("_s", "_r", column)
+    def numbered(column: str, salt: int) -> DataFrame:
+        h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed + salt), "event_id")), 1, 15), 16, 10).cast("long")
+        return with_ordinal(edges.select(*by, "event_id", column).withColumn("_h", h), by, ["_h", "event_id"], 1 << 50, "_r")
 
-    pairs = ranked("src", 0).join(ranked("dst", 1), ["_s", "_r"]).filter("src != dst").select("src", "dst").distinct()
-    return pairs.join(edges.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
+    sources, targets = numbered("src", 0).select(*by, "_r", "event_id", "src"), numbered("dst", 1).select(*by, "_r", "dst")
+    pairs = sources.join(targets, [*by, "_r"]).filter("src != dst").drop("_r")
+    return pairs.join(edges.select(*by, "src", "dst").distinct(), [*by, "src", "dst"], "left_anti").select(*by, "event_id", "src", "dst")
 
 
 def attention(edges: DataFrame, by: list[str]) -> DataFrame:

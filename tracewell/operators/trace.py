@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,12 +50,31 @@ def entry_components(edges: DataFrame, by: list[str], pois: DataFrame) -> DataFr
     return on_way.unionByName(ends).distinct()
 
 
-def shortest_paths(edges: DataFrame, by: list[str], sources: DataFrame, most: int = 30) -> DataFrame:
-    """(by, src, dst, hops, path): one shortest path from each source, the least by node ids."""
+def exit_components(edges: DataFrame, by: list[str], pois: DataFrame) -> DataFrame:
+    """(by, poi, exit, node): per exit (a descendant without outgoing edges) the nodes on ways from the poi to it."""
+    back = edges.select(*by, F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return entry_components(back, by, pois).withColumnRenamed("entry", "exit")
+
+
+def attack_subgraph(edges: DataFrame, by: list[str], marked: DataFrame, labels: DataFrame, hops: int) -> DataFrame:
+    """Nodes around marked(by, node) within hops, those of equal path and type as one.
+
+    labels(by, node, path, node_type, y_true) describe nodes. Gives (by, path, node_type, y_true, score, first_t,
+    last_t, n_nodes) of the induced edges' ends: greatest label and loss, first and last time.
+    """
+    near = n_hop(edges, by, marked.withColumnRenamed("node", "poi"), hops).select(*by, "node")
+    own = induced(edges, near, by)
+    ends = own.select(*by, F.col("src").alias("node"), "t", "loss").unionByName(own.select(*by, F.col("dst").alias("node"), "t", "loss"))
+    per = ends.groupBy(*by, "node").agg(F.max("loss").alias("score"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
+    return fused_nodes(per.join(labels, [*by, "node"]), by)
+
+
+def shortest_paths(edges: DataFrame, by: list[str], sources: DataFrame) -> DataFrame:
+    """(by, src, dst, hops, path): one shortest path from each source, the least by node ids, of any length."""
     e = edges.filter("src != dst").select(*by, "src", "dst").distinct()
     step = e.select(*by, F.col("src").alias("dst"), F.col("dst").alias("next"))
     found = front = stored(sources.select(*by, F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0).alias("hops"), F.array("node").alias("path")), "paths")
-    for k in range(1, most + 1):
+    for k in count(1):
         more = front.join(step, [*by, "dst"]).select(*by, "src", F.col("next").alias("dst"), F.concat("path", F.array("next")).alias("path"))
         new = more.groupBy(*by, "src", "dst").agg(F.min("path").alias("path")).join(found, [*by, "src", "dst"], "left_anti")
         front = stored(new.select(*by, "src", "dst", F.lit(k).alias("hops"), "path"), "paths")
@@ -63,13 +84,13 @@ def shortest_paths(edges: DataFrame, by: list[str], sources: DataFrame, most: in
     return found
 
 
-def time_respecting(edges: DataFrame, by: list[str], start: DataFrame, forward: bool, most: int = 30) -> DataFrame:
+def time_respecting(edges: DataFrame, by: list[str], start: DataFrame, forward: bool) -> DataFrame:
     """(by, poi, node, t): nodes reached along edges of increasing (backward: decreasing) time; t is the best time of arrival."""
     a, b = ("src", "dst") if forward else ("dst", "src")
     best = F.min if forward else F.max
     found = front = stored(start.select(*by, "poi", F.col("poi").alias("node"), "t"), "times")
     e = edges.select(*by, F.col(a).alias("node"), F.col(b).alias("next"), F.col("t").alias("et"))
-    for _ in range(most):
+    while True:
         later = F.col("et") > F.col("t") if forward else F.col("et") < F.col("t")
         more = front.join(e, [*by, "node"]).filter(later).groupBy(*by, "poi", F.col("next").alias("node")).agg(best("et").alias("t"))
         old = found.groupBy(*by, "poi", "node").agg(best("t").alias("_t"))
@@ -106,6 +127,6 @@ def induced(edges: DataFrame, nodes: DataFrame, by: list[str]) -> DataFrame:
     return edges.join(n.withColumnRenamed("node", "src"), [*by, "src"], "left_semi").join(n.withColumnRenamed("node", "dst"), [*by, "dst"], "left_semi")
 
 
-def fused_nodes(nodes: DataFrame) -> DataFrame:
+def fused_nodes(nodes: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Nodes of equal path and type as one: greatest label and score, first and last time."""
-    return nodes.groupBy("path", "node_type").agg(F.max("y_true").alias("y_true"), F.max("score").alias("score"), F.min("first_t").alias("first_t"), F.max("last_t").alias("last_t"), F.count("*").alias("n_nodes"))
+    return nodes.groupBy(*(by or []), "path", "node_type").agg(F.max("y_true").alias("y_true"), F.max("score").alias("score"), F.min("first_t").alias("first_t"), F.max("last_t").alias("last_t"), F.count("*").alias("n_nodes"))

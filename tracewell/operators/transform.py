@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracewell.functions.ordinal import HOUR, with_ordinal, with_running
 from tracewell.functions.tables import stored
 
 
@@ -19,17 +20,58 @@ def undirected(edges: DataFrame, by: list[str]) -> DataFrame:
     return edges.unionByName(swapped)
 
 
+def strong_components(edges: DataFrame, by: list[str]) -> DataFrame:
+    """(by, node, component) for nodes that may lie on a cycle; a component's name is one of its nodes.
+
+    Edges at nodes without a way in or a way out drop out first, round by round. Of the rest each
+    node takes the greatest node that reaches it as its colour; the nodes of a colour that
+    reach the one it is named by are a component. What is left goes through the same again.
+    All state is in tables of the size of the graph; no pairs of nodes are listed.
+    """
+    e = stored(edges.filter("src != dst").select(*by, "src", "dst").distinct(), "scc-edges")
+    out = None
+    while True:
+        n = e.count()
+        while n:
+            into, from_ = e.select(*by, F.col("dst").alias("src")).distinct(), e.select(*by, F.col("src").alias("dst")).distinct()
+            e = stored(e.join(into, [*by, "src"], "left_semi").join(from_, [*by, "dst"], "left_semi"), "scc-edges")
+            n, had = e.count(), n
+            if n == had:
+                break
+        if not n:
+            break
+        colour = stored(e.select(*by, F.col("src").alias("node")).distinct().withColumn("colour", F.col("node")), "scc-colours")
+        while True:
+            sent = e.join(colour.withColumnRenamed("node", "src"), [*by, "src"]).groupBy(*by, F.col("dst").alias("node")).agg(F.max("colour").alias("_in"))
+            moved = stored(colour.join(sent, [*by, "node"], "left").select(*by, "node", F.col("colour").alias("_old"), F.greatest("colour", "_in").alias("colour")), "scc-colours")
+            colour = moved.drop("_old")
+            if not moved.filter("colour != _old").head(1):
+                break
+        inside = e.join(colour.select(*by, F.col("node").alias("src"), F.col("colour")), [*by, "src"]).join(colour.select(*by, F.col("node").alias("dst"), "colour"), [*by, "dst", "colour"]).select(*by, F.col("dst").alias("node"), F.col("src").alias("next"))
+        found = front = stored(colour.filter("node = colour"), "scc-found")
+        while front.head(1):
+            more = front.join(inside, [*by, "node"]).select(*by, F.col("next").alias("node"), "colour").distinct()
+            front = stored(more.join(found.select(*by, "node"), [*by, "node"], "left_anti"), "scc-found")
+            found = found.unionByName(front)
+        part = found.withColumnRenamed("colour", "component")
+        out = part if out is None else out.unionByName(part)
+        done = found.select(*by, "node")
+        e = stored(e.join(done.withColumnRenamed("node", "src"), [*by, "src"], "left_anti").join(done.withColumnRenamed("node", "dst"), [*by, "dst"], "left_anti"), "scc-edges")
+    if out is None:
+        return e.select(*by, F.col("src").alias("node"), F.col("dst").alias("component"))
+    return out
+
+
 def acyclic(edges: DataFrame, by: list[str]) -> DataFrame:
     """Collapses pairs, drops self loops, and removes all edges within strongly connected components.
 
     Every edge of a cycle goes, which is what removing found cycles until none is
-    left comes to when every cycle counts. Components come from forward and
-    backward reachability.
+    left comes to when every cycle counts.
     """
     e = edges.filter("src != dst").select(*by, "src", "dst").distinct()
-    reach = closure(e, by)
-    cyclic = reach.select(*by, F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return e.join(cyclic, [*by, "src", "dst"], "left_anti")
+    c = strong_components(edges, by)
+    inner = e.join(c.select(*by, F.col("node").alias("src"), "component"), [*by, "src"]).join(c.select(*by, F.col("node").alias("dst"), "component"), [*by, "dst", "component"])
+    return e.join(inner.select(*by, "src", "dst"), [*by, "src", "dst"], "left_anti")
 
 
 def roots(edges: DataFrame, by: list[str]) -> DataFrame:
@@ -69,10 +111,20 @@ def prune_roots(pseudo: DataFrame, edges: DataFrame, by: list[str], share: float
     return pseudo.join(wide.select(*by, "src"), [*by, "src"], "left_anti")
 
 
+def merged_pseudo(edges: DataFrame, pseudo: DataFrame, by: list[str]) -> DataFrame:
+    """(by, src, dst): distinct pairs of the graph and of its pseudo edges, whose roots are the nodes they stand for."""
+    return edges.select(*by, "src", "dst").unionByName(pseudo.select(*by, "src", "dst")).distinct()
+
+
+def digest(*parts: str | Column, hex_digits: int = 8) -> Column:
+    """A number from the md5 of parts, the same in any engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, hex_digits), 16, 10).cast("long")
+
+
 def random_times(edges: DataFrame, by: list[str], span: DataFrame, seed: int = 0) -> DataFrame:
     """Times in [low, high) of each graph, drawn by a hash of the edge, so that retries agree."""
-    draw = F.pmod(F.xxhash64(F.lit(seed), *by, "src", "dst"), F.lit(1 << 30)) / float(1 << 30)
-    return edges.join(span, by).withColumn("t", (F.col("low") + F.floor(draw * (F.col("high") - F.col("low")))).cast("long")).drop("low", "high")
+    draw = F.pmod(digest(F.lit(seed), *by, "src", "dst"), F.col("high") - F.col("low"))
+    return edges.join(span, by).withColumn("t", F.col("low") + draw).drop("low", "high")
 
 
 def versioned(edges: DataFrame, by: list[str], self_loops: bool = False) -> DataFrame:
@@ -83,28 +135,51 @@ def versioned(edges: DataFrame, by: list[str], self_loops: bool = False) -> Data
     version follows another, bumped.
     """
     e = edges if self_loops else edges.filter("src != dst")
-    seen = e.select(*by, "t", "event_id", F.col("src").alias("node"), F.lit(0).alias("role")).unionByName(e.select(*by, "t", "event_id", F.col("dst").alias("node"), F.lit(1).alias("role")))
-    w = W.partitionBy(*by, "node").orderBy("t", "event_id", "role")
-    counted = seen.withColumn("version", F.sum("role").over(w) - F.first("role").over(w)).withColumn("met", F.row_number().over(w) > 1)
-    both = counted.groupBy(*by, "event_id").agg(F.max(F.when(F.col("role") == 0, F.col("version"))).alias("src_version"), F.max(F.when(F.col("role") == 1, F.col("version"))).alias("dst_version"), F.bool_or((F.col("role") == 1) & F.col("met")).alias("bumped"))
+    seen = e.select(*by, "t", "event_id", F.col("src").alias("node"), F.lit(0).cast("long").alias("role")).unionByName(e.select(*by, "t", "event_id", F.col("dst").alias("node"), F.lit(1).cast("long").alias("role")))
+    first = seen.groupBy(*by, "node").agg(F.min_by("role", F.struct("t", "event_id", "role")).alias("_first"))
+    run = with_running(seen, [*by, "node"], ["t", "event_id", "role"], HOUR, {"_in": ("sum", "role"), "_met": ("sum", F.lit(1).cast("long"))})
+    counted = run.join(first, [*by, "node"]).withColumn("version", F.col("_in") - F.col("_first"))
+    both = counted.groupBy(*by, "event_id").agg(F.max(F.when(F.col("role") == 0, F.col("version"))).alias("src_version"), F.max(F.when(F.col("role") == 1, F.col("version"))).alias("dst_version"), F.bool_or((F.col("role") == 1) & (F.col("_met") > 1)).alias("bumped"))
     return e.join(both, [*by, "event_id"])
 
 
+def version_edges(dag: DataFrame, by: list[str]) -> DataFrame:
+    """(by, node, from_version, to_version, t): the edge from each version of a node to its next, of versioned edges."""
+    return dag.filter("bumped").select(*by, F.col("dst").alias("node"), (F.col("dst_version") - 1).alias("from_version"), F.col("dst_version").alias("to_version"), "t")
+
+
+def latest_versions(dag: DataFrame, by: list[str]) -> DataFrame:
+    """(by, node, version): the last version of each node of versioned edges."""
+    ends = dag.select(*by, F.col("src").alias("node"), F.col("src_version").alias("v")).unionByName(dag.select(*by, F.col("dst").alias("node"), F.col("dst_version").alias("v")))
+    return ends.groupBy(*by, "node").agg(F.max("v").alias("version"))
+
+
 def time_gaps(edges: DataFrame, by: list[str]) -> DataFrame:
     """Mean gap in seconds between neighbouring events, and first and last time, per graph."""
-    after = F.lead("t").over(W.partitionBy(*by).orderBy("t", "event_id"))
-    return edges.withColumn("_gap", (after - F.col("t")) / 1e9).groupBy(*by).agg(F.avg("_gap").alias("mean_gap"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
+    n = F.count("*")
+    mean = F.when(n > 1, (F.max("t") - F.min("t")) / 1e9 / (n - 1))
+    return edges.groupBy(*by).agg(mean.alias("mean_gap"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
 
 
 def unauthorised_pairs(edges: DataFrame, actors: DataFrame, targets: DataFrame, n_targets: int, seed: int = 0) -> DataFrame:
-    """For each actor, up to n_targets targets it never touched, by a seeded hash.
+    """(actor, target, r): for each actor, up to n_targets targets it never touched.
 
-    The product is of the chosen actors and targets only, both of a stated size.
+    Targets stand on a ring in order of a seeded hash; an actor takes the first it never
+    touched from a place of its own on. Among the n_targets + k next ones, k being
+    the targets it touched, that many are free, so rows grow with the edges, not with
+    actors times targets.
     """
+    order = digest(F.lit(seed), "target", hex_digits=15)
+    ring = stored(with_ordinal(targets.distinct().withColumn("_h", order), [], ["_h", "target"], 1 << 50, "place").select("target", "place"), "ring")
     touched = edges.select(F.col("src").alias("actor"), F.col("dst").alias("target")).distinct()
-    free = actors.join(F.broadcast(targets)).join(touched, ["actor", "target"], "left_anti")
-    order = F.md5(F.concat_ws("|", F.lit(seed), "actor", "target"))
-    return free.withColumn("r", F.row_number().over(W.partitionBy("actor").orderBy(order, "target"))).filter(F.col("r") <= n_targets)
+    degree = touched.groupBy("actor").agg(F.count("*").alias("_k"))
+    size = ring.agg(F.count("*").alias("_n"))
+    tries = actors.distinct().join(degree, "actor", "left").crossJoin(F.broadcast(size)).filter("_n > 0")
+    last = F.least(F.coalesce("_k", F.lit(0)) + n_targets, F.col("_n")) - 1
+    tries = tries.select("actor", "_n", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("step"))
+    tries = tries.withColumn("place", F.pmod(digest(F.lit(seed), "actor") + F.col("step"), F.col("_n")))
+    free = tries.join(ring, "place").join(touched, ["actor", "target"], "left_anti")
+    return with_ordinal(free.select("actor", "target", "step"), ["actor"], ["step"], 1 << 12, "r").filter(F.col("r") < n_targets).select("actor", "target", (F.col("r") + 1).cast("int").alias("r"))
 
 
 def attack_events(pairs: DataFrame, start: int, gap: int, ops: tuple[str, ...] = ("EVENT_OPEN", "EVENT_READ", "EVENT_WRITE")) -> DataFrame:
@@ -114,29 +189,72 @@ def attack_events(pairs: DataFrame, start: int, gap: int, ops: tuple[str, ...] =
     return steps.select(F.col("actor").alias("src"), F.col("target").alias("dst"), "op", (F.lit(start) + at * gap).alias("t"), F.lit(1).alias("y"))
 
 
-# Operations of a generated imitation of benign activity, subject to file.
-TEMPLATE = ("EVENT_OPEN", "EVENT_READ", "EVENT_READ", "EVENT_WRITE", "EVENT_OPEN", "EVENT_WRITE", "EVENT_READ", "EVENT_SENDTO", "EVENT_RECVFROM", "EVENT_CONNECT", "EVENT_WRITE", "EVENT_READ", "EVENT_OPEN", "EVENT_CLONE")
+# The runs of operations, by a subject on a file, of imitated benign activity.
+TEMPLATES = (
+    ("EVENT_OPEN", "EVENT_READ"),
+    ("EVENT_OPEN", "EVENT_WRITE"),
+    ("EVENT_OPEN", "EVENT_READ", "EVENT_WRITE"),
+    ("EVENT_OPEN", "EVENT_WRITE", "EVENT_READ"),
+    ("EVENT_OPEN", "EVENT_READ", "EVENT_WRITE", "EVENT_READ", "EVENT_WRITE"),
+    ("EVENT_OPEN", "EVENT_WRITE", "EVENT_READ", "EVENT_WRITE", "EVENT_READ"),
+    ("EVENT_OPEN", "EVENT_READ", "EVENT_WRITE", "EVENT_WRITE", "EVENT_READ"),
+    ("EVENT_OPEN", "EVENT_WRITE", "EVENT_READ", "EVENT_WRITE", "EVENT_WRITE"),
+    ("EVENT_OPEN", "EVENT_READ", "EVENT_WRITE", "EVENT_READ", "EVENT_WRITE", "EVENT_WRITE", "EVENT_WRITE"),
+    ("EVENT_OPEN", "EVENT_WRITE", "EVENT_READ", "EVENT_READ", "EVENT_READ", "EVENT_WRITE", "EVENT_READ"),
+    ("EVENT_OPEN", "EVENT_READ", "EVENT_READ", "EVENT_READ", "EVENT_WRITE", "EVENT_WRITE", "EVENT_READ"),
+    ("EVENT_OPEN", "EVENT_WRITE", "EVENT_WRITE", "EVENT_WRITE", "EVENT_READ", "EVENT_WRITE", "EVENT_WRITE"),
+    ("EVENT_OPEN", "EVENT_READ", "EVENT_READ", "EVENT_READ", "EVENT_READ"),
+    ("EVENT_OPEN", "EVENT_WRITE", "EVENT_WRITE", "EVENT_WRITE", "EVENT_WRITE"),
+)
+
+
+def imitation_actors(edges: DataFrame, bad: DataFrame, subjects: DataFrame) -> DataFrame:
+    """(node,): subjects among the roots of the attack's own graph and what follows from them in time.
+
+    edges are those of the attack's window. A root of the graph between bad nodes is first met as a source there; what
+    follows it are the nodes its edges reach in growing order of time.
+    """
+    inside = edges.withColumn("_g", F.lit(0))
+    own = inside.filter("src != dst").join(bad.select(F.col("node").alias("src")).distinct(), "src", "left_semi").join(bad.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi")
+    ends = own.select("t", "event_id", F.col("src").alias("node"), F.lit(0).alias("role")).unionByName(own.select("t", "event_id", F.col("dst").alias("node"), F.lit(1).alias("role")))
+    top = ends.groupBy("node").agg(F.min_by("role", F.struct("t", "event_id", "role")).alias("_first")).filter("_first = 0").select("node")
+    from .trace import time_respecting
+
+    start = top.select(F.lit(0).alias("_g"), F.col("node").alias("poi"), F.lit(-1).cast("long").alias("t"))
+    reached = time_respecting(inside, ["_g"], start, True).select("node")
+    return reached.unionByName(top).distinct().join(subjects.select("node").distinct(), "node", "left_semi")
 
 
 def imitations(edges: DataFrame, bad: DataFrame, subjects: DataFrame, files: DataFrame, start: int, end: int, n: int, seed: int = 0) -> DataFrame:
-    """(src, dst, op, t, event_id, y): n runs of TEMPLATE by descendants of an attack's roots.
+    """(src, dst, op, t, run, step): imitated benign activity of an attack, whole runs until n events are reached.
 
-    The attack's own graph gives its roots (no edge into them); subjects that a
-    root reaches in the window act on files picked by a seeded hash, steps 0 to 3
-    seconds apart. Times stay inside the window.
+    A run is one of TEMPLATES by a subject of imitation_actors on a file, both
+    picked by seeded hashes; it begins within 3 seconds of one of the subject's own events in
+    the window, its steps lie up to 3 seconds apart, and it reads from file to subject.
     """
-    inside = edges.filter(F.col("t").between(start, end)).withColumn("_g", F.lit(0))
-    own = inside.join(bad.select(F.col("node").alias("src")).distinct(), "src", "left_semi").join(bad.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi")
-    top = bad.select("node").distinct().join(own.filter("src != dst").select(F.col("dst").alias("node")).distinct(), "node", "left_anti").withColumn("_g", F.lit(0))
-    reached = closure(inside, ["_g"], top).select(F.col("dst").alias("node")).unionByName(top.select("node")).distinct().join(subjects, "node", "left_semi")
-    actors = reached.orderBy(F.md5(F.concat_ws("|", F.lit(seed), "node")), "node").limit(n).withColumn("k", F.row_number().over(W.orderBy("node")))
-    targets = files.select(F.col("node").alias("dst")).orderBy(F.md5(F.concat_ws("|", F.lit(seed + 1), "node")), "node").limit(n).withColumn("k", F.row_number().over(W.orderBy("dst")))
-    runs = actors.join(targets, "k").select(F.col("node").alias("src"), "dst", "k", F.posexplode(F.array(*map(F.lit, TEMPLATE))).alias("i", "op"))
-    digest = lambda *c: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *c)), 1, 8), 16, 10).cast("long")
-    gap = F.pmod(digest("k", "i"), F.lit(3000)) * 1_000_000
-    begin = F.lit(start) + F.pmod(digest("k"), F.lit(max(1, (end - start) // 1_000_000_000 - 42))) * 1_000_000_000
-    at = begin + F.sum(gap).over(W.partitionBy("k").orderBy("i"))
-    return runs.select("src", "dst", "op", at.alias("t"), F.concat_ws("-", F.lit("imitation"), "k", "i").alias("event_id"), F.lit(1).alias("y"))
+    inside = edges.filter(F.col("t").between(start, end))
+    number = lambda d: stored(with_ordinal(d.select("node").distinct(), [], ["node"], 1 << 16, "no"), "numbered")
+    actors, objects = number(imitation_actors(inside, bad, subjects)), number(files)
+    n_actors, n_objects = actors.count(), objects.count()
+    if not n_actors or not n_objects or n <= 0:
+        return edges.select("src", "dst", "op", "t", F.lit(0).alias("run"), F.lit(0).alias("step")).limit(0)
+    names = F.array(*[F.array(*map(F.lit, t)) for t in TEMPLATES])
+    draw = lambda what, of: F.pmod(digest(F.lit(seed), F.lit(what), "run"), F.lit(of))
+    runs = edges.sparkSession.range(-(-n // 2)).select(F.col("id").cast("int").alias("run"))
+    runs = runs.withColumn("ops", F.element_at(names, (draw("template", len(TEMPLATES)) + 1).cast("int")))
+    runs = with_running(runs.withColumn("_r", F.col("run").cast("long")), [], ["_r"], 1 << 12, {"_before": ("sum", F.size("ops").cast("long"))}, before=True).filter(F.coalesce("_before", F.lit(0)) < n)
+    runs = runs.withColumn("_a", draw("subject", n_actors)).withColumn("_f", draw("file", n_objects))
+    runs = runs.join(actors.select(F.col("no").alias("_a"), F.col("node").alias("actor")), "_a").join(objects.select(F.col("no").alias("_f"), F.col("node").alias("file")), "_f").select("run", "ops", "actor", "file")
+    ends = inside.select("t", "event_id", F.col("src").alias("actor"), F.lit(0).alias("side")).unionByName(inside.select("t", "event_id", F.col("dst").alias("actor"), F.lit(1).alias("side")))
+    ends = ends.join(runs.select("actor").distinct(), "actor", "left_semi")
+    own = with_ordinal(ends, ["actor"], ["t", "event_id", "side"], HOUR, "no").select("actor", "no", F.col("t").alias("begin"))
+    sizes = ends.groupBy("actor").agg(F.count("*").alias("_n"))
+    timed = runs.join(sizes, "actor").withColumn("no", F.pmod(digest(F.lit(seed), F.lit("time"), "run"), F.col("_n"))).join(own, ["actor", "no"])
+    steps = timed.select("run", "actor", "file", "begin", F.posexplode("ops").alias("step", "op"))
+    gap = F.pmod(digest(F.lit(seed), F.lit("gap"), "run", "step"), F.lit(3_000_000_001))
+    at = F.col("begin") + F.sum(gap).over(W.partitionBy("run").orderBy("step"))
+    read = F.col("op") == "EVENT_READ"
+    return steps.select(F.when(read, F.col("file")).otherwise(F.col("actor")).alias("src"), F.when(read, F.col("actor")).otherwise(F.col("file")).alias("dst"), "op", at.alias("t"), "run", "step")
 
 
 def chain(edges: DataFrame, steps: list[Callable[[DataFrame], DataFrame]]) -> DataFrame:

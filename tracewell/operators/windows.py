@@ -11,9 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewell.functions.integers import floor_div
-from tracewell.functions.ordinal import with_ordinal
-
-HOUR = 3_600_000_000_000
+from tracewell.functions.ordinal import HOUR, with_ordinal, with_previous
+from tracewell.functions.scalar import ns_to_text
 
 
 def day_of(t: Column, zone: str = "America/New_York") -> Column:
@@ -52,8 +51,12 @@ def adaptive(events: DataFrame, size: int, chunk: int = 1024) -> DataFrame:
 
 def fuse_runs(edges: DataFrame, by: list[str]) -> DataFrame:
     """Keeps the first event of each run of equal operations between the same two nodes."""
-    before = F.lag("op").over(W.partitionBy(*by, "src", "dst").orderBy("t", "event_id"))
-    return edges.withColumn("_before", before).filter(F.col("_before").isNull() | (F.col("_before") != F.col("op"))).drop("_before")
+    return with_previous(edges, [*by, "src", "dst"], ["t", "event_id"], HOUR, "op", "_before").filter(F.col("_before").isNull() | (F.col("_before") != F.col("op"))).drop("_before")
+
+
+def window_label(start: Column, end: Column, zone: str = "America/New_York") -> Column:
+    """`start~end` of a window in wall-clock time."""
+    return F.concat(ns_to_text(start, zone), F.lit("~"), ns_to_text(end, zone))
 
 
 def first_edges(edges: DataFrame, by: list[str]) -> DataFrame:
@@ -88,7 +91,7 @@ def degrees(edges: DataFrame, by: list[str]) -> DataFrame:
 
 def capped(edges: DataFrame, by: list[str], n: int = 2001) -> DataFrame:
     """The first n events of each group, for trial runs."""
-    return edges.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy("t", "event_id"))).filter(F.col("_r") <= n).drop("_r")
+    return with_ordinal(edges, by, ["t", "event_id"], HOUR, "_r").filter(F.col("_r") < n).drop("_r")
 
 
 def stack_sources(sources: list[DataFrame]) -> DataFrame:
@@ -105,8 +108,8 @@ def stack_sources(sources: list[DataFrame]) -> DataFrame:
     return out
 
 
-def inject(events: DataFrame, generated: DataFrame, attacks: DataFrame) -> DataFrame:
+def inject(events: DataFrame, generated: DataFrame, attacks: DataFrame, zone: str = "America/New_York") -> DataFrame:
     """Adds generated events of attacks that lie wholly within one day; times decide their place."""
-    whole = attacks.filter(day_of(F.col("start_ns")) == day_of(F.col("end_ns"))).select("attack_id")
+    whole = attacks.filter(day_of(F.col("start_ns"), zone) == day_of(F.col("end_ns"), zone)).select("attack_id")
     own = generated.join(F.broadcast(whole), "attack_id", "left_semi").drop("attack_id")
     return events.unionByName(own, allowMissingColumns=True)

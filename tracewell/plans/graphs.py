@@ -71,51 +71,92 @@ def undirected(s, d):
     return transform.undirected(m.slotted(s, d).select("tw", F.col("src").alias("src"), (F.col("dst") % 150).alias("dst"), "op", "t"), ["tw"]).groupBy("tw", "src", "dst").agg(F.count("*").alias("n"))
 
 
-def _mesh(s, d):
-    """Users and objects in one id space, so that ways longer than one edge occur."""
-    return m.events(s, d).select("day", "src", (F.col("dst") % 150).alias("dst"), "t", "event_id", "op", "loss")
+SLOT = ["tw"]
 
 
-def _sparse(s, d):
-    """Clicks and signups of two days."""
-    return _mesh(s, d).filter("day between '2024-01-03' and '2024-01-04' and op in ('signup', 'error') and loss > 8")
+def _mesh(s, d):
+    """Users and objects in one id space, so that ways longer than one edge occur."""
+    return m.slotted(s, d).select("day", "tw", "src", (F.col("dst") % 150).alias("dst"), "t", "event_id", "op", "loss")
 
 
-MESH = m.EV + ", me AS (SELECT day, src, dst % 150 AS dst, t, event_id, op, loss FROM ev), sp AS (SELECT * FROM me WHERE day BETWEEN '2024-01-03' AND '2024-01-04' AND op IN ('signup', 'error') AND loss > 8)"
-REACH = ", re AS (SELECT DISTINCT day, src, dst FROM sp UNION SELECT re.day, re.src, sp.dst FROM re JOIN sp ON sp.day = re.day AND sp.src = re.dst)"
-ROOTS = ", ro AS (SELECT o.day, o.node FROM (SELECT day, src AS node, min(t) AS a FROM sp GROUP BY ALL) o LEFT JOIN (SELECT day, dst AS node, min(t) AS b FROM sp GROUP BY ALL) i USING (day, node) WHERE b IS NULL OR a < b)"
+MESH = m.SL + ", me AS (SELECT day, tw, src, dst % 150 AS dst, t, event_id, op, loss FROM sl)"
+REACH = ", re AS (SELECT DISTINCT tw, src, dst FROM me UNION SELECT re.tw, re.src, me.dst FROM re JOIN me ON me.tw = re.tw AND me.src = re.dst)"
+ROOTS = ", ro AS (SELECT o.tw, o.node FROM (SELECT tw, src AS node, min(t) AS a FROM me GROUP BY ALL) o LEFT JOIN (SELECT tw, dst AS node, min(t) AS b FROM me GROUP BY ALL) i USING (tw, node) WHERE b IS NULL OR a < b)"
+PSEUDO = ", ps AS (SELECT re.tw, re.src, re.dst FROM re JOIN ro ON ro.tw = re.tw AND ro.node = re.src WHERE re.src <> re.dst)"
 
 
 def root_nodes(s, d):
-    return transform.roots(_mesh(s, d), DAY)
+    return transform.roots(_mesh(s, d), SLOT)
 
 
 def pseudo_graph(s, d):
-    return transform.pseudo_edges(_sparse(s, d), DAY)
+    return transform.pseudo_edges(_mesh(s, d), SLOT)
 
 
 def prune_roots(s, d):
-    e = _sparse(s, d)
-    return transform.prune_roots(transform.pseudo_edges(e, DAY), e, DAY, 0.1)
+    e = _mesh(s, d)
+    return transform.prune_roots(transform.pseudo_edges(e, SLOT), e, SLOT, 0.1)
+
+
+def pseudo_merged(s, d):
+    e = _mesh(s, d)
+    return transform.merged_pseudo(e, transform.pseudo_edges(e, SLOT), SLOT)
 
 
 def acyclic(s, d):
-    return transform.acyclic(_sparse(s, d), DAY)
+    return transform.acyclic(_mesh(s, d), SLOT)
+
+
+def strong_components(s, d):
+    c = transform.strong_components(_mesh(s, d), SLOT)
+    own = c.groupBy("tw", "component").agg(F.count("*").alias("n_nodes"), F.min("node").alias("least"))
+    return c.join(own.filter("n_nodes > 1"), ["tw", "component"]).select("tw", "node", "least", "n_nodes")
 
 
 def versioned_dag(s, d):
     return transform.versioned(_mesh(s, d), DAY).select("day", "event_id", "src", "src_version", "dst", "dst_version", "bumped")
 
 
+def version_edges(s, d):
+    return transform.version_edges(transform.versioned(_mesh(s, d), DAY), DAY)
+
+
+def latest_versions(s, d):
+    return transform.latest_versions(transform.versioned(_mesh(s, d), DAY, self_loops=True), DAY)
+
+
+def random_times(s, d):
+    e = _mesh(s, d)
+    span = e.groupBy("tw").agg(F.min("t").alias("low"), (F.max("t") + 1).alias("high"))
+    return transform.random_times(transform.acyclic(e, SLOT), SLOT, span)
+
+
+def _actors(e):
+    """Users with purchases in training and in validation."""
+    buys = e.filter("op = 'purchase'")
+    return buys.filter("day <= '2024-01-15'").select(F.col("src").alias("actor")).intersect(buys.filter("day between '2024-01-16' and '2024-01-20'").select(F.col("src").alias("actor")))
+
+
+def synthetic_attack(s, d):
+    e = m.events(s, d)
+    pairs = transform.unauthorised_pairs(e, _actors(e), e.select(F.col("dst").alias("target")).distinct(), 3)
+    return transform.attack_events(pairs, 1705881600 * 10**9, 60 * 10**9)
+
+
+def injected(s, d):
+    e = m.events(s, d)
+    made = synthetic_attack(s, d).withColumn("attack_id", (F.col("src") % 3).cast("int")).withColumn("day", F.lit("2024-01-22")).withColumn("loss", F.lit(0.0)).withColumn("event_id", -F.col("src") * 1000 - F.col("dst") % 1000)
+    whole = m.attacks(s).withColumn("end_ns", F.col("end_ns") - 1)
+    return windows.inject(e.withColumn("y", F.lit(0)), made, whole, "UTC").groupBy("day", "y").agg(F.count("*").alias("n"))
+
+
 def mean_time_delta(s, d):
     return transform.time_gaps(m.slotted(s, d), ["tw"]).select("tw", F.round("mean_gap", 6).alias("mean_gap"), "first_t", "last_t")
 
 
 def unauthorized_pairs(s, d):
     e = m.events(s, d)
-    actors = e.filter("op = 'purchase' and day <= '2024-01-15'").select(F.col("src").alias("actor")).intersect(e.filter("op = 'purchase' and day between '2024-01-16' and '2024-01-20'").select(F.col("src").alias("actor"))).orderBy("actor").limit(20)
-    targets = e.select(F.col("dst").alias("target")).distinct().orderBy("target").limit(100)
-    return transform.unauthorised_pairs(e, actors, targets, 3)
+    return transform.unauthorised_pairs(e, _actors(e), e.select(F.col("dst").alias("target")).distinct(), 3)
 
 
 def batch_edges(s, d):
@@ -138,6 +179,32 @@ def last_k_neighbors(s, d):
     return batches.last_neighbours(batches.by_edges(m.events(s, d), [], 256), 5)
 
 
+def last_k_current(s, d):
+    return batches.last_neighbours(batches.by_edges(m.events(s, d), [], 256), 5, include_current=True)
+
+
+def last_k_directed(s, d):
+    return batches.last_neighbours(batches.by_edges(m.events(s, d), [], 256), 5, directed=True)
+
+
+def last_k_two_hops(s, d):
+    return batches.last_neighbours_hops(batches.by_edges(m.events(s, d), [], 256), 2, 2).groupBy("batch", "node", "hop").agg(F.countDistinct("neighbour").alias("n"), F.sum("neighbour").alias("sum"))
+
+
+def batching_stage(s, d):
+    e = batches.batched(m.slotted(s, d), {"by": ["tw"], "global": "edges", "size": 256, "inside": 32, "stack": 6})
+    return e.groupBy("stack", "tw", "batch", "inner").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
+
+
+def node_means_overwritten(s, d):
+    return batches.node_means_overwritten(m.slotted(s, d), ["tw"], "loss").select("tw", "node", F.round("mean_loss", 6).alias("mean_loss"))
+
+
+def tw_labels_text(s, d):
+    w = m.adaptive(s, d).select("day", "tw", "tw_start", "tw_end").distinct()
+    return w.select("day", "tw", windows.window_label(F.col("tw_start"), F.col("tw_end"), "UTC").alias("label"))
+
+
 def last_update(s, d):
     return batches.last_update(batches.by_edges(m.events(s, d), [], 256)).fillna(0, ["last_t"])
 
@@ -168,6 +235,14 @@ def dataset_stats(s, d):
     return out.select("split", "n_graphs", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in out.columns if c not in ("split", "n_graphs")])
 
 
+_ACY = MESH + ", en AS (SELECT DISTINCT tw, src, dst FROM me WHERE src <> dst), rr AS (SELECT * FROM en UNION SELECT rr.tw, rr.src, en.dst FROM rr JOIN en ON en.tw = rr.tw AND en.src = rr.dst), ac AS (SELECT * FROM en WHERE NOT EXISTS (SELECT 1 FROM rr WHERE rr.tw = en.tw AND rr.src = en.dst AND rr.dst = en.src))"
+_VE = MESH
+_VX = """, x AS (SELECT day, t, event_id, src AS node, 0 AS role FROM e UNION ALL SELECT day, t, event_id, dst, 1 FROM e),
+v AS (SELECT *, sum(role) OVER w - first_value(role) OVER w AS version, row_number() OVER w AS k FROM x WINDOW w AS (PARTITION BY day, node ORDER BY t, event_id, role))"""
+_UN = m.EV + """, acs AS (SELECT src AS actor FROM ev WHERE op = 'purchase' AND day <= '2024-01-15' INTERSECT SELECT src FROM ev WHERE op = 'purchase' AND day BETWEEN '2024-01-16' AND '2024-01-20'),
+ta AS (SELECT target, row_number() OVER (ORDER BY CAST('0x' || md5('0|' || target)[1:15] AS BIGINT), target) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT dst AS target FROM ev)),
+fr AS (SELECT actor, target, (place - CAST('0x' || md5('0|' || actor)[1:8] AS BIGINT) % n + n) % n AS step FROM acs, ta WHERE NOT EXISTS (SELECT 1 FROM ev WHERE src = actor AND dst = target)),
+un AS (SELECT * FROM (SELECT actor, target, row_number() OVER (PARTITION BY actor ORDER BY step) AS r FROM fr) WHERE r <= 3)"""
 _NO = "row_number() OVER (ORDER BY t, event_id) - 1"
 _BA = m.EV + f", ba AS (SELECT *, ({_NO}) // 256 AS batch FROM ev)"
 
@@ -188,17 +263,32 @@ SELECT c_custkey AS node, 0 AS dataset FROM customer UNION ALL SELECT p_partkey
     "trial_cap": f"WITH {m.EV} SELECT day, event_id FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY t, event_id) AS r FROM ev) WHERE r <= 50",
     "range_scan": f"WITH {m.EV} SELECT t, event_id, src, dst, op FROM ev WHERE t > 1704672000000000000 AND t < 1704758400000000000",
     "undirected": f"WITH {m.SL}, e AS (SELECT tw, src, dst % 150 AS dst FROM sl), b AS (SELECT tw, src, dst FROM e UNION ALL SELECT tw, dst, src FROM e WHERE NOT EXISTS (SELECT 1 FROM e x WHERE x.tw = e.tw AND x.src = e.dst AND x.dst = e.src)) SELECT tw, src, dst, count(*) AS n FROM b GROUP BY ALL",
-    "root_nodes": f"WITH {MESH} SELECT o.day, o.node FROM (SELECT day, src AS node, min(t) AS a FROM me GROUP BY ALL) o LEFT JOIN (SELECT day, dst AS node, min(t) AS b FROM me GROUP BY ALL) i USING (day, node) WHERE b IS NULL OR a < b",
-    "pseudo_graph": f"WITH RECURSIVE {MESH}{REACH}{ROOTS} SELECT re.day, re.src, re.dst FROM re JOIN ro ON ro.day = re.day AND ro.node = re.src WHERE re.src <> re.dst",
-    "prune_roots": f"WITH RECURSIVE {MESH}{REACH}{ROOTS}, ps AS (SELECT re.day, re.src, re.dst FROM re JOIN ro ON ro.day = re.day AND ro.node = re.src WHERE re.src <> re.dst), sz AS (SELECT day, count(*) AS n FROM (SELECT day, src AS x FROM sp UNION SELECT day, dst FROM sp) GROUP BY day), wd AS (SELECT ps.day, src FROM ps JOIN sz ON sz.day = ps.day GROUP BY ps.day, src, n HAVING count(*) > n * 0.1) SELECT ps.* FROM ps WHERE NOT EXISTS (SELECT 1 FROM wd WHERE wd.day = ps.day AND wd.src = ps.src)",
-    "acyclic": f"WITH RECURSIVE {MESH}, en AS (SELECT DISTINCT day, src, dst FROM sp WHERE src <> dst), rr AS (SELECT * FROM en UNION SELECT rr.day, rr.src, en.dst FROM rr JOIN en ON en.day = rr.day AND en.src = rr.dst) SELECT * FROM en WHERE NOT EXISTS (SELECT 1 FROM rr WHERE rr.day = en.day AND rr.src = en.dst AND rr.dst = en.src)",
-    "versioned_dag": f"""WITH {MESH}, e AS (SELECT * FROM me WHERE src <> dst), x AS (SELECT day, t, event_id, src AS node, 0 AS role FROM e UNION ALL SELECT day, t, event_id, dst, 1 FROM e),
-v AS (SELECT *, sum(role) OVER w - first_value(role) OVER w AS version, row_number() OVER w AS k FROM x WINDOW w AS (PARTITION BY day, node ORDER BY t, event_id, role))
+    "root_nodes": f"WITH {MESH}{ROOTS} SELECT * FROM ro",
+    "pseudo_graph": f"WITH RECURSIVE {MESH}{REACH}{ROOTS}{PSEUDO} SELECT * FROM ps",
+    "pseudo_merged": f"WITH RECURSIVE {MESH}{REACH}{ROOTS}{PSEUDO} SELECT * FROM ps UNION SELECT tw, src, dst FROM me",
+    "prune_roots": f"WITH RECURSIVE {MESH}{REACH}{ROOTS}{PSEUDO}, sz AS (SELECT tw, count(*) AS n FROM (SELECT tw, src AS x FROM me UNION SELECT tw, dst FROM me) GROUP BY tw), wd AS (SELECT ps.tw, src FROM ps JOIN sz ON sz.tw = ps.tw GROUP BY ps.tw, src, n HAVING count(*) > n * 0.1) SELECT ps.* FROM ps WHERE NOT EXISTS (SELECT 1 FROM wd WHERE wd.tw = ps.tw AND wd.src = ps.src)",
+    "acyclic": f"WITH RECURSIVE {_ACY} SELECT * FROM ac",
+    "strong_components": f"WITH RECURSIVE {_ACY}, c AS (SELECT a.tw, a.src AS node, a.dst AS other FROM rr a JOIN rr b ON b.tw = a.tw AND b.src = a.dst AND b.dst = a.src) SELECT tw, node, min(other) AS least, count(*) AS n_nodes FROM c GROUP BY tw, node HAVING count(*) > 1",
+    "versioned_dag": f"""WITH {_VE}, e AS (SELECT * FROM me WHERE src <> dst){_VX}
 SELECT e.day, e.event_id, e.src, CAST(a.version AS BIGINT) AS src_version, e.dst, CAST(b.version AS BIGINT) AS dst_version, b.k > 1 AS bumped FROM e JOIN v a ON a.event_id = e.event_id AND a.day = e.day AND a.role = 0 JOIN v b ON b.event_id = e.event_id AND b.day = e.day AND b.role = 1""",
-    "mean_time_delta": f"WITH {m.SL}, g AS (SELECT *, (lead(t) OVER (PARTITION BY tw ORDER BY t, event_id) - t) / 1e9 AS gap FROM sl) SELECT tw, round(avg(gap), 6) AS mean_gap, min(t) AS first_t, max(t) AS last_t FROM g GROUP BY tw",
-    "unauthorized_pairs": f"""WITH {m.EV}, ac AS (SELECT src AS actor FROM (SELECT src FROM ev WHERE op = 'purchase' AND day <= '2024-01-15' INTERSECT SELECT src FROM ev WHERE op = 'purchase' AND day BETWEEN '2024-01-16' AND '2024-01-20') ORDER BY 1 LIMIT 20),
-ta AS (SELECT DISTINCT dst AS target FROM ev ORDER BY 1 LIMIT 100), fr AS (SELECT actor, target FROM ac, ta WHERE NOT EXISTS (SELECT 1 FROM ev WHERE src = actor AND dst = target))
-SELECT * FROM (SELECT actor, target, row_number() OVER (PARTITION BY actor ORDER BY md5('0|' || actor || '|' || target), target) AS r FROM fr) WHERE r <= 3""",
+    "mean_time_delta": f"WITH {m.SL}, g AS (SELECT *, lead(t) OVER (PARTITION BY tw ORDER BY t, event_id) - t AS gap FROM sl) SELECT tw, round(CAST(sum(gap) AS DOUBLE) / 1e9 / count(gap), 6) AS mean_gap, min(t) AS first_t, max(t) AS last_t FROM g GROUP BY tw",
+    "unauthorized_pairs": f"WITH {_UN} SELECT actor, target, CAST(r AS INT) AS r FROM un",
+    "synthetic_attack": f"WITH {_UN}, st AS (SELECT actor, target, (r - 1) * 3 + k AS n, ['EVENT_OPEN', 'EVENT_READ', 'EVENT_WRITE'][k] AS op FROM un, (SELECT unnest([1, 2, 3]) AS k)) SELECT actor AS src, target AS dst, op, 1705881600000000000 + n * 60000000000 AS t, 1 AS y FROM st",
+    "injected": f"WITH {_UN} SELECT day, 0 AS y, count(*) AS n FROM ev GROUP BY day UNION ALL SELECT '2024-01-22', 1, count(*) * 3 FROM un WHERE actor % 3 <> 1 HAVING count(*) > 0",
+    "version_edges": f"WITH {_VE}, e AS (SELECT * FROM me WHERE src <> dst){_VX} SELECT day, node, CAST(version - 1 AS BIGINT) AS from_version, CAST(version AS BIGINT) AS to_version, t FROM v WHERE role = 1 AND k > 1",
+    "latest_versions": f"WITH {_VE}, e AS (SELECT * FROM me){_VX} SELECT day, node, CAST(max(version) AS BIGINT) AS version FROM v GROUP BY ALL",
+    "random_times": f"WITH RECURSIVE {_ACY}, sn AS (SELECT tw, min(t) AS lo, max(t) + 1 AS hi FROM me GROUP BY tw) SELECT tw, src, dst, lo + CAST('0x' || md5('0|' || tw || '|' || src || '|' || dst)[1:8] AS BIGINT) % (hi - lo) AS t FROM ac JOIN sn USING (tw)",
+    "last_k_current": f"""WITH {_BA}, en AS (SELECT batch, event_id, t, src AS node, dst AS neighbour, 0 AS side FROM ba UNION ALL SELECT batch, event_id, t, dst, src, 1 FROM ba), q AS (SELECT DISTINCT batch, node FROM en)
+SELECT batch, node, neighbour, e_id, CAST(age AS INT) AS age FROM (SELECT q.batch, q.node, e.neighbour, e.event_id AS e_id, row_number() OVER (PARTITION BY q.batch, q.node ORDER BY e.t DESC, e.event_id DESC, e.side DESC) AS age FROM q JOIN en e ON e.node = q.node AND e.batch <= q.batch) WHERE age <= 5""",
+    "last_k_directed": f"""WITH {_BA}, en AS (SELECT batch, event_id, t, dst AS node, src AS neighbour FROM ba), q AS (SELECT batch, src AS node FROM ba UNION SELECT batch, dst FROM ba)
+SELECT batch, node, neighbour, e_id, CAST(age AS INT) AS age FROM (SELECT q.batch, q.node, e.neighbour, e.event_id AS e_id, row_number() OVER (PARTITION BY q.batch, q.node ORDER BY e.t DESC, e.event_id DESC) AS age FROM q JOIN en e ON e.node = q.node AND e.batch < q.batch) WHERE age <= 5""",
+    "last_k_two_hops": f"""WITH {_BA}, en AS (SELECT batch, event_id, t, src AS node, dst AS neighbour, 0 AS side FROM ba UNION ALL SELECT batch, event_id, t, dst, src, 1 FROM ba), bs AS (SELECT DISTINCT batch FROM ba), q AS (SELECT DISTINCT batch, node FROM en),
+nb AS (SELECT DISTINCT batch, node, neighbour FROM (SELECT bs.batch, e.node, e.neighbour, row_number() OVER (PARTITION BY bs.batch, e.node ORDER BY e.t DESC, e.event_id DESC, e.side DESC) AS age FROM bs JOIN en e ON e.batch < bs.batch) WHERE age <= 2),
+h1 AS (SELECT q.batch, q.node, nb.neighbour FROM q JOIN nb USING (batch, node)), h2 AS (SELECT DISTINCT h1.batch, h1.node, nb.neighbour FROM h1 JOIN nb ON nb.batch = h1.batch AND nb.node = h1.neighbour)
+SELECT batch, node, 1 AS hop, count(DISTINCT neighbour) AS n, CAST(sum(neighbour) AS BIGINT) AS sum FROM h1 GROUP BY ALL UNION ALL SELECT batch, node, 2, count(DISTINCT neighbour), CAST(sum(neighbour) AS BIGINT) FROM h2 GROUP BY ALL""",
+    "batching_stage": f"WITH {m.SL}, a AS (SELECT *, ({_NO}) // 256 AS batch FROM sl), b AS (SELECT *, (row_number() OVER (PARTITION BY tw, batch ORDER BY t, event_id) - 1) // 32 AS inner_ FROM a) SELECT tw // 6 AS stack, tw, batch, inner_ AS \"inner\", count(*) AS n, min(event_id) AS first_event FROM b GROUP BY ALL",
+    "node_means_overwritten": f"WITH {m.SL}, o AS (SELECT tw, src AS node, avg(loss) AS a FROM sl GROUP BY ALL), i AS (SELECT tw, dst AS node, avg(loss) AS b FROM sl GROUP BY ALL) SELECT tw, node, round(coalesce(b, a), 6) AS mean_loss FROM o FULL JOIN i USING (tw, node)",
+    "tw_labels_text": f"WITH RECURSIVE {m.AD}, w AS (SELECT DISTINCT day, tw, tw_start, tw_end FROM ad) SELECT day, CAST(tw AS BIGINT) AS tw, " + " || '~' || ".join(f"strftime(make_timestamp({c} // 1000), '%Y-%m-%d %H:%M:%S') || '.' || lpad(CAST({c} % 1000000000 AS VARCHAR), 9, '0')" for c in ("tw_start", "tw_end")) + " AS label FROM w",
     "batch_edges": f"WITH {_BA} SELECT batch, count(*) AS n, min(t) AS first_t, max(t) AS last_t FROM ba GROUP BY batch",
     "batch_edges_in_graph": f"WITH {m.EV}, b AS (SELECT *, (row_number() OVER (PARTITION BY day ORDER BY t, event_id) - 1) // 64 AS batch FROM ev) SELECT day, batch, count(*) AS n, max(event_id) AS last_event FROM b GROUP BY ALL",
     "batch_minutes": f"WITH {m.EV}, b AS (SELECT t - 1704067200000000000 AS a FROM ev) SELECT a // 1800000000000 AS batch, count(*) AS n FROM b WHERE a % 1800000000000 < 1200000000000 GROUP BY 1",

@@ -117,11 +117,25 @@ def freq_loss(s, d):
 
 def knn_score(s, d):
     e = _read(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return score.knn_score(e.filter("id % 5 = 0"), e.filter("id % 5 = 1"), 10).select("id", F.round("score", 4).alias("score"))
+    return score.knn_score(e, e, 10).select("id", F.round("score", 4).alias("score"))
+
+
+def magic_scores(s, d):
+    e = _read(s, d, "embeddings").select("label", F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return score.magic_scores(e, e, ["label"], 5).select("label", "id", F.round("score", 4).alias("score"))
+
+
+def contrastive_loss(s, d):
+    e = m.events(s, d).select(((F.col("loss") - 50) / 25).alias("logit"), "op")
+    return score.contrastive_bce(e.filter("op = 'view'"), e.filter("op != 'view'")).select(F.round("loss", 6).alias("loss"))
+
+
+def bce_losses(s, d):
+    return m.events(s, d).select("event_id", F.round(score.bce_logits((F.col("loss") - 50) / 25, (F.col("op") == "view").cast("double")), 6).alias("loss"), F.round(score.bce(F.col("loss") / 1000 + 0.001, F.lit(1.0)), 6).alias("bce"))
 
 
 def neg_sampling(s, d):
-    return score.negative_edges(m.events(s, d))
+    return score.negative_edges(m.slotted(s, d), ["tw"])
 
 
 def neighbor_attention(s, d):
@@ -142,7 +156,7 @@ def corpus_distinct(s, d):
 
 
 def neighbor_corpus(s, d):
-    e = m.events(s, d).filter("day = '2024-01-02'")
+    e = m.events(s, d)
     nodes = e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node"))).distinct().select("node", F.array(m.node_type(F.col("node")), F.col("node").cast("string")).alias("tokens"))
     return features.neighbour_corpus(e, nodes).select("node", F.array_join("tokens", " ").alias("tokens"))
 
@@ -157,8 +171,130 @@ def hier_hash(s, d):
 
 
 def temporal_walks(s, d):
-    e = m.events(s, d).select("src", (F.col("dst") % 150).alias("dst"), "t", "event_id").filter("event_id < 2000")
-    return features.temporal_walks(e, e.select(F.col("src").alias("node")).distinct(), 4, 2).select("node", "walk", F.array_join("path", ">").alias("path"))
+    return features.temporal_walks(_walkable(s, d), _starts(s, d), 4, 2).select("node", "walk", F.array_join("path", ">").alias("path"))
+
+
+def _walkable(s, d):
+    return m.events(s, d).select("src", (F.col("dst") % 150).alias("dst"), "t", "event_id", "op")
+
+
+def _starts(s, d):
+    e = _walkable(s, d)
+    return e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node"))).distinct()
+
+
+def temporal_walks_back(s, d):
+    return features.temporal_walks(_walkable(s, d), _starts(s, d), 3, 2, forward=False).select("node", "walk", F.array_join("path", ">").alias("path"))
+
+
+def only_type_vectors(s, d):
+    n = m.events(s, d).select(F.col("dst").alias("node")).distinct().withColumn("node_type", m.node_type(F.col("node")))
+    v = features.constant_vectors(n, "only_type", taxonomy.NODE_TYPES)
+    return v.select("node", F.array_join(F.transform("vec", lambda x: x.cast("int")), "").alias("vec"))
+
+
+def edge_messages(s, d):
+    """Edge features: types, one-hot vectors and operation, put together and taken apart again."""
+    n = _starts(s, d).withColumn("node_type", m.node_type(F.col("node")))
+    v = features.constant_vectors(n, "only_type", taxonomy.NODE_TYPES).join(n, "node")
+    hot = lambda c: taxonomy.one_hot(taxonomy.encode(c, taxonomy.NODE_TYPES), 3)
+    op = lambda c: taxonomy.one_hot(taxonomy.encode(c, taxonomy.STREAM_OPS), 5)
+    e = features.edge_features(_walkable(s, d), v, hot, op)
+    parts = features.split_message(F.col("x"), [("src_type", 3), ("src_vec", 3), ("edge_type", 5), ("dst_type", 3), ("dst_vec", 3)])
+    return e.select("event_id", *[F.array_join(F.transform(p, lambda x: x.cast("int")), "").alias(n) for n, p in parts.items()])
+
+
+def document_vectors(s, d):
+    words = features.event_sentences(m.events(s, d), ["day"], 3)
+    v = s.createDataFrame([(o, [float(i), 1.0]) for i, o in enumerate(taxonomy.STREAM_OPS)], "word string, vec array<double>")
+    out = features.document_vector(words, v, ["day"], 2)
+    return out.select("day", "node", F.round(F.element_at("vec", 1), 6).alias("x"), F.round(F.element_at("vec", 2), 6).alias("y"))
+
+
+def context_vectors(s, d):
+    p = _read(s, d, "part").select(F.col("p_partkey").alias("node"), F.split("p_name", " ").alias("tokens"))
+    v = p.select(F.explode("tokens").alias("word")).distinct().withColumn("vec", F.array(F.length("word").cast("double"), F.lit(1.0)))
+    return features.context_vectors(p, v, 1).select("word", "k", F.round("x", 6).alias("x"))
+
+
+def _vectors(s, d):
+    return _read(s, d, "embeddings").select(F.col("vec_id").alias("node"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+
+
+def _paired(s, d):
+    """Events between nodes that have a vector."""
+    return m.events(s, d).select("event_id", (F.col("src") % 500).alias("src"), (F.col("dst") % 499).alias("dst"))
+
+
+def edge_inner_product(s, d):
+    return learn.inner_product(learn.gathered(_paired(s, d), _vectors(s, d)), "score").select("event_id", F.round("score", 4).alias("score"))
+
+
+def objective_sum(s, d):
+    """Two objectives of one edge, summed: reconstruction of the source by the destination, and a link logit."""
+    e = learn.inner_product(learn.gathered(_paired(s, d), _vectors(s, d)), "logit")
+    out = learn.losses(e, [("reconstruct", {"x": "src_vec", "y": "dst_vec", "loss": "mse"}), ("link", {"logit": "logit"})])
+    return out.select("event_id", F.round("loss", 4).alias("loss"))
+
+
+def tanh_sum(s, d):
+    e = m.slotted(s, d)
+    x = e.select("tw", F.col("src").alias("node")).distinct().withColumn("x", F.array((F.col("node") % 7 / 10).cast("double")))
+    return learn.activated(learn.aggregate(e, x, ["tw"], "sum"), "x", "tanh").select("tw", "node", F.round(F.element_at("x", 1), 6).alias("x"))
+
+
+def activations(s, d):
+    e = m.events(s, d).withColumn("x", F.array(((F.col("loss") - 50) / 20).cast("double")))
+    return e.select("event_id", *[F.round(F.element_at(learn.activation(n, F.col("x")), 1), 6).alias(n) for n in ("relu", "tanh", "sigmoid", "elu", "leaky_relu")])
+
+
+def gin_self_weight(s, d):
+    e = m.slotted(s, d)
+    n = e.select("tw", F.col("src").alias("node")).unionByName(e.select("tw", F.col("dst").alias("node"))).distinct().withColumn("x", F.array((F.col("node") % 7).cast("double")))
+    return learn.aggregate(e, n, ["tw"], "sum", self_weight=0.5).select("tw", "node", F.element_at("x", 1).alias("x"))
+
+
+def weighted_aggregation(s, d):
+    e = score.attention(m.slotted(s, d).withColumn("logit", F.col("loss") / 100), ["tw"])
+    x = e.select("tw", F.col("src").alias("node")).distinct().withColumn("x", F.array((F.col("node") % 7).cast("double")))
+    return learn.aggregate(e, x, ["tw"], "weighted").select("tw", "node", F.round(F.element_at("x", 1), 6).alias("x"))
+
+
+def triplet_table(s, d):
+    rows = [(f, i, *t) for f in taxonomy.FAMILIES for i, t in enumerate(taxonomy.triplets(f))]
+    t = s.createDataFrame(rows, "family string, class int, src_type string, op string, dst_type string")
+    return t.groupBy("family", "src_type", "dst_type").agg(F.count("*").alias("n"), F.min("class").alias("first"))
+
+
+def op_ids(s, d):
+    e = m.events(s, d)
+    from_zero = taxonomy.encode(F.col("op"), taxonomy.STREAM_OPS, 0)
+    agent = taxonomy.encode(F.element_at(F.array(*map(F.lit, taxonomy.AGENT_OPS)), (F.col("event_id") % 33 + 1).cast("int")), taxonomy.AGENT_OPS)
+    return e.select("event_id", from_zero.alias("op_id"), agent.alias("agent_id"))
+
+
+def label_tokens(s, d):
+    p = _read(s, d, "part").select("p_partkey", F.concat(F.lit("C:\\\\x\\"), "p_name", F.lit("/"), "p_brand").alias("path"), F.concat(F.col("p_size"), F.lit(".0.0.1:"), F.col("p_partkey")).alias("address"))
+    return p.select("p_partkey", *[F.array_join(v, "|").alias(n) for n, v in (("path", scalar.path_tokens(F.col("path"))), ("address", scalar.address_tokens(F.col("address"))), ("typed", scalar.label_tokens(F.when(F.col("p_partkey") % 2 == 0, F.col("address")).otherwise(F.col("path")), F.when(F.col("p_partkey") % 2 == 0, "netflow").otherwise("file"))))])
+
+
+def iso_times(s, d):
+    text = F.concat(F.date_format(F.timestamp_micros(F.expr("t div 1000") - 14_400_000_000), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("-04:00"))
+    return m.events(s, d).select("event_id", scalar.iso_to_ns(text).alias("t"))
+
+
+def display_labels(s, d):
+    p = _read(s, d, "part")
+    return p.select("p_partkey", scalar.display_label(F.when(F.col("p_size") > 25, F.col("p_name")), F.when(F.col("p_size") % 2 == 0, F.col("p_type"))).alias("label"))
+
+
+def neighbour_values(s, d):
+    grid = F.array(*[F.lit(float(x)) for x in range(0, 500, 25)])
+    return m.events(s, d).select("event_id", scalar.least_greater(grid, F.col("loss")).alias("above"), scalar.greatest_smaller(grid, F.col("loss")).alias("below"))
+
+
+def mean_of_text(s, d):
+    return scalar.mean_of_text(_read(s, d, "part").select(F.when(F.col("p_size") % 3 == 0, "not a number").otherwise(F.col("p_size").cast("string")).alias("value"))).select(F.round("mean", 6).alias("mean"))
 
 
 def word2vec_vectors(s, d):
@@ -189,20 +325,55 @@ def char_ngrams(s, d):
 
 
 def static_walks(s, d):
-    e = m.events(s, d).filter("event_id < 500").select("src", (F.col("dst") % 150).alias("dst"), "op")
-    return features.static_walks(e, 3, 1).select("node", "walk", F.array_join("path", ">").alias("path"))
+    return features.static_walks(_walkable(s, d), 3, 1).select("node", "walk", F.array_join("path", ">").alias("path"))
 
 
 def imitation_events(s, d):
-    e = m.events(s, d)
-    start, end = 1705881600 * 10**9, 1705968000 * 10**9
-    return transform.imitations(e, m.bad_nodes(s, d), e.select(F.col("src").alias("node")).distinct(), e.select(F.col("dst").alias("node")).distinct(), start, end, 5)
+    """40 imitated events for each of three attacks; an attack's nodes are users by remainder."""
+    e, out = _walkable(s, d), None
+    subjects, files = e.select(F.col("src").alias("node")).distinct(), e.select(F.col("dst").alias("node")).distinct()
+    for a in m.attacks(s).collect():
+        bad = subjects.filter(F.col("node") % 5 == a["attack_id"])
+        part = transform.imitations(e, bad, subjects, files, a["start_ns"], a["end_ns"], 40).withColumn("attack_id", F.lit(a["attack_id"]))
+        out = part if out is None else out.unionByName(part)
+    return out.select("attack_id", "run", "step", "src", "dst", "op", "t")
 
 
 _U = "u AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path, string_split(regexp_replace(url, '^[a-z]+://', ''), '/') AS parts FROM pages), pf AS (SELECT page_id, i - 1 AS level, array_to_string(parts[1:i], '/') AS prefix FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM u))"
 _P = "pr AS (SELECT a.vec_id, a.embedding AS x, b.embedding AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1), un AS (SELECT vec_id, CAST(unnest(x) AS DOUBLE) AS x, CAST(unnest(y) AS DOUBLE) AS y FROM pr)"
 _S = "so AS (SELECT vec_id, label, i, exp(CAST(embedding[i] AS DOUBLE)) / sum(exp(CAST(embedding[i] AS DOUBLE))) OVER (PARTITION BY vec_id) AS p FROM (SELECT vec_id, label, embedding, unnest([1, 2, 3, 4, 5]) AS i FROM embeddings)), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC) AS k FROM so)"
 
+_GA = m.EV + """, nv AS (SELECT vec_id AS node, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), pa AS (SELECT event_id, src % 500 AS src, dst % 499 AS dst FROM ev),
+ga AS (SELECT event_id, sum(CAST(a.v AS DOUBLE) * CAST(b.v AS DOUBLE)) AS ip, sum(pow(CAST(a.v AS DOUBLE) - CAST(b.v AS DOUBLE), 2)) AS se, count(*) AS n FROM pa JOIN nv a ON a.node = src JOIN nv b ON b.node = dst AND b.i = a.i GROUP BY event_id)"""
+
+
+def _walks(starts: str, a: str, b: str, t: str, length: int) -> str:
+    """Walks by number: each edge knows how many of its end's edges lie at or before it."""
+    return f"""WITH RECURSIVE {m.EV}, mv AS (SELECT src, dst % 150 AS dst, t, event_id FROM ev), sn AS (SELECT src AS node FROM mv UNION SELECT dst FROM mv), ed AS (SELECT {a} AS a, {b} AS b, {t} AS w, event_id, row_number() OVER (PARTITION BY {a} ORDER BY {t}, event_id) - 1 AS no FROM mv),
+dg AS (SELECT a, count(*) AS d FROM ed GROUP BY a), et AS (SELECT e.a, e.no, e.b, (SELECT count(*) FROM ed x WHERE x.a = e.b AND x.w <= e.w) AS ahead FROM ed e),
+wk AS (SELECT node, walk, 0 AS k, node AS at, CAST(0 AS BIGINT) AS ahead, CAST(node AS VARCHAR) AS path FROM {starts}, (SELECT unnest([0, 1]) AS walk) UNION ALL
+  SELECT wk.node, wk.walk, wk.k + 1, et.b, et.ahead, wk.path || '>' || et.b FROM wk JOIN dg ON dg.a = wk.at JOIN et ON et.a = wk.at AND et.no = wk.ahead + CAST('0x' || md5('0|' || wk.node || '|' || wk.walk || '|' || (wk.k + 1))[1:8] AS BIGINT) % (dg.d - wk.ahead) WHERE wk.k < {length - 1} AND dg.d > wk.ahead)
+SELECT node, walk, arg_max(path, k) AS path FROM wk GROUP BY node, walk"""
+
+
+def _imitations() -> str:
+    """The same draws over the same lists, for each attack."""
+    x = lambda what, *more: "CAST('0x' || md5('0|" + what + "|' || run" + "".join(f" || '|' || {c}" for c in more) + ")[1:8] AS BIGINT)"
+    names = "[" + ", ".join("[" + ", ".join(f"'{o}'" for o in t) + "]" for t in transform.TEMPLATES) + "]"
+    return f"""WITH RECURSIVE {m.EV}, {m.AT}, mv AS (SELECT event_id, t, src, dst % 150 AS dst FROM ev), bad AS (SELECT attack_id, node FROM (SELECT DISTINCT src AS node FROM mv) u JOIN atk ON node % 5 = attack_id), ins AS (SELECT attack_id, mv.* FROM mv JOIN atk ON t BETWEEN start_ns AND end_ns),
+own AS (SELECT i.attack_id, i.src, i.dst, t, event_id FROM ins i JOIN bad a ON a.attack_id = i.attack_id AND a.node = i.src JOIN bad b ON b.attack_id = i.attack_id AND b.node = i.dst WHERE i.src <> i.dst),
+top AS (SELECT attack_id, node FROM (SELECT attack_id, src AS node, t, event_id, 0 AS r FROM own UNION ALL SELECT attack_id, dst, t, event_id, 1 FROM own) GROUP BY ALL HAVING arg_min(r, (t, event_id, r)) = 0),
+rea AS (SELECT attack_id, node, CAST(-1 AS BIGINT) AS t FROM top UNION SELECT ins.attack_id, ins.dst, ins.t FROM rea JOIN ins ON ins.attack_id = rea.attack_id AND ins.src = rea.node AND ins.t > rea.t),
+act AS (SELECT attack_id, node, row_number() OVER (PARTITION BY attack_id ORDER BY node) - 1 AS no, count(*) OVER (PARTITION BY attack_id) AS n FROM (SELECT DISTINCT attack_id, node FROM rea WHERE node IN (SELECT src FROM mv))),
+fi AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS no, count(*) OVER () AS n FROM (SELECT DISTINCT dst AS node FROM mv)),
+ru AS (SELECT unnest(range(20)) AS run), rt AS (SELECT run, ({names})[{x('template')} % 14 + 1] AS ops FROM ru), rc AS (SELECT * FROM (SELECT *, coalesce(sum(len(ops)) OVER (ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM rt) WHERE before < 40),
+pk AS (SELECT a.attack_id, run, ops, a.node AS actor, f.node AS file FROM rc, act a, fi f WHERE a.no = {x('subject')} % a.n AND f.no = {x('file')} % f.n),
+oe AS (SELECT attack_id, actor, t, row_number() OVER (PARTITION BY attack_id, actor ORDER BY t, event_id, side) - 1 AS no, count(*) OVER (PARTITION BY attack_id, actor) AS n FROM (SELECT attack_id, src AS actor, t, event_id, 0 AS side FROM ins UNION ALL SELECT attack_id, dst, t, event_id, 1 FROM ins)),
+tm AS (SELECT pk.*, oe.t AS begin FROM pk JOIN oe ON oe.attack_id = pk.attack_id AND oe.actor = pk.actor AND oe.no = {x('time')} % oe.n),
+st AS (SELECT attack_id, run, actor, file, begin, unnest(ops) AS op, generate_subscripts(ops, 1) - 1 AS step FROM tm)
+SELECT attack_id, run, CAST(step AS INT) AS step, CASE WHEN op = 'EVENT_READ' THEN file ELSE actor END AS src, CASE WHEN op = 'EVENT_READ' THEN actor ELSE file END AS dst, op, CAST(begin + sum({x('gap', 'step')} % 3000000001) OVER (PARTITION BY attack_id, run ORDER BY step) AS BIGINT) AS t FROM st"""
+
+
 ORACLES = {
     "node_labels": "SELECT p_partkey, 'file ' || coalesce(p_name, 'None') || ' ' || coalesce(p_brand, 'None') || ' ' || CASE WHEN p_size > 25 THEN CAST(p_size AS VARCHAR) ELSE 'None' END AS label FROM part",
     "label_sha256": "SELECT p_partkey, sha256(p_name || ' ' || p_type) AS hash_id FROM part",
@@ -224,18 +395,46 @@ ORACLES = {
     "confidence_scores": f"WITH {_S}, t AS (SELECT vec_id, label, max(p) FILTER (k = 1) AS p1, max(p) FILTER (k = 2) AS p2 FROM r GROUP BY ALL), c AS (SELECT vec_id, label, (p1 - p2) / (p1 + 1e-6) AS c FROM t) SELECT vec_id, round((c - min(c) OVER w) / (max(c) OVER w - min(c) OVER w), 5) AS confidence FROM c WINDOW w AS (PARTITION BY label)",
     "l2_normal": "SELECT vec_id, round(CAST(embedding[1] AS DOUBLE) / (sqrt(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE)))) + 1e-12), 6) AS first FROM embeddings",
     "freq_loss": f"WITH {m.EV}, ty AS (SELECT *, {m.type_sql('src')} AS st, {m.type_sql('dst')} AS dt FROM ev), n AS (SELECT st, dt, op, count(*) AS n FROM ty WHERE day <= '2024-01-15' GROUP BY ALL), a AS (SELECT st, dt, sum(n) AS a FROM n GROUP BY ALL) SELECT event_id, round(-ln((coalesce(n, 0) + 1.0) / (coalesce(a, 0) + 5.0)), 9) AS loss FROM ty LEFT JOIN n USING (st, dt, op) LEFT JOIN a USING (st, dt)",
-    "knn_score": "WITH dd AS (SELECT t.vec_id AS id, sqrt(list_sum(list_transform(range(1, len(t.embedding) + 1), lambda i: pow(CAST(t.embedding[i] AS DOUBLE) - CAST(r.embedding[i] AS DOUBLE), 2)))) AS d, row_number() OVER (PARTITION BY t.vec_id ORDER BY sqrt(list_sum(list_transform(range(1, len(t.embedding) + 1), lambda i: pow(CAST(t.embedding[i] AS DOUBLE) - CAST(r.embedding[i] AS DOUBLE), 2))))) AS k FROM embeddings t, embeddings r WHERE t.vec_id % 5 = 1 AND r.vec_id % 5 = 0) SELECT id, round(avg(d), 4) AS score FROM dd WHERE k <= 10 GROUP BY id",
-    "neg_sampling": f"""WITH {m.EV}, a AS (SELECT src, event_id, md5('0|' || event_id) AS h FROM ev), b AS (SELECT dst, event_id, md5('1|' || event_id) AS h FROM ev),
-ra AS (SELECT src, CAST('0x' || h[1:4] AS INT) % 64 AS s, row_number() OVER (PARTITION BY CAST('0x' || h[1:4] AS INT) % 64 ORDER BY h, event_id) AS r FROM a), rb AS (SELECT dst, CAST('0x' || h[1:4] AS INT) % 64 AS s, row_number() OVER (PARTITION BY CAST('0x' || h[1:4] AS INT) % 64 ORDER BY h, event_id) AS r FROM b)
-SELECT DISTINCT src, dst FROM ra JOIN rb USING (s, r) WHERE src <> dst EXCEPT SELECT src, dst FROM ev""",
+    "knn_score": "WITH sa AS (SELECT * FROM embeddings ORDER BY CAST('0x' || md5(CAST(vec_id AS VARCHAR))[1:15] AS BIGINT), vec_id LIMIT 5000), dd AS (SELECT t.vec_id AS id, sqrt(list_sum(list_transform(range(1, len(t.embedding) + 1), lambda i: pow(CAST(t.embedding[i] AS DOUBLE) - CAST(r.embedding[i] AS DOUBLE), 2)))) AS d FROM embeddings t, sa r), k AS (SELECT id, d, row_number() OVER (PARTITION BY id ORDER BY d) AS k FROM dd) SELECT id, round(avg(d), 4) AS score FROM k WHERE k <= 10 GROUP BY id",
+    "magic_scores": """WITH e AS (SELECT label, vec_id AS id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), st AS (SELECT label, i, avg(CAST(v AS DOUBLE)) AS m, stddev_pop(CAST(v AS DOUBLE)) AS s FROM e GROUP BY ALL), z AS (SELECT label, id, i, (CAST(v AS DOUBLE) - m) / CASE WHEN s > 0 THEN s ELSE 1 END AS z FROM e JOIN st USING (label, i)),
+dd AS (SELECT a.label, a.id, b.id AS other, sqrt(sum((a.z - b.z) * (a.z - b.z))) AS d FROM z a JOIN z b ON a.label = b.label AND a.i = b.i GROUP BY ALL), k AS (SELECT label, id, d, row_number() OVER (PARTITION BY label, id ORDER BY d) AS k FROM dd), n AS (SELECT label, id, avg(d) AS d FROM k WHERE k <= 5 GROUP BY ALL),
+mn AS (SELECT avg(d) AS m FROM (SELECT label, avg(d) AS d FROM n GROUP BY label)) SELECT label, id, round(d / (SELECT m FROM mn), 4) AS score FROM n""",
+    "contrastive_loss": f"WITH {m.EV}, l AS (SELECT (loss - 50) / 25 AS x, op FROM ev) SELECT round(0.5 * (avg(ln(1 + exp(-x))) FILTER (op = 'view') + avg(ln(1 + exp(x))) FILTER (op <> 'view')), 6) AS loss FROM l",
+    "bce_losses": f"WITH {m.EV}, l AS (SELECT event_id, loss, 1 / (1 + exp(-(loss - 50) / 25)) AS p, op FROM ev) SELECT event_id, round(CASE WHEN op = 'view' THEN ln(1 + exp(-(loss - 50) / 25)) ELSE (loss - 50) / 25 + ln(1 + exp(-(loss - 50) / 25)) END, 6) AS loss, round(-ln(loss / 1000 + 0.001), 6) AS bce FROM l",
+    "neg_sampling": f"""WITH {m.SL}, ra AS (SELECT tw, event_id, src, row_number() OVER (PARTITION BY tw ORDER BY CAST('0x' || md5('0|' || event_id)[1:15] AS BIGINT), event_id) AS r FROM sl), rb AS (SELECT tw, dst, row_number() OVER (PARTITION BY tw ORDER BY CAST('0x' || md5('1|' || event_id)[1:15] AS BIGINT), event_id) AS r FROM sl)
+SELECT ra.tw, event_id, src, dst FROM ra JOIN rb USING (tw, r) WHERE src <> dst AND NOT EXISTS (SELECT 1 FROM sl WHERE sl.tw = ra.tw AND sl.src = ra.src AND sl.dst = rb.dst)""",
+    "temporal_walks": _walks("sn", "src", "dst", "t", 4),
+    "temporal_walks_back": _walks("sn", "dst", "src", "-t", 3),
+    "static_walks": f"""WITH {m.EV}, mv AS (SELECT src, dst % 150 AS dst, op FROM ev), bo AS (SELECT src AS a, op, dst AS b FROM mv UNION SELECT dst, op, src FROM mv), ne AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY b) - 1 AS no, count(*) OVER (PARTITION BY a) AS d FROM (SELECT DISTINCT a, b FROM bo)), po AS (SELECT a, b, op, row_number() OVER (PARTITION BY a, b ORDER BY op) - 1 AS j, count(*) OVER (PARTITION BY a, b) AS n FROM bo),
+w0 AS (SELECT a AS node, unnest(range(1, d + 1)) AS walk FROM (SELECT DISTINCT a, d FROM ne)), dr AS (SELECT node, walk, """ + ", ".join(f"CAST('0x' || md5('0|' || node || '|' || walk || '|{k}')[1:8] AS BIGINT) AS x{k}" for k in (2, 3, 4, 5)) + """ FROM w0),
+s1 AS (SELECT node, walk, x4, x5, p.b AS cur, node || '>' || p.op || '>' || p.b AS path FROM dr JOIN ne ON ne.a = node AND ne.no = x2 % ne.d JOIN po p ON p.a = ne.a AND p.b = ne.b AND p.j = x3 % p.n)
+SELECT node, CAST(walk AS INT) AS walk, path || '>' || p.op || '>' || p.b AS path FROM s1 JOIN ne ON ne.a = cur AND ne.no = x4 % ne.d JOIN po p ON p.a = ne.a AND p.b = ne.b AND p.j = x5 % p.n""",
+    "only_type_vectors": f"WITH {m.EV} SELECT DISTINCT dst AS node, CASE WHEN dst % 2 = 0 THEN '010' ELSE '001' END AS vec FROM ev",
+    "edge_messages": f"WITH {m.EV} SELECT event_id, '100' AS src_type, '100' AS src_vec, repeat('0', list_position(['click', 'error', 'purchase', 'signup', 'view'], op) - 1) || '1' || repeat('0', 5 - list_position(['click', 'error', 'purchase', 'signup', 'view'], op)) AS edge_type, '100' AS dst_type, '100' AS dst_vec FROM ev",
+    "document_vectors": f"WITH {m.EV}, en AS (SELECT day, src AS node, op, t, event_id FROM ev UNION ALL SELECT day, dst, op, t, event_id FROM ev WHERE src <> dst), r AS (SELECT *, row_number() OVER (PARTITION BY day, node ORDER BY t, event_id) AS r FROM en), p AS (SELECT day, node, 3 * (r - 1) + 1 AS i, list_position(['click', 'error', 'purchase', 'signup', 'view'], op) - 1 AS v FROM r WHERE r <= 3) SELECT day, node, round(avg(v + sin(i)), 6) AS x, round(avg(1 + cos(i)), 6) AS y FROM p GROUP BY ALL",
+    "context_vectors": "WITH w AS (SELECT p_partkey AS node, unnest(string_split(p_name, ' ')) AS word, generate_subscripts(string_split(p_name, ' '), 1) AS i FROM part), c AS (SELECT a.word, a.node, a.i, sum(length(b.word)) AS x, CAST(count(*) AS DOUBLE) AS y FROM w a JOIN w b ON a.node = b.node AND abs(a.i - b.i) = 1 GROUP BY ALL) SELECT word, 0 AS k, round(avg(x), 6) AS x FROM c GROUP BY word UNION ALL SELECT word, 1, round(avg(y), 6) FROM c GROUP BY word",
+    "edge_inner_product": f"WITH {_GA} SELECT event_id, round(ip, 4) AS score FROM ga",
+    "objective_sum": f"WITH {_GA} SELECT event_id, round(se / n + ln(1 + exp(-ip)), 4) AS loss FROM ga",
+    "tanh_sum": f"WITH {m.SL} SELECT tw, dst AS node, round(tanh(sum(src % 7 / 10)), 6) AS x FROM sl GROUP BY ALL",
+    "activations": f"WITH {m.EV}, x AS (SELECT event_id, (loss - 50) / 20 AS x FROM ev) SELECT event_id, round(greatest(x, 0), 6) AS relu, round(tanh(x), 6) AS tanh, round(1 / (1 + exp(-x)), 6) AS sigmoid, round(CASE WHEN x > 0 THEN x ELSE exp(x) - 1 END, 6) AS elu, round(CASE WHEN x > 0 THEN x ELSE 0.01 * x END, 6) AS leaky_relu FROM x",
+    "gin_self_weight": f"WITH {m.SL}, n AS (SELECT tw, src AS node FROM sl UNION SELECT tw, dst FROM sl), i AS (SELECT tw, dst AS node, sum(src % 7) AS x FROM sl GROUP BY ALL) SELECT tw, node, CAST(coalesce(x, 0) + 1.5 * (node % 7) AS DOUBLE) AS x FROM n LEFT JOIN i USING (tw, node)",
+    "weighted_aggregation": f"WITH {m.SL} SELECT tw, dst AS node, round(sum(exp(loss / 100) * (src % 7)) / sum(exp(loss / 100)), 6) AS x FROM sl GROUP BY ALL",
+    "triplet_table": "SELECT * FROM (VALUES ('ten', 'subject', 'subject', 9, 0), ('ten', 'subject', 'file', 5, 9), ('ten', 'subject', 'netflow', 4, 14), ('ten', 'file', 'subject', 5, 18), ('ten', 'netflow', 'subject', 4, 23), ('agent', 'subject', 'subject', 3, 0), ('agent', 'subject', 'file', 21, 3), ('agent', 'subject', 'netflow', 4, 24), ('agent', 'file', 'subject', 4, 28), ('agent', 'netflow', 'subject', 1, 32)) v(family, src_type, dst_type, n, first)",
+    "op_ids": f"WITH {m.EV} SELECT event_id, CAST(list_position(['click', 'error', 'purchase', 'signup', 'view'], op) - 1 AS INT) AS op_id, CAST(event_id % 33 + 1 AS INT) AS agent_id FROM ev",
+    "label_tokens": r"WITH p AS (SELECT p_partkey, 'C:/x/' || p_name || '/' || p_brand AS path, p_size || '.0.0.1:' || p_partkey AS address FROM part), t AS (SELECT p_partkey, array_to_string(regexp_split_to_array(trim(regexp_replace(path, '/', ' / ', 'g')), '\s+'), '|') AS path, array_to_string(regexp_split_to_array(trim(regexp_replace(address, '([:.])', ' \1 ', 'g')), '\s+'), '|') AS address FROM p) SELECT *, CASE WHEN p_partkey % 2 = 0 THEN address ELSE path END AS typed FROM t",
+    "iso_times": f"WITH {m.EV} SELECT event_id, t // 1000000 * 1000000 AS t FROM ev",
+    "display_labels": "SELECT p_partkey, CASE WHEN p_size > 25 THEN p_name || '-' ELSE '' END || CASE WHEN p_size % 2 = 0 THEN p_type ELSE 'None' END AS label FROM part",
+    "neighbour_values": f"WITH {m.EV} SELECT event_id, CASE WHEN loss < 475 THEN (floor(loss / 25) + 1) * 25 END AS above, CASE WHEN loss > 0 THEN least((ceil(loss / 25) - 1) * 25, 475) END AS below FROM ev",
+    "mean_of_text": "SELECT round(avg(p_size) FILTER (p_size % 3 <> 0), 6) AS mean FROM part",
+    "imitation_events": _imitations(),
     "neighbor_attention": f"WITH {m.SL} SELECT event_id, round(exp(loss / 100) / sum(exp(loss / 100)) OVER (PARTITION BY tw, dst), 6) AS weight FROM sl",
     "neighbor_mean": f"WITH {m.SL} SELECT tw, dst AS node, round(avg(src % 7), 6) AS x0, 1.0::DOUBLE AS x1 FROM sl GROUP BY ALL",
     "corpus_distinct": r"WITH p AS (SELECT p_name || '/' || p_brand AS label, min(p_partkey) AS node FROM part WHERE p_partkey % 3 = 0 GROUP BY 1) SELECT node, label, array_to_string(regexp_split_to_array(trim(regexp_replace(label, '([/:.])', ' \1 ', 'g')), '\s+'), '|') AS tokens FROM p",
-    "neighbor_corpus": f"WITH {m.EV}, e AS (SELECT DISTINCT src, dst FROM ev WHERE day = '2024-01-02'), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e) SELECT node, {m.type_sql('node')} || ' ' || node || coalesce((SELECT string_agg(' ' || {m.type_sql('dst')} || ' ' || dst, '' ORDER BY dst) FROM e WHERE src = node), '') AS tokens FROM n",
+    "neighbor_corpus": f"WITH {m.EV}, e AS (SELECT DISTINCT src, dst FROM ev), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e) SELECT node, {m.type_sql('node')} || ' ' || node || coalesce((SELECT string_agg(' ' || {m.type_sql('dst')} || ' ' || dst, '' ORDER BY dst) FROM e WHERE src = node), '') AS tokens FROM n",
     "flash_corpus": f"WITH {m.EV}, en AS (SELECT day, src AS node, src, op, dst, t, event_id FROM ev UNION ALL SELECT day, dst, src, op, dst, t, event_id FROM ev WHERE src <> dst), r AS (SELECT *, row_number() OVER (PARTITION BY day, node ORDER BY t, event_id) AS r FROM en) SELECT day, node, string_agg(src || ' ' || op || ' ' || dst, ' ' ORDER BY r) AS words FROM r WHERE r <= 5 GROUP BY ALL",
     "time_encoding": f"WITH {m.EV} SELECT event_id, round(cos(loss / pow(10.0, 3.0)), 6) AS second FROM ev",
     "sum_aggregation": f"WITH {m.SL} SELECT tw, dst AS node, CAST(sum(src % 7) AS DOUBLE) AS x FROM sl GROUP BY ALL",
     "char_ngrams": "WITH w AS (SELECT p_partkey, '<' || split_part(p_name, ' ', 1) || '>' AS w FROM part), i AS (SELECT p_partkey, w, unnest(range(length(w) - 2)) AS i FROM w) SELECT p_partkey, CAST(i AS INT) AS i, substring(w, i + 1, 3) AS gram FROM i",
     "hier_hash": f"WITH {_U}, h AS (SELECT page_id AS id, CAST('0x' || md5(prefix)[1:8] AS BIGINT) % 16 AS cell, CASE WHEN CAST('0x' || md5(prefix)[9:9] AS INT) % 2 = 0 THEN 1.0 ELSE -1.0 END AS s FROM pf), c AS (SELECT id, cell, sum(s) AS v FROM h GROUP BY ALL HAVING sum(s) <> 0) SELECT id, cell, round(CAST(v AS DOUBLE) / sqrt(sum(CAST(v * v AS DOUBLE)) OVER (PARTITION BY id)), 9) AS value FROM c",
 }
-QUERIES = {name: globals()[name] for name in (*ORACLES, "temporal_walks", "static_walks", "word2vec_vectors", "edge_type_losses", "imitation_events")}
+QUERIES = {name: globals()[name] for name in (*ORACLES, "word2vec_vectors", "edge_type_losses")}

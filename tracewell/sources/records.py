@@ -140,3 +140,22 @@ def node_map(nodes: DataFrame) -> DataFrame:
     none = lambda c: F.coalesce(c, F.lit("None"))
     label = F.when(F.col("kind") == "file", none(F.col("path"))).when(F.col("kind") == "subject", F.concat_ws(" ", none(F.col("path")), none(F.col("cmd")))).otherwise(F.concat(none(F.col("src_addr")), F.lit(":"), none(F.col("src_port")), F.lit("->"), none(F.col("dst_addr")), F.lit(":"), none(F.col("dst_port"))))
     return nodes.select("index_id", F.col("kind").alias("node_type"), label.alias("label"))
+
+
+def ids_by_uuid(nodes: DataFrame) -> DataFrame:
+    """(uuid, index_id)."""
+    return nodes.select("uuid", "index_id")
+
+
+def uuids_by_id(nodes: DataFrame) -> DataFrame:
+    """(index_id, uuid, node_type)."""
+    return nodes.select("index_id", "uuid", F.col("kind").alias("node_type"))
+
+
+def events_between(events: DataFrame, start: int, end: int, nodes: DataFrame | None = None) -> DataFrame:
+    """Events in a closed range of time, with both ends among nodes(index_id) if given."""
+    inside = events.filter(F.col("t").between(start, end))
+    if nodes is None:
+        return inside
+    n = nodes.select("index_id").distinct()
+    return inside.join(n.withColumnRenamed("index_id", "src"), "src", "left_semi").join(n.withColumnRenamed("index_id", "dst"), "dst", "left_semi").select(*events.columns)
