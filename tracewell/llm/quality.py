@@ -1,9 +1,9 @@
 """Quality rules as a short-circuit cascade, all in DataFrame expressions.
 
 The features of the contract (words, symbols, repeated lines, repeated word
-trigrams) are computed for every row. The verdict runs through further rules in
-one CASE: a rule is evaluated only for rows that passed all rules before it.
-Their order comes from a sample: each rule's seconds and share of rejected rows
+trigrams) are computed for every row, which must have them; rules on them alone cost
+nothing more. The verdict runs through all rules in one CASE: a rule is evaluated
+only for rows that passed all rules before it. Their order comes from a sample: each rule's seconds and share of rejected rows
 are measured, and rules run by rejection per cost, highest first. The order
 changes the cost, never the verdict.
 
@@ -130,7 +130,7 @@ def rule_order(docs: DataFrame, limits: Limits, sample_rows: int = 2000, seed: i
 
 
 def quality_cascade(docs: DataFrame, limits: Limits = Limits(), sample_rows: int = 2000) -> DataFrame:
-    """Contract columns plus failed_rule: the first rule of the cascade that rejects the row."""
+    """The contract's columns; kept is false where the base rules or a rule of the cascade reject the row."""
     order, all_rules = rule_order(docs, limits, sample_rows), rules(limits)
     first = F.when(base_failed(limits), F.lit("base"))
     for name in order:
