@@ -14,6 +14,7 @@ documents; clean documents pass every filter.
 
 from __future__ import annotations
 
+import threading
 from functools import wraps
 
 import public_tokenizers
@@ -24,26 +25,36 @@ from tracewell.llm import bpe, decontam, langid, line_dedup, minhash, support
 from tracewell.session import table
 
 BATCH_ROWS = 2000  # whole texts that go to a Python worker at a time
-_before: list[str] = []
+_scratch = threading.local()
 
 
 def _stage(f):
-    """A stage begins once its predecessor's result is written, so that one's scratch tables can go."""
+    """A stage drops the scratch tables of the one before it in its thread, once that one's result is written.
+
+    A result that still reads them (not written yet) keeps them.
+    """
 
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         support.ship(spark)
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-        support.release(spark, _before)
-        _before.clear()
+        before = getattr(_scratch, "tables", [])
+        if before and not any(path in file for path in map(_tail, before) for file in docs.inputFiles()):
+            support.release(spark, before)
+            before = []
         known = set(support.tables())
         out = f(spark, docs, sf_dir)
-        _before.extend(p for p in support.tables() if p not in known)
+        _scratch.tables = before + [p for p in support.tables() if p not in known]
         return out
 
     return run_stage
 
 
+def _tail(path: str) -> str:
+    """The part of a table's path that is its own."""
+    return path.rsplit("/", 1)[-1]
+
+
 def _with_text(docs: DataFrame) -> DataFrame:
     """n_chars follows text where documents have it."""
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
