@@ -76,11 +76,14 @@ def join_hot(rows: DataFrame, one: DataFrame, keys: list[str], n: str, total: in
 
     Keys that hold more than one in HOT_KEYS of all rows, fewer than HOT_KEYS of
     them, go to every task; the others go through the shuffle. So no task gathers
-    a key that holds a share of the rows.
+    a key that holds a share of the rows. Both sides are parted by the hot keys' hashes.
     """
-    hot = F.broadcast(one.filter(F.col(n) * HOT_KEYS > total))
-    cold = one.filter(F.col(n) * HOT_KEYS <= total)
-    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
+    h = F.xxhash64(*keys)
+    hot = [r[0] for r in one.filter(F.col(n) * HOT_KEYS > total).select(h).collect()]  # fewer than HOT_KEYS numbers
+    if not hot:
+        return rows.join(one, keys)
+    apart = h.isin(hot)
+    return rows.filter(apart).join(F.broadcast(one.filter(apart)), keys).unionByName(rows.filter(~apart).join(one.filter(~apart), keys))
 
 
 def shuffle_parts(spark: SparkSession) -> int:
