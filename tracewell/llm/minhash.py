@@ -306,14 +306,15 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, limit: int = LIM
     parts = shuffle_parts(spark)
     keyed = content_key(docs)
     scan = stored(keyed.mapInArrow(_scan, extended([keyed.schema["doc_id"]], "k1 long, k2 int, node binary, bands array<long>, sketch binary, size int")), "sketches")
-    nodes = stored(scan.filter("node is not null").select("node", "k1", "k2", "bands", "sketch", "size").dropDuplicates(["node"]), "nodes")
+    nodes = stored(scan.filter("node is not null").select("node", "doc_id", "k1", "k2", "bands", "sketch", "size").dropDuplicates(["node"]), "nodes")
     met = stored(meetings(nodes), "meetings")
     by_block = lambda rows: rows.repartition(parts, "key", "block").sortWithinPartitions("key", "block")
     ends = "a binary, b binary"
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        need = nodes.select("node", "k1", "k2").join(wanted, "node")
-        texts = keyed.select("k1", "k2", "text").join(need, ["k1", "k2"]).select("node", "text").dropDuplicates(["node"])
+        need = nodes.select("node", "doc_id", "k1", "k2").join(wanted, "node")  # one of a node's rows, so that its copies meet nowhere
+        same = keyed["doc_id"].eqNullSafe(need["doc_id"]) & (keyed["k1"] == need["k1"]) & (keyed["k2"] == need["k2"])
+        texts = keyed.join(need, same).select(need["node"], keyed["text"]).dropDuplicates(["node"])
         return stored(texts.mapInArrow(_sets, "node binary, shingles array<long>"), "sets")
 
     blocks = in_blocks(met, limit).join(nodes.select("node", "sketch"), "node").select("key", "block", "node", "sketch")
