@@ -79,3 +79,11 @@ def test_edge_cases(edge, empty):
     got = digest_columns(suffix_dedup(edge)).collect()
     assert sorted(tuple(r)[1:] for r in got) == brute([r.text for r in edge.select("text").collect()], 200)
     assert suffix_dedup(empty).count() == 0
+
+
+def test_long_text_of_one_period(frame):
+    """One context of many times the usual length goes the way of many contexts."""
+    random.seed(7)
+    given_texts = ["".join(random.choice("xyz") for _ in range(71)) * 6500, "short", "".join(random.choice("xyz") for _ in range(400))]
+    got = sorted(tuple(r)[1:] for r in digest_columns(suffix_dedup(frame(list(enumerate(given_texts))))).collect())
+    assert got == brute(given_texts, 200)

@@ -10,7 +10,7 @@ value form one context. A value met once holds nothing twice. Where all contexts
 of a value are equal, hashes alone settle them. Only distinct contexts of the
 rest are read as bytes: a suffix array by induced sorting and its permuted common
 prefixes give the places where `span` bytes repeat. Values with more than HOT
-contexts (a passage in front of countless different ones) are dealt by hashes of
+contexts, or as many bytes (a passage in front of countless different ones) are dealt by hashes of
 their strings instead, tiles of neighbouring strings first, so that no value
 needs one task.
 
@@ -327,11 +327,12 @@ def repeated_contexts(docs: DataFrame, span: int) -> DataFrame:
     """Per key: contexts that hashes settle, and those whose bytes are needed."""
     found = stored(keyed(docs).select("k1", "k2", "text").mapInArrow(_scan(span), "k1 long, k2 int, fp long, ctx long, p0 int, p1 int, two boolean"), "contexts")
     n = F.count("*")
-    values = found.groupBy("fp").agg(n.alias("n"), (F.min("ctx") == F.max("ctx")).alias("same"), F.max("two").alias("two"))
-    values = values.filter((F.col("n") > 1) | F.col("two")).select("fp", "n", ((F.col("n") > 1) & F.col("same")).alias("settled"))
+    weight = F.greatest(n, F.ceil(F.sum(F.col("p1") - F.col("p0") + span) / (2 * span)))  # contexts, or as many of usual length
+    values = found.groupBy("fp").agg(n.alias("n"), weight.cast("int").alias("weight"), (F.min("ctx") == F.max("ctx")).alias("same"), F.max("two").alias("two"))
+    values = values.filter((F.col("n") > 1) | F.col("two")).select("fp", "weight", ((F.col("n") > 1) & F.col("same")).alias("settled"))
     kept = found.drop("two").join(values, "fp")
     settled = F.when(F.col("settled"), F.struct(F.col("p0").alias("a"), F.col("p1").alias("z")))
-    mixed = F.when(~F.col("settled"), F.struct("fp", "ctx", "p0", "p1", F.col("n").cast("int").alias("n")))
+    mixed = F.when(~F.col("settled"), F.struct("fp", "ctx", "p0", "p1", F.col("weight").alias("n")))
     return kept.groupBy("k1", "k2").agg(F.collect_set(settled).alias("settled"), F.collect_set(mixed).alias("mixed"), n.alias("rows"))
 
 
