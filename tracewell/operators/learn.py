@@ -85,6 +85,31 @@ def forward(df: DataFrame, column: str, layers: list[tuple[str, float | None]],
     return df.withColumn(out, pandas_udf("array<double>")(run)(column))
 
 
+def gru(df: DataFrame, column: str, weights: dict[str, np.ndarray], out: str) -> DataFrame:
+    """Adds the last state of a gated recurrent unit run over an array of vectors, batch by batch in numpy.
+
+    weights: w (3 * hidden, inputs), u (3 * hidden, hidden), and b, c (3 * hidden), gates in order reset,
+    update, candidate. An empty sequence leaves the state at zero.
+    """
+    w, u, b, c = (weights[k] for k in "wubc")
+    n = u.shape[1]
+    sigmoid = ACTIVATIONS["sigmoid"]
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            states = []
+            for steps in s:
+                h = np.zeros(n)
+                for x in steps:
+                    i, k = w @ np.asarray(x, float) + b, u @ h + c
+                    r, z = sigmoid(i[:n] + k[:n]), sigmoid(i[n : 2 * n] + k[n : 2 * n])
+                    h = (1 - z) * np.tanh(i[2 * n :] + r * k[2 * n :]) + z * h
+                states.append(h)
+            yield pd.Series(states)
+
+    return df.withColumn(out, pandas_udf("array<double>")(run)(column))
+
+
 def activation(name: str, v: Column) -> Column:
     """An activation over a vector column, as an expression."""
     one = {

@@ -71,6 +71,13 @@ def window_nodes(edges: DataFrame, by: list[str], nodes: DataFrame) -> DataFrame
     return ends.join(nodes, "node")
 
 
+def multigraph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with the types of their ends, nodes(node, node_type), and y, 0 where an edge has none yet."""
+    typed = lambda e: nodes.select(F.col("node").alias(e), F.col("node_type").alias(f"{e}_type"))
+    y = F.coalesce("y", F.lit(0)) if "y" in edges.columns else F.lit(0)
+    return edges.join(typed("src"), "src").join(typed("dst"), "dst").withColumn("y", y)
+
+
 def split_nodes(edges: DataFrame, splits: DataFrame) -> DataFrame:
     """(split, node) for nodes met on the days of each split."""
     e = edges.join(splits, "day")

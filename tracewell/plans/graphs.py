@@ -28,6 +28,18 @@ def edge_fusion(s, d):
     return windows.fuse_runs(m.adaptive(s, d), TW).select("day", "tw", "src", "dst", "op", "t", "event_id")
 
 
+def window_multigraph(s, d):
+    e = m.slotted(s, d)
+    nodes = e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct().withColumn("node_type", m.node_type(F.col("node")))
+    return windows.multigraph(e, nodes).groupBy("tw", "src_type", "op", "dst_type", "y").agg(F.count("*").alias("n"))
+
+
+def transform_chain(s, d):
+    """Undirected, then without cycles of more than two nodes' pairs: each step takes what the one before gives."""
+    out = transform.chain(_mesh(s, d), [lambda e: transform.undirected(e, SLOT), lambda e: e.filter("src < dst"), lambda e: transform.acyclic(e, SLOT)])
+    return out.groupBy("tw").agg(F.count("*").alias("n"), F.sum("src").alias("sum_src"))
+
+
 def tw_nodes(s, d):
     e = m.slotted(s, d)
     nodes = e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct().withColumn("node_type", m.node_type(F.col("node")))
@@ -251,6 +263,8 @@ ORACLES = {
     "tw_daily_eastern": f"WITH {m.EV} SELECT CAST(CAST(make_timestamp(t // 1000) - INTERVAL 5 HOUR AS DATE) AS VARCHAR) AS day, count(*) AS n FROM ev GROUP BY 1",
     "tw_adaptive": f"WITH RECURSIVE {m.AD} SELECT day, CAST(tw AS BIGINT) AS tw, tw_start, tw_end, count(*) AS n FROM ad GROUP BY ALL",
     "edge_fusion": f"WITH RECURSIVE {m.AD} SELECT day, CAST(tw AS BIGINT) AS tw, src, dst, op, t, event_id FROM (SELECT *, lag(op) OVER (PARTITION BY day, tw, src, dst ORDER BY t, event_id) AS b FROM ad) WHERE b IS NULL OR b <> op",
+    "window_multigraph": f"WITH {m.SL} SELECT tw, {m.type_sql('src')} AS src_type, op, {m.type_sql('dst')} AS dst_type, 0 AS y, count(*) AS n FROM sl GROUP BY ALL",
+    "transform_chain": f"WITH {MESH}, b AS (SELECT tw, src, dst FROM me UNION SELECT tw, dst, src FROM me) SELECT tw, count(*) AS n, CAST(sum(src) AS BIGINT) AS sum_src FROM b WHERE src < dst GROUP BY tw",
     "tw_nodes": f"WITH {m.SL}, en AS (SELECT tw, src AS node FROM sl UNION SELECT tw, dst FROM sl) SELECT tw, {m.type_sql('node')} AS node_type, count(*) AS n_nodes FROM en GROUP BY ALL",
     "first_edge_graph": f"WITH {m.SL} SELECT tw, src, dst, t, event_id, op FROM (SELECT *, row_number() OVER (PARTITION BY tw, src, dst ORDER BY t, event_id) AS r FROM sl) WHERE r = 1",
     "split_nodes": f"WITH {m.EV}, sn AS (SELECT {m.SPLIT} AS split, src AS node FROM ev UNION SELECT {m.SPLIT}, dst FROM ev) SELECT split, count(*) AS n_nodes, CAST(sum(node) AS BIGINT) AS sum_nodes FROM sn GROUP BY split",
