@@ -233,9 +233,16 @@ def test_own_vector_in_aggregation(spark):
     assert got == {"a": [1.5, 3.0], "b": [16.0, 32.0]}
 
 
-def test_imitations_stay_in_the_window(spark):
+def test_imitations_begin_at_events_of_their_actor(spark):
     e = spark.createDataFrame([("r", "p", 10**9, 0), ("p", "f", 2 * 10**9, 1)], "src string, dst string, t long, event_id long")
     node = lambda *n: spark.createDataFrame([(x,) for x in n], "node string")
-    rows = transform.imitations(e, node("r", "p"), node("r", "p"), node("f", "g"), 0, 100 * 10**9, 2).collect()
-    assert len(rows) == 2 * len(transform.TEMPLATE) and all(0 <= r.t <= 100 * 10**9 and r.y == 1 for r in rows)
-    assert {r.src for r in rows} == {"r", "p"}
+    rows = transform.imitations(e, node("r", "p"), node("r", "p"), node("f", "g"), 0, 100 * 10**9, 60).orderBy("run", "step").collect()
+    assert len(rows) >= 60 and all(r.y == 1 for r in rows) and len({r.event_id for r in rows}) == len(rows)
+    actors = {r.run: (r.dst if r.op == "EVENT_READ" else r.src) for r in rows}
+    assert set(actors.values()) == {"r", "p"}
+    begins = {"r": (10**9,), "p": (10**9, 2 * 10**9)}
+    for r in rows:
+        if r.step == 0:
+            assert any(0 <= r.t - b <= 3 * 10**9 for b in begins[actors[r.run]])
+    runs = {k: tuple(r.op for r in rows if r.run == k) for k in actors}
+    assert set(runs.values()) <= set(transform.TEMPLATES)

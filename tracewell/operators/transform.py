@@ -226,18 +226,18 @@ def imitation_actors(edges: DataFrame, bad: DataFrame, subjects: DataFrame) -> D
 
 
 def imitations(edges: DataFrame, bad: DataFrame, subjects: DataFrame, files: DataFrame, start: int, end: int, n: int, seed: int = 0) -> DataFrame:
-    """(src, dst, op, t, run, step): imitated benign activity of an attack, whole runs until n events are reached.
+    """(src, dst, op, t, run, step, event_id, y): imitated benign activity of an attack, whole runs until n events are reached.
 
     A run is one of TEMPLATES by a subject of imitation_actors on a file, both
     picked by seeded hashes; it begins within 3 seconds of one of the subject's own events in
     the window, its steps lie up to 3 seconds apart, and it reads from file to subject.
     """
     inside = edges.filter(F.col("t").between(start, end))
-    number = lambda d: stored(with_ordinal(d.select("node").distinct(), [], ["node"], 1 << 16, "no"), "numbered")
+    number = lambda d: stored(with_ordinal(d.select("node").distinct().withColumn("_h", digest(F.lit(seed), "node", hex_digits=15)), [], ["_h", "node"], 1 << 50, "no"), "numbered")
     actors, objects = number(imitation_actors(inside, bad, subjects)), number(files)
     n_actors, n_objects = actors.count(), objects.count()
     if not n_actors or not n_objects or n <= 0:
-        return edges.select("src", "dst", "op", "t", F.lit(0).alias("run"), F.lit(0).alias("step")).limit(0)
+        return edges.select("src", "dst", "op", "t", F.lit(0).alias("run"), F.lit(0).alias("step"), F.lit("").alias("event_id"), F.lit(1).alias("y")).limit(0)
     names = F.array(*[F.array(*map(F.lit, t)) for t in TEMPLATES])
     draw = lambda what, of: F.pmod(digest(F.lit(seed), F.lit(what), "run"), F.lit(of))
     runs = edges.sparkSession.range(-(-n // 2)).select(F.col("id").cast("int").alias("run"))
@@ -254,7 +254,7 @@ def imitations(edges: DataFrame, bad: DataFrame, subjects: DataFrame, files: Dat
     gap = F.pmod(digest(F.lit(seed), F.lit("gap"), "run", "step"), F.lit(3_000_000_001))
     at = F.col("begin") + F.sum(gap).over(W.partitionBy("run").orderBy("step"))
     read = F.col("op") == "EVENT_READ"
-    return steps.select(F.when(read, F.col("file")).otherwise(F.col("actor")).alias("src"), F.when(read, F.col("actor")).otherwise(F.col("file")).alias("dst"), "op", at.alias("t"), "run", "step")
+    return steps.select(F.when(read, F.col("file")).otherwise(F.col("actor")).alias("src"), F.when(read, F.col("actor")).otherwise(F.col("file")).alias("dst"), "op", at.alias("t"), "run", "step", F.concat_ws("-", F.lit("imitation"), "run", "step").alias("event_id"), F.lit(1).alias("y"))
 
 
 def chain(edges: DataFrame, steps: list[Callable[[DataFrame], DataFrame]]) -> DataFrame:

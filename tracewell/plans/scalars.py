@@ -364,8 +364,8 @@ def _imitations() -> str:
 own AS (SELECT i.attack_id, i.src, i.dst, t, event_id FROM ins i JOIN bad a ON a.attack_id = i.attack_id AND a.node = i.src JOIN bad b ON b.attack_id = i.attack_id AND b.node = i.dst WHERE i.src <> i.dst),
 top AS (SELECT attack_id, node FROM (SELECT attack_id, src AS node, t, event_id, 0 AS r FROM own UNION ALL SELECT attack_id, dst, t, event_id, 1 FROM own) GROUP BY ALL HAVING arg_min(r, (t, event_id, r)) = 0),
 rea AS (SELECT attack_id, node, CAST(-1 AS BIGINT) AS t FROM top UNION SELECT ins.attack_id, ins.dst, ins.t FROM rea JOIN ins ON ins.attack_id = rea.attack_id AND ins.src = rea.node AND ins.t > rea.t),
-act AS (SELECT attack_id, node, row_number() OVER (PARTITION BY attack_id ORDER BY node) - 1 AS no, count(*) OVER (PARTITION BY attack_id) AS n FROM (SELECT DISTINCT attack_id, node FROM rea WHERE node IN (SELECT src FROM mv))),
-fi AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS no, count(*) OVER () AS n FROM (SELECT DISTINCT dst AS node FROM mv)),
+act AS (SELECT attack_id, node, row_number() OVER (PARTITION BY attack_id ORDER BY CAST('0x' || md5('0|' || node)[1:15] AS BIGINT), node) - 1 AS no, count(*) OVER (PARTITION BY attack_id) AS n FROM (SELECT DISTINCT attack_id, node FROM rea WHERE node IN (SELECT src FROM mv))),
+fi AS (SELECT node, row_number() OVER (ORDER BY CAST('0x' || md5('0|' || node)[1:15] AS BIGINT), node) - 1 AS no, count(*) OVER () AS n FROM (SELECT DISTINCT dst AS node FROM mv)),
 ru AS (SELECT unnest(range(20)) AS run), rt AS (SELECT run, ({names})[{x('template')} % 14 + 1] AS ops FROM ru), rc AS (SELECT * FROM (SELECT *, coalesce(sum(len(ops)) OVER (ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM rt) WHERE before < 40),
 pk AS (SELECT a.attack_id, run, ops, a.node AS actor, f.node AS file FROM rc, act a, fi f WHERE a.no = {x('subject')} % a.n AND f.no = {x('file')} % f.n),
 oe AS (SELECT attack_id, actor, t, row_number() OVER (PARTITION BY attack_id, actor ORDER BY t, event_id, side) - 1 AS no, count(*) OVER (PARTITION BY attack_id, actor) AS n FROM (SELECT attack_id, src AS actor, t, event_id, 0 AS side FROM ins UNION ALL SELECT attack_id, dst, t, event_id, 1 FROM ins)),
