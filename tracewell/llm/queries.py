@@ -149,6 +149,85 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_reply_order(chat_format(table(spark, sf_dir, "conversations")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import hard_negatives
+
+    support.ship(spark)
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+OP11_SQL = """
+WITH r AS (
+  SELECT vec_id::BIGINT AS vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id, list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), p AS (
+  SELECT anchor_id, id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, p.id AS positive_id, (row_number() OVER w)::INT AS rank, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+WINDOW w AS (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id)
+QUALIFY row_number() OVER w <= 3
+"""
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit
+
+    return audit(_docs(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+OP12_SQL = r"""
+WITH lab AS (
+  SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id
+), d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, doc_id > min(doc_id) OVER (PARTITION BY t) AS later FROM d
+), f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         (len(words) < 50)::INT + 2 * (100 * list_unique(words) < 65 * len(words))::INT
+         + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t))::INT
+         + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(later, false)::INT AS mask
+  FROM w LEFT JOIN lab USING (doc_id)
+), m AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, mask
+), l AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit
+), o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM l a JOIN l b ON a.x <> b.x JOIN l c ON c.x NOT IN (a.x, b.x) JOIN l d ON d.x NOT IN (a.x, b.x, c.x) JOIN l e ON e.x NOT IN (a.x, b.x, c.x, d.x)
+), st AS (
+  SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[:step - 1]), 0)::INT AS pre FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)
+), r AS (
+  SELECT part, filter_order, step, bit,
+         coalesce(sum(n) FILTER (mask & (pre + bit) = 0), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (mask & bit > 0 AND mask & pre = 0), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (mask & bit > 0 AND mask & pre > 0), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+         coalesce(sum(good) FILTER (mask & bit > 0 AND mask & pre = 0), 0)::BIGINT AS good_lost,
+         coalesce(sum(toxic) FILTER (mask & bit > 0 AND mask & pre = 0), 0)::BIGINT AS toxic_lost
+  FROM m, st GROUP BY ALL
+)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM r
+"""
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import digests, read_archives, scratch_folder, write_archives
+
+    support.ship(spark)
+    folder = scratch_folder(spark)
+    write_archives(table(spark, sf_dir, "pages"), folder)
+    return digests(read_archives(spark, folder))
+
+
 QUERIES = {
     "op4_lm_scoring": op4_lm_scoring,
     "op9_chat_format": op9_chat_format,
@@ -160,8 +239,13 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_quality_cascade": op8_quality_cascade,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_warc": op13_warc,
 }
 ORACLES = {
     "op1_line_dedup": OP1_SQL,
     "op8_quality_cascade": OP8_SQL,
+    "op11_hard_negatives": OP11_SQL,
+    "op12_filter_audit": OP12_SQL,
 }

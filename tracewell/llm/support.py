@@ -41,12 +41,17 @@ def ship(spark: SparkSession) -> None:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write df as a table in the folder of spark.checkpoint.dir and read it back."""
-    path = f"{shared_root(df.sparkSession)}/llm/{name}-{uuid.uuid4().hex}"
+    path = scratch(f"{shared_root(df.sparkSession)}/llm/{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def scratch(path: str) -> str:
+    """Note a path that goes when the application ends or the caller releases it."""
     if not _tables:
         atexit.register(_clear)
     _tables.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
 
 
 def _clear() -> None:
