@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.functions import scalar, taxonomy
-from tracewell.operators import batches, detect, features, queues, score, trace, transform, windows
+from tracewell.operators import batches, detect, features, neighbours, queues, score, trace, transform, windows
 from tracewell.plans import runner
 
 
@@ -173,10 +173,8 @@ def test_losses(spark):
 
 def test_outliers(spark):
     p = spark.createDataFrame([(i, [float(x), 0.0]) for i, x in enumerate([0, 1, 2, 3, 50])], "id long, v array<double>")
-    lof = {r.id: r.lof for r in queues.local_outlier_factor(p, 2).collect()}
+    lof = {r.id: r.lof for r in neighbours.outlier_factors(p, 2).collect()}
     assert max(lof, key=lof.get) == 4 and lof[1] < 1.5
-    with pytest.raises(ValueError):
-        queues.local_outlier_factor(p, 2, most=3)
 
 
 def test_runner_reuses_and_restarts(spark, tmp_path):

@@ -23,15 +23,6 @@ def test_running_values_across_slices(spark):
     assert [r.p for r in got] == [None, 5, 7, 1, None, None]
 
 
-def test_small_tables_take_one_window(spark, tmp_path):
-    d = spark.createDataFrame([(k % 2, t, k) for k, t in enumerate((3, 50, 11, 12, 31, 90))], "g long, t long, v long")
-    d.write.parquet(f"{tmp_path}/d")
-    stored = spark.read.parquet(f"{tmp_path}/d")
-    assert ordinal.fits_a_task(stored) and not ordinal.fits_a_task(d)
-    for f in (lambda x: ordinal.with_ordinal(x, ["g"], ["t"], 10), lambda x: ordinal.with_previous(x, ["g"], ["t"], 10, "v", "p"), lambda x: ordinal.with_running(x, [], ["t"], 10, {"m": ("max", "v"), "s": ("sum", F.lit(2))}, before=True)):
-        assert sorted(map(str, f(stored).collect())) == sorted(map(str, f(d).collect()))
-
-
 def test_unique_pairs_over_many_slices(spark):
     import random
 
@@ -119,14 +110,6 @@ def test_outlying_members(spark):
     assert [tuple(r) for r in queues.outlying_members(members, lof, seen).collect()] == [(1, 5)]
 
 
-def test_local_outlier_factor(spark):
-    p = spark.createDataFrame([(i, [float(i % 5), float(i // 5)]) for i in range(25)] + [(99, [50.0, 50.0])], "id long, v array<double>")
-    got = {r.id: r.lof for r in queues.local_outlier_factor(p, 3).collect()}
-    assert got[99] == max(got.values()) > 5
-    with pytest.raises(ValueError):
-        queues.local_outlier_factor(p, 3, most=10)
-
-
 def test_induction_matrix(spark):
     import numpy as np
 

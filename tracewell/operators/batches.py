@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracewell.functions.chains import reached
 from tracewell.functions.integers import floor_div
 from tracewell.functions.ordinal import HOUR, with_ordinal, with_previous, with_running
 from tracewell.functions.tables import stored
@@ -37,15 +38,8 @@ def by_unique_pairs(edges: DataFrame, group: list[str]) -> DataFrame:
     placed = stored(met, "unique-pairs")
     first = placed.filter("before is not null").groupBy(*group, F.col("before").alias("at")).agg(F.min("ordinal").alias("to"))
     ahead = placed.select(*group, F.col("ordinal").alias("at")).join(first, [*group, "at"], "left").withColumn("_back", -F.col("at"))
-    jump = stored(with_running(ahead, group, ["_back"], 1 << 16, {"next": ("min", "to")}).select(*group, "at", "next"), "jumps")
-    jumps = [jump]
-    while jumps[-1].filter("at = 0 and next is not null").head(1):
-        far = jumps[-1].select(*group, F.col("at").alias("next"), F.col("next").alias("after"))
-        jumps.append(stored(jumps[-1].join(far, [*group, "next"]).select(*group, "at", F.col("after").alias("next")), "jumps"))
-    starts = placed.select(*group, F.col("ordinal").alias("at")).filter("at = 0")
-    for j in reversed(jumps):
-        more = starts.join(j, [*group, "at"]).filter("next is not null").select(*group, F.col("next").alias("at"))
-        starts = stored(starts.unionByName(more), "starts")
+    jump = with_running(ahead, group, ["_back"], 1 << 16, {"next": ("min", "to")})
+    starts = reached(jump, placed.select(*group, F.col("ordinal").alias("at")).filter("at = 0"), group)
     marked = placed.join(starts.select(*group, F.col("at").alias("ordinal"), F.lit(1).alias("_start")), [*group, "ordinal"], "left")
     counted = with_running(marked, group, ["ordinal"], 1 << 16, {"batch": ("sum", F.coalesce("_start", F.lit(0)).cast("long"))})
     return counted.withColumn("batch", F.col("batch") - 1).drop("ordinal", "before", "_start")

@@ -7,9 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewell.functions.integers import floor_div
+from tracewell.functions.ordinal import carried, sliced
 
 EPS = 1e-12
-SLICE = 200_000  # ranked rows a task sorts
 
 
 def thresholds(val: DataFrame) -> DataFrame:
@@ -148,17 +148,11 @@ def confusion(results: DataFrame) -> DataFrame:
 def running(df: DataFrame, ties: list[str], sums: dict[str, str], rank: str | None = None, slices: int | None = None) -> DataFrame:
     """Adds running sums from the highest score down (ties in order of `ties`), and the rank.
 
-    Rows are cut at quantiles of the score; sums run inside a slice, on top of
-    the totals of the slices above, one row each; there are as many slices as keep one
-    at about SLICE rows. Equal scores share a slice; they are counted by one task, so
-    group by score first where few scores occur.
+    Rows are cut into ranges of (score, ties); sums run inside a slice, on top of
+    the totals of the slices above, one row each.
     """
-    slices = slices or max(16, -(-df.count() // SLICE))
-    cuts = sorted(set(df.approxQuantile("score", [i / slices for i in range(1, slices)], min(0.01, 1 / (4 * slices)))))
-    slice_of = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col("score") < c)) if cuts else F.lit(0)
-    d = df.withColumn("_slice", slice_of)
     names = {**sums, **({rank: "_one"} if rank else {})}
-    d = d.withColumn("_one", F.lit(1).cast("long"))
+    d = sliced(df.withColumn("_one", F.lit(1).cast("long")), [F.desc("score"), *ties], slices)
     totals = d.groupBy("_slice").agg(*[F.sum(c).alias(f"_{n}") for n, c in names.items()])
     above = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     starts = totals.select("_slice", *[F.coalesce(F.sum(f"_{n}").over(above), F.lit(0)).alias(f"_start_{n}") for n in names])
@@ -206,12 +200,17 @@ def with_attacks_found(results: DataFrame, attacks: DataFrame) -> DataFrame:
     return r.crossJoin(F.broadcast(at)).withColumn("found", found).drop("_at").crossJoin(F.broadcast(n))
 
 
-def area_over_precision(points: DataFrame) -> DataFrame:
-    """Trapezoid area, over precision, of the largest percentage at each precision; points(precision, percent)."""
-    best = points.groupBy("precision").agg(F.max("percent").alias("percent"))
-    w = W.orderBy("precision")
-    slabs = best.withColumn("_p", F.lag("precision").over(w)).withColumn("_q", F.lag("percent").over(w))
-    return slabs.agg(F.round(F.coalesce(F.sum((F.col("precision") - F.col("_p")) * (F.col("percent") + F.col("_q")) / 2), F.lit(0.0)) / 100, 6).alias("area"))
+def area_over_precision(points: DataFrame, slices: int | None = None) -> DataFrame:
+    """Trapezoid area, over precision, of the largest percentage at each precision; points(precision, percent).
+
+    Precisions are cut into ranges; a range's first point meets the last one of the ranges before.
+    """
+    best = sliced(points.groupBy("precision").agg(F.max("percent").alias("percent")), ["precision"], slices)
+    point = F.struct("precision", "percent")
+    before = F.lag(F.struct(point.alias("v"))).over(W.partitionBy("_slice").orderBy("precision"))
+    slabs = best.withColumn("_b", before).join(F.broadcast(carried(best, point, F.col("precision"))), "_slice").withColumn("_b", F.coalesce("_b", "_carried")["v"])
+    area = F.sum((F.col("precision") - F.col("_b.precision")) * (F.col("percent") + F.col("_b.percent")) / 2)
+    return slabs.agg(F.round(F.coalesce(area, F.lit(0.0)) / 100, 6).alias("area"))
 
 
 def adp(results: DataFrame, attacks: DataFrame) -> DataFrame:

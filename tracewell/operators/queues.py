@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.functions.ordinal import with_ordinal, with_previous
+from tracewell.functions.tables import stored
+
 
 def idf(window_nodes: DataFrame, n_windows: DataFrame) -> DataFrame:
     """(node, idf): ln(N / (df + 1)); window_nodes(tw, node), n_windows(n)."""
@@ -56,30 +58,53 @@ def related_windows(rare: DataFrame) -> DataFrame:
     return a.join(b, "node").filter("tw_a < tw_b").groupBy("tw_a", "tw_b").agg(F.count("*").alias("n_shared"))
 
 
+def linked_windows(rare: DataFrame) -> DataFrame:
+    """(tw_a, tw_b): each window of a node with the node's window before it, a row at most for each row of rare(tw, node).
+
+    Whatever related windows reach from a window backwards, these reach too, so they build the same queues.
+    """
+    before = with_previous(rare.select("node", F.col("tw").cast("long").alias("tw")).distinct(), ["node"], ["tw"], 1 << 16, "tw", "before")
+    return before.filter("before is not null").select(F.col("before").alias("tw_a"), F.col("tw").alias("tw_b")).distinct()
+
+
 def build_queues(windows: DataFrame, related: DataFrame, everywhere: bool = False) -> DataFrame:
     """(tw, queue): each window in order joins the first queue with a related window, else opens one.
 
-    With everywhere it joins all such queues. Windows are a summary table, one
-    row each, so that this order-bound fold runs in one task on them alone.
+    With everywhere it joins all such queues. A window's queue was opened by the least window that links
+    reach from it backwards: least windows pass along links and along each other, round by round in stored
+    tables, so long chains take a few rounds and no task folds over the windows. Queues are numbered in
+    order of their openers. related(tw_a, tw_b) with tw_a < tw_b, between windows.
     """
-    links = related.groupBy(F.col("tw_b").alias("tw")).agg(F.collect_list("tw_a").alias("earlier"))
-    rows = windows.select("tw").join(links, "tw", "left").withColumn("_one", F.lit(1))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        queues: list[set] = []
-        out = []
-        for tw, earlier in sorted(zip(pdf["tw"].tolist(), pdf["earlier"].tolist())):
-            near = set() if earlier is None else set(int(x) for x in earlier)
-            hits = [i for i, q in enumerate(queues) if q & near]
-            if not hits:
-                queues.append(set())
-                hits = [len(queues) - 1]
-            for i in hits if everywhere else hits[:1]:
-                queues[i].add(tw)
-                out.append((tw, i))
-        return pd.DataFrame(out, columns=["tw", "queue"])
-
-    return rows.groupBy("_one").applyInPandas(fold, "tw long, queue long")
+    nodes = windows.select(F.col("tw").cast("long").alias("tw")).distinct()
+    ends = related.select(F.col("tw_a").cast("long").alias("a"), F.col("tw_b").cast("long").alias("b")).distinct()
+    links = stored(ends.join(nodes.select(F.col("tw").alias("a")), "a", "left_semi").join(nodes.select(F.col("tw").alias("b")), "b", "left_semi").filter("a < b"), "window-links")
+    opened = nodes.join(links.select(F.col("b").alias("tw")), "tw", "left_anti")
+    numbers = with_ordinal(opened, [], ["tw"], 1 << 16, "queue").select(F.col("tw").alias("opener"), "queue")
+    found = _every_opener(opened, links) if everywhere else _least_opener(nodes, links)
+    return found.join(numbers, "opener").select("tw", "queue")
+
+
+def _least_opener(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(tw, opener): the least window that links reach backwards; itself if there is none."""
+    labels = stored(nodes.select("tw", F.col("tw").alias("opener")), "openers")
+    while True:
+        near = links.join(labels.withColumnsRenamed({"tw": "a"}), "a").groupBy(F.col("b").alias("tw")).agg(F.min("opener").alias("near"))
+        stepped = labels.join(near, "tw", "left").select("tw", F.col("opener").alias("old"), F.least("opener", "near").alias("opener"))
+        further = labels.select(F.col("tw").alias("opener"), F.col("opener").alias("further"))  # what the opener itself reaches
+        moved = stored(stepped.join(further, "opener").select("tw", "old", F.least("opener", "further").alias("opener")), "openers")
+        if not moved.filter("old != opener").head(1):
+            return moved.select("tw", "opener")
+        labels = moved.select("tw", "opener")
+
+
+def _every_opener(opened: DataFrame, links: DataFrame) -> DataFrame:
+    """(tw, opener): all openers that links reach backwards; a round takes new pairs one link on."""
+    new = out = stored(opened.select("tw", F.col("tw").alias("opener")), "openers")
+    while new.head(1):
+        ahead = new.join(links, new["tw"] == links["a"]).select(F.col("b").alias("tw"), "opener").distinct()
+        new = stored(ahead.join(out, ["tw", "opener"], "left_anti"), "openers")
+        out = out.unionByName(new)
+    return out
 
 
 def queue_scores(queues: DataFrame, windows: DataFrame) -> DataFrame:
@@ -90,26 +115,3 @@ def queue_scores(queues: DataFrame, windows: DataFrame) -> DataFrame:
 def flag_windows(queues: DataFrame, scores: DataFrame, threshold: float) -> DataFrame:
     """(tw, y_hat): windows of a queue whose score exceeds the threshold."""
     return queues.join(scores, "queue").groupBy("tw").agg(F.max((F.col("score") > threshold).cast("int")).alias("y_hat"))
-
-
-def local_outlier_factor(points: DataFrame, k: int, most: int = 5000) -> DataFrame:
-    """(id, lof) over points(id, v), a table of at most `most` rows (checked), in numpy."""
-    import numpy as np
-
-    if points.limit(most + 1).count() > most:
-        raise ValueError(f"local outlier factors are for at most {most} points; cluster or sample them first")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf["v"].to_numpy()).astype(float)
-        d = np.sqrt(np.maximum(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1), 0))
-        np.fill_diagonal(d, np.inf)
-        n = min(k, len(x) - 1)
-        if n < 1:
-            return pd.DataFrame({"id": pdf["id"], "lof": 1.0})
-        near = np.argsort(d, axis=1, kind="stable")[:, :n]
-        kth = np.take_along_axis(d, near, 1)[:, -1]
-        reach = np.maximum(np.take_along_axis(d, near, 1), kth[near])
-        density = 1 / np.maximum(reach.mean(1), 1e-10)
-        return pd.DataFrame({"id": pdf["id"], "lof": density[near].mean(1) / density})
-
-    return points.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(run, f"id {points.schema['id'].dataType.simpleString()}, lof double")

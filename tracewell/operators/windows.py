@@ -7,12 +7,13 @@ are ordered by event_id everywhere.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracewell.functions.chains import reached
 from tracewell.functions.integers import floor_div
-from tracewell.functions.ordinal import HOUR, with_ordinal, with_previous
+from tracewell.functions.ordinal import HOUR, with_ordinal, with_previous, with_running
 from tracewell.functions.scalar import ns_to_text
+from tracewell.functions.tables import stored
 
 
 def day_of(t: Column, zone: str = "America/New_York") -> Column:
@@ -30,23 +31,28 @@ def adaptive(events: DataFrame, size: int, chunk: int = 1024) -> DataFrame:
 
     A day's events are cut into chunks; after a chunk the window closes if the
     chunk's last time is more than size after the window's start, or at the day's
-    end. The next window starts at that last time. Only one row a chunk goes
-    through the fold.
+    end. The next window starts at that last time.
+
+    A window that starts at some chunk's last time can only close at the first chunk
+    whose last time is more than size later: each chunk points to that one, and the
+    chunks that do close are those the pointers visit from the day's start, found by
+    doubling. No task holds a day's chunks.
     """
-    placed = with_ordinal(events, ["day"], ["t", "event_id"], HOUR).withColumn("chunk", F.floor(F.col("ordinal") / chunk))
-    ends = placed.groupBy("day", "chunk").agg(F.min("t").alias("first"), F.max("t").alias("last"))
-    chunks = ends.groupBy("day").agg(F.array_sort(F.collect_list(F.struct("chunk", "first", "last"))).alias("c"))
-    kind = "struct<start:bigint,tw:bigint,out:array<struct<chunk:bigint,tw:bigint,start:bigint>>>"
-    begin = F.struct(F.element_at("c", 1)["first"].alias("start"), F.lit(0).cast("long").alias("tw"), F.array().cast("array<struct<chunk:bigint,tw:bigint,start:bigint>>").alias("out")).cast(kind)
-
-    def step(a: Column, c: Column) -> Column:
-        closes = c["last"] > a["start"] + size
-        row = F.struct(c["chunk"].alias("chunk"), a["tw"].alias("tw"), a["start"].alias("start"))
-        return F.struct(F.when(closes, c["last"]).otherwise(a["start"]).alias("start"), (a["tw"] + closes.cast("long")).alias("tw"), F.concat(a["out"], F.array(row)).alias("out")).cast(kind)
-
-    folded = chunks.select("day", F.explode(F.aggregate("c", begin, step)["out"]).alias("w")).select("day", "w.chunk", "w.tw", F.col("w.start").alias("tw_start"))
-    windows = folded.join(ends, ["day", "chunk"]).withColumn("tw_end", F.max("last").over(W.partitionBy("day", "tw"))).select("day", "chunk", "tw", "tw_start", "tw_end")
-    return placed.join(windows, ["day", "chunk"]).drop("ordinal", "chunk")
+    placed = with_ordinal(events, ["day"], ["t", "event_id"], HOUR).withColumn("chunk", F.floor(F.col("ordinal") / chunk)).drop("ordinal")
+    ends = stored(placed.groupBy("day", "chunk").agg(F.min("t").alias("first"), F.max("t").alias("last")), "chunks")
+    begin = ends.filter("chunk = 0").select("day", F.lit(-1).cast("long").alias("at"), F.col("first").alias("last"))
+    asks = ends.select("day", F.col("chunk").alias("at"), "last").unionByName(begin)
+    # from the latest time down: an ask sees the chunks that end more than size after its start
+    asked = asks.select("day", (-(F.col("last") + size)).alias("back"), F.lit(0).alias("kind"), "at", F.lit(None).cast("long").alias("chunk"))
+    given = ends.select("day", (-F.col("last")).alias("back"), F.lit(1).alias("kind"), F.col("chunk").alias("at"), "chunk")
+    jumps = with_running(asked.unionByName(given), ["day"], ["back", "kind", "at"], HOUR, {"next": ("min", "chunk")}).filter("kind = 0").select("day", "at", "next")
+    closing = reached(jumps, begin.select("day", "at"), ["day"]).filter("at >= 0").select("day", F.col("at").alias("chunk"), F.lit(1).cast("long").alias("closes"))
+    marked = ends.join(closing, ["day", "chunk"], "left").withColumn("closes", F.coalesce("closes", F.lit(0).cast("long")))
+    numbered = stored(with_running(marked, ["day"], ["chunk"], 1 << 16, {"tw": ("sum", "closes")}, before=True).fillna(0, ["tw"]), "numbered")
+    starts = begin.select("day", F.lit(0).cast("long").alias("tw"), F.col("last").alias("tw_start")).unionByName(numbered.filter("closes = 1").select("day", (F.col("tw") + 1).alias("tw"), F.col("last").alias("tw_start")))
+    spans = numbered.groupBy("day", "tw").agg(F.max("last").alias("tw_end")).join(starts, ["day", "tw"])
+    windows = numbered.select("day", "chunk", "tw").join(spans, ["day", "tw"]).select("day", "chunk", "tw", "tw_start", "tw_end")
+    return placed.join(windows, ["day", "chunk"]).drop("chunk")
 
 
 def fuse_runs(edges: DataFrame, by: list[str]) -> DataFrame:

@@ -215,7 +215,7 @@ def window_relatedness_earlier(s, d):
 def _queues(s, d):
     rare = _rare(s, d)
     w = queues.summarise(queues.anomalous_edges(_test(s, d), 2.0))
-    return w, queues.build_queues(w, queues.related_windows(rare))
+    return w, queues.build_queues(w, queues.linked_windows(rare))
 
 
 def queue_members(s, d):
