@@ -7,18 +7,25 @@ begin of its own. P(w | v) interpolates the bigram with the unigram by
 Witten-Bell weights; unigrams are smoothed by adding one for each word of the
 corpus.
 
-Counts are tables keyed by bigram, over all documents and without a cut by rank:
-summed per task, shuffled by key and summed again, they grow with the input. A
-text's bigrams, summed within it, join the table of log probabilities; bigrams
-that make up more than one in HOT of all tokens, fewer than HOT of them, go to
-every task instead, so that no key gathers a share of the corpus in one. A
-document's score is the mean over its tokens of target loss less background loss,
-in nats; lower is closer to the target. Words are told apart by 64-bit hashes.
-
-Null, empty and wordless texts have no tokens and null losses. Without a target
-document the target model is uniform. Repeated rows count and score each. Labels
-that repeat for one document count once: good if any is. Other columns pass by
-unread.
+No document is scored by its own counts: texts are dealt to FOLDS folds by their hash
+(copies of a text to the same one), and a text is scored by both models less its fold.
+The models are matched in size: background counts are scaled by the target's share of
+all tokens, and the number of different words after a word is that which a part of
+such a share is expected to hold, sum of 1 - (1 - share)^n. So no document is left out of
+the background, and rare words cost both models alike.
+
+Counts are tables keyed by bigram and fold, over all documents and without a cut by
+rank: summed per task, shuffled by key and summed again, they grow with the input. A
+text's bigrams, summed within it, join the table of log probabilities; those that make
+up more than one in HOT of all tokens, fewer than HOT of them, go to every task instead,
+so that no key gathers a share of the corpus in one. A document's score is the mean over
+its tokens of target loss less background loss, in nats; lower is closer to the target.
+Words are told apart by 64-bit hashes.
+
+Null, empty and wordless texts have no tokens and null losses. Without a target token
+the target model is uniform and the background unscaled. Repeated rows count and score
+each. Labels that repeat for one document count once: good if any is. Other columns
+pass by unread.
 """
 
 from __future__ import annotations
@@ -29,13 +36,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .support import slices, stored, texts_of
 
 BROADCAST_ROWS = 2_000_000  # target ids, 8 bytes each, that may be broadcast
 FLUSH = 200_000  # words a task counts before it sends its sums on
-HOT = 50_000  # one in so many tokens makes a bigram go to every task
+HOT = 50_000  # one in so many tokens makes a bigram of a fold go to every task
+FOLDS = 8  # parts of the texts, each scored by counts of the others
 
 
 def tokens(text: str) -> list[bytes]:
@@ -43,11 +52,16 @@ def tokens(text: str) -> list[bytes]:
 
 
 def marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and target, for every document."""
+    """text, target and fold, for every document."""
     good = labels.groupBy("doc_id").agg(F.max(F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(False))).alias("target")).filter("target and doc_id is not null")
     if good.count() <= BROADCAST_ROWS:
         good = F.broadcast(good)
-    return docs.select("doc_id", "text").join(good, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    return docs.select("doc_id", "text").join(good, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"), fold(F.coalesce("text", F.lit(""))).alias("fold"))
+
+
+def fold(text: Column) -> Column:
+    """0 to FOLDS - 1, by the text alone."""
+    return F.pmod(F.xxhash64(text), F.lit(FOLDS)).cast("int")
 
 
 BEGIN = 0  # what the first word follows; words hash to other values
@@ -72,19 +86,19 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> pa.RecordBatch:
         none = np.zeros(0, np.int64)
-        key = np.concatenate([h[0] for h in held]) if held else np.zeros((0, 2), np.int64)
+        key = np.concatenate([h[0] for h in held]) if held else np.zeros((0, 3), np.int64)
         times, good = (np.concatenate([h[i] for h in held]) if held else none for i in (1, 2))
-        order = np.lexsort((key[:, 1], key[:, 0]))
+        order = np.lexsort(key.T)
         key = key[order]
         at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)])) if len(key) else none
         sums = [np.add.reduceat(x[order], at) if len(at) else none for x in (times, good)]
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key[at, 0], key[at, 1], *sums)], ["v", "w", "n", "n_target"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (*key[at].T, *sums)], ["v", "w", "f", "n", "n_target"])
 
     for b in slices(batches):
-        for text, good in zip(texts_of(b), b.column(1).to_pylist()):
+        for text, good, part in zip(texts_of(b), b.column(1).to_pylist(), b.column(2).to_pylist()):
             key, times = bigrams(text)
-            held.append((key, times, times * good))
+            held.append((np.column_stack([key, np.full(len(key), part)]), times, times * good))
             n += len(key)
             if n >= 4 * FLUSH:
                 yield flush()
@@ -93,20 +107,41 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def log_probabilities(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(v, w, n, target, background): each bigram of the corpus, its count and log P(w | v) in both models."""
-    counted = marked(docs, labels).mapInArrow(_count_pairs, "v long, w long, n long, n_target long")
-    pairs = stored(counted.groupBy("v", "w").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")), "bigrams")
-    seen = lambda c: F.sum((F.col(c) > 0).cast("long"))
-    after = pairs.groupBy("v").agg(F.sum("n").alias("v_n"), F.sum("n_target").alias("v_n_target"), seen("n").alias("kinds_n"), seen("n_target").alias("kinds_n_target"))
-    words = stored(pairs.groupBy("w").agg(F.sum("n").alias("w_n"), F.sum("n_target").alias("w_n_target")), "words")
-    total = words.agg(F.count("*").alias("words"), F.sum("w_n").alias("n"), F.sum("w_n_target").alias("n_target")).first()
-
-    def log_p(c: str) -> Column:
-        one = (F.col(f"w_{c}") + 1) / F.lit(float((total[c] or 0) + total["words"]))
-        kinds = F.greatest(F.col(f"kinds_{c}"), F.lit(1))
-        return F.log((F.col(c) + kinds * one) / (F.col(f"v_{c}") + kinds))
-
-    return stored(pairs.join(words, "w").join(after, "v").select("v", "w", "n", log_p("n_target").alias("target"), log_p("n").alias("background")), "model")
+    """(v, w, f, n, target, background): each bigram of fold f, its count there, and log P(w | v) in both models less that fold."""
+    counted = marked(docs, labels).mapInArrow(_count_pairs, "v long, w long, f long, n long, n_target long")
+    pairs = stored(counted.groupBy("v", "w", "f").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")), "bigrams")
+    words = pairs.groupBy("w", "f").agg(F.sum("n").alias("w_n"), F.sum("n_target").alias("w_n_target"))
+    words = stored(_others(words, ["w"], ["w_n", "w_n_target"]), "words")  # a key has FOLDS rows at most
+    part = words.groupBy("f").agg(F.sum("w_n").alias("n"), F.sum("w_n_target").alias("n_target")).collect()  # FOLDS rows
+    kinds = words.select(F.count_distinct("w")).first()[0]
+    n, n_target = (sum(r[c] for r in part) for c in ("n", "n_target"))
+    share = n_target / n if n_target else 1.0
+    held = lambda count: F.lit(1.0) - F.pow(F.lit(1.0 - share), count)  # noqa: E731  chance that a part of that share holds a bigram
+    once = F.when(F.col("f") == F.min("f").over(W.partitionBy("v", "w")), 1).otherwise(0)
+    known = _others(pairs, ["v", "w"], ["n", "n_target"])
+    all_n, all_target = F.col("n") + F.col("o_n"), F.col("n_target") + F.col("o_n_target")
+    known = known.select("*", once.alias("once")).withColumn("all_held", held(all_n))
+    # kinds after v outside f: those of all folds less what f alone adds
+    per = known.groupBy("v", "f").agg(F.sum("n").alias("v_n"), F.sum("n_target").alias("v_n_target"), F.sum(F.col("once") * F.col("all_held")).alias("k"), F.sum(F.col("once") * (all_target > 0).cast("int")).alias("k_target"), F.sum(F.col("all_held") - held(F.col("o_n"))).alias("own_k"), F.sum(((all_target > 0) & (F.col("o_n_target") == 0)).cast("int")).alias("own_k_target"))
+    over = W.partitionBy("v")
+    after = _others(per, ["v"], ["v_n", "v_n_target"]).select("v", "f", "o_v_n", "o_v_n_target", (F.sum("k").over(over) - F.col("own_k")).alias("kinds_n"), (F.sum("k_target").over(over) - F.col("own_k_target")).alias("kinds_n_target"))
+    sizes = F.create_map(*[F.lit(x) for r in part for x in (r["f"], float(n - r["n"]))]) if part else F.lit(None)
+    sizes_target = F.create_map(*[F.lit(x) for r in part for x in (r["f"], float(n_target - r["n_target"]))]) if part else F.lit(None)
+
+    def log_p(c: str, size: Column, scale: float) -> Column:
+        one = (F.col(f"o_w_{c}") * scale + 1) / (size[F.col("f")] * scale + kinds)
+        weight = F.greatest(F.col(f"kinds_{c}"), F.lit(1.0))
+        return F.log((F.col(f"o_{c}") * scale + weight * one) / (F.col(f"o_v_{c}") * scale + weight))
+
+    joined = known.select("v", "w", "f", "n", "o_n", "o_n_target").join(words.select("w", "f", "o_w_n", "o_w_n_target"), ["w", "f"]).join(after, ["v", "f"])
+    if not part:
+        return stored(pairs.select("v", "w", "f", "n", F.lit(0.0).alias("target"), F.lit(0.0).alias("background")), "model")
+    return stored(joined.select("v", "w", "f", "n", log_p("n_target", sizes_target, 1.0).alias("target"), log_p("n", sizes, share).alias("background")), "model")
+
+
+def _others(rows: DataFrame, keys: list[str], counts: list[str]) -> DataFrame:
+    """Adds o_<count>: the count over the key's other folds."""
+    return rows.withColumns({f"o_{c}": F.sum(c).over(W.partitionBy(*keys)) - F.col(c) for c in counts})
 
 
 def _spread(hot: dict):
@@ -115,9 +150,9 @@ def _spread(hot: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 64):
             out: list[list[np.ndarray]] = []
-            for text, k1, k2 in zip(texts_of(b), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for text, k1, k2, part in zip(texts_of(b), *(b.column(i).to_pylist() for i in (1, 2, 3))):
                 key, times = bigrams(text)
-                known = [hot.get(p) for p in map(tuple, key.tolist())]
+                known = [hot.get((*p, part)) for p in key.tolist()]
                 cold = np.array([p is None for p in known], bool)
                 sums = [sum(p[i] * c for p, c in zip(known, times.tolist()) if p is not None) for i in (0, 1)]
                 m = 1 + int(cold.sum())
@@ -125,10 +160,10 @@ def _spread(hot: dict):
                 one, two = first.copy(), first.copy()
                 one[0], two[0] = sums
                 # a first row joins nothing: no word has the id BEGIN
-                out.append([np.full(m, k1), np.full(m, k2), np.append(k1, key[cold, 0]), np.append(BEGIN, key[cold, 1]), np.append(0, times[cold]), np.append(times.sum(), np.zeros(m - 1, np.int64)), one, two])
+                out.append([np.full(m, k1), np.full(m, k2), np.full(m, part), np.append(k1, key[cold, 0]), np.append(BEGIN, key[cold, 1]), np.append(0, times[cold]), np.append(times.sum(), np.zeros(m - 1, np.int64)), one, two])
             if out:
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*out), kinds)], ["k1", "k2", "v", "w", "c", "tokens", "hot_target", "hot_background"])
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*out), kinds)], ["k1", "k2", "f", "v", "w", "c", "tokens", "hot_target", "hot_background"])
 
     return run
 
@@ -137,12 +172,12 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background, difference (means, in nats) per row of docs."""
     model = log_probabilities(docs, labels)
     tokens_ = model.agg(F.sum("n")).first()[0] or 0
-    hot = {(r["v"], r["w"]): (r["target"], r["background"]) for r in model.filter(F.col("n") * HOT > tokens_).collect()}  # fewer than HOT rows
+    hot = {(r["v"], r["w"], r["f"]): (r["target"], r["background"]) for r in model.filter(F.col("n") * HOT > tokens_).collect()}  # fewer than HOT rows
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("k1"), F.hash(text).alias("k2"))
-    own = keyed.select("text", "k1", "k2").dropDuplicates(["k1", "k2"])
-    each = own.mapInArrow(_spread(hot), "k1 long, k2 int, v long, w long, c long, tokens long, hot_target double, hot_background double")
-    joined = each.join(model.select("v", "w", "target", "background"), ["v", "w"], "left")
+    own = keyed.select("text", "k1", "k2", fold(F.col("text")).alias("f")).dropDuplicates(["k1", "k2"])
+    each = own.mapInArrow(_spread(hot), "k1 long, k2 int, f long, v long, w long, c long, tokens long, hot_target double, hot_background double")
+    joined = each.join(model.select("v", "w", "f", "target", "background"), ["v", "w", "f"], "left")
     loss = lambda x: F.when(F.sum("tokens") > 0, -F.sum(F.col(f"hot_{x}") + F.coalesce(F.col("c") * F.col(x), F.lit(0.0))) / F.sum("tokens"))
     per = joined.groupBy("k1", "k2").agg(F.sum("tokens").alias("n_tokens"), loss("target").alias("loss_target"), loss("background").alias("loss_background"))
     scored = keyed.drop("text").join(per, ["k1", "k2"])
