@@ -14,7 +14,7 @@ all tokens, and the number of different words after a word is that which a part
 such a share is expected to hold, sum of 1 - (1 - share)^n. So no document is left out of
 the background, and rare words cost both models alike.
 
-Counts are tables keyed by bigram and fold, over all documents and without a cut by
+Counts are tables keyed by bigram, over all documents and without a cut by
 rank: summed per task, shuffled by key and summed again, they grow with the input. A
 text's bigrams, summed within it, join the table of log probabilities; those that make
 up more than one in HOT of all tokens, fewer than HOT of them, go to every task instead,
@@ -36,15 +36,14 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .support import slices, stored, texts_of
 
 BROADCAST_ROWS = 2_000_000  # target ids, 8 bytes each, that may be broadcast
 FLUSH = 200_000  # words a task counts before it sends its sums on
-HOT = 50_000  # one in so many tokens makes a bigram of a fold go to every task
-FOLDS = 8  # parts of the texts, each scored by counts of the others
+HOT = 50_000  # one in so many tokens makes a bigram go to every task
+FOLDS = 2  # parts of the texts, each scored by counts of the others; a bigram's row has counts of each
 
 
 def tokens(text: str) -> list[bytes]:
@@ -107,54 +106,50 @@ def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def log_probabilities(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(v, w, f, n, target, background): each bigram of fold f, its count there, and log P(w | v) in both models less that fold."""
+    """(v, w, n, target_f, background_f for each fold f): each bigram, its count, and log P(w | v) in both models less fold f."""
     counted = marked(docs, labels).mapInArrow(_count_pairs, "v long, w long, f long, n long, n_target long")
-    pairs = stored(counted.groupBy("v", "w", "f").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")), "bigrams")
-    words = pairs.groupBy("w", "f").agg(F.sum("n").alias("w_n"), F.sum("n_target").alias("w_n_target"))
-    words = stored(_others(words, ["w"], ["w_n", "w_n_target"]), "words")  # a key has FOLDS rows at most
-    part = words.groupBy("f").agg(F.sum("w_n").alias("n"), F.sum("w_n_target").alias("n_target")).collect()  # FOLDS rows
-    kinds = words.select(F.count_distinct("w")).first()[0]
-    n, n_target = (sum(r[c] for r in part) for c in ("n", "n_target"))
-    share = n_target / n if n_target else 1.0
-    held = lambda count: F.lit(1.0) - F.pow(F.lit(1.0 - share), count)  # noqa: E731  chance that a part of that share holds a bigram
-    once = F.when(F.col("f") == F.min("f").over(W.partitionBy("v", "w")), 1).otherwise(0)
-    known = _others(pairs, ["v", "w"], ["n", "n_target"])
-    all_n, all_target = F.col("n") + F.col("o_n"), F.col("n_target") + F.col("o_n_target")
-    known = known.select("*", once.alias("once")).withColumn("all_held", held(all_n))
-    # kinds after v outside f: those of all folds less what f alone adds
-    per = known.groupBy("v", "f").agg(F.sum("n").alias("v_n"), F.sum("n_target").alias("v_n_target"), F.sum(F.col("once") * F.col("all_held")).alias("k"), F.sum(F.col("once") * (all_target > 0).cast("int")).alias("k_target"), F.sum(F.col("all_held") - held(F.col("o_n"))).alias("own_k"), F.sum(((all_target > 0) & (F.col("o_n_target") == 0)).cast("int")).alias("own_k_target"))
-    over = W.partitionBy("v")
-    after = _others(per, ["v"], ["v_n", "v_n_target"]).select("v", "f", "o_v_n", "o_v_n_target", (F.sum("k").over(over) - F.col("own_k")).alias("kinds_n"), (F.sum("k_target").over(over) - F.col("own_k_target")).alias("kinds_n_target"))
-    sizes = F.create_map(*[F.lit(x) for r in part for x in (r["f"], float(n - r["n"]))]) if part else F.lit(None)
-    sizes_target = F.create_map(*[F.lit(x) for r in part for x in (r["f"], float(n_target - r["n_target"]))]) if part else F.lit(None)
-
-    def log_p(c: str, size: Column, scale: float) -> Column:
-        one = (F.col(f"o_w_{c}") * scale + 1) / (size[F.col("f")] * scale + kinds)
-        weight = F.greatest(F.col(f"kinds_{c}"), F.lit(1.0))
-        return F.log((F.col(f"o_{c}") * scale + weight * one) / (F.col(f"o_v_{c}") * scale + weight))
-
-    joined = known.select("v", "w", "f", "n", "o_n", "o_n_target").join(words.select("w", "f", "o_w_n", "o_w_n_target"), ["w", "f"]).join(after, ["v", "f"])
-    if not part:
-        return stored(pairs.select("v", "w", "f", "n", F.lit(0.0).alias("target"), F.lit(0.0).alias("background")), "model")
-    return stored(joined.select("v", "w", "f", "n", log_p("n_target", sizes_target, 1.0).alias("target"), log_p("n", sizes, share).alias("background")), "model")
-
-
-def _others(rows: DataFrame, keys: list[str], counts: list[str]) -> DataFrame:
-    """Adds o_<count>: the count over the key's other folds."""
-    return rows.withColumns({f"o_{c}": F.sum(c).over(W.partitionBy(*keys)) - F.col(c) for c in counts})
+    of_fold = lambda c, f: F.sum(F.when(F.col("f") == f, F.col(c)).otherwise(0))
+    kinds = ("n", "n_target")
+    pairs = stored(counted.groupBy("v", "w").agg(*[of_fold(c, f).alias(f"{c}_{f}") for c in kinds for f in range(FOLDS)]), "bigrams")
+    names = [f"{c}_{f}" for c in kinds for f in range(FOLDS)]
+    words = stored(pairs.groupBy("w").agg(*[F.sum(c).alias(f"w_{c}") for c in names]), "words")
+    total = words.agg(F.count("*").alias("words"), *[F.sum(f"w_{c}").alias(c) for c in names]).first()
+    whole = {c: sum(total[f"{c}_{f}"] or 0 for f in range(FOLDS)) for c in kinds}
+    share = whole["n_target"] / whole["n"] if whole["n_target"] else 1.0
+    others = lambda c, f, prefix="": sum((F.col(f"{prefix}{c}_{g}") for g in range(FOLDS) if g != f), F.lit(0))
+
+    def held(c: str, f: int) -> Column:
+        """Whether the other folds hold a bigram; for the background the chance that a part of the target's share does."""
+        return (others(c, f) > 0).cast("double") if c == "n_target" else F.lit(1.0) - F.pow(F.lit(1.0 - share), others(c, f))
+
+    after = pairs.groupBy("v").agg(*[F.sum(c).alias(f"v_{c}") for c in names], *[F.sum(held(c, f)).alias(f"kinds_{c}_{f}") for c in kinds for f in range(FOLDS)])
+
+    def log_p(c: str, f: int) -> Column:
+        scale = 1.0 if c == "n_target" else share
+        size = float(whole[c] - (total[f"{c}_{f}"] or 0))
+        one = (others(c, f, "w_") * scale + 1) / F.lit(size * scale + total["words"])
+        weight = F.greatest(F.col(f"kinds_{c}_{f}"), F.lit(1.0))
+        return F.log((others(c, f) * scale + weight * one) / (others(c, f, "v_") * scale + weight))
+
+    columns = [log_p(c, f).alias(f"{'target' if c == 'n_target' else 'background'}_{f}") for f in range(FOLDS) for c in ("n_target", "n")]
+    n = sum((F.col(f"n_{f}") for f in range(FOLDS)), F.lit(0))
+    return stored(pairs.join(words, "w").join(after, "v").select("v", "w", n.alias("n"), *columns), "model")
 
 
 def _spread(hot: dict):
-    """Per text: a row with its number of tokens and the sums of its hot bigrams, then its other bigrams."""
+    """Per text: a row with its number of tokens and the sums of its hot bigrams, then its other bigrams.
+
+    hot: for (v, w) the target and background of each fold in turn.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 64):
             out: list[list[np.ndarray]] = []
             for text, k1, k2, part in zip(texts_of(b), *(b.column(i).to_pylist() for i in (1, 2, 3))):
                 key, times = bigrams(text)
-                known = [hot.get((*p, part)) for p in key.tolist()]
+                known = [hot.get(p) for p in map(tuple, key.tolist())]
                 cold = np.array([p is None for p in known], bool)
-                sums = [sum(p[i] * c for p, c in zip(known, times.tolist()) if p is not None) for i in (0, 1)]
+                sums = [sum(p[2 * part + i] * c for p, c in zip(known, times.tolist()) if p is not None) for i in (0, 1)]
                 m = 1 + int(cold.sum())
                 first = np.zeros(m)
                 one, two = first.copy(), first.copy()
@@ -172,12 +167,14 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background, difference (means, in nats) per row of docs."""
     model = log_probabilities(docs, labels)
     tokens_ = model.agg(F.sum("n")).first()[0] or 0
-    hot = {(r["v"], r["w"], r["f"]): (r["target"], r["background"]) for r in model.filter(F.col("n") * HOT > tokens_).collect()}  # fewer than HOT rows
+    names = [f"{x}_{f}" for f in range(FOLDS) for x in ("target", "background")]
+    hot = {(r["v"], r["w"]): tuple(r[c] for c in names) for r in model.filter(F.col("n") * HOT > tokens_).collect()}  # fewer than HOT rows
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("k1"), F.hash(text).alias("k2"))
     own = keyed.select("text", "k1", "k2", fold(F.col("text")).alias("f")).dropDuplicates(["k1", "k2"])
     each = own.mapInArrow(_spread(hot), "k1 long, k2 int, f long, v long, w long, c long, tokens long, hot_target double, hot_background double")
-    joined = each.join(model.select("v", "w", "f", "target", "background"), ["v", "w", "f"], "left")
+    of_fold = lambda x: F.coalesce(*[F.when(F.col("f") == f, F.col(f"{x}_{f}")) for f in range(FOLDS)])
+    joined = each.join(model.select("v", "w", *names), ["v", "w"], "left").withColumns({x: of_fold(x) for x in ("target", "background")})
     loss = lambda x: F.when(F.sum("tokens") > 0, -F.sum(F.col(f"hot_{x}") + F.coalesce(F.col("c") * F.col(x), F.lit(0.0))) / F.sum("tokens"))
     per = joined.groupBy("k1", "k2").agg(F.sum("tokens").alias("n_tokens"), loss("target").alias("loss_target"), loss("background").alias("loss_background"))
     scored = keyed.drop("text").join(per, ["k1", "k2"])
