@@ -223,11 +223,11 @@ def test_layers(spark):
 
 
 def test_own_vector_in_aggregation(spark):
-    from tracewell.operators import learn
+    from tracewell.operators import encoders
 
     e = spark.createDataFrame([("g", "a", "b")], "g string, src string, dst string")
     x = spark.createDataFrame([("g", "a", [1.0, 2.0]), ("g", "b", [10.0, 20.0])], "g string, node string, x array<double>")
-    got = {r.node: r.x for r in learn.aggregate(e, x, ["g"], "sum", 0.5).collect()}
+    got = {r.node: r.x for r in encoders.aggregate(e, x, ["g"], "sum", 0.5).collect()}
     assert got == {"a": [1.5, 3.0], "b": [16.0, 32.0]}
 
 

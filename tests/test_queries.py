@@ -14,7 +14,7 @@ def test_query_equals_its_sql(spark, name):
 
 
 def test_queries_without_sql():
-    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"word2vec_vectors", "edge_type_losses"}
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"word2vec_vectors", "edge_type_losses", "reconstruction_losses"}
 
 
 def test_word_vectors_of_every_name(spark):

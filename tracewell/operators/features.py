@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tracewell.functions.ordinal import HOUR, with_ordinal, with_running
 from tracewell.functions.scalar import any_tokens, positional, prefixes, word_weights
 from tracewell.functions.tables import stored
+from tracewell.functions.vectors import combined
 
 
 def corpus(nodes: DataFrame, members: DataFrame, splits: tuple[str, ...]) -> DataFrame:
@@ -54,9 +55,9 @@ def hierarchical_hash(paths: DataFrame, size: int, separator: str = "/") -> Data
 def weighted_mean(tokens: DataFrame, vectors: DataFrame, size: int, percent: float = 30.0) -> DataFrame:
     """(node, vec): word vectors averaged with falling weights, unknown words zero, scaled to unit length."""
     t = tokens.select("node", F.posexplode("tokens").alias("i", "word"), word_weights(F.size("tokens"), percent).alias("w"))
-    parts = t.join(vectors.select("word", "vec"), "word").select("node", F.element_at("w", F.col("i") + 1).alias("w"), F.posexplode("vec").alias("k", "x"))
-    sums = parts.groupBy("node", "k").agg(F.sum(F.col("w") * F.col("x")).alias("x")).groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("k", "x"))).alias("m"))
-    dense = tokens.select("node").join(sums, "node", "left").select("node", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.coalesce(F.col("m")[k], F.lit(0.0))).alias("v"))
+    parts = t.join(vectors.select("word", "vec"), "word").select("node", F.element_at("w", F.col("i") + 1).alias("w"), "vec")
+    sums = combined(parts, ["node"], "vec", size, weight="w")
+    dense = tokens.select("node").join(sums, "node", "left").select("node", F.coalesce("vec", F.array_repeat(F.lit(0.0), size)).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)) + 1e-12
     return dense.select("node", F.transform("v", lambda x: x / norm).alias("vec"))
 
@@ -178,8 +179,8 @@ def constant_vectors(nodes: DataFrame, kind: str, types: tuple[str, ...] = ()) -
 def document_vector(words: DataFrame, vectors: DataFrame, by: list[str], size: int) -> DataFrame:
     """(by, node, vec): mean over a document's known words of vector plus positional encoding; zeros if none is known."""
     each = words.select(*by, "node", F.posexplode("words").alias("i", "word")).join(vectors.select("word", "vec"), "word")
-    placed = each.select(*by, "node", F.posexplode(F.zip_with("vec", positional(F.col("i"), size), lambda v, p: v.cast("double") + p)).alias("k", "x"))
-    mean = placed.groupBy(*by, "node", "k").agg(F.avg("x").alias("x")).groupBy(*by, "node").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("vec"))
+    placed = each.select(*by, "node", F.zip_with("vec", positional(F.col("i"), size), lambda v, p: v.cast("double") + p).alias("vec"))
+    mean = combined(placed, [*by, "node"], "vec", size, "mean")
     zeros = F.array_repeat(F.lit(0.0), size)
     return words.select(*by, "node").join(mean, [*by, "node"], "left").withColumn("vec", F.coalesce("vec", zeros))
 

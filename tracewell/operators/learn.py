@@ -23,21 +23,6 @@ def time_encoding(gap: Column, size: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.cos(gap / F.pow(F.lit(10.0), i * (9.0 / max(size - 1, 1)))))
 
 
-def aggregate(edges: DataFrame, features: DataFrame, by: list[str], how: str = "mean", self_weight: float | None = None) -> DataFrame:
-    """(by, node, x): mean, sum or weighted sum (edge column weight) of in-neighbours' vectors.
-
-    With self_weight, (1 + self_weight) times a node's own vector is added; nodes
-    without in-neighbours then keep theirs alone.
-    """
-    sent = edges.join(features.withColumnRenamed("node", "src"), [*by, "src"]).select(*by, F.col("dst").alias("node"), *(["weight"] if how == "weighted" else []), F.posexplode("x").alias("i", "v"))
-    value = {"mean": F.avg("v"), "sum": F.sum("v"), "weighted": F.sum(F.col("v") * F.col("weight")) if how == "weighted" else None}[how]
-    got = sent.groupBy(*by, "node", "i").agg(value.alias("v"))
-    if self_weight is not None:
-        own = features.select(*by, "node", F.posexplode("x").alias("i", "v")).withColumn("v", F.col("v") * (1 + self_weight))
-        got = got.unionByName(own).groupBy(*by, "node", "i").agg(F.sum("v").alias("v"))
-    return got.groupBy(*by, "node").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("x"))
-
-
 def parse_layers(text: str) -> list[tuple[str, float | None]]:
     """`linear(8) | relu | dropout` to [(name, number)]; unknown parts are an error."""
     out = []

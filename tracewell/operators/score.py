@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.ordinal import with_ordinal
+from tracewell.functions.vectors import width
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -89,9 +90,10 @@ def _sampled(vectors: DataFrame, by: list[str], most: int) -> DataFrame:
 
 def z_scored(vectors: DataFrame, sample: DataFrame, by: list[str]) -> DataFrame:
     """vectors(by, id, v) less the batch's sample mean, over its population deviation (1 where it is 0)."""
-    each = sample.select(*by, F.posexplode("v").alias("i", "x")).groupBy(*by, "i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
-    one = each.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("i", "m", "s"))).alias("_z"))  # one row a dimension
-    joined = vectors.join(F.broadcast(one), by) if by else vectors.crossJoin(F.broadcast(one))
+    n = width(sample, "v")
+    stats = sample.groupBy(*by).agg(*[f(F.col("v")[i]).alias(f"_{c}{i}") for i in range(n) for c, f in (("m", F.avg), ("s", F.stddev_pop))])
+    one = stats.select(*by, F.array(*[F.struct(F.col(f"_m{i}").alias("m"), F.col(f"_s{i}").alias("s")) for i in range(n)]).alias("_z"))
+    joined = vectors.join(one, by) if by else vectors.crossJoin(F.broadcast(one))
     z = F.zip_with("v", "_z", lambda x, p: (x.cast("double") - p["m"]) / F.when(p["s"] > 0, p["s"]).otherwise(1.0))
     return joined.select(*by, "id", z.alias("v"))
 
@@ -143,9 +145,9 @@ def frequency_loss(train: DataFrame, edges: DataFrame, n_ops: int, alpha: float
 
 def neighbour_mean(edges: DataFrame, features: DataFrame, by: list[str]) -> DataFrame:
     """One round of mean aggregation over in-neighbours; features hold (by, node, x array)."""
-    sent = edges.join(features.withColumnRenamed("node", "src"), [*by, "src"]).select(*by, F.col("dst").alias("node"), F.posexplode("x").alias("i", "v"))
-    mean = sent.groupBy(*by, "node", "i").agg(F.avg("v").alias("v"))
-    return mean.groupBy(*by, "node").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("x"))
+    from .encoders import aggregate
+
+    return aggregate(edges, features, by, "mean")
 
 
 def negative_edges(edges: DataFrame, by: list[str], seed: int = 0) -> DataFrame:

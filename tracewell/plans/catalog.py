@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import detection, graphs, scalars
+from . import detection, graphs, learned, scalars
 
-QUERIES: dict = {**graphs.QUERIES, **scalars.QUERIES, **detection.QUERIES}
-ORACLES: dict = {**graphs.ORACLES, **scalars.ORACLES, **detection.ORACLES}
+QUERIES: dict = {**graphs.QUERIES, **scalars.QUERIES, **detection.QUERIES, **learned.QUERIES}
+ORACLES: dict = {**graphs.ORACLES, **scalars.ORACLES, **detection.ORACLES, **learned.ORACLES}

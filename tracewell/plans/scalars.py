@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewell.functions import scalar, taxonomy
-from tracewell.operators import features, learn, score, transform
+from tracewell.operators import encoders, features, learn, score, transform
 
 from . import model as m
 
@@ -240,7 +240,7 @@ def objective_sum(s, d):
 def tanh_sum(s, d):
     e = m.slotted(s, d)
     x = e.select("tw", F.col("src").alias("node")).distinct().withColumn("x", F.array((F.col("node") % 7 / 10).cast("double")))
-    return learn.activated(learn.aggregate(e, x, ["tw"], "sum"), "x", "tanh").select("tw", "node", F.round(F.element_at("x", 1), 6).alias("x"))
+    return learn.activated(encoders.aggregate(e, x, ["tw"], "sum"), "x", "tanh").select("tw", "node", F.round(F.element_at("x", 1), 6).alias("x"))
 
 
 def activations(s, d):
@@ -251,13 +251,13 @@ def activations(s, d):
 def gin_self_weight(s, d):
     e = m.slotted(s, d)
     n = e.select("tw", F.col("src").alias("node")).unionByName(e.select("tw", F.col("dst").alias("node"))).distinct().withColumn("x", F.array((F.col("node") % 7).cast("double")))
-    return learn.aggregate(e, n, ["tw"], "sum", self_weight=0.5).select("tw", "node", F.element_at("x", 1).alias("x"))
+    return encoders.aggregate(e, n, ["tw"], "sum", self_weight=0.5).select("tw", "node", F.element_at("x", 1).alias("x"))
 
 
 def weighted_aggregation(s, d):
     e = score.attention(m.slotted(s, d).withColumn("logit", F.col("loss") / 100), ["tw"])
     x = e.select("tw", F.col("src").alias("node")).distinct().withColumn("x", F.array((F.col("node") % 7).cast("double")))
-    return learn.aggregate(e, x, ["tw"], "weighted").select("tw", "node", F.round(F.element_at("x", 1), 6).alias("x"))
+    return encoders.aggregate(e, x, ["tw"], "weighted").select("tw", "node", F.round(F.element_at("x", 1), 6).alias("x"))
 
 
 def triplet_table(s, d):
@@ -310,7 +310,7 @@ def time_encoding(s, d):
 def sum_aggregation(s, d):
     e = m.slotted(s, d)
     x = e.select("tw", F.col("src").alias("node")).distinct().withColumn("x", F.array((F.col("node") % 7).cast("double")))
-    return learn.aggregate(e, x, ["tw"], "sum").select("tw", "node", F.element_at("x", 1).alias("x"))
+    return encoders.aggregate(e, x, ["tw"], "sum").select("tw", "node", F.element_at("x", 1).alias("x"))
 
 
 def edge_type_losses(s, d):
