@@ -54,11 +54,11 @@ def test_strong_components_equal_reachability(spark):
 
 
 def test_walks_that_prefer_near_times(spark):
-    e = edges(spark, [(1, 2, 100, "x"), (1, 3, 10_000, "x"), (1, 4, 5, "x")])
-    asked = spark.createDataFrame([(w, 1, 50) for w in range(300)], "walk long, at long, t long")
-    got = [r.next for r in features.decayed_choice(e, asked, 100.0).collect()]
+    e = edges(spark, [(9, 1, 50, "x"), (1, 2, 100, "x"), (1, 3, 10_000, "x"), (1, 4, 5, "x")])
+    start = spark.createDataFrame([(9,)], "node long")
+    got = [r.path[2] for r in features.decayed_walks(e, start, 3, 300, 100.0).collect()]
     assert got.count(2) > 290 and 4 not in got
-    even = [r.next for r in features.decayed_choice(e, asked, 1e12).collect()]
+    even = [r.path[2] for r in features.decayed_walks(e, start, 3, 300, 1e12).collect()]
     assert 100 < even.count(2) < 200 and even.count(2) + even.count(3) == 300
 
 
@@ -110,18 +110,6 @@ def test_outlying_members(spark):
     assert [tuple(r) for r in queues.outlying_members(members, lof, seen).collect()] == [(1, 5)]
 
 
-def test_induction_matrix(spark):
-    import numpy as np
-
-    m = np.array([[2.0, 1.0], [0.0, 3.0]])
-    context = spark.createDataFrame([(str(i), k, float(c[k])) for i, c in enumerate(np.random.default_rng(1).normal(size=(9, 2))) for k in (0, 1)], "word string, k int, x double")
-    rows = {}
-    for r in context.collect():
-        rows.setdefault(r.word, [0, 0])[r.k] = r.x
-    vectors = spark.createDataFrame([(w, [float(x) for x in m @ np.array(c)]) for w, c in rows.items()], "word string, vec array<double>")
-    assert np.allclose(features.induction_matrix(context, vectors, 2), m)
-
-
 def test_learned_parts(spark):
     e = edges(spark, [(1, 2, 1, "a"), (2, 1, 2, "b"), (1, 9, 3, "b")])
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.5, 2.0])], "node long, vec array<double>")

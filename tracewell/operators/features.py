@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -121,22 +122,63 @@ def temporal_walks(edges: DataFrame, starts: DataFrame, length: int, n_walks: in
     return walks.select("node", "walk", "path")
 
 
-def walks_either_way(edges: DataFrame, starts: DataFrame, length: int = 30, n_walks: int = 10, seed: int = 0) -> DataFrame:
-    """(node, walk, path): forward walks from nodes with an edge out, backward ones from the others."""
+def walks_either_way(edges: DataFrame, starts: DataFrame, length: int = 30, n_walks: int = 10, seed: int = 0, half_life: float | None = None) -> DataFrame:
+    """(node, walk, path): forward walks from nodes with an edge out, backward ones from the others.
+
+    Later edges are equally likely, or decay with their gap where a half-life is given.
+    """
     out = edges.select(F.col("src").alias("node")).distinct()
     ahead, back = starts.join(out, "node", "left_semi"), starts.join(out, "node", "left_anti")
+    if half_life is not None:
+        return decayed_walks(edges, ahead, length, n_walks, half_life, seed).unionByName(decayed_walks(edges, back, length, n_walks, half_life, seed, False))
     return temporal_walks(edges, ahead, length, n_walks, seed).unionByName(temporal_walks(edges, back, length, n_walks, seed, False))
 
 
-def decayed_choice(edges: DataFrame, asked: DataFrame, half_life: float, seed: int = 0) -> DataFrame:
-    """(walk, next, t): for each walk, asked(walk, at, t), one strictly later edge, drawn in proportion to exp(-gap / half_life).
+def decayed_table(edges: DataFrame, half_life: float, forward: bool = True) -> DataFrame:
+    """(at, no, next, out, level, ahead_level): a node's edges in walking order with what it takes to draw one by decayed weight.
 
-    The draw is an exponential race: each edge's time to ring is -ln(u) over its weight, taken in logarithms.
+    An edge weighs exp(-w / half_life) at walking time w. level is minus the logarithm of the weight of the
+    edge and all after it at the node, and ahead_level that of the edges of next that lie strictly later, null
+    without one. An edge among those from `no` on, in proportion to weight, is then the last whose level is
+    at most level(no) plus an exponential draw. Weights are added in spans of 100 half-lives, each on its own
+    scale, so nothing underflows; what lies two spans later weighs less than a double can tell.
+    """
+    span = 100.0
+    table = walk_table(edges, forward)
+    first = table.groupBy("at").agg(F.min("w").alias("_w0"))
+    age = (F.col("w") - F.col("_w0")) / F.lit(float(half_life))
+    aged = table.join(first, "at").withColumn("_span", F.floor(age / span)).withColumn("_x", F.exp(F.col("_span") * span - age)).drop("_w0")
+    totals = aged.groupBy("at", "_span").agg(F.sum("_x").alias("_total")).select("at", (F.col("_span") - 1).alias("_span"), (F.col("_total") * math.exp(-span)).alias("_later"))
+    back = aged.withColumn("_back", -F.col("w")).withColumn("_order", -F.col("no"))
+    summed = with_running(back, ["at", "_span"], ["_back", "_order"], HOUR, {"_sum": ("sum", "_x")}).join(totals, ["at", "_span"], "left")
+    level = F.col("_span") * span - F.ln(F.col("_sum") + F.coalesce("_later", F.lit(0.0)))
+    levels = stored(summed.select("at", "no", "next", "ahead", "out", level.alias("level")), "levels")
+    later = levels.select(F.col("at").alias("next"), F.col("no").alias("ahead"), F.col("level").alias("ahead_level"))
+    return levels.join(later, ["next", "ahead"], "left").select("at", "no", "next", "out", "level", "ahead_level")
+
+
+def decayed_walks(edges: DataFrame, starts: DataFrame, length: int, n_walks: int, half_life: float, seed: int = 0, forward: bool = True) -> DataFrame:
+    """(node, walk, path): as temporal_walks, but an edge is drawn in proportion to exp(-gap / half_life).
+
+    A step puts the walks' draws among the levels of their nodes' edges and takes for each the last edge before
+    it: one sorted pass over slices, whatever a node's degree.
     """
-    e = edges.select(F.col("src").alias("at"), F.col("dst").alias("next"), F.col("t").alias("et"), "event_id")
-    u = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "walk", "event_id")), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
-    ring = F.ln(-F.ln(u)) + (F.col("et") - F.col("t")) / F.lit(float(half_life))
-    return asked.join(e, "at").filter("et > t").groupBy("walk").agg(F.min_by(F.struct("next", F.col("et").alias("t")), F.struct(ring.alias("r"), "event_id")).alias("s")).select("walk", "s.next", "s.t")
+    table = stored(decayed_table(edges, half_life, forward), "decayed")
+    first = table.filter("no = 0").select(F.col("at").alias("node"), F.col("level").alias("from"))
+    walks = starts.distinct().join(first, "node", "left").select("node", F.explode(F.sequence(F.lit(0), F.lit(n_walks - 1))).alias("walk"), "from")
+    walks = walks.select("node", "walk", F.col("node").alias("at"), "from", F.array("node").alias("path"))
+    fine = 1 << 20  # levels as whole numbers for slices, finer order by the level itself
+    whole = lambda c: F.floor(c * fine).cast("long")
+    edge = table.select("at", whole(F.col("level")).alias("_key"), "level", F.lit(0).alias("kind"), F.col("no").alias("_no"), F.struct("no", "next", "ahead_level").alias("edge"))
+    for k in range(1, length):
+        going = walks.filter(F.col("from").isNotNull())
+        drawn = F.col("from") - F.ln((_drawn(seed, k, F.lit(1 << 32)).cast("double") + 0.5) / float(1 << 32))
+        asked = going.withColumn("level", drawn)
+        asks = asked.select("at", whole(F.col("level")).alias("_key"), "level", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("_no"), F.lit(None).cast(edge.schema["edge"].dataType).alias("edge"), F.struct("node", "walk", "path").alias("who"))
+        met = with_running(edge.unionByName(asks, allowMissingColumns=True), ["at"], ["_key", "level", "kind", "_no"], fine, {"found": ("max", "edge")}).filter("kind = 1")
+        moved = met.select("who.node", "who.walk", F.col("found.next").alias("at"), F.col("found.ahead_level").alias("from"), F.concat("who.path", F.array("found.next")).alias("path"))
+        walks = stored(moved.unionByName(walks.filter(F.col("from").isNull())), "walks")
+    return walks.select("node", "walk", "path")
 
 
 def static_walks(edges: DataFrame, length: int, walks_per_degree: int, seed: int = 0) -> DataFrame:
@@ -186,26 +228,10 @@ def document_vector(words: DataFrame, vectors: DataFrame, by: list[str], size: i
 
 
 def context_vectors(tokens: DataFrame, vectors: DataFrame, window: int) -> DataFrame:
-    """(word, k, x): mean over a word's occurrences of the summed vectors of words up to window places away."""
-    t = tokens.select("node", F.posexplode("tokens").alias("i", "word"))
-    v = t.join(vectors, "word").select("node", "i", F.posexplode("vec").alias("k", "x"))
-    seen = v.select("node", "k", (F.col("i")).alias("j"), "x", F.explode(F.sequence(-F.lit(window), F.lit(window))).alias("d")).filter("d != 0").select("node", "k", (F.col("j") + F.col("d")).alias("i"), "x")
-    sums = seen.groupBy("node", "i", "k").agg(F.sum("x").alias("x")).join(t, ["node", "i"])
-    return sums.groupBy("word", "k").agg(F.avg("x").alias("x"))
-
-
-def induction_matrix(context: DataFrame, vectors: DataFrame, size: int):
-    """The least-squares matrix from context vectors to word vectors, from sums of size by size products."""
-    import numpy as np
-
-    target = vectors.select("word", F.posexplode("vec").alias("k", "y"))
-    cc = context.alias("a").join(context.alias("b"), "word").groupBy(F.col("a.k").alias("i"), F.col("b.k").alias("j")).agg(F.sum(F.col("a.x") * F.col("b.x")).alias("v"))
-    cy = context.join(target.withColumnRenamed("k", "j"), "word").groupBy(F.col("k").alias("i"), "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
-    a, b = np.zeros((size, size)), np.zeros((size, size))
-    for m, d in ((a, cc), (b, cy)):
-        for r in d.collect():  # size squared numbers
-            m[r["i"], r["j"]] = r["v"]
-    return np.linalg.lstsq(a, b, rcond=None)[0].T
+    """(word, k, x): the elements of each word's mean context."""
+    from .embed import context_means
+
+    return context_means(tokens, vectors, window).select("word", F.posexplode("vec").alias("k", "x"))
 
 
 def edge_features(edges: DataFrame, vectors: DataFrame, type_hot: Callable[[Column], Column], op_hot: Callable[[Column], Column]) -> DataFrame:

@@ -70,27 +70,36 @@ def forward(df: DataFrame, column: str, layers: list[tuple[str, float | None]],
     return df.withColumn(out, pandas_udf("array<double>")(run)(column))
 
 
-def gru(df: DataFrame, column: str, weights: dict[str, np.ndarray], out: str) -> DataFrame:
-    """Adds the last state of a gated recurrent unit run over an array of vectors, batch by batch in numpy.
+def gru_step(x: np.ndarray, h: np.ndarray, weights: dict[str, np.ndarray]) -> np.ndarray:
+    """New states of a gated unit for rows of inputs and states.
 
     weights: w (3 * hidden, inputs), u (3 * hidden, hidden), and b, c (3 * hidden), gates in order reset,
-    update, candidate. An empty sequence leaves the state at zero.
+    update, candidate.
     """
-    w, u, b, c = (weights[k] for k in "wubc")
-    n = u.shape[1]
-    sigmoid = ACTIVATIONS["sigmoid"]
+    n, sigmoid = h.shape[1], ACTIVATIONS["sigmoid"]
+    i, k = x @ weights["w"].T + weights["b"], h @ weights["u"].T + weights["c"]
+    r, z = sigmoid(i[:, :n] + k[:, :n]), sigmoid(i[:, n : 2 * n] + k[:, n : 2 * n])
+    return (1 - z) * np.tanh(i[:, 2 * n :] + r * k[:, 2 * n :]) + z * h
+
 
+def gru(df: DataFrame, column: str, weights: dict[str, np.ndarray], out: str) -> DataFrame:
+    """Adds the last state of a gated recurrent unit run over an array of vectors.
+
+    A batch's sequences go one step at a time together, the longest first, so that those still running are
+    the first rows. An empty sequence leaves the state at zero.
+    """
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
-            states = []
-            for steps in s:
-                h = np.zeros(n)
-                for x in steps:
-                    i, k = w @ np.asarray(x, float) + b, u @ h + c
-                    r, z = sigmoid(i[:n] + k[:n]), sigmoid(i[n : 2 * n] + k[n : 2 * n])
-                    h = (1 - z) * np.tanh(i[2 * n :] + r * k[2 * n :]) + z * h
-                states.append(h)
-            yield pd.Series(states)
+            length = s.map(len).to_numpy(dtype=int)
+            order = np.argsort(-length, kind="stable")
+            h = np.zeros((len(s), weights["u"].shape[1]))
+            values = s.to_numpy()[order]
+            for t in range(length.max(initial=0)):
+                on = int((length > t).sum())
+                h[:on] = gru_step(np.stack([np.asarray(v[t], float) for v in values[:on]]), h[:on], weights)
+            states = np.empty_like(h)
+            states[order] = h
+            yield pd.Series(list(states))
 
     return df.withColumn(out, pandas_udf("array<double>")(run)(column))
 

@@ -2,7 +2,7 @@
 
 A model is a network over a row's vector x and an objective that compares its output with the
 row's target. A step sends the weights to every task (the model's size, nothing of the data's);
-a task sums the gradients of its rows and gives one row; these are added up in GROUPS groups, and
+a task sums the gradients of its rows and gives one row; these are added up in groups, and
 the driver adds up the groups. Adam's state lives on the driver. Epochs, steps an epoch (rows are dealt by a hash, once, into a stored
 table), patience on validation rows, weight decay and later rounds of fine tuning are
 parameters. Losses of any table come back as its rows with columns added.
@@ -13,7 +13,6 @@ Rows whose x is null take no part and get a null loss; an empty table trains not
 from __future__ import annotations
 
 import math
-import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,12 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from tracewell.functions import sums
 from tracewell.functions.tables import stored
 
 from .learn import ACTIVATIONS, initial_weights, parse_layers
 
-GROUPS = 64  # sums that reach the driver at a step
-
 Layers = list[tuple[str, float | None]]
 Weights = list[tuple[np.ndarray, np.ndarray]]
 
@@ -116,33 +114,18 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def summed_gradients(rows: DataFrame, layers: Layers, weights: Weights, objective: str) -> tuple[float, float, list[np.ndarray]]:
-    """Loss, weight of rows, and gradients over rows(x, target, weight), added up in two levels."""
-    schema = pa.schema([("slot", pa.int32()), ("sums", pa.binary())])
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        loss, n, total = 0.0, 0.0, None
+    """Loss, weight of rows, and gradients over rows(x, target, weight)."""
+    def of_task(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray] | None:
+        out = None
         for b in batches:
-            if b.num_rows:
-                w = b.column("weight").to_numpy(zero_copy_only=False)
-                one, slopes = gradients(_matrix(b.column("x")), _matrix(b.column("target")), w, layers, weights, objective)
-                loss, n = loss + one, n + float(w.sum())
-                total = slopes if total is None else [a + g for a, g in zip(total, slopes)]
-        if total is not None:
-            yield pa.RecordBatch.from_pylist([{"slot": TaskContext.get().partitionId() % GROUPS, "sums": pickle.dumps((loss, n, total))}], schema)
-
-    def add(table: pa.Table) -> pa.Table:
-        return pa.Table.from_pylist([{"slot": table["slot"][0].as_py(), "sums": pickle.dumps(_added([pickle.loads(s) for s in table["sums"].to_pylist()]))}], schema)
-
-    sums = rows.select("x", "target", "weight").mapInArrow(partial, "slot int, sums binary").groupBy("slot").applyInArrow(add, "slot int, sums binary")
-    return _added([pickle.loads(r["sums"]) for r in sums.orderBy("slot").collect()])  # GROUPS rows of the model's size at most
-
+            w = b.column("weight").to_numpy(zero_copy_only=False)
+            loss, slopes = gradients(_matrix(b.column("x")), _matrix(b.column("target")), w, layers, weights, objective)
+            one = [np.array([loss, w.sum()]), *slopes]
+            out = one if out is None else sums.added([out, one])
+        return out
 
-def _added(parts: list[tuple]) -> tuple[float, float, list[np.ndarray]]:
-    if not parts:
-        return 0.0, 0.0, []
-    return sum(p[0] for p in parts), sum(p[1] for p in parts), [sum(g) for g in zip(*(p[2] for p in parts))]
+    found = sums.summed(rows.select("x", "target", "weight"), of_task)
+    return (*found[0].tolist(), found[1:]) if found else (0.0, 0.0, [])
 
 
 class Adam:

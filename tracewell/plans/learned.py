@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tracewell.functions.taxonomy import STREAM_OPS
-from tracewell.operators import encoders, neighbours, train
+from tracewell.operators import embed, encoders, features, memory, neighbours, train
 from tracewell.session import table
 
 from . import model as m
@@ -151,11 +151,90 @@ def reconstruction_losses(s, d):
     return train.with_losses(v, model).select("id", F.round("loss", 6).alias("loss"))
 
 
+def node_memory(s, d):
+    """Memories of four numbers, a batch a day, from the last message of each node."""
+    e = m.events(s, d).withColumn("batch", F.datediff(F.col("day").cast("date"), F.lit("2024-01-01").cast("date"))).withColumn("msg", F.array(F.col("loss") / 100))
+    weights = {"w": rule(12, 11, 1) / 4, "u": rule(12, 4, 2) / 4, "b": rule(1, 12, 3)[0] / 4, "c": rule(1, 12, 4)[0] / 4, "rate": np.array([1.0, 0.1]), "phase": np.zeros(2)}
+    out = memory.node_memory(e, weights, "last", unit=3_600_000_000_000)
+    return out.select("batch", "node", *[F.round(F.col("memory")[i], 6).alias(f"m{i}") for i in range(4)])
+
+
+_HALF = 3 * 24 * 3_600_000_000_000
+
+
+def decayed_walks(s, d):
+    """Two walks of four nodes from every node, later edges drawn with a half-life of three days."""
+    e = m.meshed(s, d)
+    starts = e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node"))).distinct()
+    return features.decayed_walks(e, starts, 4, 2, float(_HALF)).select("node", "walk", F.array_join("path", ">").alias("path"))
+
+
+def _decayed_sql() -> str:
+    steps = []
+    for k in range(1, 4):
+        u = f"(CAST('0x' || md5('0|' || node || '|' || walk || '|{k}')[1:8] AS BIGINT) + 0.5) / 4294967296"
+        steps.append(f"""c{k} AS (SELECT node, walk, path, no, b, tb.t AS nt, level, min(level) OVER (PARTITION BY node, walk) AS l0 FROM w{k - 1} JOIN tb ON tb.a = cur AND tb.t > since),
+w{k} AS (SELECT node, walk, path || '>' || arg_max(b, no) AS path, arg_max(b, no) AS cur, arg_max(nt, no) AS since FROM c{k} WHERE level <= l0 - ln({u}) GROUP BY node, walk, path
+  UNION ALL SELECT node, walk, path, NULL, NULL FROM w{k - 1} WHERE NOT EXISTS (SELECT 1 FROM c{k} WHERE c{k}.node = w{k - 1}.node AND c{k}.walk = w{k - 1}.walk))""")
+    return f"""WITH {m.ME}, t0 AS (SELECT *, min(t) OVER (PARTITION BY src) AS first FROM me),
+tb AS (SELECT src AS a, dst AS b, t, row_number() OVER (PARTITION BY src ORDER BY t, event_id) AS no, -ln(sum(exp(-(t - first) / {float(_HALF)})) OVER (PARTITION BY src ORDER BY t DESC, event_id DESC ROWS UNBOUNDED PRECEDING)) AS level FROM t0),
+w0 AS (SELECT node, CAST(walk AS INT) AS walk, CAST(node AS VARCHAR) AS path, node AS cur, -1 AS since FROM (SELECT src AS node FROM me UNION SELECT dst FROM me), (SELECT unnest([0, 1]) AS walk)),
+{", ".join(steps)} SELECT node, walk, path FROM w3"""
+
+
+def _names(s, d):
+    return table(s, d, "part").filter("p_name is not null").select(F.col("p_partkey").alias("node"), F.split("p_name", " ").alias("tokens"))
+
+
+def _known_words(tokens):
+    """Vectors of the words whose first letter is in the first half of the alphabet."""
+    n = F.length("word")
+    return tokens.select(F.explode("tokens").alias("word")).distinct().filter("word < 'n'").select("word", F.array(n.cast("double"), (n % 3 + 1).cast("double")).alias("vec"))
+
+
+def induction_sums(s, d):
+    """The sums that take contexts to vectors, over the words that have one."""
+    tokens = _names(s, d)
+    known = _known_words(tokens)
+    a, b = embed.induction_sums(embed.context_means(tokens, known, 2), known)
+    return s.createDataFrame([(i, j, float(round(a[i, j], 4)), float(round(b[i, j], 4))) for i in range(2) for j in range(2)], "i int, j int, context double, target double")
+
+
+_INDUCTION = """WITH w AS (SELECT p_partkey AS node, unnest(string_split(p_name, ' ')) AS word, generate_subscripts(string_split(p_name, ' '), 1) AS i FROM part WHERE p_name IS NOT NULL),
+o AS (SELECT a.word, a.node, a.i, sum(length(b.word)) AS c0, sum(length(b.word) % 3 + 1) AS c1 FROM w a JOIN w b ON a.node = b.node AND abs(a.i - b.i) IN (1, 2) WHERE b.word < 'n' GROUP BY ALL),
+m AS (SELECT word, [avg(c0), avg(c1)] AS c, [length(word), length(word) % 3 + 1] AS v FROM o WHERE word < 'n' GROUP BY word)
+SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(sum(c[i + 1] * c[j + 1]), 4) AS context, round(sum(c[i + 1] * v[j + 1]), 4) AS target FROM m, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j) GROUP BY ALL"""
+
+
+def unseen_word_vectors(s, d):
+    """Vectors that contexts induce for the words without one."""
+    tokens = _names(s, d)
+    out = embed.unseen_vectors(tokens, tokens, _known_words(tokens), 2)
+    return out.select("word", *[F.round(F.col("vec")[i], 4).alias(f"x{i}") for i in range(2)])
+
+
+def subword_vectors(s, d):
+    """Every part's label by vectors of words and character n-grams."""
+    tokens = _names(s, d)
+    model = embed.train_subwords(tokens, size=8, buckets=4096, window=2, epochs=2, seed=1)
+    return embed.mean_unit_vectors(tokens, model).select("node", F.size("vec").alias("n"), F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x), 1).alias("length"))
+
+
+def inferred_documents(s, d):
+    """Documents of one half of the parts, by words that were trained on the other half."""
+    tokens = _names(s, d)
+    model, trained = embed.train_documents(tokens.filter("node % 2 = 0"), size=8, buckets=1024, window=2, epochs=2, seed=1)
+    held = embed.infer_documents(tokens.filter("node % 2 = 1"), model, window=2, epochs=2, seed=1)
+    return trained.unionByName(held).select("node", F.size("vec").alias("n"))
+
+
 ORACLES = {
+    "decayed_walks": _decayed_sql(),
+    "induction_sums": _INDUCTION,
     "trained_edge_types": _trained_sql(),
     "attention_encoder": _attention_sql(),
     "gat_encoder": _gat_sql(),
     "gine_messages": _gine_sql(),
     "outlier_factors": _FACTORS,
 }
-QUERIES = {name: globals()[name] for name in (*ORACLES, "reconstruction_losses")}
+QUERIES = {name: globals()[name] for name in (*ORACLES, "reconstruction_losses", "node_memory", "unseen_word_vectors", "subword_vectors", "inferred_documents")}
