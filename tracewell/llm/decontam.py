@@ -6,8 +6,8 @@ item, every document window of that many words that shares a shingle with an
 item of that length (others have similarity 0) gets a 128-bit SimHash, its bits the
 signs of sums over the window's weighted shingles. Fingerprints are cut into 8 blocks
 of 16 bits with LIMITS that add up to RADIUS - 7: a pair within RADIUS lies within its
-limit in some block, so that looking up all values so near in each block's sorted list of
-items finds every item within RADIUS. Candidates are verified by exact weighted
+limit in some block, so that a table from each value to the items so near, one for each
+block, finds every item within RADIUS. Candidates are verified by exact weighted
 Jaccard similarity, shingles weighted by how often they occur, against `threshold`.
 A document shorter than an item is one window. RADIUS lies four standard deviations
 above the expected distance at similarity 0.8.
@@ -26,16 +26,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .shingles import lowered, mix, shingle_hashes, word_hashes
-from .support import extended, slices, with_columns
+from .support import extended, join_hot, slices, stored, with_columns
 
 K = 5
 THRESHOLD = 0.8
 BITS, BLOCKS = 128, 8
 RADIUS = 36
 LIMITS = tuple((RADIUS - BLOCKS + 1 + k) // BLOCKS for k in range(BLOCKS))  # add up to RADIUS - BLOCKS + 1
-GROUP = 20_000
+GROUP = 4096  # items that a task holds; each takes about 30 kB of tables
 STRETCH = 4096  # shingles summed at a time
 
 
@@ -64,33 +65,47 @@ _FLIPS = {t: np.flatnonzero(_ONES <= t).astype(np.uint16) for t in set(LIMITS)}
 
 
 class Blocks:
-    """Fingerprints, and per block the places of the fingerprints sorted by its value."""
+    """Fingerprints, and per block a table from each value to the fingerprints whose own value lies within the block's limit.
+
+    The changes are made on the items' side, once, so a window asks each table once.
+    """
 
     def __init__(self, prints: np.ndarray):
         self.prints = prints
-        values = np.ascontiguousarray(prints).view(np.uint16)
-        self.order = [np.argsort(values[:, b], kind="stable") for b in range(BLOCKS)]
-        self.start = [np.searchsorted(values[o, b], np.arange((1 << 16) + 1)).astype(np.int32) for b, o in enumerate(self.order)]
-
-    def met(self, prints: np.ndarray) -> np.ndarray:
-        """Rows (place in prints, place of a fingerprint) near in some block, each once."""
-        values, out = np.ascontiguousarray(prints).view(np.uint16), []
+        self.halves = np.ascontiguousarray(prints).view(np.uint64)
+        values, n = np.ascontiguousarray(prints).view(np.uint16), len(prints)
+        self.near, self.start = [], []
+        for b in range(BLOCKS):
+            keys = (values[:, b, None] ^ _FLIPS[LIMITS[b]][None, :]).ravel()
+            owner = np.repeat(np.arange(n, dtype=np.uint16 if n <= 1 << 16 else np.int64), len(_FLIPS[LIMITS[b]]))
+            self.near.append(owner[np.argsort(keys, kind="stable")])
+            self.start.append(np.concatenate([[0], np.cumsum(np.bincount(keys, minlength=1 << 16))]))
+
+    def asked(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in prints, place of a fingerprint) near in some block; a pair comes once for each such block."""
+        values, windows, owners = np.ascontiguousarray(prints).view(np.uint16), [], []
         for b in range(BLOCKS):
-            near = values[:, b, None] ^ _FLIPS[LIMITS[b]][None, :]
-            lo, hi = self.start[b][near], self.start[b][near.astype(np.int64) + 1]
-            w, f = np.nonzero(hi > lo)
-            lo, n = lo[w, f], (hi - lo)[w, f]
+            lo, hi = self.start[b][values[:, b]], self.start[b][values[:, b].astype(np.int64) + 1]
+            n = hi - lo
             at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-            out.append(np.repeat(w, n) * len(self.prints) + self.order[b][at])
-        return np.stack(np.divmod(np.unique(np.concatenate(out)), len(self.prints)), axis=1)
+            windows.append(np.repeat(np.arange(len(prints)), n))
+            owners.append(self.near[b][at].astype(np.int64))
+        return np.concatenate(windows), np.concatenate(owners)
+
+    def met(self, prints: np.ndarray) -> np.ndarray:
+        """The pairs of `asked`, each once."""
+        w, i = self.asked(prints)
+        return np.stack(np.divmod(np.unique(w * len(self.prints) + i), len(self.prints)), axis=1)
 
     def within(self, prints: np.ndarray) -> np.ndarray:
         """Rows (place in prints, place of a fingerprint) within RADIUS."""
         found = [np.zeros((0, 2), np.int64)]
-        for a in range(0, len(prints), 128):
-            pairs = self.met(prints[a : a + 128])
-            ok = _NEAR[prints[a + pairs[:, 0]] ^ self.prints[pairs[:, 1]]].sum(axis=1) <= RADIUS
-            found.append(pairs[ok] + [a, 0])
+        halves = np.ascontiguousarray(prints).view(np.uint64)
+        for a in range(0, len(prints), 512):
+            w, i = self.asked(prints[a : a + 512])
+            ok = np.bitwise_count(halves[a + w] ^ self.halves[i]).sum(axis=1) <= RADIUS
+            pairs = np.unique((w[ok] + a) * len(self.prints) + i[ok])
+            found.append(np.stack(np.divmod(pairs, len(self.prints)), axis=1))
         return np.concatenate(found)
 
 
@@ -157,29 +172,62 @@ class Index:
         return out
 
 
+def _group(items: DataFrame, groups: int, k: int) -> list[tuple]:
+    part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == k) if groups > 1 else items
+    return [tuple(r) for r in part.collect()]  # about GROUP rows, whatever the benchmark's size
+
+
+def _found(index: Index, texts: list[str | None]) -> list[list[dict]]:
+    return [[{"item_id": i, "similarity": s} for i, s in sorted(index.find(t).items())] for t in texts]
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The columns of docs, and leaks array<struct<item_id,similarity>>, empty for clean documents."""
+    """The columns of docs, and leaks array<struct<item_id,similarity>>, empty for clean documents.
+
+    A benchmark of several groups is compared group after group, so that the driver holds one; what each finds
+    is stored by the texts' keys, and documents meet it at the end.
+    """
     docs = docs.drop("leaks")
     items = benchmark.select("item_id", "text")
     groups = max(1, -(-items.count() // GROUP))
-    kind = items.schema["item_id"].dataType.simpleString()
-    out = docs
-    for k in range(groups):
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == k) if groups > 1 else items
-        rows = [tuple(r) for r in part.collect()]  # about GROUP rows, whatever the benchmark's size
+    kind = f"array<struct<item_id:{items.schema['item_id'].dataType.simpleString()},similarity:double>>"
+    item = to_arrow_type(items.schema["item_id"].dataType)
+    arrow = pa.list_(pa.struct([("item_id", item), ("similarity", pa.float64())]))
+    if groups == 1:
+        rows = _group(items, 1, 0)
 
-        def run(batches: Iterator[pa.RecordBatch], rows=rows, name=f"leaks{k}" if k else "leaks") -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Index(rows, threshold)
             for b in slices(batches):
-                found = [[{"item_id": i, "similarity": s} for i, s in sorted(index.find(t).items())] for t in b.column(b.schema.get_field_index("text")).to_pylist()]
-                item = pa.array([r[0] for r in rows]).type if rows else pa.int64()
-                yield with_columns(b, **{name: pa.array(found, pa.list_(pa.struct([("item_id", item), ("similarity", pa.float64())])))})
-
-        out = out.mapInArrow(run, extended(out.schema, f"leaks{k if k else ''} array<struct<item_id:{kind},similarity:double>>"))
-    if groups > 1:
-        names = ["leaks", *(f"leaks{k}" for k in range(1, groups))]
-        out = out.withColumn("leaks", F.concat(*names)).drop(*names[1:])
-    return out
+                yield with_columns(b, leaks=pa.array(_found(index, b.column(b.schema.get_field_index("text")).to_pylist()), arrow))
+
+        return docs.mapInArrow(run, extended(docs.schema, f"leaks {kind}"))
+    key = lambda text: (F.xxhash64(text).alias("_k1"), F.hash(text).alias("_k2"))
+    texts = docs.select("text", *key(F.col("text"))).filter("text is not null")
+    hits = None
+    for k in range(groups):
+        hits = _hits_of_group(texts, _group(items, groups, k), threshold, arrow, kind, hits)
+    keys = ["_k1", "_k2"]
+    leaking = stored(hits.select(*keys, F.explode("leaks").alias("leak")).distinct().groupBy(*keys).agg(F.array_sort(F.collect_list("leak")).alias("leaks")), "leaks")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), *key(F.col("text")))
+    copies = rows.join(leaking.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.count("*").alias("_n"))
+    one = leaking.join(copies, keys)
+    dirty = join_hot(rows, one, keys, "_n", max(docs.count(), 1)).select("own.*", "leaks")
+    clean = rows.join(leaking.select(*keys), keys, "left_anti").select("own.*", F.array().cast(kind).alias("leaks"))
+    return dirty.unionByName(clean)
+
+
+def _hits_of_group(texts: DataFrame, rows: list[tuple], threshold: float, arrow: pa.DataType, kind: str, before: DataFrame | None) -> DataFrame:
+    """(_k1, _k2, leaks) of texts that hold an item of rows, stored, and those found before."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(rows, threshold)
+        for b in slices(batches):
+            found = _found(index, b.column("text").to_pylist())
+            at = [i for i, f in enumerate(found) if f]
+            yield pa.RecordBatch.from_arrays([b.column("_k1").take(pa.array(at, pa.int64())), b.column("_k2").take(pa.array(at, pa.int64())), pa.array([found[i] for i in at], arrow)], ["_k1", "_k2", "leaks"])
+
+    hits = stored(texts.mapInArrow(run, f"_k1 long, _k2 int, leaks {kind}"), "leaks-group")
+    return hits if before is None else before.unionByName(hits)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
