@@ -68,10 +68,20 @@ def test_a_later_copy_in_the_own_conversation_hides_no_other(spark):
 def test_passages_that_link_nowhere_are_kept_apart(spark):
     rows = [(1, 0, "user", "Run this:\n>>> print(1)\nthen go on"), (1, 1, "user", "> then go on\nWhere?")]
     got = {r.turn: r for r in chat_format(frame(spark, rows)).collect()}
-    assert [tuple(x) for x in got[0].unlinked] == [(0, 3, "Run this:", "print(1)")] and got[0].text == "then go on"
+    assert [tuple(x) for x in got[0].unlinked] == [(0, 3, "", "print(1)")] and got[0].text == "Run this:\nthen go on"
     assert got[1].unlinked == [] and got[1].reply_to == 0
 
 
+def test_own_words_before_a_quotation_stay(spark):
+    said = "A passage that is quoted later on."
+    leads = {"I disagree, and my reasons follow:": False, "Run this:": False, "You forgot two things:": False, "On 2024-03-05 Ann Smith wrote:": True, "Ann Smith:": True, "@bob:": False, "@Bob:": True, "bob@example.org writes:": True, "Am 3.4.2023 um 10:15 schrieb Eva:": True, "Le 3 mai, Jean a écrit :": True}
+    for lead, introduces in leads.items():
+        got = {r.turn: r for r in chat_format(frame(spark, [(1, 0, "user", said), (1, 1, "user", f"{lead}\n> {said}\nNo.")])).collect()}
+        assert got[1].reply_to == 0 and got[1].unlinked == []
+        assert got[1].text == ("No." if introduces else f"{lead}\nNo.")
+        assert [tuple(x) for x in got[1].introductions] == ([(0, 1, lead)] if introduces else [])
+
+
 def brute(rows):
     """Links by trying every earlier piece for every passage."""
     from tracewell.llm.quotes import pieces

@@ -1,9 +1,11 @@
 """Conversations without quotations, in reply order.
 
 Lines that begin with `>` marks are quoted, at the level of their number of
-marks; neighbouring quoted lines of one level are a passage, and a line ending
-in a colon right before a passage introduces it and goes with it. A message's own
-text is the rest. Passages and own paragraphs are normalised (letters and digits,
+marks; neighbouring quoted lines of one level are a passage. A line right before a
+passage introduces it and goes with it if it ends in a colon and says who wrote or when
+(a word like `wrote`, an address, a date or time of day, or a name alone); any other line
+is the message's own. A message's own text is the rest, and `introductions` keeps what
+stood before passages that link, so no text is lost. Passages and own paragraphs are normalised (letters and digits,
 lower-case, one blank between words) and hashed as a whole, by paragraph and by
 line. A passage joins the message that holds the piece: the first earlier one of
 its own conversation, else the first one of any other, whether or not its own holds
@@ -37,6 +39,9 @@ from pyspark.sql import functions as F
 from .support import extended, slices, stored, texts_of, with_columns
 
 _MARKS = re.compile(r"^[ \t]{0,3}(>(?:[ \t]?>)*)[ \t]?(.*)$", re.S)
+#: Evidence that a line before a quotation only introduces it.
+_INTRODUCES = re.compile(r"\b(?:wrote|writes|said|says|asked|asks|answered|replied|schrieb|schreibt|sagte|a écrit|écrit|a dit|escribió|escribe|dijo|scrisse|ha scritto)\b|\S@\S|\b\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}\b|\b\d{1,2}:\d{2}\b", re.I)
+_NAME = re.compile(r"\s*(?:@?[^\W\d_][\w.'-]*\s+){0,2}@?[^\W\d_][\w.'-]*\s*:\s*")
 _WORD = re.compile(r"[^\W_]+")
 _PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
 LEAST_CHARS = 5  # of a normalised piece that links to another conversation
@@ -55,6 +60,13 @@ def hashed(text: str) -> tuple[int, bool] | None:
     return (h - (1 << 64) if h >> 63 else h), len(n) >= LEAST_CHARS
 
 
+def introduces(line: str) -> bool:
+    """Whether a line before a quotation says whose it is; a name alone has up to three capitalised words."""
+    if not line.rstrip().endswith(":"):
+        return False
+    return bool(_INTRODUCES.search(line)) or (_NAME.fullmatch(line) is not None and all(w.lstrip("@")[:1].isupper() for w in line.rstrip(": \t\r").split()))
+
+
 def parse(text: str) -> tuple[str, list[tuple[int, str, str]]]:
     """Own text, and (level, introduction, text) of each quoted passage in order."""
     own: list[str] = []
@@ -70,7 +82,7 @@ def parse(text: str) -> tuple[str, list[tuple[int, str, str]]]:
         if not quoted:
             while own and not own[-1].strip():
                 own.pop()
-            if own and own[-1].rstrip().endswith(":"):
+            if own and introduces(own[-1]):
                 lead = own.pop()
         if quoted and passages[-1][0] == level:
             passages[-1][2].append(m[2])
@@ -128,7 +140,7 @@ def reply_paths(parents: DataFrame) -> DataFrame:
 
 
 def chat_format(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text (own), n_quotes, n_linked, reply_to, path, links array<struct<to_conv,to_turn>>, unlinked array<struct<place,level,lead,text>>."""
+    """conv_id, turn, role, text (own), n_quotes, n_linked, reply_to, path, links array<struct<to_conv,to_turn>>, unlinked array<struct<place,level,lead,text>>, introductions array<struct<place,level,lead>>."""
     parsed, links = link_quotes(messages)
     links = stored(links, "links")
     per = links.groupBy("conv_id", "turn").agg(
@@ -139,15 +151,17 @@ def chat_format(messages: DataFrame) -> DataFrame:
     )
     joined = parsed.drop("held", "quotes").join(per, ["conv_id", "turn"], "left")
     linked_here = lambda x: F.coalesce(F.array_contains("_linked", F.struct(x["place"].alias("place"), x["level"].alias("level"))), F.lit(False))
-    rows = joined.withColumn("n_quotes", F.size("passages").cast("long")).withColumn("unlinked", F.filter("passages", lambda x: ~linked_here(x))).drop("passages", "_linked")
+    rows = joined.withColumn("n_quotes", F.size("passages").cast("long")).withColumn("unlinked", F.filter("passages", lambda x: ~linked_here(x)))
+    introduced = F.filter("passages", lambda x: linked_here(x) & (x["lead"] != ""))
+    rows = rows.withColumn("introductions", F.transform(introduced, lambda x: F.struct(x["place"].alias("place"), x["level"].alias("level"), x["lead"].alias("lead")))).drop("passages", "_linked")
     out = ["conv_id", "turn", "role", "text", "n_quotes", F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "reply_to"]
     linked = per.filter("reply_to is not null").select("conv_id", "turn", F.col("reply_to").alias("parent"))
     if not linked.head(1):
-        return rows.select(*out, F.array("turn").alias("path"), "links", "unlinked")
+        return rows.select(*out, F.array("turn").alias("path"), "links", "unlinked", "introductions")
     ends = linked.select("conv_id", F.col("parent").alias("turn")).join(linked.select("conv_id", "turn"), ["conv_id", "turn"], "left_anti").distinct().withColumn("parent", F.lit(None).cast(linked.schema["parent"].dataType))
     paths = reply_paths(linked.unionByName(ends))
     rows = rows.join(paths, ["conv_id", "turn"], "left")
-    return rows.select(*out, F.coalesce("path", F.array("turn")).alias("path"), "links", "unlinked")
+    return rows.select(*out, F.coalesce("path", F.array("turn")).alias("path"), "links", "unlinked", "introductions")
 
 
 def in_reply_order(formatted: DataFrame) -> DataFrame:
