@@ -60,6 +60,23 @@ def test_names_alone_decide_nothing():
     assert main_text(f'<article>{PROSE}<section class="related-work"><h2>R</h2>{PROSE}</section></article>').count("\n") == 12
 
 
+def test_longer_names_that_hold_a_word_of_boilerplate():
+    """Ten equal paragraphs of an article, six or three of them in a section of such a name."""
+    p = "<p>Text one, two and three; it goes on. And on, with words.</p>"
+    for name in ("promotion-guide", "notice-period", "menu-recipes", "comment-letter", "banner-history", "respond-section", "copyright-law", "subscribe-model"):
+        for n in (6,) if name == "respond-section" else (6, 3):  # a place for replies if it is small
+            page = f'<body><nav><a href=x>Home</a></nav><article>{p * (10 - n)}<section class="{name}">{p * n}</section></article><footer>f</footer></body>'
+            assert main_text(page).count("Text one") == 10, (name, n)
+    for name in ("ad", "ads-box", "advert_3", "comments", "comment-list", "cookie-notice", "newsletter-signup"):
+        assert main_text(f'<article>{p * 9}<div class="{name}"><p>Something else, of a line.</p></div></article>').count("\n") == 8, name
+
+
+def test_text_of_elements_that_seldom_hold_any():
+    kept = f"<article>{PROSE}<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</p><p><label>A label</label> here</p><noscript><p>Shown without scripts.</p></noscript></article>"
+    assert main_text(f"<body><noscript>Please allow scripts.</noscript>{kept}</body>").split("\n")[6:] == ["Let x=2 be.", "A label here", "Shown without scripts."]
+    assert main_text(f"<article>{PROSE}<form><label>Mail</label><input></form></article>").count("\n") == 5
+
+
 def test_ratios_decide_without_article_or_names():
     links = "".join(f"<div><a href=/{i}>Some other page, number {i}</a></div>" for i in range(30))
     page = f"<body><div>{links}</div><div><div><h1>T</h1>{PROSE}</div></div><div>short line</div></body>"

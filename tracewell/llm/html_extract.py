@@ -14,10 +14,12 @@ lies beside the containers. There all that is not dropped is main text: headings
 short lines, lists, tables, links.
 
 Elements that HTML itself sets apart (nav, footer, aside, button, hidden ones, a
-header outside an article ...) hold no main text. A form, or an element whose
-class or id speaks of advertising, comments and so on, is dropped on the evidence
-of ratios too: never if it holds most of the page's text, and for words of many
-meanings only if its text is mostly links, or scores low and has no heading.
+header or noscript outside an article, a form's labels ...) hold no main text. A form, or
+an element whose class or id speaks of advertising, comments and so on, is dropped on the
+evidence of ratios too. One that is named as such is kept where it holds most of the page's text, or,
+inside an article, half of it at the score of the rest; one whose longer name only holds
+such a word goes if it has less than half of the text and its text is mostly links, or
+scores low and has no heading.
 
 Character references are decoded, white space in a block becomes one space, and
 blocks are joined by one newline in page order. Null, empty or text-free pages
@@ -47,17 +49,20 @@ APART = 0.3  # weight of a neighbour in another container
 # HTML elements by their role.
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math object canvas select title xmp noembed noframes".split())
-APART_BY_HTML = frozenset("nav footer aside menu button dialog head search label option datalist".split())
+RAW = frozenset("script style template textarea iframe svg object canvas select title xmp noembed noframes".split())
+APART_BY_HTML = frozenset("nav footer aside menu button dialog head search option datalist".split())
+APART_OUTSIDE = frozenset("header noscript".split())  # main text only inside an article
 CONTENT = frozenset("article main".split())
 CONTAINER = frozenset("html body article main div section center td form".split())
 CLOSES_P = BLOCK - frozenset("body html head title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 CLOSED_BY = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table"))}
 
-# What begins a class or id of boilerplate, and words of many meanings in one.
-NAMED = re.compile(r"(?:ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promoted|promotion|cookie|cookies|consent|gdpr|popup|modal|newsletter|subscribe|signup|sidebar|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|pagination|pager|footer|masthead|toolbar|comment|comments|respond|disqus|notice|notices|banner|copyright)(?:$|[-_\d])", re.I)
-HINTED = re.compile(r"(?:^|[-_])(?:ad|ads|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|notice|notices|popup|modal|newsletter|subscribe|signup|sidebar|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|pagination|pager|footer|header|masthead|toolbar|share|sharing|social|related|recommended|comment|comments|respond|replies|reply|widget|copyright|skip|login)(?:$|[-_\d])", re.I)
+# A class or id that is such a word (numbered, or with a word for a box), and such words in a longer one.
+_WORDS = "ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promoted|promotion|cookie|cookies|consent|gdpr|popup|modal|newsletter|subscribe|signup|sidebar|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|pagination|pager|footer|masthead|toolbar|comment|comments|respond|disqus|notice|notices|banner|copyright"
+_BOXES = "area|bar|block|body|bottom|box|container|content|form|head|header|holder|item|label|left|link|links|list|main|outer|inner|panel|right|section|slot|title|top|unit|widget|wrap|wrapper|" + _WORDS
+NAMED = re.compile(rf"(?:{_WORDS})(?:[-_](?:{_BOXES}))*[-_]?\d*$", re.I)
+HINTED = re.compile(r"(?:^|[-_])(?:ad|ads|advert|adverts|advertisement|sponsor|sponsored|promo|promoted|promotion|banner|cookie|cookies|consent|notice|notices|popup|modal|newsletter|subscribe|signup|sidebar|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|pagination|pager|footer|header|masthead|toolbar|share|sharing|social|related|recommended|comment|comments|respond|replies|reply|widget|copyright|skip|login)(?:$|[-_\d])", re.I)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>=]|=)*+)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -179,7 +184,7 @@ def parse(page: str) -> Page:
         if tag in VOID or alone and tag not in BLOCK:
             continue
         named = attributes(m[3])
-        mute = tag in APART_BY_HTML or tag == "header" and not (open_at.get("article") or open_at.get("main"))
+        mute = tag in APART_BY_HTML or tag in APART_OUTSIDE and not (open_at.get("article") or open_at.get("main")) or tag == "label" and bool(open_at.get("form"))
         if tag not in ("body", "html"):
             mute = mute or "hidden" in named or named.get("aria-hidden", "").lower() == "true" or named.get("role", "").lower() in ROLES
         up = stack[-1][1] if stack else 0
@@ -250,13 +255,15 @@ def named_boilerplate(p: Page) -> list[bool]:
     score = upwards(p, _per_element(p, every, lambda i: len(p.text[i]) * scores[p.path[p.at[i]]]))
     heads = upwards(p, [float(t in ("h1", "h2")) for t in p.tag])
     page = score[0] / max(long[0], 1)
+    within = inside(p, [t in CONTENT for t in p.tag])
 
     def drop(e: int) -> bool:
         if not p.hint[e] or not long[e]:
             return False
         share = long[e] / long[0]
         if p.hint[e] == 2:
-            return share < (0.5 if p.tag[e] == "form" else 0.8)
+            prose = score[e] / long[e] >= 0.8 * (score[0] - score[e]) / max(long[0] - long[e], 1) and links[e] < 0.3 * long[e]
+            return share < (0.5 if p.tag[e] == "form" or prose and within[e] else 0.8)
         return share < 0.5 and (links[e] > 0.3 * long[e] or not heads[e] and score[e] / long[e] < SHARE * page)
 
     return [drop(e) for e in range(len(p.tag))]
