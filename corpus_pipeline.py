@@ -24,20 +24,22 @@ from pyspark.sql import functions as F
 from tracewell.llm import bpe, decontam, langid, line_dedup, minhash, support
 from tracewell.session import table
 
-BATCH_ROWS = 2000  # whole texts that go to a Python worker at a time
+BATCH_BYTES = "8m"  # of whole texts that go to a Python worker at a time, however long they are
+BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _scratch = threading.local()
 
 
 def _stage(f):
     """A stage drops the scratch tables of the one before it in its thread, once that one's result is written.
 
-    A result that still reads them (not written yet) keeps them.
+    A result that still reads them (not written yet) keeps them. A stage's result is written after it
+    returns, so the bound on batches is set for the session; run() puts the session's own back.
     """
 
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         support.ship(spark)
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set(BATCHES, BATCH_BYTES)
         before = getattr(_scratch, "tables", [])
         if before and not any(path in file for path in map(_tail, before) for file in docs.inputFiles()):
             support.release(spark, before)
@@ -104,7 +106,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = support.stored(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    before = spark.conf.get(BATCHES)
+    try:
+        docs = table(spark, sf_dir, "documents")
+        for name, stage in STAGES:
+            docs = support.stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        return docs
+    finally:
+        spark.conf.set(BATCHES, before)
