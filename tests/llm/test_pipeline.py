@@ -115,3 +115,12 @@ def test_equals_stages_done_by_brute_force(spark, frame):
     theirs = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
     for r in corpus_pipeline.byte_bpe(spark, now, SF).collect():
         assert list(r.ids) == theirs.encode_ordinary(texts[r.doc_id]) and r.text == texts[r.doc_id]
+
+
+def test_the_session_keeps_its_own_bound_on_batches(spark):
+    spark.conf.set(corpus_pipeline.BATCHES, "3m")
+    try:
+        assert corpus_pipeline.run(spark, SF).count() > 0
+        assert spark.conf.get(corpus_pipeline.BATCHES) == "3m"
+    finally:
+        spark.conf.unset(corpus_pipeline.BATCHES)
