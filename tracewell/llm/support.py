@@ -110,8 +110,20 @@ def extended(fields: StructType | list, ddl: str) -> StructType:
     return StructType([*fields, *StructType.fromDDL(ddl)])
 
 
+SLICE_BYTES = 1 << 20  # of a slice of rows; a larger row alone
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The same rows in small batches, so that a worker holds few texts as Python objects at a time."""
+    """The same rows in small batches, so that a worker holds few texts as Python objects at a time, however long they are."""
+
+    def halved(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if b.num_rows > 1 and b.nbytes > SLICE_BYTES:
+            half = b.num_rows // 2
+            yield from halved(b.slice(0, half))
+            yield from halved(b.slice(half))
+        else:
+            yield b
+
     for b in batches:
         for a in range(0, b.num_rows, rows):
-            yield b.slice(a, rows)
+            yield from halved(b.slice(a, rows))
