@@ -35,7 +35,7 @@ def node_scores(s, d):
 
 def node_scores_seen(s, d):
     out = detect.node_scores(_test(s, d), detect.thresholds(_val(s, d)), "max_val_loss", use_dst=False)
-    return detect.with_seen(out, m.events(s, d).filter("day <= '2024-01-02'")).select("node", "score", "is_seen")
+    return detect.with_seen(out, m.events(s, d).filter("day <= '2024-01-15'")).select("node", "score", "is_seen")
 
 
 def _node_losses(s, d, e):
@@ -95,7 +95,7 @@ def edge_predictions(s, d):
 
 
 def edge_labels_4modes(s, d):
-    e = m.events(s, d).select("src", (F.col("dst") % 150).alias("dst"), "event_id")
+    e = m.meshed(s, d).select("src", "dst", "event_id")
     bad = m.bad_nodes(s, d).select("node")
     out = None
     for mode in ("src_node", "dst_node", "both_nodes", "either_node"):
@@ -234,11 +234,11 @@ def queue_windows(s, d):
 
 def _edges(s, d):
     """All events as graphs of four hours, users and objects in one id space."""
-    return m.slotted(s, d).select("tw", "src", (F.col("dst") % 150).alias("dst"), "t", "event_id", "loss")
+    return m.folded(s, d, m.slotted(s, d)).select("tw", "src", "dst", "t", "event_id", "loss")
 
 
 TW = ["tw"]
-MESH = m.SL + ", sp AS (SELECT tw, src, dst % 150 AS dst, t, event_id, loss FROM sl)"
+MESH = m.SL + f", sp AS (SELECT tw, src, {m.FOLD} AS dst, t, event_id, loss FROM sl)"
 
 
 def _pois(s, d):
@@ -277,7 +277,7 @@ def exit_components(s, d):
 
 
 def shortest_paths(s, d):
-    return trace.shortest_paths(_edges(s, d), TW, _loud(s, d)).select("tw", "src", "dst", "hops")
+    return trace.shortest_paths(_edges(s, d), TW, _loud(s, d)).select("tw", "src", "dst", "hops", F.array_join("path", ">").alias("path"))
 
 
 def time_respecting(s, d):
@@ -389,7 +389,7 @@ def _level(score: str, threshold: str, ok: str) -> str:
 SELECT node, round(score, 6) AS score, y_hat, CASE WHEN m > 0 THEN w ELSE -1 END AS tw_with_max_loss, tw AS detected_tw, start_t, end_t FROM (SELECT *, coalesce(best, CASE WHEN m > 0 THEN w END) AS tw FROM h) LEFT JOIN wi USING (tw)"""
 
 
-_TR = _TE + ", sp AS (SELECT tw, src, dst % 150 AS dst, t, event_id, loss FROM sl)" + _HOP + f", {m.AT}, {m.BAD}, r AS (SELECT tw, src AS node, max(loss) AS score FROM te GROUP BY ALL), tr AS (SELECT r.*, CAST(r.node IN (SELECT node FROM bad) AS INT) AS y_true, CAST(EXISTS (SELECT 1 FROM h1 WHERE h1.tw = r.tw AND h1.node = r.node) AS INT) AS y_hat FROM r)"
+_TR = _TE + f", sp AS (SELECT tw, src, {m.FOLD} AS dst, t, event_id, loss FROM sl)" + _HOP + f", {m.AT}, {m.BAD}, r AS (SELECT tw, src AS node, max(loss) AS score FROM te GROUP BY ALL), tr AS (SELECT r.*, CAST(r.node IN (SELECT node FROM bad) AS INT) AS y_true, CAST(EXISTS (SELECT 1 FROM h1 WHERE h1.tw = r.tw AND h1.node = r.node) AS INT) AS y_hat FROM r)"
 _ENT = _REV + """, et AS (SELECT tw, poi, node AS entry FROM up WHERE NOT EXISTS (SELECT 1 FROM sp WHERE sp.tw = up.tw AND sp.dst = up.node)),
 dn AS (SELECT DISTINCT et.tw, entry, sp.dst AS node FROM et JOIN sp ON sp.tw = et.tw AND sp.src = entry UNION SELECT dn.tw, dn.entry, sp.dst FROM dn JOIN sp ON sp.tw = dn.tw AND sp.src = dn.node),
 cm AS (SELECT et.tw, et.poi, et.entry, dn.node FROM et JOIN dn USING (tw, entry) JOIN up ON up.tw = et.tw AND up.poi = et.poi AND up.node = dn.node UNION SELECT tw, poi, entry, entry FROM et UNION SELECT tw, poi, entry, poi FROM et)"""
@@ -408,7 +408,7 @@ ORACLES = {
     "tw_scores": f"WITH {_TE} SELECT tw, max(loss) AS score, CAST(max(loss) > (SELECT max(loss) FROM va) AS INT) AS y_hat FROM te GROUP BY tw",
     "node_tw_scores": f"WITH {_TE} SELECT tw, node, round(max(loss), 6) AS score, CAST(max(loss) > (SELECT quantile_cont(loss, 0.9) FROM va) AS INT) AS y_hat FROM en GROUP BY ALL",
     "edge_predictions": f"WITH {_TE} SELECT event_id, CAST(op = 'error' AND loss > 40 AS INT) AS y_true, CAST(loss > (SELECT avg(loss) FROM va) AS INT) AS y_hat FROM te",
-    "edge_labels_4modes": f"WITH {m.EV}, {m.AT}, {m.BAD}, x AS (SELECT event_id, src IN (SELECT node FROM bad) AS a, dst % 150 IN (SELECT node FROM bad) AS b FROM ev) " + " UNION ALL ".join(f"SELECT '{n}' AS mode, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM x WHERE {c}" for n, c in (("src_node", "a"), ("dst_node", "b"), ("both_nodes", "a AND b"), ("either_node", "a OR b"))),
+    "edge_labels_4modes": f"WITH {m.EV}, {m.AT}, {m.BAD}, x AS (SELECT event_id, src IN (SELECT node FROM bad) AS a, {m.FOLD} IN (SELECT node FROM bad) AS b FROM ev) " + " UNION ALL ".join(f"SELECT '{n}' AS mode, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM x WHERE {c}" for n, c in (("src_node", "a"), ("dst_node", "b"), ("both_nodes", "a AND b"), ("either_node", "a OR b"))),
     "malicious_times": f"WITH {m.EV}, {m.AT}, {m.BAD}, {_TOUCH} SELECT attack_id, node, count(*) AS n, min(t) AS first_t FROM to_ GROUP BY ALL",
     "tw_labels_rangejoin": f"WITH RECURSIVE {m.AD}, {m.AT}, {m.BAD}, {_TOUCH}, w AS (SELECT DISTINCT date_diff('day', DATE '2024-01-01', CAST(day AS DATE)) * 1000 + tw AS tw, tw_start, tw_end FROM ad) SELECT CAST(tw AS BIGINT) AS tw, node, count(*) AS n FROM w JOIN to_ ON t > tw_start AND t < tw_end GROUP BY ALL",
     "confusion_metrics": f"""WITH {m.RES}, c AS (SELECT count(*) FILTER (y_true = 1 AND y_hat = 1) AS tp, count(*) FILTER (y_true = 0 AND y_hat = 1) AS fp, count(*) FILTER (y_true = 0 AND y_hat = 0) AS tn, count(*) FILTER (y_true = 1 AND y_hat = 0) AS fn FROM res),
@@ -441,7 +441,7 @@ SELECT bin, round(lo + bin * ((hi - lo) / 49), 6) AS threshold, round(tp / p, 6)
     "descendants": f"WITH RECURSIVE {MESH}{_PO}, dn AS (SELECT po.tw, poi, sp.dst AS node FROM po JOIN sp ON sp.tw = po.tw AND sp.src = poi UNION SELECT dn.tw, dn.poi, sp.dst FROM dn JOIN sp ON sp.tw = dn.tw AND sp.src = dn.node) SELECT * FROM dn",
     "entry_components": f"WITH RECURSIVE {MESH}{_ENT} SELECT tw, poi, entry, count(*) AS n_nodes FROM cm GROUP BY ALL",
     "exit_components": f"WITH RECURSIVE {MESH}{_EXT} SELECT tw, poi, exit, count(*) AS n_nodes FROM cm GROUP BY ALL",
-    "shortest_paths": f"WITH RECURSIVE {MESH}{_PO}, e AS (SELECT DISTINCT tw, src, dst FROM sp WHERE src <> dst), b AS (SELECT tw, node AS src, node AS dst, 0 AS hops FROM lo UNION SELECT b.tw, b.src, e.dst, hops + 1 FROM b JOIN e ON e.tw = b.tw AND e.src = b.dst WHERE hops < 60) SELECT tw, src, dst, min(hops) AS hops FROM b GROUP BY ALL",
+    "shortest_paths": f"WITH RECURSIVE {MESH}{_PO}, e AS (SELECT DISTINCT tw, src, dst FROM sp WHERE src <> dst), b AS (SELECT tw, node AS src, node AS dst, 0 AS hops, [node] AS path FROM lo UNION ALL SELECT b.tw, b.src, e.dst, hops + 1, list_append(path, e.dst) FROM b JOIN e ON e.tw = b.tw AND e.src = b.dst WHERE NOT list_contains(path, e.dst)), r AS (SELECT *, row_number() OVER (PARTITION BY tw, src, dst ORDER BY hops, path) AS k FROM b) SELECT tw, src, dst, hops, array_to_string(path, '>') AS path FROM r WHERE k = 1",
     "time_respecting": f"WITH RECURSIVE {MESH}, b AS (SELECT tw, src AS poi, src AS node, min(t) - 1 AS t FROM sp WHERE loss > 150 GROUP BY tw, src UNION SELECT b.tw, poi, sp.dst, sp.t FROM b JOIN sp ON sp.tw = b.tw AND sp.src = b.node AND sp.t > b.t) SELECT tw, poi, node, min(t) AS t FROM b GROUP BY ALL",
     "time_respecting_back": f"WITH RECURSIVE {MESH}, b AS (SELECT tw, dst AS poi, dst AS node, max(t) + 1 AS t FROM sp WHERE loss > 150 GROUP BY tw, dst UNION SELECT b.tw, poi, sp.src, sp.t FROM b JOIN sp ON sp.tw = b.tw AND sp.dst = b.node AND sp.t < b.t) SELECT tw, poi, node, max(t) AS t FROM b GROUP BY ALL",
     "degree_ratio": f"WITH {MESH}{_DEG} SELECT tw, node, round(ratio, 6) AS ratio FROM dg",
@@ -455,7 +455,7 @@ en AS (SELECT tw, src AS node, t, loss FROM i UNION ALL SELECT tw, dst, t, loss
     "triage_confusion": f"""WITH {_TR}, c AS (SELECT count(*) FILTER (y_true = 1 AND y_hat = 1) AS tp, count(*) FILTER (y_true = 0 AND y_hat = 1) AS fp, count(*) FILTER (y_true = 0 AND y_hat = 0) AS tn, count(*) FILTER (y_true = 1 AND y_hat = 0) AS fn FROM tr), {_CONF}""",
     "triage_nodes": f"WITH {_TR} SELECT node, round(arg_max(score, tw), 6) AS score, arg_max(y_true, tw) AS y_true, arg_max(y_hat, tw) AS y_hat FROM tr GROUP BY node",
     "best_epoch_mcc": f"WITH {m.EV}, r AS (SELECT CAST(day[9:10] AS INT) AS epoch, round(count(*) / 10) AS mcc FROM ev GROUP BY 1) SELECT * FROM r ORDER BY mcc DESC, epoch LIMIT 1",
-    "node_scores_seen": f"WITH {_TE} SELECT src AS node, max(loss) AS score, CAST(src IN (SELECT src FROM ev WHERE day <= '2024-01-02' UNION SELECT dst FROM ev WHERE day <= '2024-01-02') AS INT) AS is_seen FROM te GROUP BY src",
+    "node_scores_seen": f"WITH {_TE} SELECT src AS node, max(loss) AS score, CAST(src IN (SELECT src FROM ev WHERE day <= '2024-01-15' UNION SELECT dst FROM ev WHERE day <= '2024-01-15') AS INT) AS is_seen FROM te GROUP BY src",
     "node_level_threatrace": _level("threatrace", "1.5", "ok"),
     "node_level_flash": _level("flash", "0.53", "ok"),
     "node_level_magic": _level("magic", "(SELECT avg(loss * loss / 1000) FROM va)", "true"),

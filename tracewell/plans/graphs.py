@@ -80,7 +80,7 @@ def range_scan(s, d):
 
 
 def undirected(s, d):
-    return transform.undirected(m.slotted(s, d).select("tw", F.col("src").alias("src"), (F.col("dst") % 150).alias("dst"), "op", "t"), ["tw"]).groupBy("tw", "src", "dst").agg(F.count("*").alias("n"))
+    return transform.undirected(m.folded(s, d, m.slotted(s, d)).select("tw", "src", "dst", "op", "t"), ["tw"]).groupBy("tw", "src", "dst").agg(F.count("*").alias("n"))
 
 
 SLOT = ["tw"]
@@ -88,10 +88,10 @@ SLOT = ["tw"]
 
 def _mesh(s, d):
     """Users and objects in one id space, so that ways longer than one edge occur."""
-    return m.slotted(s, d).select("day", "tw", "src", (F.col("dst") % 150).alias("dst"), "t", "event_id", "op", "loss")
+    return m.folded(s, d, m.slotted(s, d)).select("day", "tw", "src", "dst", "t", "event_id", "op", "loss")
 
 
-MESH = m.SL + ", me AS (SELECT day, tw, src, dst % 150 AS dst, t, event_id, op, loss FROM sl)"
+MESH = m.SL + f", me AS (SELECT day, tw, src, {m.FOLD} AS dst, t, event_id, op, loss FROM sl)"
 REACH = ", re AS (SELECT DISTINCT tw, src, dst FROM me UNION SELECT re.tw, re.src, me.dst FROM re JOIN me ON me.tw = re.tw AND me.src = re.dst)"
 ROOTS = ", ro AS (SELECT o.tw, o.node FROM (SELECT tw, src AS node, min(t) AS a FROM me GROUP BY ALL) o LEFT JOIN (SELECT tw, dst AS node, min(t) AS b FROM me GROUP BY ALL) i USING (tw, node) WHERE b IS NULL OR a < b)"
 PSEUDO = ", ps AS (SELECT re.tw, re.src, re.dst FROM re JOIN ro ON ro.tw = re.tw AND ro.node = re.src WHERE re.src <> re.dst)"
@@ -184,7 +184,7 @@ def batch_minutes(s, d):
 
 
 def batch_unique_pairs(s, d):
-    return batches.by_unique_pairs(m.events(s, d).withColumn("dst", F.col("dst") % 10), DAY).select("day", "event_id", "batch")
+    return batches.by_unique_pairs(m.events(s, d), DAY).select("day", "event_id", "batch")
 
 
 def last_k_neighbors(s, d):
@@ -276,7 +276,7 @@ SELECT day, CAST(tw AS BIGINT) AS tw, node, CAST(sum(o) AS BIGINT) AS out_degree
 SELECT c_custkey AS node, 0 AS dataset FROM customer UNION ALL SELECT p_partkey + (SELECT n FROM c), 1 FROM part UNION ALL SELECT s_suppkey + (SELECT n FROM c) + (SELECT n FROM p), 2 FROM supplier""",
     "trial_cap": f"WITH {m.EV} SELECT day, event_id FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY t, event_id) AS r FROM ev) WHERE r <= 50",
     "range_scan": f"WITH {m.EV} SELECT t, event_id, src, dst, op FROM ev WHERE t > 1704672000000000000 AND t < 1704758400000000000",
-    "undirected": f"WITH {m.SL}, e AS (SELECT tw, src, dst % 150 AS dst FROM sl), b AS (SELECT tw, src, dst FROM e UNION ALL SELECT tw, dst, src FROM e WHERE NOT EXISTS (SELECT 1 FROM e x WHERE x.tw = e.tw AND x.src = e.dst AND x.dst = e.src)) SELECT tw, src, dst, count(*) AS n FROM b GROUP BY ALL",
+    "undirected": f"WITH {m.SL}, e AS (SELECT tw, src, {m.FOLD} AS dst FROM sl), b AS (SELECT tw, src, dst FROM e UNION ALL SELECT tw, dst, src FROM e WHERE NOT EXISTS (SELECT 1 FROM e x WHERE x.tw = e.tw AND x.src = e.dst AND x.dst = e.src)) SELECT tw, src, dst, count(*) AS n FROM b GROUP BY ALL",
     "root_nodes": f"WITH {MESH}{ROOTS} SELECT * FROM ro",
     "pseudo_graph": f"WITH RECURSIVE {MESH}{REACH}{ROOTS}{PSEUDO} SELECT * FROM ps",
     "pseudo_merged": f"WITH RECURSIVE {MESH}{REACH}{ROOTS}{PSEUDO} SELECT * FROM ps UNION SELECT tw, src, dst FROM me",
@@ -306,7 +306,7 @@ SELECT batch, node, 1 AS hop, count(DISTINCT neighbour) AS n, CAST(sum(neighbour
     "batch_edges": f"WITH {_BA} SELECT batch, count(*) AS n, min(t) AS first_t, max(t) AS last_t FROM ba GROUP BY batch",
     "batch_edges_in_graph": f"WITH {m.EV}, b AS (SELECT *, (row_number() OVER (PARTITION BY day ORDER BY t, event_id) - 1) // 64 AS batch FROM ev) SELECT day, batch, count(*) AS n, max(event_id) AS last_event FROM b GROUP BY ALL",
     "batch_minutes": f"WITH {m.EV}, b AS (SELECT t - 1704067200000000000 AS a FROM ev) SELECT a // 1800000000000 AS batch, count(*) AS n FROM b WHERE a % 1800000000000 < 1200000000000 GROUP BY 1",
-    "batch_unique_pairs": f"""WITH RECURSIVE {m.EV}, nu AS (SELECT day, event_id, row_number() OVER (PARTITION BY day ORDER BY t, event_id) AS i, src, dst % 10 AS dst, t FROM ev),
+    "batch_unique_pairs": f"""WITH RECURSIVE {m.EV}, nu AS (SELECT day, event_id, row_number() OVER (PARTITION BY day ORDER BY t, event_id) AS i, src, dst, t FROM ev),
 pr AS (SELECT *, coalesce(lag(i) OVER (PARTITION BY day, src, dst ORDER BY i), 0) AS p FROM nu),
 f AS (SELECT day, event_id, i, 0 AS batch, 1 AS start FROM pr WHERE i = 1 UNION ALL SELECT n.day, n.event_id, n.i, f.batch + CAST(n.p >= f.start AS INT), CASE WHEN n.p >= f.start THEN n.i ELSE f.start END FROM f JOIN pr n ON n.day = f.day AND n.i = f.i + 1)
 SELECT day, event_id, CAST(batch AS BIGINT) AS batch FROM f""",

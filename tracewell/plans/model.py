@@ -28,14 +28,20 @@ EV = r"""ev AS (SELECT event_id, epoch_us(ts) * 1000 AS t, user_id AS src, 10000
   event_type AS op, value AS loss, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events)"""
 
 
-def meshed(spark: SparkSession, sf: str) -> DataFrame:
-    """Events whose objects are users too, so that ways are longer than one edge: node and edge counts both follow the table."""
-    e = events(spark, sf)
-    most = e.agg((F.max("src") + 1).alias("_n"))
+def folded(spark: SparkSession, sf: str, e: DataFrame) -> DataFrame:
+    """Events whose objects are users too, so that ways are longer than one edge: nodes and edges both follow the table."""
+    most = table(spark, sf, "events").agg((F.max("user_id") + 1).alias("_n"))
     return e.crossJoin(F.broadcast(most)).withColumn("dst", (F.col("event_id") * 7919 + F.col("dst")) % F.col("_n")).drop("_n")
 
 
-ME = EV + ", me AS (SELECT * REPLACE ((event_id * 7919 + dst) % (SELECT max(src) + 1 FROM ev) AS dst) FROM ev)"
+FOLD = "(event_id * 7919 + dst) % (SELECT max(user_id) + 1 FROM events)"
+
+
+def meshed(spark: SparkSession, sf: str) -> DataFrame:
+    return folded(spark, sf, events(spark, sf))
+
+
+ME = EV + f", me AS (SELECT * REPLACE ({FOLD} AS dst) FROM ev)"
 
 
 def node_type(node: Column) -> Column:

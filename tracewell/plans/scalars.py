@@ -57,13 +57,15 @@ def keyword_filter(s, d):
 
 
 def word_weights(s, d):
-    n = s.range(1, 13).select(F.col("id").cast("int").alias("n"))
-    return n.select("n", F.posexplode(scalar.word_weights(F.col("n"))).alias("i", "w")).select("n", "i", F.round("w", 9).alias("weight"))
+    """Weights of as many words as an order has lines."""
+    n = _read(s, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").cast("int").alias("n"))
+    return n.select("l_orderkey", "n", F.posexplode(scalar.word_weights(F.col("n"))).alias("i", "w")).select("l_orderkey", "n", "i", F.round("w", 9).alias("weight"))
 
 
 def positional_encoding(s, d):
-    n = s.range(0, 20).select(F.col("id").cast("int").alias("p"))
-    return n.select("p", F.posexplode(scalar.positional(F.col("p"), 8)).alias("i", "x")).select("p", "i", F.round("x", 6).alias("x"))
+    """Encodings of places that the parts' sizes stand for."""
+    n = _read(s, d, "part").select("p_partkey", F.col("p_size").alias("p"))
+    return n.select("p_partkey", "p", F.posexplode(scalar.positional(F.col("p"), 8)).alias("i", "x")).select("p_partkey", "p", "i", F.round("x", 6).alias("x"))
 
 
 def class_weights(s, d):
@@ -96,18 +98,19 @@ def vector_losses(s, d):
 
 
 def classifier_losses(s, d):
-    p = score.softmax(F.transform(F.slice("x", 1, 5), lambda v: v.cast("double")))
-    logits = F.transform(F.slice("x", 1, 5), lambda v: v.cast("double"))
-    return _pairs(s, d).select("vec_id", F.round(score.cross_entropy(logits, (F.col("vec_id") % 5).cast("int")), 5).alias("cross_entropy"), F.round(score.two_best_ratio(p), 5).alias("two_best_ratio"))
+    logits = F.transform("x", lambda v: v.cast("double"))
+    p = score.softmax(logits)
+    return _pairs(s, d).select("vec_id", F.round(score.cross_entropy(logits, (F.col("vec_id") % F.size("x")).cast("int")), 5).alias("cross_entropy"), F.round(score.two_best_ratio(p), 5).alias("two_best_ratio"))
 
 
 def confidence_scores(s, d):
-    v = _read(s, d, "embeddings").select("vec_id", "label", score.softmax(F.transform(F.slice("embedding", 1, 5), lambda x: x.cast("double"))).alias("p"))
+    v = _read(s, d, "embeddings").select("vec_id", "label", score.softmax(F.transform("embedding", lambda x: x.cast("double"))).alias("p"))
     return score.confidence(v, "p", ["label"]).select("vec_id", F.round("confidence", 5).alias("confidence"))
 
 
 def l2_normal(s, d):
-    return _read(s, d, "embeddings").select("vec_id", F.round(F.element_at(scalar.l2_normal(F.transform("embedding", lambda v: v.cast("double"))), 1), 6).alias("first"))
+    unit = scalar.l2_normal(F.transform("embedding", lambda v: v.cast("double")))
+    return _read(s, d, "embeddings").select("vec_id", F.posexplode(unit).alias("i", "x")).select("vec_id", "i", F.round("x", 6).alias("x"))
 
 
 def freq_loss(s, d):
@@ -117,12 +120,12 @@ def freq_loss(s, d):
 
 def knn_score(s, d):
     e = _read(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return score.knn_score(e, e, 10).select("id", F.round("score", 4).alias("score"))
+    return score.knn_score(e, e, 10).select("id", (F.round("score", 4) + 0.0).alias("score"))
 
 
 def magic_scores(s, d):
     e = _read(s, d, "embeddings").select("label", F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return score.magic_scores(e, e, ["label"], 5).select("label", "id", F.round("score", 4).alias("score"))
+    return score.magic_scores(e, e, ["label"], 5).select("label", "id", (F.round("score", 4) + 0.0).alias("score"))
 
 
 def contrastive_loss(s, d):
@@ -175,7 +178,7 @@ def temporal_walks(s, d):
 
 
 def _walkable(s, d):
-    return m.events(s, d).select("src", (F.col("dst") % 150).alias("dst"), "t", "event_id", "op")
+    return m.meshed(s, d).select("src", "dst", "t", "event_id", "op")
 
 
 def _starts(s, d):
@@ -223,11 +226,13 @@ def _vectors(s, d):
 
 def _paired(s, d):
     """Events between nodes that have a vector."""
-    return m.events(s, d).select("event_id", (F.col("src") % 500).alias("src"), (F.col("dst") % 499).alias("dst"))
+    n = _read(s, d, "embeddings").agg((F.max("vec_id") + 1).alias("_n"))
+    e = m.events(s, d).crossJoin(F.broadcast(n))
+    return e.select("event_id", ((F.col("event_id") * 31 + F.col("src")) % F.col("_n")).alias("src"), ((F.col("event_id") * 7919 + F.col("dst")) % F.col("_n")).alias("dst"))
 
 
 def edge_inner_product(s, d):
-    return learn.inner_product(learn.gathered(_paired(s, d), _vectors(s, d)), "score").select("event_id", F.round("score", 4).alias("score"))
+    return learn.inner_product(learn.gathered(_paired(s, d), _vectors(s, d)), "score").select("event_id", (F.round("score", 4) + 0.0).alias("score"))
 
 
 def objective_sum(s, d):
@@ -263,7 +268,9 @@ def weighted_aggregation(s, d):
 def triplet_table(s, d):
     rows = [(f, i, *t) for f in taxonomy.FAMILIES for i, t in enumerate(taxonomy.triplets(f))]
     t = s.createDataFrame(rows, "family string, class int, src_type string, op string, dst_type string")
-    return t.groupBy("family", "src_type", "dst_type").agg(F.count("*").alias("n"), F.min("class").alias("first"))
+    kinds = t.groupBy("family", "src_type", "dst_type").agg(F.count("*").alias("n"), F.min("class").alias("first"))
+    e = m.events(s, d).select("event_id", m.node_type(F.col("src")).alias("src_type"), m.node_type(F.col("dst")).alias("dst_type"))
+    return e.join(F.broadcast(kinds), ["src_type", "dst_type"]).select("event_id", "family", "n", "first")
 
 
 def op_ids(s, d):
@@ -341,15 +348,15 @@ def imitation_events(s, d):
 
 _U = "u AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path, string_split(regexp_replace(url, '^[a-z]+://', ''), '/') AS parts FROM pages), pf AS (SELECT page_id, i - 1 AS level, array_to_string(parts[1:i], '/') AS prefix FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM u))"
 _P = "pr AS (SELECT a.vec_id, a.embedding AS x, b.embedding AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1), un AS (SELECT vec_id, CAST(unnest(x) AS DOUBLE) AS x, CAST(unnest(y) AS DOUBLE) AS y FROM pr)"
-_S = "so AS (SELECT vec_id, label, i, exp(CAST(embedding[i] AS DOUBLE)) / sum(exp(CAST(embedding[i] AS DOUBLE))) OVER (PARTITION BY vec_id) AS p FROM (SELECT vec_id, label, embedding, unnest([1, 2, 3, 4, 5]) AS i FROM embeddings)), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC) AS k FROM so)"
+_S = "so AS (SELECT vec_id, label, i, exp(CAST(embedding[i] AS DOUBLE)) / sum(exp(CAST(embedding[i] AS DOUBLE))) OVER (PARTITION BY vec_id) AS p FROM (SELECT vec_id, label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC) AS k FROM so)"
 
-_GA = m.EV + """, nv AS (SELECT vec_id AS node, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), pa AS (SELECT event_id, src % 500 AS src, dst % 499 AS dst FROM ev),
+_GA = m.EV + """, nv AS (SELECT vec_id AS node, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), pa AS (SELECT event_id, (event_id * 31 + src) % n AS src, (event_id * 7919 + dst) % n AS dst FROM ev, (SELECT max(vec_id) + 1 AS n FROM embeddings)),
 ga AS (SELECT event_id, sum(CAST(a.v AS DOUBLE) * CAST(b.v AS DOUBLE)) AS ip, sum(pow(CAST(a.v AS DOUBLE) - CAST(b.v AS DOUBLE), 2)) AS se, count(*) AS n FROM pa JOIN nv a ON a.node = src JOIN nv b ON b.node = dst AND b.i = a.i GROUP BY event_id)"""
 
 
 def _walks(starts: str, a: str, b: str, t: str, length: int) -> str:
     """Walks by number: each edge knows how many of its end's edges lie at or before it."""
-    return f"""WITH RECURSIVE {m.EV}, mv AS (SELECT src, dst % 150 AS dst, t, event_id FROM ev), sn AS (SELECT src AS node FROM mv UNION SELECT dst FROM mv), ed AS (SELECT {a} AS a, {b} AS b, {t} AS w, event_id, row_number() OVER (PARTITION BY {a} ORDER BY {t}, event_id) - 1 AS no FROM mv),
+    return f"""WITH RECURSIVE {m.EV}, mv AS (SELECT src, {m.FOLD} AS dst, t, event_id FROM ev), sn AS (SELECT src AS node FROM mv UNION SELECT dst FROM mv), ed AS (SELECT {a} AS a, {b} AS b, {t} AS w, event_id, row_number() OVER (PARTITION BY {a} ORDER BY {t}, event_id) - 1 AS no FROM mv),
 dg AS (SELECT a, count(*) AS d FROM ed GROUP BY a), et AS (SELECT e.a, e.no, e.b, (SELECT count(*) FROM ed x WHERE x.a = e.b AND x.w <= e.w) AS ahead FROM ed e),
 wk AS (SELECT node, walk, 0 AS k, node AS at, CAST(0 AS BIGINT) AS ahead, CAST(node AS VARCHAR) AS path FROM {starts}, (SELECT unnest([0, 1]) AS walk) UNION ALL
   SELECT wk.node, wk.walk, wk.k + 1, et.b, et.ahead, wk.path || '>' || et.b FROM wk JOIN dg ON dg.a = wk.at JOIN et ON et.a = wk.at AND et.no = wk.ahead + CAST('0x' || md5('0|' || wk.node || '|' || wk.walk || '|' || (wk.k + 1))[1:8] AS BIGINT) % (dg.d - wk.ahead) WHERE wk.k < {length - 1} AND dg.d > wk.ahead)
@@ -360,7 +367,7 @@ def _imitations() -> str:
     """The same draws over the same lists, for each attack."""
     x = lambda what, *more: "CAST('0x' || md5('0|" + what + "|' || run" + "".join(f" || '|' || {c}" for c in more) + ")[1:8] AS BIGINT)"
     names = "[" + ", ".join("[" + ", ".join(f"'{o}'" for o in t) + "]" for t in transform.TEMPLATES) + "]"
-    return f"""WITH RECURSIVE {m.EV}, {m.AT}, mv AS (SELECT event_id, t, src, dst % 150 AS dst FROM ev), bad AS (SELECT attack_id, node FROM (SELECT DISTINCT src AS node FROM mv) u JOIN atk ON node % 5 = attack_id), ins AS (SELECT attack_id, mv.* FROM mv JOIN atk ON t BETWEEN start_ns AND end_ns),
+    return f"""WITH RECURSIVE {m.EV}, {m.AT}, mv AS (SELECT event_id, t, src, {m.FOLD} AS dst FROM ev), bad AS (SELECT attack_id, node FROM (SELECT DISTINCT src AS node FROM mv) u JOIN atk ON node % 5 = attack_id), ins AS (SELECT attack_id, mv.* FROM mv JOIN atk ON t BETWEEN start_ns AND end_ns),
 own AS (SELECT i.attack_id, i.src, i.dst, t, event_id FROM ins i JOIN bad a ON a.attack_id = i.attack_id AND a.node = i.src JOIN bad b ON b.attack_id = i.attack_id AND b.node = i.dst WHERE i.src <> i.dst),
 top AS (SELECT attack_id, node FROM (SELECT attack_id, src AS node, t, event_id, 0 AS r FROM own UNION ALL SELECT attack_id, dst, t, event_id, 1 FROM own) GROUP BY ALL HAVING arg_min(r, (t, event_id, r)) = 0),
 rea AS (SELECT attack_id, node, CAST(-1 AS BIGINT) AS t FROM top UNION SELECT ins.attack_id, ins.dst, ins.t FROM rea JOIN ins ON ins.attack_id = rea.attack_id AND ins.src = rea.node AND ins.t > rea.t),
@@ -384,16 +391,16 @@ ORACLES = {
     "onehot_ops": f"WITH {m.EV}, o AS (SELECT event_id, list_position(['click', 'error', 'purchase', 'signup', 'view'], op) AS p FROM ev) SELECT event_id, CAST(p AS INT) AS op_id, repeat('0', p - 1) || '1' || repeat('0', 5 - p) AS onehot FROM o",
     "triplet_encode": f"WITH {m.EV} SELECT event_id, CAST(greatest(coalesce(list_position([" + ", ".join(f"'{'|'.join(x)}'" for x in TRIPLETS) + f"], {m.type_sql('src')} || '|' || op || '|' || {m.type_sql('dst')}), 0) - 1, 0) AS INT) AS triplet FROM ev",
     "keyword_filter": "SELECT page_id FROM pages WHERE contains(url, 'blog.') OR contains(url, '?page') OR contains(url, '#top')",
-    "word_weights": "WITH n AS (SELECT CAST(unnest(range(1, 13)) AS INT) AS n), i AS (SELECT n, CAST(unnest(range(n)) AS INT) AS i FROM n), w AS (SELECT n, i, -0.3 / n AS d FROM i) SELECT n, i, round(1.0 / n - (n - 1) / 2.0 * d + i * d, 9) AS weight FROM w",
-    "positional_encoding": "WITH p AS (SELECT CAST(unnest(range(20)) AS INT) AS p), i AS (SELECT p, CAST(unnest(range(8)) AS INT) AS i FROM p) SELECT p, i, round(CASE WHEN i % 2 = 0 THEN sin(p / pow(10000.0, i / 8.0)) ELSE cos(p / pow(10000.0, (i - 1) / 8.0)) END, 6) AS x FROM i",
+    "word_weights": "WITH n AS (SELECT l_orderkey, CAST(count(*) AS INT) AS n FROM lineitem GROUP BY l_orderkey), i AS (SELECT l_orderkey, n, CAST(unnest(range(n)) AS INT) AS i FROM n), w AS (SELECT l_orderkey, n, i, -0.3 / n AS d FROM i) SELECT l_orderkey, n, i, round(1.0 / n - (n - 1) / 2.0 * d + i * d, 9) AS weight FROM w",
+    "positional_encoding": "WITH i AS (SELECT p_partkey, p_size AS p, CAST(unnest(range(8)) AS INT) AS i FROM part) SELECT p_partkey, p, i, round(CASE WHEN i % 2 = 0 THEN sin(p / pow(10000.0, i / 8.0)) ELSE cos(p / pow(10000.0, (i - 1) / 8.0)) END, 6) AS x FROM i",
     "class_weights": f"WITH {m.EV}, k AS (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view', 'unseen']) AS class), c AS (SELECT op, count(*) AS n FROM ev GROUP BY op) SELECT class, round(coalesce((SELECT count(*) FROM ev) / (6.0 * n), 0.0), 9) AS weight FROM k LEFT JOIN c ON op = class",
     "loss_statistics": f"WITH {m.EV} SELECT op, round(avg(loss), 4) AS mean, round(stddev_pop(loss), 4) AS std, round(var_pop(loss), 4) AS var, round(quantile_cont(loss, 0.9), 4) AS p90 FROM ev GROUP BY op",
     "min_max_scaled": f"WITH {m.SL}, b AS (SELECT *, min(loss) OVER (PARTITION BY tw) AS lo, max(loss) OVER (PARTITION BY tw) AS hi FROM sl) SELECT event_id, round(CASE WHEN hi > lo THEN (loss - lo) / (hi - lo) ELSE 0.0 END, 9) AS scaled FROM b",
     "near_equal_parts": f"WITH {m.EV}, p AS (SELECT day, ntile(7) OVER (PARTITION BY day ORDER BY t, event_id) - 1 AS part FROM ev) SELECT day, CAST(part AS INT) AS part, count(*) AS n FROM p GROUP BY ALL",
     "vector_losses": f"WITH {_P} SELECT vec_id, round(sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))), 5) AS cosine, round(pow(1 - sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))), 3), 5) AS sce, round(avg((x - y) * (x - y)), 5) AS mse, round(sum((x - y) * (x - y)), 5) AS mse_sum, round(avg(abs(x - y)), 5) AS mae, round(sum(x * y), 5) AS inner FROM un GROUP BY vec_id",
-    "classifier_losses": f"WITH {_S}, t AS (SELECT vec_id, -ln(max(p) FILTER (i = vec_id % 5 + 1)) AS ce, max(p) FILTER (k = 1) AS p1, max(p) FILTER (k = 2) AS p2 FROM r GROUP BY vec_id) SELECT vec_id, round(ce, 5) AS cross_entropy, round(greatest(ln(p1 / p2 + 1e-12), 0.0), 5) AS two_best_ratio FROM t WHERE vec_id + 1 IN (SELECT vec_id FROM embeddings)",
+    "classifier_losses": f"WITH {_S}, t AS (SELECT vec_id, -ln(max(p) FILTER (i = vec_id % (SELECT len(any_value(embedding)) FROM embeddings) + 1)) AS ce, max(p) FILTER (k = 1) AS p1, max(p) FILTER (k = 2) AS p2 FROM r GROUP BY vec_id) SELECT vec_id, round(ce, 5) AS cross_entropy, round(greatest(ln(p1 / p2 + 1e-12), 0.0), 5) AS two_best_ratio FROM t WHERE vec_id + 1 IN (SELECT vec_id FROM embeddings)",
     "confidence_scores": f"WITH {_S}, t AS (SELECT vec_id, label, max(p) FILTER (k = 1) AS p1, max(p) FILTER (k = 2) AS p2 FROM r GROUP BY ALL), c AS (SELECT vec_id, label, (p1 - p2) / (p1 + 1e-6) AS c FROM t) SELECT vec_id, round((c - min(c) OVER w) / (max(c) OVER w - min(c) OVER w), 5) AS confidence FROM c WINDOW w AS (PARTITION BY label)",
-    "l2_normal": "SELECT vec_id, round(CAST(embedding[1] AS DOUBLE) / (sqrt(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE)))) + 1e-12), 6) AS first FROM embeddings",
+    "l2_normal": "SELECT vec_id, CAST(i AS INT) AS i, round(CAST(embedding[i + 1] AS DOUBLE) / (sqrt(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE)))) + 1e-12), 6) AS x FROM (SELECT *, unnest(range(len(embedding))) AS i FROM embeddings)",
     "freq_loss": f"WITH {m.EV}, ty AS (SELECT *, {m.type_sql('src')} AS st, {m.type_sql('dst')} AS dt FROM ev), n AS (SELECT st, dt, op, count(*) AS n FROM ty WHERE day <= '2024-01-15' GROUP BY ALL), a AS (SELECT st, dt, sum(n) AS a FROM n GROUP BY ALL) SELECT event_id, round(-ln((coalesce(n, 0) + 1.0) / (coalesce(a, 0) + 5.0)), 9) AS loss FROM ty LEFT JOIN n USING (st, dt, op) LEFT JOIN a USING (st, dt)",
     "knn_score": "WITH sa AS (SELECT * FROM embeddings ORDER BY CAST('0x' || md5(CAST(vec_id AS VARCHAR))[1:15] AS BIGINT), vec_id LIMIT 5000), dd AS (SELECT t.vec_id AS id, sqrt(list_sum(list_transform(range(1, len(t.embedding) + 1), lambda i: pow(CAST(t.embedding[i] AS DOUBLE) - CAST(r.embedding[i] AS DOUBLE), 2)))) AS d FROM embeddings t, sa r), k AS (SELECT id, d, row_number() OVER (PARTITION BY id ORDER BY d) AS k FROM dd) SELECT id, round(avg(d), 4) AS score FROM k WHERE k <= 10 GROUP BY id",
     "magic_scores": """WITH e AS (SELECT label, vec_id AS id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), st AS (SELECT label, i, avg(CAST(v AS DOUBLE)) AS m, stddev_pop(CAST(v AS DOUBLE)) AS s FROM e GROUP BY ALL), z AS (SELECT label, id, i, (CAST(v AS DOUBLE) - m) / CASE WHEN s > 0 THEN s ELSE 1 END AS z FROM e JOIN st USING (label, i)),
@@ -405,7 +412,7 @@ mn AS (SELECT avg(d) AS m FROM (SELECT label, avg(d) AS d FROM n GROUP BY label)
 SELECT ra.tw, event_id, src, dst FROM ra JOIN rb USING (tw, r) WHERE src <> dst AND NOT EXISTS (SELECT 1 FROM sl WHERE sl.tw = ra.tw AND sl.src = ra.src AND sl.dst = rb.dst)""",
     "temporal_walks": _walks("sn", "src", "dst", "t", 4),
     "temporal_walks_back": _walks("sn", "dst", "src", "-t", 3),
-    "static_walks": f"""WITH {m.EV}, mv AS (SELECT src, dst % 150 AS dst, op FROM ev), bo AS (SELECT src AS a, op, dst AS b FROM mv UNION SELECT dst, op, src FROM mv), ne AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY b) - 1 AS no, count(*) OVER (PARTITION BY a) AS d FROM (SELECT DISTINCT a, b FROM bo)), po AS (SELECT a, b, op, row_number() OVER (PARTITION BY a, b ORDER BY op) - 1 AS j, count(*) OVER (PARTITION BY a, b) AS n FROM bo),
+    "static_walks": f"""WITH {m.EV}, mv AS (SELECT src, {m.FOLD} AS dst, op FROM ev), bo AS (SELECT src AS a, op, dst AS b FROM mv UNION SELECT dst, op, src FROM mv), ne AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY b) - 1 AS no, count(*) OVER (PARTITION BY a) AS d FROM (SELECT DISTINCT a, b FROM bo)), po AS (SELECT a, b, op, row_number() OVER (PARTITION BY a, b ORDER BY op) - 1 AS j, count(*) OVER (PARTITION BY a, b) AS n FROM bo),
 w0 AS (SELECT a AS node, unnest(range(1, d + 1)) AS walk FROM (SELECT DISTINCT a, d FROM ne)), dr AS (SELECT node, walk, """ + ", ".join(f"CAST('0x' || md5('0|' || node || '|' || walk || '|{k}')[1:8] AS BIGINT) AS x{k}" for k in (2, 3, 4, 5)) + """ FROM w0),
 s1 AS (SELECT node, walk, x4, x5, p.b AS cur, node || '>' || p.op || '>' || p.b AS path FROM dr JOIN ne ON ne.a = node AND ne.no = x2 % ne.d JOIN po p ON p.a = ne.a AND p.b = ne.b AND p.j = x3 % p.n)
 SELECT node, CAST(walk AS INT) AS walk, path || '>' || p.op || '>' || p.b AS path FROM s1 JOIN ne ON ne.a = cur AND ne.no = x4 % ne.d JOIN po p ON p.a = ne.a AND p.b = ne.b AND p.j = x5 % p.n""",
@@ -413,13 +420,13 @@ SELECT node, CAST(walk AS INT) AS walk, path || '>' || p.op || '>' || p.b AS pat
     "edge_messages": f"WITH {m.EV} SELECT event_id, '100' AS src_type, '100' AS src_vec, repeat('0', list_position(['click', 'error', 'purchase', 'signup', 'view'], op) - 1) || '1' || repeat('0', 5 - list_position(['click', 'error', 'purchase', 'signup', 'view'], op)) AS edge_type, '100' AS dst_type, '100' AS dst_vec FROM ev",
     "document_vectors": f"WITH {m.EV}, en AS (SELECT day, src AS node, op, t, event_id FROM ev UNION ALL SELECT day, dst, op, t, event_id FROM ev WHERE src <> dst), r AS (SELECT *, row_number() OVER (PARTITION BY day, node ORDER BY t, event_id) AS r FROM en), p AS (SELECT day, node, 3 * (r - 1) + 1 AS i, list_position(['click', 'error', 'purchase', 'signup', 'view'], op) - 1 AS v FROM r WHERE r <= 3) SELECT day, node, round(avg(v + sin(i)), 6) AS x, round(avg(1 + cos(i)), 6) AS y FROM p GROUP BY ALL",
     "context_vectors": "WITH w AS (SELECT p_partkey AS node, unnest(string_split(p_name, ' ')) AS word, generate_subscripts(string_split(p_name, ' '), 1) AS i FROM part), c AS (SELECT a.word, a.node, a.i, sum(length(b.word)) AS x, CAST(count(*) AS DOUBLE) AS y FROM w a JOIN w b ON a.node = b.node AND abs(a.i - b.i) = 1 GROUP BY ALL) SELECT word, 0 AS k, round(avg(x), 6) AS x FROM c GROUP BY word UNION ALL SELECT word, 1, round(avg(y), 6) FROM c GROUP BY word",
-    "edge_inner_product": f"WITH {_GA} SELECT event_id, round(ip, 4) AS score FROM ga",
+    "edge_inner_product": f"WITH {_GA} SELECT event_id, round(ip, 4) + 0.0 AS score FROM ga",
     "objective_sum": f"WITH {_GA} SELECT event_id, round(se / n + ln(1 + exp(-ip)), 4) AS loss FROM ga",
     "tanh_sum": f"WITH {m.SL} SELECT tw, dst AS node, round(tanh(sum(src % 7 / 10)), 6) AS x FROM sl GROUP BY ALL",
     "activations": f"WITH {m.EV}, x AS (SELECT event_id, (loss - 50) / 20 AS x FROM ev) SELECT event_id, round(greatest(x, 0), 6) AS relu, round(tanh(x), 6) AS tanh, round(1 / (1 + exp(-x)), 6) AS sigmoid, round(CASE WHEN x > 0 THEN x ELSE exp(x) - 1 END, 6) AS elu, round(CASE WHEN x > 0 THEN x ELSE 0.01 * x END, 6) AS leaky_relu FROM x",
     "gin_self_weight": f"WITH {m.SL}, n AS (SELECT tw, src AS node FROM sl UNION SELECT tw, dst FROM sl), i AS (SELECT tw, dst AS node, sum(src % 7) AS x FROM sl GROUP BY ALL) SELECT tw, node, CAST(coalesce(x, 0) + 1.5 * (node % 7) AS DOUBLE) AS x FROM n LEFT JOIN i USING (tw, node)",
     "weighted_aggregation": f"WITH {m.SL} SELECT tw, dst AS node, round(sum(exp(loss / 100) * (src % 7)) / sum(exp(loss / 100)), 6) AS x FROM sl GROUP BY ALL",
-    "triplet_table": "SELECT * FROM (VALUES ('ten', 'subject', 'subject', 9, 0), ('ten', 'subject', 'file', 5, 9), ('ten', 'subject', 'netflow', 4, 14), ('ten', 'file', 'subject', 5, 18), ('ten', 'netflow', 'subject', 4, 23), ('agent', 'subject', 'subject', 3, 0), ('agent', 'subject', 'file', 21, 3), ('agent', 'subject', 'netflow', 4, 24), ('agent', 'file', 'subject', 4, 28), ('agent', 'netflow', 'subject', 1, 32)) v(family, src_type, dst_type, n, first)",
+    "triplet_table": f"WITH {m.EV} SELECT event_id, family, n, first FROM (SELECT event_id, {m.type_sql('src')} AS src_type, {m.type_sql('dst')} AS dst_type FROM ev) JOIN (VALUES ('ten', 'subject', 'subject', 9, 0), ('ten', 'subject', 'file', 5, 9), ('ten', 'subject', 'netflow', 4, 14), ('ten', 'file', 'subject', 5, 18), ('ten', 'netflow', 'subject', 4, 23), ('agent', 'subject', 'subject', 3, 0), ('agent', 'subject', 'file', 21, 3), ('agent', 'subject', 'netflow', 4, 24), ('agent', 'file', 'subject', 4, 28), ('agent', 'netflow', 'subject', 1, 32)) v(family, src_type, dst_type, n, first) USING (src_type, dst_type)",
     "op_ids": f"WITH {m.EV} SELECT event_id, CAST(list_position(['click', 'error', 'purchase', 'signup', 'view'], op) - 1 AS INT) AS op_id, CAST(event_id % 33 + 1 AS INT) AS agent_id FROM ev",
     "label_tokens": r"WITH p AS (SELECT p_partkey, 'C:/x/' || p_name || '/' || p_brand AS path, p_size || '.0.0.1:' || p_partkey AS address FROM part), t AS (SELECT p_partkey, array_to_string(regexp_split_to_array(trim(regexp_replace(path, '/', ' / ', 'g')), '\s+'), '|') AS path, array_to_string(regexp_split_to_array(trim(regexp_replace(address, '([:.])', ' \1 ', 'g')), '\s+'), '|') AS address FROM p) SELECT *, CASE WHEN p_partkey % 2 = 0 THEN address ELSE path END AS typed FROM t",
     "iso_times": f"WITH {m.EV} SELECT event_id, t // 1000000 * 1000000 AS t FROM ev",
