@@ -278,6 +278,26 @@ def relabel_by_two_means(results: DataFrame, k: int) -> DataFrame:
     return results.select("node", "score").join(up, "node", "left").select("node", "score", F.coalesce("y", F.lit(0)).alias("y_hat"))
 
 
+def relabel_windows_by_two_means(scores: DataFrame, threshold: DataFrame, k: int) -> DataFrame:
+    """(tw, node, score, y_hat): in windows with a score over the threshold, the upper part of the k best scores; 0 elsewhere.
+
+    scores(tw, node, score), threshold one value. Each such window's k best are cut in two by the best one-dimensional
+    2-means; a window with one node has no upper part. Only k rows of a window meet in a task.
+    """
+    t = threshold.select(F.col(threshold.columns[0]).alias("_t"))
+    loud = scores.crossJoin(F.broadcast(t)).filter("score > _t").select("tw").distinct()
+    best = W.partitionBy("tw").orderBy(F.desc("score"), "node")
+    top = scores.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).join(loud, "tw", "left_semi")
+    run = W.partitionBy("tw").orderBy(F.desc("r")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    whole = W.partitionBy("tw")
+    d = top.select("tw", "node", "r", F.count("*").over(run).alias("i"), F.sum("score").over(run).alias("s1"), F.count("*").over(whole).alias("n"), F.sum("score").over(whole).alias("s"))
+    rest = F.col("n") - F.col("i")
+    gain = F.round(F.col("s1") * F.col("s1") / F.col("i") + (F.col("s") - F.col("s1")) * (F.col("s") - F.col("s1")) / rest, 9)
+    cut = d.filter(rest > 0).groupBy("tw").agg(F.max_by("i", F.struct(gain.alias("g"), (-F.col("i")).alias("i"))).alias("cut"))
+    up = d.join(cut, "tw").filter("i > cut").select("tw", "node", F.lit(1).alias("y"))
+    return scores.select("tw", "node", "score").join(up, ["tw", "node"], "left").select("tw", "node", "score", F.coalesce("y", F.lit(0)).alias("y_hat"))
+
+
 def fp_in_malicious_windows(results: DataFrame, labels: DataFrame) -> DataFrame:
     """Share of false positives whose window of greatest loss holds a malicious node."""
     bad = labels.select(F.col("tw").alias("tw_with_max_loss")).distinct().withColumn("_bad", F.lit(1))

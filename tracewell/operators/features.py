@@ -21,11 +21,25 @@ def corpus(nodes: DataFrame, members: DataFrame, splits: tuple[str, ...]) -> Dat
     return used.groupBy("label").agg(F.min("node").alias("node")).select("node", "label", any_tokens(F.col("label")).alias("tokens"))
 
 
-def neighbour_corpus(edges: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(node, tokens): own tokens and those of out-neighbours in order of id."""
-    pairs = edges.select("src", "dst").distinct()
-    near = pairs.join(tokens.withColumnsRenamed({"node": "dst", "tokens": "_t"}), "dst").groupBy(F.col("src").alias("node")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("dst", "_t"))), lambda s: s["_t"])).alias("_n"))
-    return tokens.join(near, "node", "left").select("node", F.concat("tokens", F.coalesce("_n", F.array().cast("array<string>"))).alias("tokens"))
+def neighbour_corpus(edges: DataFrame, tokens: DataFrame, graph: str | None = None, part: int = 10_000) -> DataFrame:
+    """(node, part, tokens): own tokens, then those of out-neighbours in order of id, at most `part` neighbours a row.
+
+    With graph, a column that orders several graphs, a node's neighbours are those of the first graph it occurs in.
+    A hub's document is several rows, so no task holds all of a hub's neighbours.
+    """
+    own = edges.select(F.col(graph).alias("_g") if graph else F.lit(0).alias("_g"), "src", "dst")
+    pairs = own.distinct()
+    if graph:
+        met = own.select("_g", F.col("src").alias("node")).unionByName(own.select("_g", F.col("dst").alias("node")))
+        first = met.groupBy("node").agg(F.min("_g").alias("_g"))
+        pairs = pairs.join(first.withColumnRenamed("node", "src"), ["src", "_g"])
+    placed = with_ordinal(pairs.select("src", "dst"), ["src"], ["dst"], 1 << 16, "_no").withColumn("part", F.floor(F.col("_no") / part).cast("int"))
+    near = placed.join(tokens.withColumnsRenamed({"node": "dst", "tokens": "_t"}), "dst").groupBy(F.col("src").alias("node"), "part")
+    near = near.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_no", "_t"))), lambda s: s["_t"])).alias("_n"))
+    none = F.array().cast("array<string>")
+    begin = tokens.select("node", F.lit(0).alias("part"), "tokens").join(near, ["node", "part"], "left")
+    rest = near.filter("part > 0").join(tokens.select("node"), "node", "left_semi").select("node", "part", F.col("_n").alias("tokens"))
+    return begin.select("node", "part", F.concat("tokens", F.coalesce("_n", none)).alias("tokens")).unionByName(rest)
 
 
 def event_sentences(edges: DataFrame, by: list[str], most: int = 100) -> DataFrame:

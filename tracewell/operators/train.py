@@ -244,6 +244,43 @@ def with_losses(rows: DataFrame, model: Model) -> DataFrame:
     return scored.drop("_out")
 
 
+def uncertain_losses(rows: DataFrame, model: Model, passes: int, key: str, seed: int = 0) -> DataFrame:
+    """rows with loss_mean and loss_deviation over `passes` runs with dropout on.
+
+    A unit of a dropout layer is off by a hash of the row's key (a whole number), the run and the unit, so results
+    do not depend on how rows lie in tasks; what is left is scaled up by the share that stays.
+    """
+    plan, weights, objective = parse_layers(model.layers), model.weights, OBJECTIVES[model.objective]
+    target = F.col("target") if rows.schema["target"].dataType.typeName() == "array" else F.array(F.col("target").cast("double"))
+
+    def one_run(x: np.ndarray, keys: np.ndarray, run: int) -> np.ndarray:
+        k = 0
+        for i, (name, share) in enumerate(plan):
+            if name == "linear":
+                x, k = x @ weights[k][0] + weights[k][1], k + 1
+            elif name == "dropout":
+                h = keys[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(((seed * 1009 + run) * 31 + i) * 1_000_003) + np.arange(x.shape[1], dtype=np.uint64)
+                for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                    h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+                off = share if share is not None else 0.5
+                x = np.where((h >> np.uint64(11)) / float(1 << 53) < off, 0.0, x / max(1 - off, 1e-12))
+            else:
+                x = ACTIVATIONS[name](x)
+        return x
+
+    def run(x: pd.Series, wanted: pd.Series, keys: pd.Series) -> pd.Series:
+        out, there = pd.Series([None] * len(x), index=x.index, dtype=object), x.notna() & wanted.map(lambda t: t is not None and not np.isnan(np.asarray(t, float)).any()) & keys.notna()
+        if there.any():
+            matrix, y, ids = np.stack(x[there].to_numpy()).astype(float), np.stack(wanted[there].to_numpy()).astype(float), keys[there].to_numpy().astype(np.int64).view(np.uint64)
+            losses = np.stack([objective(one_run(matrix, ids, r), y)[0] for r in range(passes)])
+            out[there] = pd.Series(list(np.column_stack([losses.mean(0), losses.std(0)])), index=x.index[there])
+        return out
+
+    run.__annotations__ = {"x": pd.Series, "wanted": pd.Series, "keys": pd.Series, "return": pd.Series}
+    scored = rows.withColumn("_l", pandas_udf("array<double>")(run)("x", F.when(F.col("target").isNotNull(), target), F.col(key).cast("long")))
+    return scored.withColumns({"loss_mean": F.col("_l")[0], "loss_deviation": F.col("_l")[1]}).drop("_l")
+
+
 def class_weights(rows: DataFrame, k: int) -> DataFrame:
     """rows(target) with weight: n / (k * rows of the class), so that classes weigh alike."""
     counts = rows.groupBy("target").agg(F.count("*").alias("_c"))

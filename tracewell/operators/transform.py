@@ -189,6 +189,44 @@ def attack_events(pairs: DataFrame, start: int, gap: int, ops: tuple[str, ...] =
     return steps.select(F.col("actor").alias("src"), F.col("target").alias("dst"), "op", (F.lit(start) + at * gap).alias("t"), F.lit(1).alias("y"))
 
 
+def window_attacks(edges: DataFrame, by: list[str], nodes: DataFrame, actors: DataFrame, n_targets: int, seed: int = 0) -> DataFrame:
+    """Events (by, src, dst, op, t, y) of made-up attacks, in every graph in which an actor of actors(actor) occurs.
+
+    In each such graph the actor opens, reads and writes up to n_targets files of the graph that it touches in
+    no graph, then connects to one of the graph's netflows if there is one; without such a file it does nothing.
+    It begins at a drawn time of the graph; each step takes the graph's mean gap between events, but a file is
+    opened at the time of the write before it. nodes(node, node_type) tell files and netflows. Files and
+    netflows of a graph stand on rings in hashed order, so rows grow with edges, not with actors times files.
+    """
+    end = lambda c: edges.select(*by, F.col(c).alias("node"))
+    met = stored(end("src").unionByName(end("dst")).distinct().join(nodes.select("node", "node_type"), "node"), "met")
+    span = time_gaps(edges, by).select(*by, (F.coalesce("mean_gap", F.lit(0.0)) * 1e9).cast("long").alias("_gap"), F.col("first_t").alias("_low"), F.col("last_t").alias("_high"))
+
+    def ring(kind: str, salt: str) -> DataFrame:
+        own = met.filter(F.col("node_type") == kind).select(*by, F.col("node").alias("target")).withColumn("_h", digest(F.lit(seed), F.lit(salt), *by, "target", hex_digits=15))
+        return stored(with_ordinal(own, by, ["_h", "target"], 1 << 50, "place").select(*by, "target", "place"), "ring")
+
+    files, netflows = ring("file", "file"), ring("netflow", "netflow")
+    count_of = lambda r: r.groupBy(*by).agg(F.count("*").alias("_n"))
+    here = met.select(*by, F.col("node").alias("actor")).join(actors.select("actor").distinct(), "actor", "left_semi")
+    touched = edges.select(F.col("src").alias("actor"), F.col("dst").alias("target")).distinct()
+    degree = touched.groupBy("actor").agg(F.count("*").alias("_k"))
+    tries = here.join(degree, "actor", "left").join(count_of(files), by)
+    last = F.least(F.coalesce("_k", F.lit(0)) + n_targets, F.col("_n")) - 1
+    tries = tries.select(*by, "actor", "_n", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("step"))
+    tries = tries.withColumn("place", F.pmod(digest(F.lit(seed), *by, "actor") + F.col("step"), F.col("_n")))
+    free = tries.join(files, [*by, "place"]).join(touched, ["actor", "target"], "left_anti")
+    taken = stored(with_ordinal(free.select(*by, "actor", "target", "step"), [*by, "actor"], ["step"], 1 << 12, "r").filter(F.col("r") < n_targets), "taken")
+    begin = F.col("_low") + F.pmod(digest(F.lit(seed), F.lit("begin"), *by, "actor"), F.col("_high") - F.col("_low") + 1)
+    at = lambda k: (begin + k * F.col("_gap")).alias("t")
+    steps = taken.join(span, by).select("*", F.posexplode(F.array(*map(F.lit, ("EVENT_OPEN", "EVENT_READ", "EVENT_WRITE")))).alias("k", "op"))
+    done = steps.select(*by, F.col("actor").alias("src"), F.col("target").alias("dst"), "op", at(2 * F.col("r") + F.col("k")))
+    ends = taken.groupBy(*by, "actor").agg((2 * F.count("*") + 1).alias("_k")).join(span, by).join(count_of(netflows), by)
+    ends = ends.withColumn("place", F.pmod(digest(F.lit(seed), F.lit("netflow"), *by, "actor"), F.col("_n"))).join(netflows, [*by, "place"])
+    connects = ends.select(*by, F.col("actor").alias("src"), F.col("target").alias("dst"), F.lit("EVENT_CONNECT").alias("op"), at(F.col("_k")))
+    return done.unionByName(connects).withColumn("y", F.lit(1))
+
+
 # The runs of operations, by a subject on a file, of imitated benign activity.
 TEMPLATES = (
     ("EVENT_OPEN", "EVENT_READ"),

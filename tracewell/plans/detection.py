@@ -158,6 +158,14 @@ def kmeans_topk(s, d):
     return detect.relabel_by_two_means(m.results(s, d), 30)
 
 
+def kmeans_windows(s, d):
+    """Mean losses of nodes a window; windows with one over the threshold keep the upper part of their ten best."""
+    e = _test(s, d)
+    scores = e.groupBy("tw", F.col("src").alias("node")).agg(F.avg("loss").alias("score"))
+    t = _val(s, d).agg((F.max("loss") * 0.8).alias("t"))
+    return detect.relabel_windows_by_two_means(scores, t, 10).select("tw", "node", F.round("score", 6).alias("score"), "y_hat")
+
+
 def fp_in_malicious_windows(s, d):
     scores = detect.node_scores(_test(s, d).filter("src < 1000000"), detect.thresholds(_val(s, d)), "mean_val_loss", use_dst=False)
     bad = m.bad_nodes(s, d).select("node").distinct().withColumn("y", F.lit(1))
@@ -441,6 +449,11 @@ SELECT bin, round(lo + bin * ((hi - lo) / 49), 6) AS threshold, round(tp / p, 6)
     "descendants": f"WITH RECURSIVE {MESH}{_PO}, dn AS (SELECT po.tw, poi, sp.dst AS node FROM po JOIN sp ON sp.tw = po.tw AND sp.src = poi UNION SELECT dn.tw, dn.poi, sp.dst FROM dn JOIN sp ON sp.tw = dn.tw AND sp.src = dn.node) SELECT * FROM dn",
     "entry_components": f"WITH RECURSIVE {MESH}{_ENT} SELECT tw, poi, entry, count(*) AS n_nodes FROM cm GROUP BY ALL",
     "exit_components": f"WITH RECURSIVE {MESH}{_EXT} SELECT tw, poi, exit, count(*) AS n_nodes FROM cm GROUP BY ALL",
+    "kmeans_windows": f"""WITH {_TE}, sc AS (SELECT tw, src AS node, avg(loss) AS score FROM te GROUP BY ALL), th AS (SELECT max(loss) * 0.8 AS t FROM ev WHERE day > '2024-01-15' AND day <= '2024-01-20'),
+tp AS (SELECT *, row_number() OVER (PARTITION BY tw ORDER BY score DESC, node) AS r FROM sc WHERE tw IN (SELECT tw FROM sc, th WHERE score > t) QUALIFY r <= 10),
+ru AS (SELECT tw, node, count(*) OVER w AS i, sum(score) OVER w AS s1, count(*) OVER (PARTITION BY tw) AS n, sum(score) OVER (PARTITION BY tw) AS s FROM tp WINDOW w AS (PARTITION BY tw ORDER BY r DESC ROWS UNBOUNDED PRECEDING)),
+cu AS (SELECT tw, i AS cut FROM ru WHERE n > i QUALIFY row_number() OVER (PARTITION BY tw ORDER BY round(s1 * s1 / i + (s - s1) * (s - s1) / (n - i), 9) DESC, i) = 1)
+SELECT tw, node, round(score, 6) AS score, CAST(EXISTS (SELECT 1 FROM ru JOIN cu ON cu.tw = ru.tw WHERE ru.tw = sc.tw AND ru.node = sc.node AND i > cut) AS INT) AS y_hat FROM sc""",
     "shortest_paths": f"WITH RECURSIVE {MESH}{_PO}, e AS (SELECT DISTINCT tw, src, dst FROM sp WHERE src <> dst), b AS (SELECT tw, node AS src, node AS dst, 0 AS hops, [node] AS path FROM lo UNION ALL SELECT b.tw, b.src, e.dst, hops + 1, list_append(path, e.dst) FROM b JOIN e ON e.tw = b.tw AND e.src = b.dst WHERE NOT list_contains(path, e.dst)), r AS (SELECT *, row_number() OVER (PARTITION BY tw, src, dst ORDER BY hops, path) AS k FROM b) SELECT tw, src, dst, hops, array_to_string(path, '>') AS path FROM r WHERE k = 1",
     "time_respecting": f"WITH RECURSIVE {MESH}, b AS (SELECT tw, src AS poi, src AS node, min(t) - 1 AS t FROM sp WHERE loss > 150 GROUP BY tw, src UNION SELECT b.tw, poi, sp.dst, sp.t FROM b JOIN sp ON sp.tw = b.tw AND sp.src = b.node AND sp.t > b.t) SELECT tw, poi, node, min(t) AS t FROM b GROUP BY ALL",
     "time_respecting_back": f"WITH RECURSIVE {MESH}, b AS (SELECT tw, dst AS poi, dst AS node, max(t) + 1 AS t FROM sp WHERE loss > 150 GROUP BY tw, dst UNION SELECT b.tw, poi, sp.src, sp.t FROM b JOIN sp ON sp.tw = b.tw AND sp.dst = b.node AND sp.t < b.t) SELECT tw, poi, node, max(t) AS t FROM b GROUP BY ALL",

@@ -155,6 +155,13 @@ def synthetic_attack(s, d):
     return transform.attack_events(pairs, 1705881600 * 10**9, 60 * 10**9)
 
 
+def window_attacks(s, d):
+    """Attacks of purchasing users in every graph of four hours; keys of half the files go, so that some are new to them."""
+    e = m.slotted(s, d).filter("(dst + src) % 3 > 0 or dst % 2 = 1")
+    ends = e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node"))).distinct()
+    return transform.window_attacks(e, SLOT, ends.withColumn("node_type", m.node_type(F.col("node"))), _actors(e), 2)
+
+
 def injected(s, d):
     e = m.events(s, d)
     made = synthetic_attack(s, d).withColumn("attack_id", (F.col("src") % 3).cast("int")).withColumn("day", F.lit("2024-01-22")).withColumn("loss", F.lit(0.0)).withColumn("event_id", -F.col("src") * 1000 - F.col("dst") % 1000)
@@ -258,6 +265,21 @@ un AS (SELECT * FROM (SELECT actor, target, row_number() OVER (PARTITION BY acto
 _NO = "row_number() OVER (ORDER BY t, event_id) - 1"
 _BA = m.EV + f", ba AS (SELECT *, ({_NO}) // 256 AS batch FROM ev)"
 
+def _window_attacks() -> str:
+    """The same rings and draws by md5."""
+    x = lambda *parts, n=8: "CAST('0x' || md5(" + " || '|' || ".join(("'0'", *parts)) + f")[1:{n}] AS BIGINT)"
+    return f"""WITH {m.SL}, e AS (SELECT * FROM sl WHERE (dst + src) % 3 > 0 OR dst % 2 = 1),
+ac AS (SELECT DISTINCT src AS actor FROM e WHERE op = 'purchase' AND day <= '2024-01-15' INTERSECT SELECT src FROM e WHERE op = 'purchase' AND day BETWEEN '2024-01-16' AND '2024-01-20'),
+met AS (SELECT tw, src AS node FROM e UNION SELECT tw, dst FROM e), sp AS (SELECT tw, min(t) AS low, max(t) AS high, CAST(floor(coalesce((max(t) - min(t)) / 1e9 / nullif(count(*) - 1, 0), 0) * 1e9) AS BIGINT) AS gap FROM e GROUP BY tw),
+fi AS (SELECT tw, node AS target, row_number() OVER (PARTITION BY tw ORDER BY {x("'file'", "tw", "node", n=15)}, node) - 1 AS place, count(*) OVER (PARTITION BY tw) AS n FROM met WHERE node >= 1000000 AND node % 2 = 0),
+nf AS (SELECT tw, node AS target, row_number() OVER (PARTITION BY tw ORDER BY {x("'netflow'", "tw", "node", n=15)}, node) - 1 AS place, count(*) OVER (PARTITION BY tw) AS n FROM met WHERE node >= 1000000 AND node % 2 = 1),
+tr AS (SELECT met.tw, actor, target, (place - {x("met.tw", "actor")} % n + n) % n AS step FROM met JOIN ac ON actor = node JOIN fi ON fi.tw = met.tw WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.src = actor AND e.dst = target)),
+tk AS (SELECT *, row_number() OVER (PARTITION BY tw, actor ORDER BY step) - 1 AS r FROM tr QUALIFY r < 2),
+bg AS (SELECT tk.*, low + {x("'begin'", "tk.tw", "actor")} % (high - low + 1) AS begin, gap FROM tk JOIN sp ON sp.tw = tk.tw)
+SELECT tw, actor AS src, target AS dst, ['EVENT_OPEN', 'EVENT_READ', 'EVENT_WRITE'][k + 1] AS op, begin + (2 * r + k) * gap AS t, 1 AS y FROM bg, (SELECT unnest([0, 1, 2]) AS k)
+UNION ALL SELECT g.tw, actor, nf.target, 'EVENT_CONNECT', begin + (2 * c + 1) * gap, 1 FROM (SELECT tw, actor, any_value(begin) AS begin, any_value(gap) AS gap, count(*) AS c FROM bg GROUP BY tw, actor) g JOIN nf ON nf.tw = g.tw AND nf.place = {x("'netflow'", "g.tw", "actor")} % nf.n"""
+
+
 ORACLES = {
     "tw_daily": f"WITH {m.EV} SELECT day, count(*) AS n, min(t) AS first_t, max(t) AS last_t FROM ev GROUP BY day",
     "tw_daily_eastern": f"WITH {m.EV} SELECT CAST(CAST(make_timestamp(t // 1000) - INTERVAL 5 HOUR AS DATE) AS VARCHAR) AS day, count(*) AS n FROM ev GROUP BY 1",
@@ -287,6 +309,7 @@ SELECT c_custkey AS node, 0 AS dataset FROM customer UNION ALL SELECT p_partkey
 SELECT e.day, e.event_id, e.src, CAST(a.version AS BIGINT) AS src_version, e.dst, CAST(b.version AS BIGINT) AS dst_version, b.k > 1 AS bumped FROM e JOIN v a ON a.event_id = e.event_id AND a.day = e.day AND a.role = 0 JOIN v b ON b.event_id = e.event_id AND b.day = e.day AND b.role = 1""",
     "mean_time_delta": f"WITH {m.SL}, g AS (SELECT *, lead(t) OVER (PARTITION BY tw ORDER BY t, event_id) - t AS gap FROM sl) SELECT tw, round(CAST(sum(gap) AS DOUBLE) / 1e9 / count(gap), 6) AS mean_gap, min(t) AS first_t, max(t) AS last_t FROM g GROUP BY tw",
     "unauthorized_pairs": f"WITH {_UN} SELECT actor, target, CAST(r AS INT) AS r FROM un",
+    "window_attacks": _window_attacks(),
     "synthetic_attack": f"WITH {_UN}, st AS (SELECT actor, target, (r - 1) * 3 + k AS n, ['EVENT_OPEN', 'EVENT_READ', 'EVENT_WRITE'][k] AS op FROM un, (SELECT unnest([1, 2, 3]) AS k)) SELECT actor AS src, target AS dst, op, 1705881600000000000 + n * 60000000000 AS t, 1 AS y FROM st",
     "injected": f"WITH {_UN} SELECT day, 0 AS y, count(*) AS n FROM ev GROUP BY day UNION ALL SELECT '2024-01-22', 1, count(*) * 3 FROM un WHERE actor % 3 <> 1 HAVING count(*) > 0",
     "version_edges": f"WITH {_VE}, e AS (SELECT * FROM me WHERE src <> dst){_VX} SELECT day, node, CAST(version - 1 AS BIGINT) AS from_version, CAST(version AS BIGINT) AS to_version, t FROM v WHERE role = 1 AND k > 1",

@@ -164,6 +164,13 @@ def neighbor_corpus(s, d):
     return features.neighbour_corpus(e, nodes).select("node", F.array_join("tokens", " ").alias("tokens"))
 
 
+def neighbor_corpus_first(s, d):
+    """Neighbours of each node in the first day it occurs on, three a row."""
+    e = m.meshed(s, d).withColumn("day", F.date_format(F.timestamp_micros(F.floor(F.col("t") / 1000)), "yyyy-MM-dd"))
+    nodes = e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node"))).distinct().select("node", F.array(F.concat(F.lit("n"), "node")).alias("tokens"))
+    return features.neighbour_corpus(e, nodes, "day", 3).select("node", "part", F.array_join("tokens", " ").alias("tokens"))
+
+
 def flash_corpus(s, d):
     return features.event_sentences(m.events(s, d), ["day"], 5).select("day", "node", F.array_join("words", " ").alias("words"))
 
@@ -437,6 +444,9 @@ SELECT node, CAST(walk AS INT) AS walk, path || '>' || p.op || '>' || p.b AS pat
     "neighbor_attention": f"WITH {m.SL} SELECT event_id, round(exp(loss / 100) / sum(exp(loss / 100)) OVER (PARTITION BY tw, dst), 6) AS weight FROM sl",
     "neighbor_mean": f"WITH {m.SL} SELECT tw, dst AS node, round(avg(src % 7), 6) AS x0, 1.0::DOUBLE AS x1 FROM sl GROUP BY ALL",
     "corpus_distinct": r"WITH p AS (SELECT p_name || '/' || p_brand AS label, min(p_partkey) AS node FROM part WHERE p_partkey % 3 = 0 GROUP BY 1) SELECT node, label, array_to_string(regexp_split_to_array(trim(regexp_replace(label, '([/:.])', ' \1 ', 'g')), '\s+'), '|') AS tokens FROM p",
+    "neighbor_corpus_first": f"""WITH {m.ME}, fd AS (SELECT node, min(day) AS day FROM (SELECT src AS node, day FROM me UNION ALL SELECT dst, day FROM me) GROUP BY node),
+pr AS (SELECT DISTINCT src, dst FROM me JOIN fd ON fd.node = src AND fd.day = me.day), nu AS (SELECT src, dst, (row_number() OVER (PARTITION BY src ORDER BY dst) - 1) // 3 AS part FROM pr), gr AS (SELECT src AS node, part, string_agg('n' || dst, ' ' ORDER BY dst) AS words FROM nu GROUP BY ALL)
+SELECT fd.node, 0 AS part, 'n' || fd.node || coalesce(' ' || words, '') AS tokens FROM fd LEFT JOIN gr ON gr.node = fd.node AND gr.part = 0 UNION ALL SELECT node, CAST(part AS INT), words FROM gr WHERE part > 0""",
     "neighbor_corpus": f"WITH {m.EV}, e AS (SELECT DISTINCT src, dst FROM ev), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e) SELECT node, {m.type_sql('node')} || ' ' || node || coalesce((SELECT string_agg(' ' || {m.type_sql('dst')} || ' ' || dst, '' ORDER BY dst) FROM e WHERE src = node), '') AS tokens FROM n",
     "flash_corpus": f"WITH {m.EV}, en AS (SELECT day, src AS node, src, op, dst, t, event_id FROM ev UNION ALL SELECT day, dst, src, op, dst, t, event_id FROM ev WHERE src <> dst), r AS (SELECT *, row_number() OVER (PARTITION BY day, node ORDER BY t, event_id) AS r FROM en) SELECT day, node, string_agg(src || ' ' || op || ' ' || dst, ' ' ORDER BY r) AS words FROM r WHERE r <= 5 GROUP BY ALL",
     "time_encoding": f"WITH {m.EV} SELECT event_id, round(cos(loss / pow(10.0, 3.0)), 6) AS second FROM ev",
