@@ -15,7 +15,7 @@ def test_hot_keys_join_like_others(spark, monkeypatch):
 def test_slices_are_bounded_by_rows_and_bytes():
     import pyarrow as pa
 
-    texts = ["a" * n for n in (10, 400_000, 900_000, 2_500_000, 5, 0)] + ["b" * 3000] * 900
+    texts = ["a" * n for n in (10, 1_600_000, 3_600_000, 9_500_000, 5, 0)] + ["b" * 30_000] * 900
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["i", "text"])
     found = list(support.slices(iter([batch, batch.slice(0, 0), batch.slice(3, 2)]), 256))
     assert [i for b in found for i in b.column("i").to_pylist()] == [*range(len(texts)), 3, 4]

@@ -110,7 +110,7 @@ def extended(fields: StructType | list, ddl: str) -> StructType:
     return StructType([*fields, *StructType.fromDDL(ddl)])
 
 
-SLICE_BYTES = 1 << 20  # of a slice of rows; a larger row alone
+SLICE_BYTES = 4 << 20  # of a slice of rows; a larger row alone
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
