@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from tracewell.llm import bpe, decontam, langid, line_dedup, minhash, support
 from tracewell.session import table
 
-BATCH_BYTES = "8m"  # of whole texts that go to a Python worker at a time, however long they are
-BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: What goes to a Python worker at a time: whole texts, however long they are, and rows.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 _scratch = threading.local()
 
 
@@ -39,7 +39,8 @@ def _stage(f):
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         support.ship(spark)
-        spark.conf.set(BATCHES, BATCH_BYTES)
+        for name, bound in BATCHES.items():
+            spark.conf.set(name, bound)
         before = getattr(_scratch, "tables", [])
         if before and not any(path in file for path in map(_tail, before) for file in docs.inputFiles()):
             support.release(spark, before)
@@ -106,11 +107,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before = spark.conf.get(BATCHES)
+    before = {name: spark.conf.get(name) for name in BATCHES}
     try:
         docs = table(spark, sf_dir, "documents")
         for name, stage in STAGES:
             docs = support.stored(stage(spark, docs, sf_dir), f"stage-{name}")
         return docs
     finally:
-        spark.conf.set(BATCHES, before)
+        for name, bound in before.items():
+            spark.conf.set(name, bound)
