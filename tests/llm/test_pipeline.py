@@ -117,10 +117,13 @@ def test_equals_stages_done_by_brute_force(spark, frame):
         assert list(r.ids) == theirs.encode_ordinary(texts[r.doc_id]) and r.text == texts[r.doc_id]
 
 
-def test_the_session_keeps_its_own_bound_on_batches(spark):
-    spark.conf.set(corpus_pipeline.BATCHES, "3m")
+def test_the_session_keeps_its_own_bounds_on_batches(spark):
+    own = dict(zip(corpus_pipeline.BATCHES, ("3m", "777")))
+    for name, bound in own.items():
+        spark.conf.set(name, bound)
     try:
         assert corpus_pipeline.run(spark, SF).count() > 0
-        assert spark.conf.get(corpus_pipeline.BATCHES) == "3m"
+        assert {name: spark.conf.get(name) for name in own} == own
     finally:
-        spark.conf.unset(corpus_pipeline.BATCHES)
+        for name in own:
+            spark.conf.unset(name)

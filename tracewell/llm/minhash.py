@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shingles import lowered, mix, shingle_hashes, word_hashes
-from .support import extended, join_hot, shuffle_parts, stored, with_columns
+from .support import extended, join_hot, settle, shuffle_parts, stored, with_columns
 
 REGISTERS, ROWS = 96, 4
 BANDS = REGISTERS // ROWS
@@ -103,6 +103,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys.append(bands(owner)), short.append(owner.astype(np.uint8).tobytes()), size.append(len(h))
             part = batch.slice(a, 256)
             yield with_columns(part.select([c for c in part.schema.names if c != "text"]), node=pa.array(node, pa.binary()), bands=pa.array(keys, pa.list_(pa.int64())), sketch=pa.array(short, pa.binary()), size=pa.array(size, pa.int32()))
+    settle()
 
 
 def forest(s: np.ndarray, least: float) -> list[tuple[int, int]]:
@@ -179,6 +180,8 @@ def of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
             held.append(row)
     if held:
         yield held
+    del held
+    settle()
 
 
 def _pairs(found: Iterator[tuple[bytes, bytes]]) -> pa.RecordBatch:
@@ -254,6 +257,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(a, 256)
             found = [np.unique(shingle_hashes(word_hashes(lowered(t)))).view(np.int64) for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
+    settle()
 
 
 def meetings(nodes: DataFrame) -> DataFrame:
