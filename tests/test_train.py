@@ -113,3 +113,48 @@ def test_nulls_and_empty_tables(spark):
     assert train.train(rows.filter("id > 9"), "linear(2)", "classes", 3).history == []
     with pytest.raises(ValueError):
         train.train(rows, "linear(2)", "what", 1)
+
+
+def test_slopes_of_the_variational_loss():
+    x, noise = RNG.normal(size=(6, 5)), RNG.normal(size=(6, 2))
+    first = lambda layers, n, k: learn.initial_weights(learn.parse_layers(layers), n, k)
+    model = train.Variational("linear(4) | tanh", "linear(3) | tanh | linear(5)", first("linear(4)", 5, 1), first("linear(2)", 4, 2)[0], first("linear(2)", 4, 3)[0], first("linear(3) | linear(5)", 2, 4), 0.3)
+    flat = [v.copy() for v in model.flat()]
+    slopes = train.variational_step(x, noise, model)[2]
+    assert len(slopes) == len(flat)
+    for k, v in enumerate(flat):
+        for at in list(np.ndindex(v.shape))[:5]:
+            both = []
+            for d in (1e-6, -1e-6):
+                moved = [u.copy() for u in flat]
+                moved[k][at] += d
+                model.set(moved)
+                both.append(train.variational_step(x, noise, model)[0].sum())
+            assert slopes[k][at] == pytest.approx((both[0] - both[1]) / 2e-6, rel=1e-4, abs=1e-6)
+
+
+def test_variational_training_takes_the_same_steps(spark):
+    n = 80
+    x = RNG.normal(size=(n, 2)) @ RNG.normal(size=(2, 6))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(None, [0.0] * 6), (99, None)], "id long, x array<double>").repartition(5)
+    model = train.train_variational(rows, "id", "linear(4) | relu", 2, "linear(4) | relu | linear(6)", 30, 0.02, 1e-3, seed=2)
+    other = train.train_variational(rows.filter("id is null"), "id", "linear(4) | relu", 2, "linear(4) | relu | linear(6)", 1, seed=2)
+    assert other.history == []
+    first = lambda layers, m, k: learn.initial_weights(learn.parse_layers(layers), m, k)
+    mine = train.Variational("linear(4) | relu", "linear(4) | relu | linear(6)", first("linear(4)", 6, 2), first("linear(2)", 4, 3)[0], first("linear(2)", 4, 4)[0], first("linear(4) | linear(6)", 2, 5), 1e-3)
+    adam, history = train.Adam(0.02), []
+    for epoch in range(30):
+        loss, _, slopes = train.variational_step(x, train.normal(np.arange(n), 2 * 7919 + epoch, 2), mine)
+        history.append(loss.mean())
+        mine.set(adam.step(mine.flat(), [g / n for g in slopes]))
+    assert [h["loss"] for h in model.history] == pytest.approx(history) and history[-1] < 0.7 * history[0]
+    got = {r.id: (r.out, r.loss) for r in train.reconstructed(rows, model).collect()}
+    want = train.variational_step(x, np.zeros((n, 2)), mine)[1]
+    for i in range(n):
+        assert np.allclose(got[i][0], want[i]) and got[i][1] == pytest.approx(((want[i] - x[i]) ** 2).mean())
+    assert got[99] == (None, None)
+
+
+def test_draws_are_normal():
+    z = train.normal(np.arange(20_000), 5, 3)
+    assert abs(z.mean()) < 0.02 and abs(z.std() - 1) < 0.02 and abs(np.corrcoef(z.T)[0, 1]) < 0.02

@@ -92,11 +92,8 @@ def run_forward(x: np.ndarray, layers: Layers, weights: Weights) -> list[np.ndar
     return states
 
 
-def gradients(x: np.ndarray, target: np.ndarray, row_weight: np.ndarray, layers: Layers, weights: Weights, objective: str) -> tuple[float, list[np.ndarray]]:
-    """Sums over rows: the weighted loss, and its slope at every weight in order (matrix, bias, ...)."""
-    states = run_forward(x, layers, weights)
-    loss, slope = OBJECTIVES[objective](states[-1], target)
-    slope = slope * row_weight[:, None]
+def backward(states: list[np.ndarray], slope: np.ndarray, layers: Layers, weights: Weights) -> tuple[list[np.ndarray], np.ndarray]:
+    """Slopes at every weight in order (matrix, bias, ...) and at the input, from the slope at the output."""
     out: list[np.ndarray] = []
     k = len(weights)
     for i in range(len(layers) - 1, -1, -1):
@@ -106,7 +103,23 @@ def gradients(x: np.ndarray, target: np.ndarray, row_weight: np.ndarray, layers:
             slope = slope @ weights[k][0].T
         else:
             slope = slope * _SLOPES[layers[i][0]](states[i], states[i + 1])
-    return float((loss * row_weight).sum()), out
+    return out, slope
+
+
+def gradients(x: np.ndarray, target: np.ndarray, row_weight: np.ndarray, layers: Layers, weights: Weights, objective: str) -> tuple[float, list[np.ndarray]]:
+    """Sums over rows: the weighted loss, and its slope at every weight in order (matrix, bias, ...)."""
+    states = run_forward(x, layers, weights)
+    loss, slope = OBJECTIVES[objective](states[-1], target)
+    return float((loss * row_weight).sum()), backward(states, slope * row_weight[:, None], layers, weights)[0]
+
+
+def uniform(keys: np.ndarray, salt: int, n: int) -> np.ndarray:
+    """n numbers below 1 for each whole number, the same wherever its row lies."""
+    with np.errstate(over="ignore"):
+        h = keys.astype(np.int64).view(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt * 1_000_003 % (1 << 64)) + np.arange(n, dtype=np.uint64)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return (h >> np.uint64(11)) / float(1 << 53)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -259,11 +272,8 @@ def uncertain_losses(rows: DataFrame, model: Model, passes: int, key: str, seed:
             if name == "linear":
                 x, k = x @ weights[k][0] + weights[k][1], k + 1
             elif name == "dropout":
-                h = keys[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(((seed * 1009 + run) * 31 + i) * 1_000_003) + np.arange(x.shape[1], dtype=np.uint64)
-                for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-                    h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
                 off = share if share is not None else 0.5
-                x = np.where((h >> np.uint64(11)) / float(1 << 53) < off, 0.0, x / max(1 - off, 1e-12))
+                x = np.where(uniform(keys, (seed * 1009 + run) * 31 + i, x.shape[1]) < off, 0.0, x / max(1 - off, 1e-12))
             else:
                 x = ACTIVATIONS[name](x)
         return x
@@ -271,7 +281,7 @@ def uncertain_losses(rows: DataFrame, model: Model, passes: int, key: str, seed:
     def run(x: pd.Series, wanted: pd.Series, keys: pd.Series) -> pd.Series:
         out, there = pd.Series([None] * len(x), index=x.index, dtype=object), x.notna() & wanted.map(lambda t: t is not None and not np.isnan(np.asarray(t, float)).any()) & keys.notna()
         if there.any():
-            matrix, y, ids = np.stack(x[there].to_numpy()).astype(float), np.stack(wanted[there].to_numpy()).astype(float), keys[there].to_numpy().astype(np.int64).view(np.uint64)
+            matrix, y, ids = np.stack(x[there].to_numpy()).astype(float), np.stack(wanted[there].to_numpy()).astype(float), keys[there].to_numpy().astype(np.int64)
             losses = np.stack([objective(one_run(matrix, ids, r), y)[0] for r in range(passes)])
             out[there] = pd.Series(list(np.column_stack([losses.mean(0), losses.std(0)])), index=x.index[there])
         return out
@@ -281,6 +291,90 @@ def uncertain_losses(rows: DataFrame, model: Model, passes: int, key: str, seed:
     return scored.withColumns({"loss_mean": F.col("_l")[0], "loss_deviation": F.col("_l")[1]}).drop("_l")
 
 
+@dataclass
+class Variational:
+    """An encoder, two linear maps to the mean and the logarithm of the deviation of a latent vector, and a decoder."""
+
+    encoder: str
+    decoder: str
+    encoding: Weights
+    mean: tuple[np.ndarray, np.ndarray]
+    deviation: tuple[np.ndarray, np.ndarray]
+    decoding: Weights
+    divergence: float
+    history: list[dict] = field(default_factory=list)
+
+    def flat(self) -> list[np.ndarray]:
+        return [v for pair in (*self.encoding, self.mean, self.deviation, *self.decoding) for v in pair]
+
+    def set(self, flat: list[np.ndarray]) -> None:
+        pairs, n = list(zip(flat[::2], flat[1::2])), len(self.encoding)
+        self.encoding, self.mean, self.deviation, self.decoding = pairs[:n], pairs[n], pairs[n + 1], pairs[n + 2 :]
+
+
+def variational_step(x: np.ndarray, noise: np.ndarray, model: Variational) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(losses, outputs, summed slopes): squared reconstruction plus `divergence` times s^2 + m^2 - ln s - 1/2 over the latent vector."""
+    enc, dec = parse_layers(model.encoder), parse_layers(model.decoder)
+    first = run_forward(x, enc, model.encoding)
+    e = first[-1]
+    m, log_s = e @ model.mean[0] + model.mean[1], e @ model.deviation[0] + model.deviation[1]
+    s = np.exp(np.clip(log_s, -30, 30))
+    second = run_forward(m + s * noise, dec, model.decoding)
+    square, slope = _squares(second[-1], x)
+    loss = square + model.divergence * (s * s + m * m - log_s - 0.5).sum(1)
+    decoding, z = backward(second, slope, dec, model.decoding)
+    to_m, to_s = z + model.divergence * 2 * m, z * s * noise + model.divergence * (2 * s * s - 1)
+    encoding, _ = backward(first, to_m @ model.mean[0].T + to_s @ model.deviation[0].T, enc, model.encoding)
+    return loss, second[-1], [*encoding, e.T @ to_m, to_m.sum(0), e.T @ to_s, to_s.sum(0), *decoding]
+
+
+def normal(keys: np.ndarray, salt: int, n: int) -> np.ndarray:
+    """Normal draws for each key."""
+    return np.sqrt(-2 * np.log(1 - uniform(keys, 2 * salt, n))) * np.cos(2 * np.pi * uniform(keys, 2 * salt + 1, n))
+
+
+def train_variational(rows: DataFrame, key: str, encoder: str, latent: int, decoder: str, epochs: int, rate: float = 1e-3, divergence: float = 1e-3, seed: int = 0) -> Variational:
+    """Fit a variational decoder to rows(key, x); draws come from a row's key (a whole number) and the epoch. Null rows take no part."""
+    kept = stored(rows.filter(F.col("x").isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col("x").cast("array<double>").alias("x")), "variational")
+    first = kept.select(F.size("x")).head(1)
+    width = first[0][0] if first else 1
+    enc, dec = parse_layers(encoder), parse_layers(decoder)
+    encoding = initial_weights(enc, width, seed)
+    inner = encoding[-1][0].shape[1] if encoding else width
+    heads = [initial_weights([("linear", latent)], inner, seed + k)[0] for k in (1, 2)]
+    model = Variational(encoder, decoder, encoding, *heads, initial_weights(dec, latent, seed + 3), divergence)
+    adam = Adam(rate)
+    for epoch in range(epochs if first else 0):
+        def of_task(batches: Iterator[pa.RecordBatch], now: Variational = model, epoch: int = epoch) -> list[np.ndarray] | None:
+            out = None
+            for b in batches:
+                loss, _, slopes = variational_step(_matrix(b.column("x")), normal(b.column("key").to_numpy(), seed * 7919 + epoch, latent), now)
+                one = [np.array([loss.sum(), len(loss)]), *slopes]
+                out = one if out is None else sums.added([out, one])
+            return out
+
+        found = sums.summed(kept, of_task)
+        loss, n = found[0].tolist()
+        model.history.append({"epoch": epoch, "loss": loss / n})
+        model.set(adam.step(model.flat(), [g / n for g in found[1:]]))
+    return model
+
+
+def reconstructed(rows: DataFrame, model: Variational) -> DataFrame:
+    """rows(x) with out, decoded from the latent mean, and loss, its mean squared distance from x; null for null."""
+    def run(s: pd.Series) -> pd.Series:
+        out, there = pd.Series([None] * len(s), index=s.index, dtype=object), s.notna()
+        if there.any():
+            x = np.stack(s[there].to_numpy()).astype(float)
+            out[there] = pd.Series(list(variational_step(x, np.zeros((len(x), model.mean[0].shape[1])), model)[1]), index=s.index[there])
+        return out
+
+    run.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    d = rows.withColumn("out", pandas_udf("array<double>")(run)("x"))
+    gaps = F.zip_with("out", "x", lambda a, b: (a - b) * (a - b))
+    return d.withColumn("loss", F.aggregate(gaps, F.lit(0.0), lambda a, v: a + v) / F.size("x"))
+
+
 def class_weights(rows: DataFrame, k: int) -> DataFrame:
     """rows(target) with weight: n / (k * rows of the class), so that classes weigh alike."""
     counts = rows.groupBy("target").agg(F.count("*").alias("_c"))
