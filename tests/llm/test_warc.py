@@ -1,12 +1,16 @@
 import base64
 import hashlib
 import struct
+import sys
 from pathlib import Path
 
 import pytest
 import zstandard
 
-from tracewell.llm import warc
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+from oracle import both  # noqa: E402
+
+from tracewell.llm import warc  # noqa: E402
 
 COLUMNS = "page_id long, url string, html string, key string, first long, digest string, length string"
 
@@ -68,6 +72,13 @@ def test_query_reads_every_page(spark):
     assert digests(queries.op13_warc(spark, sf)) == brute(want)
 
 
+def test_equals_sql(spark):
+    from tracewell.llm import queries
+
+    ours, theirs = both(spark, queries.QUERIES["op13_warc"], queries.ORACLES["op13_warc"], "/root/testdata/sf0.001")
+    assert ours == theirs and ours
+
+
 def test_form_of_archives(spark, folder):
     """A leading dictionary frame, one frame a record, each readable by itself; many archives, none without records."""
     warc.write_archives(table(spark, pages()), folder, archive_bytes=4000)

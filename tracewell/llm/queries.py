@@ -228,6 +228,21 @@ def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read_archives(spark, folder))
 
 
+OP13_SQL = """
+WITH d AS (
+  SELECT page_id, url, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages
+), b AS (
+  SELECT *, array_to_string(list_transform(range(1, 41), lambda i: lpad(bin(strpos('0123456789abcdef', hex[i]) - 1), 4, '0')), '') AS bits,
+         max(page_id) OVER (PARTITION BY payload) AS first
+  FROM d
+)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda g: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', list_sum(list_transform(range(1, 6), lambda k: CAST(bits[g * 5 + k] AS INT) * CAST(pow(2, 5 - k) AS INT)))::INT + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to, url
+FROM b
+"""
+
+
 QUERIES = {
     "op4_lm_scoring": op4_lm_scoring,
     "op9_chat_format": op9_chat_format,
@@ -248,4 +263,5 @@ ORACLES = {
     "op8_quality_cascade": OP8_SQL,
     "op11_hard_negatives": OP11_SQL,
     "op12_filter_audit": OP12_SQL,
+    "op13_warc": OP13_SQL,
 }
