@@ -262,6 +262,26 @@ def _tiles(span: int):
     return run
 
 
+ALIGNED = 2048  # contexts whose further alignments a task looks through
+
+
+def _different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different (fp, core) of rows (fp, also), as far as a task holds them together."""
+    held: set[tuple[int, int]] = set()
+
+    def rows() -> pa.RecordBatch:
+        found = sorted(held)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["fp", "core"])
+
+    for batch in batches:
+        for fp, also in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            held.update((fp, core) for core in also)
+            if len(held) > 1_000_000:
+                yield rows()
+    yield rows()
+
+
 def hot_places(hot: DataFrame, span: int) -> DataFrame:
     """(fp, ctx, cov) of hot contexts.
 
@@ -271,7 +291,9 @@ def hot_places(hot: DataFrame, span: int) -> DataFrame:
     """
     tiles = stored(hot.mapInArrow(_tiles(span), "fp long, ctx long, n long, lo long, tile long, core long, strings array<long>, two boolean, also array<long>"), "tiles")
     kinds = stored(tiles.groupBy("fp", "tile").agg(F.sum("n").alias("n"), F.first("core").alias("core"), F.first("strings").alias("strings"), F.max("two").alias("two")), "kinds")
-    cores = kinds.select("fp", "core").unionByName(tiles.select("fp", F.explode("also").alias("core"))).groupBy("fp", "core").agg(F.count("*").alias("_n")).filter("_n > 1").select("fp", "core")
+    also = tiles.filter(F.size("also") > 0).select("fp", "also")
+    also = also.repartition(max(1, -(-also.count() // ALIGNED))).mapInArrow(_different, "fp long, core long")  # one is enough for any tile of that core
+    cores = kinds.select("fp", "core").unionByName(also).groupBy("fp", "core").agg(F.count("*").alias("_n")).filter("_n > 1").select("fp", "core")
     sure = F.col("two") | (F.size(F.array_distinct("strings")) < F.size("strings"))
     open_ = kinds.filter(sure).unionByName(kinds.filter(~sure).join(cores, ["fp", "core"], "left_semi"))
     each = open_.select("fp", "tile", "n", F.posexplode("strings").alias("i", "string"))
