@@ -277,7 +277,7 @@ def _different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for fp, also in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             held.update((fp, core) for core in also)
-            if len(held) > 1_000_000:
+            if len(held) > 100_000:
                 yield rows()
     yield rows()
 
