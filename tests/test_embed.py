@@ -93,3 +93,14 @@ def test_contexts_and_induced_vectors(spark):
         assert np.allclose(v, np.mean(contexts[w], 0) @ matrix)
     none = embed.induction_sums(embed.context_means(tokens.filter("node > 99"), vectors, 2), vectors)
     assert none[0].shape == (3, 3) and not none[0].any()
+
+
+def test_contexts_join_no_places(spark):
+    """Lists that a small file holds may be many rows: none of them may be joined, by broadcast or otherwise."""
+    rows = [(1, ["a", None, "b", "a"]), (2, ["a", "b"]), (3, None), (4, []), (None, ["a", "b"]), (5, ["b"]), (6, ["a", None, "b", "a"])]
+    tokens = spark.createDataFrame(rows, "node long, tokens array<string>")
+    vectors = spark.createDataFrame([("a", [1.0, 10.0]), ("b", [2.0, 20.0])], "word string, vec array<double>")
+    out = embed.context_means(tokens, vectors, 2)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join" in line and "node#" in line]
+    assert {r.word: (r.n, r.vec) for r in out.collect()} == {"a": (5, [2.0, 20.0]), "b": (3, [5 / 3, 50 / 3])}

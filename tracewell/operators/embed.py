@@ -281,16 +281,19 @@ def infer_documents(tokens: DataFrame, model: Vectors, window: int = 5, negative
 def context_means(tokens: DataFrame, vectors: DataFrame, window: int) -> DataFrame:
     """(word, n, vec): the mean over a word's n occurrences of the summed vectors of the words up to window places away.
 
-    tokens(node, tokens), vectors(word, vec). Occurrences without a known word around do not count. Pairs of
-    words are counted first, so vectors meet one row a pair.
+    tokens(node, tokens), vectors(word, vec). Occurrences without a known word around do not count. The words
+    around a place are cut from the row's own list, so places never meet in a join, and equal contexts of a word are one
+    row with their number. Pairs of words are counted first, so vectors meet one row a pair.
     """
     size = width(vectors, "vec")
-    t = tokens.select("node", F.posexplode("tokens").alias("i", "word"))
-    known = t.join(vectors.select("word"), "word", "left_semi")
-    near = known.select("node", F.explode(F.array_remove(F.sequence(-F.lit(window), F.lit(window)), 0)).alias("d"), (F.col("i") + F.col("d")).alias("j"), F.col("word").alias("near"))
-    met = near.select("node", F.col("j").alias("i"), "near").join(t, ["node", "i"])
-    counts = met.groupBy("word", "near").agg(F.count("*").cast("double").alias("n"))
-    occurrences = met.select("word", "node", "i").distinct().groupBy("word").agg(F.count("*").alias("occurrences"))
+    around = lambda i: F.concat(F.slice("tokens", F.greatest(i - window, F.lit(0)) + 1, F.least(i, F.lit(window))), F.slice("tokens", i + 2, F.lit(window)))
+    places = F.transform("tokens", lambda w, i: F.struct(w.alias("word"), around(i).alias("around")))
+    met = tokens.filter("node is not null").select(F.explode(places).alias("c")).groupBy("c.word", "c.around").agg(F.count("*").cast("long").alias("times"))
+    contexts = stored(met.withColumn("context", F.monotonically_increasing_id()), "contexts")
+    near = contexts.select("context", "word", "times", F.explode("around").alias("near"))
+    counts = near.groupBy("word", "near").agg(F.sum("times").cast("double").alias("n"))
+    known = near.join(vectors.select(F.col("word").alias("near")), "near", "left_semi").select("context", "word", "times").distinct()
+    occurrences = known.groupBy("word").agg(F.sum("times").alias("occurrences"))
     total = combined(counts.join(vectors.withColumnRenamed("word", "near"), "near"), ["word"], "vec", size, weight="n")
     mean = F.transform("vec", lambda v: v / F.col("occurrences"))
     return total.join(occurrences, "word").select("word", F.col("occurrences").alias("n"), mean.alias("vec"))
