@@ -150,3 +150,40 @@ def test_few_points(spark):
     assert [tuple(x) for x in neighbours.outlier_factors(spark.createDataFrame([(4, [1.0])], schema), 3).collect()] == [(4, 1.0)]
     two = {x.id: x.lof for x in neighbours.outlier_factors(spark.createDataFrame([(4, [1.0]), (5, [3.0])], schema), 3).collect()}
     assert two == {4: 1.0, 5: 1.0}
+
+
+def test_nearest_distances_in_blocks(spark, monkeypatch):
+    """Many blocks of both sides in a batch, vectors with nulls, batches with too few rows."""
+    from tracewell.operators import score
+
+    monkeypatch.setattr(score, "BLOCK", 8)
+    r = np.random.default_rng(3)
+    rows = [(i, i % 3 if i < 400 else 3, r.normal(size=3).tolist()) for i in range(402)] + [(500, 0, None), (501, 1, [1.0, None, 2.0]), (502, 3, None), (503, None, [1.0, 2.0, 3.0])]
+    v = spark.createDataFrame(rows, "id long, label long, v array<double>")
+    got = {x.id: x.distance for x in score.knn_distance(v, v, 4, ["label"], None).collect()}
+    whole = lambda x: x is not None and None not in x
+    for i, label, x in rows:
+        if label is None:
+            assert i not in got
+            continue
+        near = sorted(float(np.linalg.norm(np.subtract(x, y))) for _, g, y in rows if g == label and whole(x) and whole(y))[:4]
+        if len(near) < min(4, sum(g == label for _, g, _ in rows)):
+            assert got[i] is None
+        else:
+            assert got[i] == pytest.approx(np.mean(near), abs=1e-12)
+    some = {x.id: x.score for x in score.knn_score(v.filter("id < 50"), v, 3).collect()}
+    assert len(some) == len(rows) and some[500] is None
+    for i, _, x in rows[:400]:
+        assert some[i] == pytest.approx(np.mean(sorted(np.linalg.norm(np.subtract(x, y)) for _, _, y in rows[:50])[:3]), abs=1e-12)
+
+
+def test_scores_against_a_whole_batch(spark, tmp_path):
+    """The query's SQL has no sample: rows past 5000 of a label count."""
+    from tracewell.plans import scalars
+
+    x = np.random.default_rng(5).normal(size=(5300, 2)).astype(np.float32)
+    spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.id: r.score for r in scalars.magic_scores(spark, str(tmp_path)).collect()}
+    z = (x.astype(float) - x.astype(float).mean(0)) / x.astype(float).std(0)
+    d = np.array([np.sort(np.sqrt(((a - z) ** 2).sum(1)))[:5].mean() for a in z])
+    assert len(got) == 5300 and all(abs(got[i] - d[i] / d.mean()) < 1e-4 for i in range(5300))
