@@ -187,3 +187,18 @@ def test_scores_against_a_whole_batch(spark, tmp_path):
     z = (x.astype(float) - x.astype(float).mean(0)) / x.astype(float).std(0)
     d = np.array([np.sort(np.sqrt(((a - z) ** 2).sum(1)))[:5].mean() for a in z])
     assert len(got) == 5300 and all(abs(got[i] - d[i] / d.mean()) < 1e-4 for i in range(5300))
+
+
+def test_only_what_may_be_near_leaves_a_block(spark):
+    """A meeting of two blocks gives rows within the limits, ties included, not k rows for every point."""
+    r = np.random.default_rng(8)
+    a, b = np.round(r.normal(size=(200, 4)), 1), np.round(r.normal(size=(400, 4)), 1)
+    b[:90] = a[0]
+    mine, theirs = np.arange(200), r.permutation(np.arange(150, 550))
+    d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1))
+    d[mine[:, None] == theirs] = np.inf
+    limit = np.sort(d, axis=1)[:, 4]
+    rows, found, ids = neighbours._within(mine, a, theirs, b, 5, limit)
+    inside = found <= limit[rows]
+    assert sorted(zip(rows[inside].tolist(), ids[inside].tolist())) == sorted((int(i), int(theirs[j])) for i, j in zip(*np.nonzero(d <= limit[:, None])))
+    assert neighbours._within(mine, a, theirs, b, 5, np.full(200, 1e-3))[0].size < 200
