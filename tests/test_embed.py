@@ -3,6 +3,8 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tracewell.operators import embed
 
 
@@ -104,3 +106,12 @@ def test_contexts_join_no_places(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Join" in line and "node#" in line]
     assert {r.word: (r.n, r.vec) for r in out.collect()} == {"a": (5, [2.0, 20.0]), "b": (3, [5 / 3, 50 / 3])}
+
+
+def test_texts_of_one_file_are_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(embed, "TEXTS", 10)
+    tokens = spark.createDataFrame([(i, [f"w{i % 7}", "x"]) for i in range(95)], "node long, tokens array<string>").coalesce(1)
+    model = embed.new_vectors(tokens, 4, 64, 1)
+    for out in (embed.infer_documents(tokens, model, epochs=1), embed.mean_unit_vectors(tokens, model)):
+        assert out.select(F.spark_partition_id()).distinct().count() > 5
+        assert sorted(r.node for r in out.select("node").collect()) == list(range(95))

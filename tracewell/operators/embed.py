@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from tracewell.functions import sums
-from tracewell.functions.tables import stored
+from tracewell.functions.tables import spread, stored
 from tracewell.functions.vectors import combined, times_matrix, width
 
+TEXTS = 20_000  # texts of a task, about
 PAIRS = 256  # pairs of words that take one step together
 TOGETHER = 8  # steps that a document's vector takes at once from such a group, at most
 
@@ -130,7 +131,7 @@ def _seed(*parts: object) -> int:
 
 def train_subwords(tokens: DataFrame, size: int = 16, buckets: int = 1 << 14, window: int = 5, negatives: int = 5, epochs: int = 5, rate: float = 0.05, seed: int = 0, low: int = 3, high: int = 6) -> Vectors:
     """Skip-gram over tokens(tokens): a word's n-grams, averaged, predict the words up to window places away."""
-    kept = stored(tokens.filter(F.size("tokens") > 1).select("tokens"), "sentences")
+    kept = stored(spread(tokens.filter(F.size("tokens") > 1).select("tokens"), TEXTS), "sentences")
     model = new_vectors(kept, size, buckets, seed, low, high)
 
     for epoch in range(epochs):
@@ -182,15 +183,17 @@ def mean_unit_vectors(tokens: DataFrame, model: Vectors) -> DataFrame:
     """(node, vec): the mean of a label's word vectors, each scaled to length 1, from tokens(node, tokens); zeros without a word."""
     zero = np.zeros(model.size)
 
-    def of(words: list[str] | None) -> np.ndarray:
-        found = [model.inputs[model.rows(w)].mean(0) for w in (words if words is not None else []) if w is not None]
-        return np.mean([v / max(np.linalg.norm(v), 1e-12) for v in found], axis=0) if found else zero
+    def unit(word: str) -> np.ndarray:
+        v = model.inputs[model.rows(word)].mean(0)
+        return v / max(np.linalg.norm(v), 1e-12)
 
     def run(s: pd.Series) -> pd.Series:
-        return s.map(of)
+        known = {w: unit(w) for w in {w for words in s if words is not None for w in words if w is not None}}
+        of = lambda words: [known[w] for w in (words if words is not None else []) if w is not None]
+        return s.map(lambda words: np.mean(found, axis=0) if (found := of(words)) else zero)
 
     run.__annotations__ = {"s": pd.Series, "return": pd.Series}
-    return tokens.select("node", pandas_udf("array<double>")(run)("tokens").alias("vec"))
+    return spread(tokens.select("node", "tokens"), TEXTS).select("node", pandas_udf("array<double>")(run)("tokens").alias("vec"))
 
 
 def _first_vector(node: object, size: int, seed: int) -> np.ndarray:
@@ -233,7 +236,7 @@ def train_documents(tokens: DataFrame, size: int = 16, buckets: int = 1 << 13, w
     model = new_vectors(tokens, size, buckets, seed, high=0)
     kind = tokens.schema["node"].dataType.simpleString()
     schema = f"node {kind}, tokens array<string>, vec array<double>, {sums.DDL}"
-    state = stored(tokens.select("node", "tokens", F.lit(None).cast("array<double>").alias("vec")), "documents")
+    state = stored(spread(tokens, TEXTS).select("node", "tokens", F.lit(None).cast("array<double>").alias("vec")), "documents")
     for epoch in range(epochs):
         now, speed = model, rate * (1 - epoch / epochs)
 
@@ -275,7 +278,7 @@ def infer_documents(tokens: DataFrame, model: Vectors, window: int = 5, negative
                 out.append(vec)
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(out, pa.list_(pa.float64()))], ["node", "vec"])
 
-    return tokens.select("node", "tokens").mapInArrow(run, f"node {tokens.schema['node'].dataType.simpleString()}, vec array<double>")
+    return spread(tokens.select("node", "tokens"), TEXTS).mapInArrow(run, f"node {tokens.schema['node'].dataType.simpleString()}, vec array<double>")
 
 
 def context_means(tokens: DataFrame, vectors: DataFrame, window: int) -> DataFrame:
