@@ -81,23 +81,65 @@ def roots(edges: DataFrame, by: list[str]) -> DataFrame:
     return out.join(into, [*by, "node"], "left").filter("first_in is null or first_out < first_in").select(*by, "node")
 
 
-def closure(edges: DataFrame, by: list[str], sources: DataFrame | None = None) -> DataFrame:
-    """(by, src, dst) for every dst that src reaches by one or more edges.
+MOST_WAYS = 4  # ways are doubled for all nodes while they are at most so many a pair of the graph
+
 
-    The frontier moves one hop a round and leaves out pairs already found; each
-    round's state is a stored table, so lineage does not grow.
+def doubled(edges: DataFrame, by: list[str], paths: bool = False) -> tuple[DataFrame, int, bool]:
+    """(by, src, dst, hops) of all ways of up to m edges, m, and whether no pair is further apart.
+
+    hops is the least number of edges, path (if asked for) the nodes of the least such way by ids. A round joins the
+    pairs that lie m apart with all pairs, which doubles m, so a graph of short ways takes few rounds. Ways are counted
+    before they are joined: rounds end where the pairs would outgrow the graph by MOST_WAYS.
     """
-    e = edges.select(*by, "src", "dst").distinct()
-    step = e.select(*by, F.col("src").alias("dst"), F.col("dst").alias("next"))
-    start = e if sources is None else e.join(sources.select(*by, F.col("node").alias("src")).distinct(), [*by, "src"], "left_semi")
-    found = front = stored(start, "reach")
-    while front.head(1):
-        more = front.join(step, [*by, "dst"]).select(*by, "src", F.col("next").alias("dst")).distinct()
-        front = stored(more.join(found, [*by, "src", "dst"], "left_anti"), "reach")
-        found = found.unionByName(front)
+    e = edges.select(*by, "src", "dst").distinct().withColumn("hops", F.lit(1))
+    found = stored(e.withColumn("path", F.array("src", "dst")) if paths else e, "ways")
+    m, n = 1, found.count()
+    most, held = MOST_WAYS * n, n
+    while True:
+        ends = found.filter(F.col("hops") == m).groupBy(*by, F.col("dst").alias("node")).agg(F.count("*").alias("_a"))
+        starts = found.groupBy(*by, F.col("src").alias("node")).agg(F.count("*").alias("_b"))
+        ways = ends.join(starts, [*by, "node"]).agg(F.sum(F.col("_a").cast("double") * F.col("_b"))).first()[0] or 0
+        if not ways or held + ways > most:
+            return found, m, not ways
+        new = stored(longer(found.filter(F.col("hops") == m), found, found, by, paths), "ways")
+        found, m, held = found.unionByName(new), 2 * m, held + new.count()
+
+
+def longer(front: DataFrame, step: DataFrame, found: DataFrame, by: list[str], paths: bool) -> DataFrame:
+    """Ways of front followed by one of step, the least for each pair that is not found yet."""
+    tail = step.select(*by, F.col("src").alias("dst"), F.col("dst").alias("_next"), F.col("hops").alias("_more"), *([F.col("path").alias("_rest")] if paths else []))
+    met = front.join(tail, [*by, "dst"])
+    hops = F.col("hops") + F.col("_more")
+    if not paths:
+        least = met.groupBy(*by, "src", F.col("_next").alias("dst")).agg(F.min(hops).alias("hops"))
+        return least.join(found, [*by, "src", "dst"], "left_anti")
+    way = F.struct(hops.alias("hops"), F.concat("path", F.slice("_rest", F.lit(2), F.size("_rest"))).alias("path"))
+    least = met.filter("src != _next").groupBy(*by, "src", F.col("_next").alias("dst")).agg(F.min(way).alias("_w"))
+    return least.join(found, [*by, "src", "dst"], "left_anti").select(*by, "src", "dst", "_w.hops", "_w.path")
+
+
+def ways_from(sources: DataFrame, step: DataFrame, m: int, whole: bool, by: list[str], paths: bool = False) -> DataFrame:
+    """The pairs of `doubled` that begin at sources(by, node), and those further apart: the frontier moves m hops a round."""
+    found = stored(step.join(sources.select(*by, F.col("node").alias("src")).distinct(), [*by, "src"], "left_semi").select(step.columns), "reach")
+    front, far = found, m
+    while not whole:
+        front = stored(longer(front.filter(F.col("hops") == far), step, found, by, paths).select(step.columns), "reach")
+        if not front.head(1):
+            break
+        found, far = found.unionByName(front), far + m
     return found
 
 
+def closure(edges: DataFrame, by: list[str], sources: DataFrame | None = None) -> DataFrame:
+    """(by, src, dst) for every dst that src reaches by one or more edges; each round's state is a stored table."""
+    step, m, whole = doubled(edges, by)
+    if sources is None:
+        if whole:
+            return step.drop("hops")
+        sources = step.select(*by, F.col("src").alias("node"))
+    return ways_from(sources, step, m, whole, by).drop("hops")
+
+
 def pseudo_edges(edges: DataFrame, by: list[str]) -> DataFrame:
     """An edge from each root to every node it reaches."""
     return closure(edges, by, roots(edges, by)).filter("src != dst")
