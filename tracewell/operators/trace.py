@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.scalar import min_max
 from tracewell.functions.tables import stored
 
-from .transform import closure
+from .transform import closure, doubled, ways_from
 
 
 def points_of_interest(results: DataFrame) -> DataFrame:
@@ -41,10 +39,14 @@ def descendants(edges: DataFrame, by: list[str], pois: DataFrame) -> DataFrame:
 
 def entry_components(edges: DataFrame, by: list[str], pois: DataFrame) -> DataFrame:
     """(by, poi, entry, node): per entry (an ancestor without incoming edges) the nodes on ways from it to the poi."""
-    up = stored(ancestors(edges, by, pois), "up")
-    into = edges.select(*by, F.col("dst").alias("node")).distinct()
-    entries = up.join(into, [*by, "node"], "left_anti").withColumnRenamed("node", "entry")
-    down = closure(edges, by, entries.select(*by, F.col("entry").alias("node")).distinct()).select(*by, F.col("src").alias("entry"), F.col("dst").alias("node"))
+    step, m, whole = doubled(edges, by)
+    if whole:  # both directions are in one table
+        up = stored(step.select(*by, F.col("dst").alias("poi"), F.col("src").alias("node")).join(pois.select(*by, "poi").distinct(), [*by, "poi"], "left_semi"), "up")
+    else:
+        up = stored(ancestors(edges, by, pois), "up")
+    into = step.select(*by, F.col("dst").alias("node")).distinct()
+    entries = stored(up.join(into, [*by, "node"], "left_anti").withColumnRenamed("node", "entry"), "entries")
+    down = ways_from(entries.select(*by, F.col("entry").alias("node")), step, m, whole, by).select(*by, F.col("src").alias("entry"), F.col("dst").alias("node"))
     on_way = entries.join(down, [*by, "entry"]).join(up, [*by, "poi", "node"], "left_semi").select(*by, "poi", "entry", "node")
     ends = entries.select(*by, "poi", "entry", F.col("entry").alias("node")).unionByName(entries.select(*by, "poi", "entry", F.col("poi").alias("node")))
     return on_way.unionByName(ends).distinct()
@@ -71,17 +73,9 @@ def attack_subgraph(edges: DataFrame, by: list[str], marked: DataFrame, labels:
 
 def shortest_paths(edges: DataFrame, by: list[str], sources: DataFrame) -> DataFrame:
     """(by, src, dst, hops, path): one shortest path from each source, the least by node ids, of any length."""
-    e = edges.filter("src != dst").select(*by, "src", "dst").distinct()
-    step = e.select(*by, F.col("src").alias("dst"), F.col("dst").alias("next"))
-    found = front = stored(sources.select(*by, F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0).alias("hops"), F.array("node").alias("path")), "paths")
-    for k in count(1):
-        more = front.join(step, [*by, "dst"]).select(*by, "src", F.col("next").alias("dst"), F.concat("path", F.array("next")).alias("path"))
-        new = more.groupBy(*by, "src", "dst").agg(F.min("path").alias("path")).join(found, [*by, "src", "dst"], "left_anti")
-        front = stored(new.select(*by, "src", "dst", F.lit(k).alias("hops"), "path"), "paths")
-        if not front.head(1):
-            break
-        found = found.unionByName(front)
-    return found
+    step, m, whole = doubled(edges.filter("src != dst"), by, paths=True)
+    start = sources.select(*by, F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0).alias("hops"), F.array("node").alias("path"))
+    return start.unionByName(ways_from(sources, step, m, whole, by, paths=True))
 
 
 def time_respecting(edges: DataFrame, by: list[str], start: DataFrame, forward: bool) -> DataFrame:
