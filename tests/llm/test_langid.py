@@ -74,3 +74,12 @@ def test_equals_brute_force_cosines(spark):
         v[at] = (1 + np.log(n)) * model.idf[at]
         cos = [float(c @ v / np.linalg.norm(v)) for c in model.centre]
         assert r.lang_pred == model.lang[int(np.round(cos, 6).argmax())] and abs(r.score - max(cos)) < 1e-4
+
+
+def test_driver_gives_memory_back(spark, monkeypatch):
+    """The fit's sample does not stay with the driver's Python for the stages that follow."""
+    done, plain = [], langid.settle
+    monkeypatch.setattr(langid, "settle", lambda: done.append(1) or plain())
+    rows = spark.createDataFrame([(f"the house and the garden {i}", "en") for i in range(20)], "text string, lang string")
+    assert langid.fit(rows).lang[0] == "en"
+    assert done == [1]

@@ -23,12 +23,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .support import extended, slices, texts_of, with_columns
+from .support import extended, settle, slices, texts_of, with_columns
 
 DIM = 1 << 12
 SIZES = (24, 64, 160, 400)  # distinct n-grams at which another limit begins
@@ -135,7 +136,12 @@ def fit(rows: DataFrame, per_language: int = 1500, clusters: int = 4, share_of_l
             got = [gram_counts(t) if has_letter(t) else (np.zeros(0, int), np.zeros(0, int)) for t in texts_of(b)]
             yield with_columns(b.select(["lang"]), at=pa.array([g[0] for g in got], pa.list_(pa.int32())), n=pa.array([g[1] for g in got], pa.list_(pa.int32())))
 
-    found = sample.mapInArrow(run, "lang string, at array<int>, n array<int>").toPandas()
+    model = _model(sample.mapInArrow(run, "lang string, at array<int>, n array<int>").toPandas(), clusters, share_of_least, floor)
+    settle()  # the driver lives on, too
+    return model
+
+
+def _model(found: pd.DataFrame, clusters: int, share_of_least: float, floor: float) -> Centroids:
     found = found[found["at"].map(len) > 0]
     order = sorted(range(len(found)), key=lambda i: (found["lang"].iloc[i], len(found["at"].iloc[i]), tuple(found["n"].iloc[i][:50])))
     found = found.iloc[order]
