@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from tracewell.operators import trace, transform
+from tracewell.operators import features, trace, transform
 
 
 def _plain(pairs, sources):
@@ -51,3 +51,17 @@ def test_few_rounds(spark, monkeypatch):
     monkeypatch.setattr(transform, "stored", lambda df, name: made.append(name) or plain(df, name))
     assert transform.closure(edges, ["g"]).count() == 16 * 17 // 2 + 200
     assert len(made) <= 6
+
+
+def test_walks_meet_one_table_a_step(spark, monkeypatch):
+    """A step of a static walk is one lookup: neighbours carry their pair's operations and their own degree."""
+    edges = spark.createDataFrame([(1, 2, "b"), (1, 2, None), (2, 3, "a"), (3, 3, "c")], "src long, dst long, op string")
+    made, plain = [], features.stored
+    monkeypatch.setattr(features, "stored", lambda df, name: made.append(name) or plain(df, name))
+    walks = features.static_walks(edges, 3, 2).collect()
+    assert made == ["near", "degree", "ways", "walks"]
+    assert {x.node: sum(y.node == x.node for y in walks) for x in walks} == {1: 2, 2: 4, 3: 4}
+    ops = {(1, 2): {"b", None}, (2, 3): {"a"}, (3, 3): {"c"}}
+    for x in walks:
+        for a, op, b in (x.path[:3], x.path[2:]):
+            assert op in ops[min(int(a), int(b)), max(int(a), int(b))]

@@ -198,20 +198,19 @@ def decayed_walks(edges: DataFrame, starts: DataFrame, length: int, n_walks: int
 def static_walks(edges: DataFrame, length: int, walks_per_degree: int, seed: int = 0) -> DataFrame:
     """(node, walk, path): walks over both directions of distinct pairs, degree times walks_per_degree from each node.
 
-    A path alternates nodes and an operation between them. Neighbours of a node and operations of a pair are
-    numbered, so each step finds one neighbour and one operation by number.
+    A path alternates nodes and an operation between them. Neighbours of a node are numbered; each comes with the
+    pair's operations in order and its own degree, so a step is one lookup.
     """
     both = edges.select(F.col("src").alias("at"), "op", F.col("dst").alias("next")).unionByName(edges.select(F.col("dst").alias("at"), "op", F.col("src").alias("next"))).distinct()
-    near = stored(with_ordinal(both.select("at", "next").distinct(), ["at"], ["next"], 1 << 16, "no"), "near")
-    ops = stored(both.withColumn("j", F.row_number().over(W.partitionBy("at", "next").orderBy("op")) - 1).join(both.groupBy("at", "next").agg(F.count("*").alias("n_ops")), ["at", "next"]), "ops")
+    pairs = both.groupBy("at", "next").agg(F.sort_array(F.collect_list(F.struct("op"))).alias("ops"))
+    near = stored(with_ordinal(pairs, ["at"], ["next"], 1 << 16, "no"), "near")
     degree = stored(near.groupBy("at").agg(F.count("*").alias("d")), "degree")
-    walks = degree.select(F.col("at").alias("node"), F.explode(F.sequence(F.lit(1), F.col("d").cast("int") * walks_per_degree)).alias("walk")).select("node", "walk", F.col("node").alias("at"), F.array(F.col("node").cast("string")).alias("path"))
-    pair = ops.filter("j = 0").select("at", "next", "n_ops")
+    ways = stored(near.join(degree.select(F.col("at").alias("next"), F.col("d").alias("ahead")), "next").select("at", "no", "next", "ops", "ahead"), "ways")
+    walks = degree.select(F.col("at").alias("node"), F.explode(F.sequence(F.lit(1), F.col("d").cast("int") * walks_per_degree)).alias("walk"), "d").select("node", "walk", F.col("node").alias("at"), "d", F.array(F.col("node").cast("string")).alias("path"))
     for k in range(1, length):
-        walks = walks.join(degree, "at").withColumn("no", _drawn(seed, 2 * k, F.col("d"))).join(near, ["at", "no"]).join(pair, ["at", "next"])
-        walks = walks.withColumn("j", _drawn(seed, 2 * k + 1, F.col("n_ops")).cast("int")).join(ops.select("at", "next", "j", "op"), ["at", "next", "j"])
-        walks = stored(walks.select("node", "walk", F.col("next").alias("at"), F.concat("path", F.array("op", F.col("next").cast("string"))).alias("path")), "walks")
-    return walks.select("node", "walk", "path")
+        moved = walks.withColumn("no", _drawn(seed, 2 * k, F.col("d"))).join(ways, ["at", "no"]).withColumn("j", _drawn(seed, 2 * k + 1, F.size("ops").cast("long")).cast("int"))
+        walks = moved.select("node", "walk", F.col("next").alias("at"), F.col("ahead").alias("d"), F.concat("path", F.array(F.col("ops")[F.col("j")]["op"], F.col("next").cast("string"))).alias("path"))
+    return stored(walks.select("node", "walk", "path"), "walks")
 
 
 def split_message(message: Column, parts: list[tuple[str, int]]) -> dict[str, Column]:
