@@ -312,7 +312,7 @@ def imitations(edges: DataFrame, bad: DataFrame, subjects: DataFrame, files: Dat
     picked by seeded hashes; it begins within 3 seconds of one of the subject's own events in
     the window, its steps lie up to 3 seconds apart, and it reads from file to subject.
     """
-    inside = edges.filter(F.col("t").between(start, end))
+    inside = stored(edges.filter(F.col("t").between(start, end)).select("src", "dst", "t", "event_id"), "inside")
     number = lambda d: stored(with_ordinal(d.select("node").distinct().withColumn("_h", digest(F.lit(seed), "node", hex_digits=15)), [], ["_h", "node"], 1 << 50, "no"), "numbered")
     actors, objects = number(imitation_actors(inside, bad, subjects)), number(files)
     n_actors, n_objects = actors.count(), objects.count()
