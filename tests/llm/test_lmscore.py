@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from tracewell.llm import lmscore
+from tracewell.llm import lmscore, support
 
 
 def test_target_like_documents_score_lower(spark, frame):
@@ -115,3 +115,20 @@ def test_ties_and_a_very_long_text(spark, frame):
     target, background = brute(spark, [long, "a b", "b a", "a b", "a b"], [1, 2])
     assert [got[i].loss_background for i in range(5)] == [pytest.approx(x) for x in background]
     assert [got[i].loss_target for i in range(5)] == [pytest.approx(x) for x in target]
+
+
+def test_disk_stays_a_few_times_the_texts(spark):
+    """Scratch tables and shuffle files that a run leaves, against the Parquet file of the texts."""
+    import os
+    from pathlib import Path
+
+    path = "/root/testdata/sf0.01"
+
+    def used():
+        shuffles = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        local = sum(shuffles.apply(i).length() for i in range(shuffles.size()))
+        return local + sum(p.stat().st_size for t in support.tables() for p in Path(t.removeprefix("file://").removeprefix("file:")).rglob("*.parquet"))
+
+    before = used()
+    lmscore.cross_entropy_difference(spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet"))
+    assert used() - before < 3 * os.path.getsize(f"{path}/documents.parquet")
