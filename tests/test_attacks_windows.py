@@ -86,3 +86,27 @@ def test_losses_under_dropout(spark):
     still = train.Model("linear(16) | relu | dropout(0) | linear(2)", "classes", model.weights)
     for x in train.uncertain_losses(rows.filter("id < 40"), still, 3, "id").collect():
         assert x.loss_mean == pytest.approx(plain[x.id]) and x.loss_deviation == pytest.approx(0, abs=1e-9)
+
+
+def test_window_attacks_go_on_only_where_places_do_not_suffice(spark, monkeypatch):
+    """Actor 1 touches 37 of a graph's 40 files elsewhere, actor 2 none: only the first is asked for again."""
+    asked, keep = [], transform.stored
+
+    def noted(df, name):
+        out = keep(df, name)
+        if name == "tries":
+            asked.append({r.actor for r in out.collect()})
+        return out
+
+    rows = [(0, 3, f) for f in range(100, 140)] + [(0, a, 100) for a in (1, 2)] + [(1, 1, f) for f in range(100, 137)]
+    edges = spark.createDataFrame([(i, tw, i * 10**9, s, d) for i, (tw, s, d) in enumerate(rows)], "event_id long, tw long, t long, src long, dst long")
+    nodes = spark.createDataFrame([(n, "subject" if n < 100 else "file") for n in (1, 2, 3, *range(100, 140))], "node long, node_type string")
+    actors = spark.createDataFrame([(1,), (2,)], "actor long")
+    monkeypatch.setattr(transform, "stored", noted)
+    got = transform.window_attacks(edges, ["tw"], nodes, actors, 2).filter("op = 'EVENT_OPEN'").collect()
+    opened = {(r.tw, r.src): set() for r in got}
+    for r in got:
+        opened[r.tw, r.src].add(r.dst)
+    assert set(opened) == {(0, 1), (0, 2)} and len(opened[0, 1]) == len(opened[0, 2]) == 2
+    assert opened[0, 1] <= {137, 138, 139} and 100 not in opened[0, 2]
+    assert asked[0] == {1, 2} and asked[-1] == set() and any(x == {1} for x in asked)

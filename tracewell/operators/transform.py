@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -251,14 +252,23 @@ def window_attacks(edges: DataFrame, by: list[str], nodes: DataFrame, actors: Da
     files, netflows = ring("file", "file"), ring("netflow", "netflow")
     count_of = lambda r: r.groupBy(*by).agg(F.count("*").alias("_n"))
     here = met.select(*by, F.col("node").alias("actor")).join(actors.select("actor").distinct(), "actor", "left_semi")
-    touched = edges.select(F.col("src").alias("actor"), F.col("dst").alias("target")).distinct()
+    touched = stored(edges.select(F.col("src").alias("actor"), F.col("dst").alias("target")).distinct(), "touched")
     degree = touched.groupBy("actor").agg(F.count("*").alias("_k"))
-    tries = here.join(degree, "actor", "left").join(count_of(files), by)
     last = F.least(F.coalesce("_k", F.lit(0)) + n_targets, F.col("_n")) - 1
-    tries = tries.select(*by, "actor", "_n", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("step"))
-    tries = tries.withColumn("place", F.pmod(digest(F.lit(seed), *by, "actor") + F.col("step"), F.col("_n")))
-    free = tries.join(files, [*by, "place"]).join(touched, ["actor", "target"], "left_anti")
-    taken = stored(with_ordinal(free.select(*by, "actor", "target", "step"), [*by, "actor"], ["step"], 1 << 12, "r").filter(F.col("r") < n_targets), "taken")
+    left = here.join(degree, "actor", "left").join(count_of(files), by).select(*by, "actor", "_n", last.alias("_last"), F.pmod(digest(F.lit(seed), *by, "actor"), F.col("_n")).alias("_from"), F.lit(0).cast("long").alias("_have"))
+    left, low, width, parts = stored(left, "tries"), 0, 2 * n_targets, []
+    while left.head(1):
+        # a few places at a time, twice as many for those that these are not enough for
+        steps = left.withColumn("step", F.explode(F.sequence(F.lit(low).cast("long"), F.least(F.col("_last"), F.lit(low + width - 1).cast("long")))))
+        steps = steps.select(*by, "actor", "_have", "step", F.pmod(F.col("_from") + F.col("step"), F.col("_n")).alias("place"))
+        free = steps.join(files, [*by, "place"]).join(touched, ["actor", "target"], "left_anti")
+        place = F.row_number().over(W.partitionBy(*by, "actor").orderBy("step"))
+        parts.append(stored(free.withColumn("_place", place).filter(F.col("_place") <= n_targets).withColumn("r", (F.col("_have") + F.col("_place") - 1).cast("long")).filter(F.col("r") < n_targets).select(*by, "actor", "target", "r"), "taken"))
+        low, width = low + width, 2 * width
+        more = parts[-1].groupBy(*by, "actor").agg(F.count("*").alias("_new"))
+        left = left.filter(F.col("_last") >= low).join(more, [*by, "actor"], "left").withColumn("_have", F.col("_have") + F.coalesce("_new", F.lit(0))).drop("_new").filter(F.col("_have") < n_targets)
+        left = stored(left, "tries")
+    taken = reduce(DataFrame.unionByName, parts) if parts else left.select(*by, "actor", F.lit(None).cast(files.schema["target"].dataType).alias("target"), F.lit(0).cast("long").alias("r"))
     begin = F.col("_low") + F.pmod(digest(F.lit(seed), F.lit("begin"), *by, "actor"), F.col("_high") - F.col("_low") + 1)
     at = lambda k: (begin + k * F.col("_gap")).alias("t")
     steps = taken.join(span, by).select("*", F.posexplode(F.array(*map(F.lit, ("EVENT_OPEN", "EVENT_READ", "EVENT_WRITE")))).alias("k", "op"))
