@@ -119,3 +119,17 @@ def test_recurrent_unit_over_sequences_of_any_length(spark):
         for x in s:
             h = learn.gru_step(np.array([x]), h, w)
         assert np.allclose(got[i], h[0])
+
+
+def test_last_messages_are_taken_once_for_all_batches(spark, monkeypatch):
+    names, keep = [], memory.stored
+
+    def noted(df, name):
+        names.append(name)
+        return keep(df, name)
+
+    monkeypatch.setattr(memory, "stored", noted)
+    edges = spark.createDataFrame([(b, 10 * b + i, 10 * b + i, i % 2, 2 + i, [0.5]) for b in range(2) for i in range(3)], "batch long, event_id long, t long, src long, dst long, msg array<double>")
+    got = memory.node_memory(edges, memory.memory_weights(2, 1, 1, 0)).collect()
+    assert {(r.batch, r.node) for r in got} == {(b, n) for b in range(2) for n in range(5)}
+    assert names.count("memory-last") == 1 and names.count("memory-changes") == 2

@@ -65,17 +65,29 @@ def node_memory(edges: DataFrame, weights: dict[str, np.ndarray], how: str = "la
     zero = F.array_repeat(F.lit(0.0), size)
     ordered = stored(edges.select(F.col("batch").cast("long").alias("batch"), "event_id", "t", "src", "dst", F.col("msg").cast("array<double>").alias("msg")).repartitionByRange("batch", "event_id").sortWithinPartitions("batch"), "memory-events")
     cell = _cell(weights)
+
+    def ends(rows: DataFrame, *columns: str) -> DataFrame:
+        """A message to each end of every event."""
+        one = lambda node, other, side: rows.select(*columns, F.col(node).alias("node"), F.col(other).alias("other"), "t", "event_id", F.lit(side).alias("side"), "msg")
+        return one("src", "dst", 1).unionByName(one("dst", "src", 0))
+
+    if how == "last":
+        # which message of a batch is a node's last does not depend on memories: taken once, for all batches
+        last = ends(ordered, "batch").groupBy("batch", "node").agg(F.max_by(F.struct("other", "t", "msg"), F.struct("t", "event_id", "side")).alias("m"), F.max("t").alias("most"))
+        lasts = stored(last.select("batch", "node", "m.*", "most").repartitionByRange("batch", "node").sortWithinPartitions("batch"), "memory-last")
     state, changes, out = spark.createDataFrame([], _STATE), [], []
     for (batch,) in ordered.select("batch").distinct().orderBy("batch").collect():  # one number a batch
-        own = ordered.filter(F.col("batch") == batch)
-        sent = own.select(F.col("src").alias("node"), F.col("dst").alias("other"), "t", "event_id", F.lit(1).alias("side"), "msg").unionByName(own.select(F.col("dst").alias("node"), F.col("src").alias("other"), "t", "event_id", F.lit(0).alias("side"), "msg"))
-        nodes = sent.select("node").distinct()
+        if how == "last":
+            last = lasts.filter(F.col("batch") == batch).drop("batch")
+            nodes = last.select("node")
+        else:
+            sent = ends(ordered.filter(F.col("batch") == batch))
+            nodes = sent.select("node").distinct()
         known = nodes.join(_latest([state, *changes], nodes), "node", "left").select("node", F.coalesce("memory", zero).alias("memory"), F.coalesce("last_t", F.lit(0).cast("long")).alias("last_t"))
         known = stored(known, "memory-known")
         time = lambda t, since: [F.cos((t - since).cast("double") / unit * r + p) for r, p in zip(rate, phase)]
         theirs = known.select(F.col("node").alias("other"), F.col("memory").alias("_theirs"))
         if how == "last":
-            last = sent.groupBy("node").agg(F.max_by(F.struct("other", "t", "msg"), F.struct("t", "event_id", "side")).alias("m"), F.max("t").alias("most")).select("node", "m.*", "most")
             met = join_hot(last, theirs, ["other"]).join(known, "node")
             x = F.concat("memory", "_theirs", "msg", F.array(*time(F.col("t"), F.col("last_t"))))
             ready = met.select("node", x.alias("x"), "memory", "most")
