@@ -132,3 +132,22 @@ def test_disk_stays_a_few_times_the_texts(spark):
     before = used()
     lmscore.cross_entropy_difference(spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet"))
     assert used() - before < 3 * os.path.getsize(f"{path}/documents.parquet")
+
+
+def test_a_chunk_takes_little_memory(monkeypatch):
+    """Arrays that a worker holds at once while it packs chunks, and what it returns at a time."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(lmscore, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rng = np.random.default_rng(1)
+    texts = [" ".join(map(str, rng.zipf(1.3, 1000) % 50_000)) for _ in range(1700)]
+    n = np.arange(len(texts))
+    rows = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(n), pa.array(n), pa.array(n % 4)], ["text", "k1", "k2", "class"])
+    tracemalloc.start()
+    sizes = [b.nbytes for b in lmscore._spread(np.array([lmscore.BEGIN], np.uint64), np.zeros(0, np.int64), 300)(iter([rows]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6 and max(sizes) < 4e6
