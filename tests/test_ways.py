@@ -65,3 +65,14 @@ def test_walks_meet_one_table_a_step(spark, monkeypatch):
     for x in walks:
         for a, op, b in (x.path[:3], x.path[2:]):
             assert op in ops[min(int(a), int(b)), max(int(a), int(b))]
+
+
+def test_walks_are_never_broadcast(spark, monkeypatch):
+    """Small files of degrees and ways stand for many walks: no join may pass them through the driver."""
+    edges = spark.createDataFrame([(0, 1 + i, "ab"[i % 2]) for i in range(300)] + [(1, 2, "c")], "src long, dst long, op string")
+    plans, plain = {}, features.stored
+    monkeypatch.setattr(features, "stored", lambda df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or plain(df, name))
+    walks = features.static_walks(edges, 3, 2).collect()
+    degree = {0: 300, 1: 2, 2: 2} | {i: 1 for i in range(3, 301)}
+    assert sorted((x.node, x.walk) for x in walks) == [(n, w) for n, d in sorted(degree.items()) for w in range(1, 2 * d + 1)]
+    assert all("SortMergeJoin" in plans[name] and "Broadcast" not in plans[name] for name in ("ways", "walks"))

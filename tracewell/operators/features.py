@@ -199,16 +199,19 @@ def static_walks(edges: DataFrame, length: int, walks_per_degree: int, seed: int
     """(node, walk, path): walks over both directions of distinct pairs, degree times walks_per_degree from each node.
 
     A path alternates nodes and an operation between them. Neighbours of a node are numbered; each comes with the
-    pair's operations in order and its own degree, so a step is one lookup.
+    pair's operations in order and its own degree, so a step is one lookup. Walks start from the rows of neighbours,
+    a hub's in many tasks. Joins are by shuffle: Spark judges walks and ways by files they outgrow many times, and the
+    driver could not hold the broadcast.
     """
     both = edges.select(F.col("src").alias("at"), "op", F.col("dst").alias("next")).unionByName(edges.select(F.col("dst").alias("at"), "op", F.col("src").alias("next"))).distinct()
     pairs = both.groupBy("at", "next").agg(F.sort_array(F.collect_list(F.struct("op"))).alias("ops"))
     near = stored(with_ordinal(pairs, ["at"], ["next"], 1 << 16, "no"), "near")
     degree = stored(near.groupBy("at").agg(F.count("*").alias("d")), "degree")
-    ways = stored(near.join(degree.select(F.col("at").alias("next"), F.col("d").alias("ahead")), "next").select("at", "no", "next", "ops", "ahead"), "ways")
-    walks = degree.select(F.col("at").alias("node"), F.explode(F.sequence(F.lit(1), F.col("d").cast("int") * walks_per_degree)).alias("walk"), "d").select("node", "walk", F.col("node").alias("at"), "d", F.array(F.col("node").cast("string")).alias("path"))
+    ways = stored(near.join(degree.select(F.col("at").alias("next"), F.col("d").alias("ahead")).hint("merge"), "next").select("at", "no", "next", "ops", "ahead"), "ways")
+    no = F.col("no").cast("int")
+    walks = near.join(degree.hint("merge"), "at").select(F.col("at").alias("node"), F.explode(F.sequence(no * walks_per_degree + 1, (no + 1) * walks_per_degree)).alias("walk"), "at", "d", F.array(F.col("at").cast("string")).alias("path"))
     for k in range(1, length):
-        moved = walks.withColumn("no", _drawn(seed, 2 * k, F.col("d"))).join(ways, ["at", "no"]).withColumn("j", _drawn(seed, 2 * k + 1, F.size("ops").cast("long")).cast("int"))
+        moved = walks.withColumn("no", _drawn(seed, 2 * k, F.col("d"))).join(ways.hint("merge"), ["at", "no"]).withColumn("j", _drawn(seed, 2 * k + 1, F.size("ops").cast("long")).cast("int"))
         walks = moved.select("node", "walk", F.col("next").alias("at"), F.col("ahead").alias("d"), F.concat("path", F.array(F.col("ops")[F.col("j")]["op"], F.col("next").cast("string"))).alias("path"))
     return stored(walks.select("node", "walk", "path"), "walks")
 
